@@ -1,0 +1,9 @@
+"""The registered queries: one per operator, with equivalent SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from tidemark.queries import batch, training
+
+MODULES = (training, batch)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.keys import entity_id_parts
 from tidemark.functions.scalars import event_date
-from tidemark.operators.asof import RESERVED, AsOfView, point_in_time_join_views
+from tidemark.operators.asof import AsOfView, point_in_time_join_views
 from tidemark.sources.folders import drop_folder, has_data, subfolders
 
 PARTITION = "event_date"
@@ -55,6 +55,16 @@ def spine_range(spine: DataFrame, ts: str = "event_ts") -> DataFrame:
     return spine.agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))
 
 
+def time_bounds(spine: DataFrame, ts: str = "event_ts") -> tuple[datetime, datetime] | None:
+    """First and last time on the driver as aware UTC; None if there is none."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = spine.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return None
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return epoch + timedelta(microseconds=low), epoch + timedelta(microseconds=high)
+
+
 def newest_version(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: greatest by ``order``, then by the remaining columns, as a partial max."""
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -163,10 +173,9 @@ class FeatureTable:
         columns: Sequence[str] | None = None,
     ) -> DataFrame:
         """As-of join against the stored table, scanning only days and columns that can match."""
-        bounds = spine_range(spine, event_ts).first()
-        if bounds["start_ts"] is None:
-            bounds = {"start_ts": datetime(1970, 1, 1), "end_ts": datetime(1970, 1, 1)}
-        view = self.view_for(bounds["start_ts"], bounds["end_ts"], ttl, columns)
+        # A spine without any time matches nothing, so any empty range will do.
+        start, end = time_bounds(spine, event_ts) or (datetime.min, datetime.min)
+        view = self.view_for(start, end, ttl if start.year > 1 else timedelta(0), columns)
         return point_in_time_join_views(spine, [view], event_ts=event_ts)
 
     # -- writes ------------------------------------------------------------------------------
@@ -185,28 +194,36 @@ class FeatureTable:
     def upsert(self, incoming: DataFrame) -> WriteResult:
         """Merge by (entity_id, event_ts): greatest ``created_ts`` wins, equal goes to the incoming row."""
         incoming = self.conform(incoming).withColumn("_incoming", F.lit(1))
-        days = [r[0] for r in incoming.select(PARTITION).distinct().orderBy(PARTITION).collect()]
+        counts = (
+            incoming.select(PARTITION, "entity_id", "event_ts")
+            .distinct()
+            .groupBy(PARTITION)
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .orderBy(PARTITION)
+            .collect()
+        )
+        days = tuple(r[PARTITION] for r in counts)
         if not days:
             return WriteResult(0, ())
         if None in days:
             raise ValueError("event_ts must not be null")
-        stored = self._scan().where(
-            F.col(PARTITION).between(F.lit(days[0]), F.lit(days[-1])) & F.col(PARTITION).isin(days)
-        )
-        both = stored.withColumn("_incoming", F.lit(0)).unionByName(incoming)
-        fields = [c for c in self.schema.names if c not in ("entity_id", "event_ts", PARTITION)]
-        order = ["created_ts", "_incoming", *[c for c in fields if c != "created_ts"]]
-        merged = both.groupBy(PARTITION, "entity_id", "event_ts").agg(
-            F.max(F.struct(*order)).alias("_best"), F.max("_incoming").alias("_touched")
+        stored = self._scan().where(F.col(PARTITION).isin(*days)).withColumn("_incoming", F.lit(0))
+        merged = newest_version(
+            stored.unionByName(incoming),
+            [PARTITION, "entity_id", "event_ts"],
+            ["created_ts", "_incoming"],
         )
+        self._write(merged.select(*self.schema.names))
+        return WriteResult(sum(r["rows"] for r in counts), days)
+
+    def replace_days(self, df: DataFrame, days: Sequence[date]) -> None:
+        """Recompute whole days: their folders end up holding ``df``'s rows and nothing else."""
+        rows = self.conform(df).where(F.col(PARTITION).isin(*days))
         written = Observation()
-        merged = merged.observe(
-            written, F.coalesce(F.sum(F.col("_touched").cast("long")), F.lit(0)).alias("rows")
-        )
-        self._write(
-            merged.select("entity_id", "event_ts", *[f"_best.{c}" for c in fields], PARTITION)
-        )
-        return WriteResult(written.get["rows"], tuple(days))
+        # A set of days reads the same however often a lost task is rerun.
+        self._write(rows.observe(written, F.collect_set(PARTITION).alias("days")))
+        for day in set(days) - set(written.get["days"] or ()):
+            drop_folder(self.spark, f"{self.path}/{PARTITION}={day.isoformat()}")
 
     def append_versions(self, incoming: DataFrame) -> None:
         """Add rows beside earlier versions, for tables read with ``known_at``."""
@@ -224,34 +241,37 @@ class FeatureTable:
                 dropped.append(day)
         return dropped
 
-    def erase(self, requests: DataFrame, key: str = "entity_id") -> DataFrame:
-        """Delete every row whose entity, or any part of its composite entity, is requested.
+    def erasure_counts(self, targets: DataFrame) -> DataFrame:
+        """Rows per requested key that ``erase`` would remove."""
+        return (
+            self._scan()
+            .join(targets, "entity_id")
+            .groupBy(F.col("requested").alias("entity_id"))
+            .agg(F.count(F.lit(1)).alias("rows_deleted"))
+        )
 
-        Only days that hold such rows are rewritten. Returns the rows removed per erased key.
-        """
-        table = self._scan()
-        targets = matching_entities(table, requests, key)
-        hits = table.join(targets, "entity_id")
-        counts = hits.groupBy("requested", PARTITION).agg(F.count(F.lit(1)).alias("rows"))
-        found = counts.groupBy(PARTITION).agg(F.sum("rows").alias("rows")).collect()
-        report = counts.groupBy(F.col("requested").alias("entity_id")).agg(
-            F.sum("rows").alias("offline_deleted")
+    def erase(self, targets: DataFrame) -> list[date]:
+        """Delete the rows of all target entities; rewrites only the days that hold any."""
+        gone = targets.select("entity_id").distinct().withColumn("_gone", F.lit(1))
+        marked = self._scan().join(gone, "entity_id", "left")
+        by_day = (
+            marked.groupBy(PARTITION)
+            .agg(F.count(F.lit(1)).alias("rows"), F.count("_gone").alias("gone"))
+            .where(F.col("gone") > 0)
+            .orderBy(PARTITION)
+            .collect()
         )
-        days = [r[PARTITION] for r in found]
-        if days:
-            report = self.spark.createDataFrame(report.toArrow())
-            self._rewrite_without(targets, days)
-        return report
-
-    def _rewrite_without(self, targets: DataFrame, days: list[date]) -> None:
-        table = self._scan().where(F.col(PARTITION).isin(days))
-        gone = targets.select("entity_id").distinct()
-        kept = table.join(gone, "entity_id", "left_anti").select(*self.schema.names)
-        left = Observation()
-        kept = kept.observe(left, F.collect_set(PARTITION).alias("days"))
-        self._write(kept)
-        for day in set(days) - set(left.get["days"] or []):
+        emptied = [r[PARTITION] for r in by_day if r["gone"] == r["rows"]]
+        thinned = [r[PARTITION] for r in by_day if r["gone"] < r["rows"]]
+        if thinned:
+            kept = marked.where(F.col(PARTITION).isin(*thinned) & F.col("_gone").isNull())
+            self._write(kept.select(*self.schema.names))
+        for day in emptied:
             drop_folder(self.spark, f"{self.path}/{PARTITION}={day.isoformat()}")
+        return [r[PARTITION] for r in by_day]
+
+    def targets(self, requests: DataFrame, key: str = "entity_id") -> DataFrame:
+        return matching_entities(self._scan(), requests, key)
 
 
 def matching_entities(table: DataFrame, requests: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -265,5 +285,3 @@ def matching_entities(table: DataFrame, requests: DataFrame, key: str = "entity_
         .select("entity_id", "requested")
     )
 
-
-__all__ = ["FeatureTable", "WriteResult", "RESERVED"]

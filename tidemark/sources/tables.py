@@ -64,4 +64,5 @@ def line_transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_extendedprice").alias("amount"),
         F.col("o_orderdate").alias("event_ts"),
         (F.col("l_returnflag") == "R").alias("is_refund"),
+        (F.col("l_returnflag") == "A").alias("is_dispute"),
     )
