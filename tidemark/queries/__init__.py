@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import batch, training
+from tidemark.queries import batch, governance, monitoring, streams, tables, training
 
-MODULES = (training, batch)
+MODULES = (training, batch, tables, monitoring, governance, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -217,3 +217,11 @@ def prewarm(
             keys = hot.where(F.col("feature_view") == table.name)
             warmed = warmed.unionByName(table.extend_ttl(keys, now, ttl))
     return warmed
+
+
+def expiry_by_tier(written: Column, tier: Column) -> Column:
+    """Write time plus the lifetime of the row's tier."""
+    expiry = F.lit(None).cast("timestamp")
+    for name in TIER_TTL:
+        expiry = F.when(tier == name, written + F.lit(tier_ttl(name))).otherwise(expiry)
+    return expiry
