@@ -87,7 +87,7 @@ def run_backfill(
     table: FeatureTable,
     start: date,
     end: date,
-    compute: Callable[[DataFrame], DataFrame],
+    compute: Callable[[list[date]], DataFrame],
     *,
     requested_by: str,
     now: datetime,
@@ -96,8 +96,8 @@ def run_backfill(
 ) -> str:
     """Compute and write every pending day of [start, end]; returns the run id.
 
-    ``compute`` takes a frame of days (``partition_date``) and returns their feature rows; it is
-    called once per ``days_per_job`` pending days, not once per day. Days are recorded after their
+    ``compute`` takes a list of days and returns their feature rows; it is called once per
+    ``days_per_job`` pending days, not once per day. Days are recorded after their
     write, so a failed run resumes after the last finished job. Each day's folder is replaced.
     """
     spark, run_id = log.spark, uuid.uuid4().hex[:12]
@@ -120,8 +120,8 @@ def run_backfill(
     try:
         for i in range(0, len(days), days_per_job):
             chunk = days[i : i + days_per_job]
+            table.replace_days(compute(chunk), chunk)
             wanted = spark.createDataFrame([(d,) for d in chunk], "partition_date date")
-            table.replace_days(compute(wanted), chunk)
             counts = table.partition_counts().where(F.col(PARTITION).isin(*chunk))
             done = wanted.join(counts, F.col("partition_date") == F.col(PARTITION), "left").select(
                 F.lit(run_id).alias("run_id"),

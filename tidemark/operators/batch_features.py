@@ -6,7 +6,8 @@ so a key with very many transactions costs each reducer one partial row per task
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,7 @@ from tidemark.functions.scalars import chargeback_rate, is_cross_border, pair_is
 from tidemark.operators.rolling import (
     amount_zscores,
     exact_sum,
-    rolling_distinct,
-    rolling_totals,
+    rolling_features,
     seconds_since_previous,
 )
 from tidemark.sources.feature_table import instant, with_partition
@@ -82,10 +82,12 @@ def user_peaks(
     txns: DataFrame, as_of: datetime, *, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Per user, the highest 30-day count, sum, average and distinct merchants ever reached."""
-    seen = until(txns, as_of)
-    totals = rolling_totals(seen, ["user_id"], MONTH, rows_per_slice=rows_per_slice)
-    both = rolling_distinct(
-        totals, ["user_id"], "merchant_id", MONTH, rows_per_slice=rows_per_slice
+    both = rolling_features(
+        until(txns, as_of),
+        ["user_id"],
+        MONTH,
+        distinct={"merchant_id": "distinct_merchants_30d"},
+        rows_per_slice=rows_per_slice,
     )
     names = ("txn_count_30d", "txn_amount_sum_30d", "txn_amount_avg_30d", "distinct_merchants_30d")
     return both.groupBy(F.col("user_id").alias("entity_id")).agg(*[F.max(n).alias(n) for n in names])
@@ -159,20 +161,25 @@ def transaction_features(txns: DataFrame, *, rows_per_slice: int | None = None)
     )
 
 
-def user_activity_by_day(txns: DataFrame, days: DataFrame) -> DataFrame:
-    """30-day user activity for every day of ``days`` (``partition_date``) in one job.
+def user_activity_by_day(txns: DataFrame, days: Sequence[date]) -> DataFrame:
+    """30-day user activity for each of ``days`` in one job.
 
-    Transactions are first combined per user, merchant and span of days they count for, then each
-    combined row is expanded to those days (31 at most) and combined again. A day's window is
-    [day - 30 d, day] at midnight.
+    Only transactions that some day can see are read. They are combined per user, merchant and span
+    of days they count for, then each combined row is expanded to those days (31 at most) and
+    combined again. A day's window is [day - 30 d, day] at midnight.
     """
+    start, end = min(days), max(days)
     midnight = F.to_date("event_ts")
     exact = F.col("event_ts") == midnight.cast("timestamp")
     first = F.when(exact, midnight).otherwise(F.date_add(midnight, 1))
+    seen = F.col("event_ts").between(instant(_midnight(start) - MONTH), instant(_midnight(end)))
     combined = (
-        txns.where(F.col("user_id").isNotNull())
+        txns.where(F.col("user_id").isNotNull() & seen)
         .groupBy(
-            "user_id", "merchant_id", first.alias("_first"), F.date_add(midnight, 30).alias("_last")
+            "user_id",
+            "merchant_id",
+            F.greatest(first, F.lit(start)).alias("_first"),
+            F.least(F.date_add(midnight, 30), F.lit(end)).alias("_last"),
         )
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -180,9 +187,9 @@ def user_activity_by_day(txns: DataFrame, days: DataFrame) -> DataFrame:
             F.sum(F.col("amount").cast("decimal(18,4)")).alias("_sum"),
         )
     )
-    by_day = combined.withColumn(
-        "partition_date", F.explode(F.sequence("_first", "_last"))
-    ).join(days.select("partition_date"), "partition_date", "left_semi")
+    by_day = combined.withColumn("partition_date", F.explode(F.sequence("_first", "_last")))
+    if len(set(days)) <= (end - start).days:
+        by_day = by_day.where(F.col("partition_date").isin(*days))
     return (
         by_day.groupBy(F.col("user_id").alias("entity_id"), "partition_date")
         .agg(
@@ -202,3 +209,7 @@ def user_activity_by_day(txns: DataFrame, days: DataFrame) -> DataFrame:
             "distinct_merchants_30d",
         )
     )
+
+
+def _midnight(day: date) -> datetime:
+    return datetime(day.year, day.month, day.day)

@@ -8,7 +8,7 @@ again is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import timedelta
 from functools import reduce
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import amount_zscore, velocity
 from tidemark.operators.asof import micros
 from tidemark.operators.scan import Total, neighbours, ordered_scan
+from tidemark.operators.slices import plan_slices
 
 MONEY = "decimal(18,4)"
 
@@ -27,104 +28,132 @@ def exact_sum(column: str | Column) -> Column:
     return F.sum(_col(column).cast(MONEY)).cast("double")
 
 
-def rolling_totals(
+def rolling_features(
     txns: DataFrame,
     keys: Sequence[str],
     width: timedelta,
     *,
     event_ts: str = "event_ts",
-    amount: str = "amount",
+    amount: str | None = "amount",
+    spread: bool = False,
+    distinct: Mapping[str, str] | None = None,
     prefix: str = "txn",
     suffix: str = "30d",
-    spread: bool = False,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
-    """Add count, sum and avg (and sample std) over ``[ts - width, ts]`` to every row.
+    """Add trailing-window features over ``[ts - width, ts]`` to every row, in one scan per key.
 
-    Null amounts count as events but not in sum or average; rows without key or time get no window.
+    ``amount`` gives count, sum and avg (and sample std with ``spread``); null amounts count as
+    events but not in sum or average. ``distinct`` maps columns to the name of their distinct count.
+    Rows without key or time get no window.
     """
-    value = F.col(amount).cast(MONEY)
-    deltas = {
-        "_n": F.lit(1).cast("long"),
-        "_valued": F.col(amount).isNotNull().cast("long"),
-        "_sum": F.coalesce(value, F.lit(0).cast(MONEY)),
-    }
-    if spread:
-        deltas["_squares"] = F.coalesce(value * value, F.lit(0).cast("decimal(37,8)"))
-    out = _scan_ledger(txns, keys, event_ts, width, deltas, rows_per_slice)
+    keys, distinct = list(keys), dict(distinct or {})
+    known = _known([*keys, event_ts])
+    deltas: dict[str, Column] = {}
+    if amount is not None:
+        value = F.col(amount).cast(MONEY)
+        deltas["_n"] = F.lit(1).cast("long")
+        deltas["_valued"] = F.col(amount).isNotNull().cast("long")
+        deltas["_sum"] = F.coalesce(value, F.lit(0).cast(MONEY))
+        if spread:
+            deltas["_squares"] = F.coalesce(value * value, F.lit(0).cast("decimal(37,8)"))
+    rows = _ledger(txns.where(known), keys, event_ts, width, deltas)
+    names = dict(deltas)
+    for i, item in enumerate(distinct):
+        changes = _presence_changes(txns, keys, item, width, event_ts, f"_d{i}", rows_per_slice)
+        rows = rows.unionByName(changes, allowMissingColumns=True)
+        names[f"_d{i}"] = F.lit(0)
 
-    names = {c: f"{prefix}_{c}_{suffix}" for c in ("count", "amount_sum", "amount_avg", "amount_std")}
-    total = F.col("_sum_run").cast("double")
-    added = {
-        names["count"]: F.coalesce("_n_run", F.lit(0)),
-        names["amount_sum"]: F.when(F.col("_valued_run") > 0, total),
-        names["amount_avg"]: F.when(F.col("_valued_run") > 0, total / F.col("_valued_run")),
-    }
-    if spread:
-        # n*sum(x^2) - sum(x)^2 on decimals does not cancel: equal amounts give exactly 0.
-        n = F.col("_valued_run").cast("decimal(12,0)")
-        squares, plain = F.col("_squares_run"), F.col("_sum_run")
-        numerator = (n * squares - plain * plain).cast("double")
-        pairs = F.col("_valued_run").cast("double") * (F.col("_valued_run") - 1)
-        added[names["amount_std"]] = F.when(
-            F.col("_valued_run") > 1, F.sqrt(F.greatest(numerator, F.lit(0.0)) / pairs)
-        )
-    return out.withColumns(added).select(*txns.columns, *added)
+    scanned = ordered_scan(
+        rows,
+        keys,
+        "_at",
+        [Total(name, f"{name}_run") for name in names],
+        peers=True,
+        rows_per_slice=rows_per_slice,
+    )
+    rest = txns.where(~known).select(F.struct("*").alias("_row"))
+    out = scanned.unionByName(rest, allowMissingColumns=True)
+
+    added: dict[str, Column] = {}
+    if amount is not None:
+        added |= _total_columns(prefix, suffix, spread)
+    for i, name in enumerate(distinct.values()):
+        count = F.coalesce(f"_d{i}_run", F.lit(0))
+        added[name] = F.when(F.col("_at").isNotNull(), count)
+    return out.select("_row.*", *[c.alias(n) for n, c in added.items()])
 
 
-def rolling_distinct(
+def _ledger(
+    txns: DataFrame, keys: list[str], event_ts: str, width: timedelta, deltas: dict[str, Column]
+) -> DataFrame:
+    """Each row as entry (a probe that also adds) and, given deltas, as expiry; one read of the input."""
+    at = _at(event_ts)
+    entry = F.struct(
+        at.alias("_at"),
+        F.lit(True).alias("_probe"),
+        F.struct(*txns.columns).alias("_row"),
+        *[delta.alias(name) for name, delta in deltas.items()],
+    )
+    if not deltas:
+        return txns.select(*keys, entry.alias("_entry")).select(*keys, "_entry.*")
+    expiry = F.struct(
+        (at + micros(width) + 1).alias("_at"),
+        F.lit(False).alias("_probe"),
+        F.lit(None).cast(txns.schema).alias("_row"),
+        *[(-delta).alias(name) for name, delta in deltas.items()],
+    )
+    return txns.select(*keys, F.inline(F.array(entry, expiry)))
+
+
+def _presence_changes(
     txns: DataFrame,
-    keys: Sequence[str],
+    keys: list[str],
     item: str,
     width: timedelta,
-    *,
-    event_ts: str = "event_ts",
-    out: str = "distinct_merchants_30d",
-    rows_per_slice: int | None = None,
+    event_ts: str,
+    name: str,
+    rows_per_slice: int | None,
 ) -> DataFrame:
-    """Add the number of distinct ``item`` values over ``[ts - width, ts]`` to every row.
+    """+1 when an item enters a key's trailing window, -1 just after it leaves.
 
-    Events of one item whose windows touch form one span: it counts +1 where the span begins and -1
-    just after it ends. No set of items is ever held.
+    Events of one item whose windows touch form one span, so no set of items is ever held.
     """
-    keys = list(keys)
-    at = _at(event_ts)
-    span = micros(width)
-    marks = (
-        txns.where(_known([*keys, item, event_ts]))
-        .groupBy(*keys, item, at.alias("_at"))
-        .agg(F.lit(0).alias("_tie"))
+    span, by_item = micros(width), [*keys, item]
+    marks = txns.where(_known([*by_item, event_ts])).select(
+        *by_item, _at(event_ts).alias("_at"), F.lit(0).alias("_tie")
     )
-    marks = neighbours(marks, [*keys, item], "_at", "_tie", rows_per_slice=rows_per_slice)
+    slices = plan_slices(marks, by_item, "_at", rows_per_slice)
+    if slices.any_heavy:
+        # Slicing needs distinct instants; light groups settle equal instants in the window itself.
+        marks = marks.distinct()
+    marks = neighbours(marks, by_item, "_at", "_tie", slices=slices)
     begins = F.col("_previous").isNull() | (F.col("_previous") < F.col("_at") - span)
     ends = F.col("_following").isNull() | (F.col("_following") > F.col("_at") + span)
-    changes = marks.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(F.col("_at"), F.when(begins, 1).cast("long").alias("_items")),
-                F.struct(
-                    (F.col("_at") + span + 1).alias("_at"),
-                    F.when(ends, -1).cast("long").alias("_items"),
-                ),
-            )
-        ).alias("_change"),
-    ).select(*keys, "_change.*", F.lit(False).alias("_probe"))
-    changes = changes.where(F.col("_items").isNotNull())
-    probes = txns.where(_known([*keys, event_ts])).select(
-        *keys, at.alias("_at"), F.lit(True).alias("_probe"), F.struct("*").alias("_row")
+    entered = F.struct(F.col("_at"), F.when(begins, 1).cast("long").alias(name))
+    left = F.struct(
+        (F.col("_at") + span + 1).alias("_at"), F.when(ends, -1).cast("long").alias(name)
     )
-    scanned = ordered_scan(
-        probes.unionByName(changes, allowMissingColumns=True),
-        keys,
-        "_at",
-        [Total("_items", "_items_run")],
-        peers=True,
-        rows_per_slice=rows_per_slice,
-    )
-    found = scanned.select("_row.*", F.coalesce("_items_run", F.lit(0)).alias(out))
-    rest = txns.where(~_known([*keys, event_ts])).withColumn(out, F.lit(None).cast("long"))
-    return found.unionByName(rest)
+    changes = marks.select(*keys, F.inline(F.array(entered, left)))
+    return changes.where(F.col(name).isNotNull()).withColumn("_probe", F.lit(False))
+
+
+def _total_columns(prefix: str, suffix: str, spread: bool) -> dict[str, Column]:
+    total, valued = F.col("_sum_run").cast("double"), F.col("_valued_run")
+    added = {
+        f"{prefix}_count_{suffix}": F.coalesce("_n_run", F.lit(0)),
+        f"{prefix}_amount_sum_{suffix}": F.when(valued > 0, total),
+        f"{prefix}_amount_avg_{suffix}": F.when(valued > 0, total / valued),
+    }
+    if spread:
+        # n*sum(x^2) - sum(x)^2 on decimals does not cancel: equal amounts give exactly 0.
+        squares, plain = F.col("_squares_run"), F.col("_sum_run")
+        numerator = (valued.cast("decimal(12,0)") * squares - plain * plain).cast("double")
+        pairs = valued.cast("double") * (valued - 1)
+        added[f"{prefix}_amount_std_{suffix}"] = F.when(
+            valued > 1, F.sqrt(F.greatest(numerator, F.lit(0.0)) / pairs)
+        )
+    return added
 
 
 def sliding_window(
@@ -137,7 +166,7 @@ def sliding_window(
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Count, sum and events per minute over the trailing window, for every event."""
-    totals = rolling_totals(
+    totals = rolling_features(
         events,
         keys,
         width,
@@ -165,7 +194,7 @@ def amount_zscores(
     out: str = "amount_zscore_user_30d",
 ) -> DataFrame:
     """Add each amount's z-score against the trailing window of its key (sample deviation)."""
-    totals = rolling_totals(
+    totals = rolling_features(
         txns, keys, width, prefix="_z", suffix="w", spread=True, rows_per_slice=rows_per_slice
     )
     score = amount_zscore(F.col("amount"), F.col("_z_amount_avg_w"), F.col("_z_amount_std_w"))
@@ -195,44 +224,6 @@ def seconds_since_previous(
     return beside.select(*txns.columns, gap.alias(out)).unionByName(rest)
 
 
-def _scan_ledger(
-    txns: DataFrame,
-    keys: Sequence[str],
-    event_ts: str,
-    width: timedelta,
-    deltas: dict[str, Column],
-    rows_per_slice: int | None,
-) -> DataFrame:
-    """Every row with ``<name>_run``: the sum of each delta over its trailing window."""
-    keys = list(keys)
-    known = _known([*keys, event_ts])
-    entered = txns.where(known).select(
-        *keys,
-        _at(event_ts).alias("_at"),
-        F.lit(True).alias("_probe"),
-        F.struct("*").alias("_row"),
-        *[delta.alias(name) for name, delta in deltas.items()],
-    )
-    expired = txns.where(known).select(
-        *keys,
-        (_at(event_ts) + micros(width) + 1).alias("_at"),
-        F.lit(False).alias("_probe"),
-        *[(-delta).alias(name) for name, delta in deltas.items()],
-    )
-    scanned = ordered_scan(
-        entered.unionByName(expired, allowMissingColumns=True),
-        keys,
-        "_at",
-        [Total(name, f"{name}_run") for name in deltas],
-        peers=True,
-        rows_per_slice=rows_per_slice,
-    )
-    rest = txns.where(~known).select(F.struct("*").alias("_row"))
-    return scanned.unionByName(rest, allowMissingColumns=True).select(
-        "_row.*", *[f"{name}_run" for name in deltas]
-    )
-
-
 def _at(event_ts: str) -> Column:
     return F.unix_micros(F.col(event_ts).cast("timestamp"))
 

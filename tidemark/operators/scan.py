@@ -111,6 +111,8 @@ def ordered_scan(
         inside.drop("_below", "_upto").unionByName(seeds, allowMissingColumns=True),
         frame(*keys, "_slice"),
     )
+    if not slices.crowded:
+        return stepped.drop("_slice")
     states = carried.select(*keys, "_slice", *[F.col(f.column).alias(f.out) for f in folds])
     pinned = (
         sliced.where(crowded)
@@ -209,12 +211,13 @@ def neighbours(
             "_following": F.coalesce("_following", "_after"),
         }
     )
+    scratch = ("_slice", "_crowded", "_heavy", "_first", "_final", "_before", "_after")
+    if not slices.crowded:
+        return stepped.drop(*scratch)
     pinned = joined.where("_crowded").withColumns(
         {
             "_previous": F.when(F.col(tie) == F.col("_first"), F.col("_before")).otherwise(F.col(at)),
             "_following": F.when(F.col(tie) == F.col("_final"), F.col("_after")).otherwise(F.col(at)),
         }
     )
-    return stepped.unionByName(pinned).drop(
-        "_slice", "_crowded", "_heavy", "_first", "_final", "_before", "_after"
-    )
+    return stepped.unionByName(pinned).drop(*scratch)

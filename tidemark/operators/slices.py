@@ -29,11 +29,15 @@ MAX_CUTS_PER_KEY = 16_384
 
 @dataclass(frozen=True)
 class Slices:
-    """Cut points of the heavy keys; ``table`` is None when no key is heavy."""
+    """Cut points of the heavy keys; ``table`` is None when no key is heavy.
+
+    ``crowded`` says that several cuts of some key fell on one instant.
+    """
 
     keys: tuple[str, ...]
     table: DataFrame | None = None
     longest: int = 0
+    crowded: bool = False
 
     @property
     def any_heavy(self) -> bool:
@@ -102,4 +106,6 @@ def plan_slices(
         return Slices(keys)
     schema = T.StructType([found.schema[name] for name in (*keys, "_cuts")])
     table = rows.sparkSession.createDataFrame(cuts, schema)
-    return Slices(keys, table, max(len(row["_cuts"]) for row in cuts))
+    longest = max(len(row["_cuts"]) for row in cuts)
+    crowded = any(len(set(row["_cuts"])) < len(row["_cuts"]) for row in cuts)
+    return Slices(keys, table, longest, crowded)

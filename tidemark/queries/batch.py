@@ -28,8 +28,7 @@ from tidemark.operators.batch_features import (
 )
 from tidemark.operators.rolling import (
     amount_zscores,
-    rolling_distinct,
-    rolling_totals,
+    rolling_features,
     seconds_since_previous,
     sliding_window,
 )
@@ -74,7 +73,7 @@ STAMP = f"""TIMESTAMP '{AS_OF}' AS event_ts, TIMESTAMP '{AS_OF}' AS created_ts,
 
 
 def rolling_30d(spark, folder):
-    totals = rolling_totals(orders(spark, folder), ["user_id"], MONTH)
+    totals = rolling_features(orders(spark, folder), ["user_id"], MONTH)
     return totals.drop("is_chargeback").withColumn("event_ts", plain("event_ts"))
 
 
@@ -90,7 +89,13 @@ FROM orders_t WINDOW w AS {FRAME}"""
 
 
 def rolling_distinct_(spark, folder):
-    counted = rolling_distinct(lines(spark, folder), ["user_id"], "merchant_id", MONTH)
+    counted = rolling_features(
+        lines(spark, folder),
+        ["user_id"],
+        MONTH,
+        amount=None,
+        distinct={"merchant_id": "distinct_merchants_30d"},
+    )
     return counted.select(
         "transaction_id.l_orderkey",
         "transaction_id.l_linenumber",

@@ -179,7 +179,7 @@ def _backfilled(spark: SparkSession, folder: str) -> tuple[FeatureTable, Backfil
     stored = FeatureTable(spark, root, "user_activity_v1", ACTIVITY_FEATURES)
     log, txns = BackfillLog(spark, f"{root}/state"), events(spark, folder)
 
-    def compute(days: DataFrame) -> DataFrame:
+    def compute(days: list[date]) -> DataFrame:
         return user_activity_by_day(txns, days)
 
     options = {"requested_by": "ops", "now": at("2024-02-01"), "days_per_job": 10}

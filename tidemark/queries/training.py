@@ -15,7 +15,7 @@ from tidemark.operators.sampling import join_fanout, sample_rows
 from tidemark.plans.training import TrainingRequest, build_training_set, manifest
 from tidemark.queries.common import EVENT_TXNS, events, exact, plain
 from tidemark.session import work_folder
-from tidemark.sources.feature_table import FeatureTable, partition_days, spine_range
+from tidemark.sources.feature_table import FeatureTable, spine_range
 
 LABEL_FROM = 50.0
 
@@ -289,7 +289,7 @@ FROM spine s ASOF LEFT JOIN feats f ON s.entity_id = f.entity_id AND s.event_ts
 
 def training_set(spark, folder):
     """Daily user activity over the month, joined to the purchases as of their time."""
-    days = partition_days(spark, date(2024, 1, 1), date(2024, 1, 31))
+    days = [date(2024, 1, d) for d in range(1, 32)]
     activity = user_activity_by_day(events(spark, folder), days)
     return _out(
         point_in_time_join(_spine(spark, folder), activity, created_ts=None, ttl=timedelta(days=7))

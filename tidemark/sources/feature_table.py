@@ -6,6 +6,7 @@ partitions (dynamic overwrite), so a task or executor that is lost and rerun cha
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
@@ -193,28 +194,30 @@ class FeatureTable:
 
     def upsert(self, incoming: DataFrame) -> WriteResult:
         """Merge by (entity_id, event_ts): greatest ``created_ts`` wins, equal goes to the incoming row."""
-        incoming = self.conform(incoming).withColumn("_incoming", F.lit(1))
-        counts = (
-            incoming.select(PARTITION, "entity_id", "event_ts")
-            .distinct()
-            .groupBy(PARTITION)
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .orderBy(PARTITION)
-            .collect()
-        )
-        days = tuple(r[PARTITION] for r in counts)
-        if not days:
-            return WriteResult(0, ())
-        if None in days:
+        # Staged once: the days, the counts and the merge then all come from the same stored rows.
+        staged = f"{self.path}/_staging/{uuid.uuid4().hex[:12]}"
+        keys = ["entity_id", "event_ts", PARTITION]
+        newest = newest_version(self.conform(incoming), keys, ["created_ts"])
+        newest.write.parquet(staged)
+        batch = self.spark.read.schema(self.schema).parquet(staged)
+        counts = batch.groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows")).collect()
+        by_day = {r[PARTITION]: r["rows"] for r in counts}
+        if None in by_day:
+            drop_folder(self.spark, staged)
             raise ValueError("event_ts must not be null")
-        stored = self._scan().where(F.col(PARTITION).isin(*days)).withColumn("_incoming", F.lit(0))
-        merged = newest_version(
-            stored.unionByName(incoming),
-            [PARTITION, "entity_id", "event_ts"],
-            ["created_ts", "_incoming"],
-        )
-        self._write(merged.select(*self.schema.names))
-        return WriteResult(sum(r["rows"] for r in counts), days)
+        days = tuple(sorted(by_day))
+        if days:
+            known = set(subfolders(self.spark, self.path))
+            overlap = [d for d in days if f"{PARTITION}={d.isoformat()}" in known]
+            if overlap:
+                stored = self._scan().where(F.col(PARTITION).isin(*overlap))
+                both = stored.withColumn("_incoming", F.lit(0)).unionByName(
+                    batch.withColumn("_incoming", F.lit(1))
+                )
+                batch = newest_version(both, keys, ["created_ts", "_incoming"])
+            self._write(batch.select(*self.schema.names))
+        drop_folder(self.spark, staged)
+        return WriteResult(sum(by_day.values()), days)
 
     def replace_days(self, df: DataFrame, days: Sequence[date]) -> None:
         """Recompute whole days: their folders end up holding ``df``'s rows and nothing else."""

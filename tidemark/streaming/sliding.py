@@ -50,6 +50,7 @@ def sliding_stream(
             if newest is not None:
                 fresh = fresh.where(at >= newest - micros(delay))
             rows = kept.withColumn("_fresh", F.lit(False)).unionByName(fresh)
+        rows = rows.persist()
         counted = sliding_window(
             rows, keys, width, event_ts=event_ts, value=value, rows_per_slice=rows_per_slice
         )
@@ -59,6 +60,7 @@ def sliding_stream(
         end = rows.agg(F.max(at)).first()[0]
         reach = at >= F.lit(end) - micros(width + delay)
         rows.where(reach).select(*columns).write.mode("overwrite").parquet(f"{checkpoint}/recent/{batch_id}")
+        rows.unpersist()
         drop_folder(spark, f"{checkpoint}/recent/{batch_id - 2}")
 
     return run_available(
