@@ -21,6 +21,7 @@ from tidemark.operators.asof import AsOfView, point_in_time_join_views
 from tidemark.sources.folders import drop_folder, has_data, subfolders
 
 PARTITION = "event_date"
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 RETENTION_DAYS = 1095  # fixed value: three years
 
 
@@ -33,8 +34,7 @@ def utc(moment: datetime) -> datetime:
 
 def instant(moment: datetime) -> Column:
     """A timestamp literal that does not depend on the driver's zone."""
-    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
-    return F.timestamp_micros(F.lit((utc(moment) - epoch) // timedelta(microseconds=1)))
+    return F.timestamp_micros(F.lit((utc(moment) - EPOCH) // timedelta(microseconds=1)))
 
 
 def prune(start: datetime, end: datetime) -> Column:
@@ -62,8 +62,7 @@ def time_bounds(spine: DataFrame, ts: str = "event_ts") -> tuple[datetime, datet
     low, high = spine.agg(F.min(at), F.max(at)).first()
     if low is None:
         return None
-    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
-    return epoch + timedelta(microseconds=low), epoch + timedelta(microseconds=high)
+    return EPOCH + timedelta(microseconds=low), EPOCH + timedelta(microseconds=high)
 
 
 def newest_version(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -174,9 +173,9 @@ class FeatureTable:
         columns: Sequence[str] | None = None,
     ) -> DataFrame:
         """As-of join against the stored table, scanning only days and columns that can match."""
-        # A spine without any time matches nothing, so any empty range will do.
-        start, end = time_bounds(spine, event_ts) or (datetime.min, datetime.min)
-        view = self.view_for(start, end, ttl if start.year > 1 else timedelta(0), columns)
+        # A spine without any time matches nothing, so a range before all data will do.
+        start, end = time_bounds(spine, event_ts) or (EPOCH, EPOCH)
+        view = self.view_for(start, end, ttl, columns)
         return point_in_time_join_views(spine, [view], event_ts=event_ts)
 
     # -- writes ------------------------------------------------------------------------------
