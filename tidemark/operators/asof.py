@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import Last, ordered_scan
+from tidemark.operators.slices import Slices, plan_slices
 
 RESERVED = ("entity_id", "event_ts", "created_ts", "event_date")
 
@@ -88,7 +89,9 @@ def point_in_time_join_views(
     names = output_names(spine, views)
     out = spine
     for keys, group in by_keys.items():
-        out = _join_group(out, list(keys), group, event_ts, names, matched_ts or {}, rows_per_slice)
+        # Joining adds columns but no rows, so every group is planned on the spine as given.
+        slices = _plan(spine, keys, group, event_ts, rows_per_slice)
+        out = _join_group(out, list(keys), group, event_ts, names, matched_ts or {}, slices)
     ordered = [names[v.name][c] for v in views for c in v.feature_columns()]
     kept = [name for name in (matched_ts or {}).values()]
     return out.select(*spine.columns, *ordered, *kept)
@@ -106,6 +109,37 @@ def output_names(spine: DataFrame, views: Sequence[AsOfView]) -> dict[str, dict[
     }
 
 
+def _key_ids(keys: Sequence[str]) -> list[str]:
+    return [f"_k{i}" for i in range(len(keys))]
+
+
+def _known(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], ts: str, *columns: Column) -> DataFrame:
+    """Rows with key and time, under the names the scan uses."""
+    return df.where(_known([*keys, ts])).select(
+        *[F.col(k).alias(i) for k, i in zip(keys, _key_ids(keys), strict=True)],
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"),
+        *columns,
+    )
+
+
+def _plan(
+    spine: DataFrame,
+    keys: Sequence[str],
+    views: Sequence[AsOfView],
+    event_ts: str,
+    rows_per_slice: int | None,
+) -> Slices:
+    moments = [_keyed(spine, keys, event_ts)]
+    moments += [_keyed(v.frame, v.keys, v.feature_ts) for v in views]
+    return plan_slices(
+        reduce(DataFrame.unionByName, moments), _key_ids(keys), "_at", rows_per_slice
+    )
+
+
 def _join_group(
     spine: DataFrame,
     keys: list[str],
@@ -113,17 +147,11 @@ def _join_group(
     event_ts: str,
     names: dict[str, dict[str, str]],
     matched_ts: dict[str, str],
-    rows_per_slice: int | None,
+    slices: Slices,
 ) -> DataFrame:
-    key_ids = [f"_k{i}" for i in range(len(keys))]
-    usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*keys, event_ts]])
-    probes = spine.where(usable).select(
-        *[F.col(k).alias(i) for k, i in zip(keys, key_ids, strict=True)],
-        F.unix_micros(F.col(event_ts).cast("timestamp")).alias("_at"),
-        F.lit(True).alias("_probe"),
-        F.struct(*spine.columns).alias("_row"),
-    )
-    rows, folds = probes, []
+    usable = _known([*keys, event_ts])
+    row = F.struct(*spine.columns).alias("_row")
+    rows, folds = _keyed(spine, keys, event_ts, F.lit(True).alias("_probe"), row), []
     for n, view in enumerate(views):
         created = F.col(view.created_ts) if view.created_ts else F.lit(None)
         at = F.unix_micros(F.col(view.feature_ts).cast("timestamp"))
@@ -133,19 +161,17 @@ def _join_group(
             at.alias("_feature_at"),
             *view.feature_columns(),
         )
-        known = [F.col(c).isNotNull() for c in [*view.keys, view.feature_ts]]
-        updates = view.frame.where(reduce(Column.__and__, known)).select(
-            *[F.col(k).alias(i) for k, i in zip(view.keys, key_ids, strict=True)],
-            at.alias("_at"),
+        updates = _keyed(
+            view.frame,
+            view.keys,
+            view.feature_ts,
             F.lit(False).alias("_probe"),
             packed.alias(f"_in{n}"),
         )
         rows = rows.unionByName(updates, allowMissingColumns=True)
         folds.append(Last(f"_in{n}", f"_hit{n}"))
 
-    matched = ordered_scan(
-        rows, key_ids, "_at", folds, peers=False, rows_per_slice=rows_per_slice
-    )
+    matched = ordered_scan(rows, _key_ids(keys), "_at", folds, peers=False, slices=slices)
     hits, blanks = [], []
     for n, view in enumerate(views):
         hit = F.col(f"_hit{n}")

@@ -17,6 +17,7 @@ from tidemark.functions.scalars import chargeback_rate, is_cross_border, pair_is
 from tidemark.operators.rolling import (
     amount_zscores,
     exact_sum,
+    plan_window_slices,
     rolling_features,
     seconds_since_previous,
 )
@@ -147,8 +148,9 @@ def with_countries(txns: DataFrame, users: DataFrame, merchants: DataFrame) -> D
 
 def transaction_features(txns: DataFrame, *, rows_per_slice: int | None = None) -> DataFrame:
     """Per transaction: amount, 30-day z-score, seconds since the user's previous one, cross-border."""
-    scored = amount_zscores(txns, ["user_id"], MONTH, rows_per_slice=rows_per_slice)
-    gaps = seconds_since_previous(scored, ["user_id"], rows_per_slice=rows_per_slice)
+    slices = plan_window_slices(txns, ["user_id"], MONTH, rows_per_slice=rows_per_slice)
+    scored = amount_zscores(txns, ["user_id"], MONTH, slices=slices)
+    gaps = seconds_since_previous(scored, ["user_id"], slices=slices)
     return gaps.select(
         F.col("transaction_id").cast("string").alias("entity_id"),
         "event_ts",

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import quantile_columns, running_counts
+from tidemark.operators.ranks import quantile_sql, running_counts
 
 # Share floor and alert thresholds.
 SHARE_FLOOR = 1e-6
@@ -32,7 +32,7 @@ def long_samples(baseline: DataFrame, current: DataFrame, features: Sequence[str
         values = df.select(*[F.col(f).cast("double").alias(f) for f in shared])
         return values.unpivot([], shared, "feature", "value").select(
             "feature",
-            (F.col("value") + F.lit(0.0)).alias("value"),
+            "value",
             F.lit(base).cast("long").alias("base"),
             F.lit(1 - base).cast("long").alias("cur"),
         )
@@ -41,88 +41,93 @@ def long_samples(baseline: DataFrame, current: DataFrame, features: Sequence[str
     return both.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _sizes(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("feature").agg(
+def drift_statistics(
+    samples: DataFrame, bins: int = 10, *, rows_per_slice: int | None = None
+) -> DataFrame:
+    """Per feature: sample sizes, ``psi``, ``ks_stat`` and ``ks_pvalue``.
+
+    Sizes, then ranks, then bins: three passes. What the first two find is one row per feature (a
+    column of the frames), so it comes to the driver and goes back out as a small table.
+    """
+    sizes = samples.groupBy("feature").agg(
         F.sum("base").alias("n_base"), F.sum("cur").alias("n_cur")
     )
+    sizes = _fixed(sizes)
+    shape = _fixed(_shape(samples, sizes, bins, rows_per_slice))
+    return shape.join(_psi(samples, shape, bins), "feature", "left").selectExpr(
+        "feature",
+        "n_base",
+        "n_cur",
+        "coalesce(psi, 0D) AS psi",
+        "ks_stat",
+        f"{ks_pvalue('ks_stat', 'n_base', 'n_cur')} AS ks_pvalue",
+    )
 
 
-def drift_statistics(
-    samples: DataFrame, bins: int = 10, *, rows_per_slice: int | None = None
+def _fixed(per_feature: DataFrame) -> DataFrame:
+    """The rows, one per feature, computed once."""
+    return per_feature.sparkSession.createDataFrame(per_feature.collect(), per_feature.schema)
+
+
+def _shape(
+    samples: DataFrame, sizes: DataFrame, bins: int, rows_per_slice: int | None
 ) -> DataFrame:
-    """Per feature: sample sizes, ``psi``, ``ks_stat`` and ``ks_pvalue``."""
-    # One row per feature, that is per column of the frames: safe to broadcast.
-    sizes = F.broadcast(_sizes(samples))
+    """KS statistic and the baseline's quantile edges, read off the running counts."""
     ranked = running_counts(
         samples, ["feature"], "value", ["base", "cur"], rows_per_slice=rows_per_slice
-    ).join(sizes, "feature")
-
-    picks, combine = quantile_columns("value", "base", "n_base", range(bins + 1), bins)
-    gap = F.abs(
-        F.col("base_upto") / F.nullif(F.col("n_base"), F.lit(0))
-        - F.col("cur_upto") / F.nullif(F.col("n_cur"), F.lit(0))
-    )
-    edges = F.array_compact(F.array_distinct(F.array(*[combine(i) for i in range(bins + 1)])))
-    shape = (
-        ranked.groupBy("feature", "n_base", "n_cur")
-        .agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks_stat"), *picks)
-        .select("feature", "n_base", "n_cur", "ks_stat", edges.alias("edges"))
-    )
+    ).join(F.broadcast(sizes), "feature")
+    picks, edges = quantile_sql("value", "base", "n_base", range(bins + 1), bins)
+    gap = "max(abs(base_upto / nullif(n_base, 0) - cur_upto / nullif(n_cur, 0)))"
     return (
-        shape.join(_psi(samples, shape, bins), "feature", "left")
-        .select(
+        ranked.groupBy("feature", "n_base", "n_cur")
+        .agg(F.expr(f"coalesce({gap}, 0D) AS ks_stat"), *[F.expr(pick) for pick in picks])
+        .selectExpr(
             "feature",
             "n_base",
             "n_cur",
-            F.coalesce("psi", F.lit(0.0)).alias("psi"),
             "ks_stat",
-            ks_pvalue(F.col("ks_stat"), F.col("n_base"), F.col("n_cur")).alias("ks_pvalue"),
+            f"array_compact(array_distinct(array({', '.join(edges)}))) AS edges",
         )
     )
 
 
 def _psi(samples: DataFrame, shape: DataFrame, bins: int) -> DataFrame:
-    counted = samples.groupBy("feature", "value").agg(
-        F.sum("base").alias("base"), F.sum("cur").alias("cur")
+    """PSI per feature: both samples counted into the bins where they are, then the terms summed."""
+    placed = samples.join(F.broadcast(shape), "feature").selectExpr(
+        "*",
+        "size(edges) - 1 AS bins",
+        "CASE WHEN value = element_at(edges, -1) THEN size(edges) - 1"
+        " ELSE size(filter(edges, e -> e <= value)) END AS bin",
     )
-    passed = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    last = F.size("edges") - 1
-    slot = F.when(F.col("value") == F.element_at("edges", -1), last).otherwise(passed)
-    placed = counted.join(
-        F.broadcast(shape.select("feature", "n_base", "n_cur", "edges")), "feature"
-    ).withColumn("_slot", slot)
-    sums = []
-    for i in range(1, bins + 1):
-        inside = F.col("_slot") == i
-        sums.append(F.coalesce(F.sum(F.when(inside, F.col("base"))), F.lit(0)).alias(f"_b{i}"))
-        sums.append(F.coalesce(F.sum(F.when(inside, F.col("cur"))), F.lit(0)).alias(f"_c{i}"))
-    floor = F.lit(SHARE_FLOOR)
-    total = F.lit(0.0)
+    sums, terms = [], []
     for i in range(1, bins + 1):
-        expected = F.greatest(F.col(f"_b{i}") / F.col("n_base"), floor)
-        actual = F.greatest(F.col(f"_c{i}") / F.col("n_cur"), floor)
-        term = (actual - expected) * F.log(actual / expected)
-        total = total + F.when(F.col("_slots") >= i, term).otherwise(0.0)
-    usable = (F.col("n_base") > 0) & (F.col("n_cur") > 0) & (F.col("_slots") >= 1)
+        sums += [f"sum(CASE WHEN bin = {i} THEN {c} ELSE 0 END) AS {c}{i}" for c in ("base", "cur")]
+        e, a = (f"greatest({c}{i} / n_{c}, {SHARE_FLOOR}D)" for c in ("base", "cur"))
+        terms.append(f"CASE WHEN bins >= {i} THEN ({a} - {e}) * ln({a} / {e}) ELSE 0D END")
+    usable = "n_base > 0 AND n_cur > 0 AND bins > 0"
     return (
-        placed.groupBy("feature", "n_base", "n_cur", last.alias("_slots"))
-        .agg(*sums)
-        .select("feature", F.when(usable, total).otherwise(0.0).alias("psi"))
+        placed.groupBy("feature", "n_base", "n_cur", "bins")
+        .agg(*[F.expr(total) for total in sums])
+        .selectExpr(
+            "feature", f"CASE WHEN {usable} THEN {' + '.join(terms)} ELSE 0D END AS psi"
+        )
     )
 
 
-def ks_pvalue(stat: Column, n_base: Column, n_cur: Column) -> Column:
-    """Asymptotic two-sided p-value (Kolmogorov series); 1 where either sample is empty."""
-    size = n_base * n_cur / F.nullif(n_base + n_cur, F.lit(0))
-    scaled = stat * F.sqrt(size)
-    terms = F.transform(
-        F.sequence(F.lit(1), F.lit(KS_TERMS)),
-        lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0)
-        * F.exp(F.lit(-2.0) * k * k * scaled * scaled),
+def ks_pvalue(stat: str, n_base: str, n_cur: str) -> str:
+    """SQL for the asymptotic two-sided p-value (Kolmogorov series); 1 for an empty sample.
+
+    Below 0.3 the scaled statistic's series converges slowly and the value is 1 to many digits.
+    """
+    scaled = f"{stat} * sqrt({n_base} * {n_cur} / nullif({n_base} + {n_cur}, 0))"
+    series = (
+        f"aggregate(sequence(1, {KS_TERMS}), 0D, (total, k) -> total"
+        f" + if(k % 2 = 1, 2D, -2D) * exp(-2D * k * k * pow({scaled}, 2)))"
+    )
+    return (
+        f"CASE WHEN {n_base} = 0 OR {n_cur} = 0 OR {scaled} < 0.3D THEN 1D"
+        f" ELSE least(greatest({series}, 0D), 1D) END"
     )
-    series = F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term)
-    p = F.least(F.greatest(series * 2, F.lit(0.0)), F.lit(1.0))
-    return F.when((n_base == 0) | (n_cur == 0) | (scaled < 0.3), F.lit(1.0)).otherwise(p)
 
 
 def drift_report(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import Total, ordered_scan
@@ -34,30 +34,27 @@ def running_counts(
     return ordered_scan(rows, keys, value, folds, peers=True, slices=slices)
 
 
-def rank_target(position: int, parts: int, size: Column) -> tuple[Column, Column, Column]:
-    """Lower rank, upper rank and interpolation weight of quantile position/parts, in integers."""
-    scaled = F.lit(position) * (size - 1)
-    low = F.floor(scaled / F.lit(parts)).cast("long")
-    rest = scaled - low * parts
-    return low, low + (rest > 0).cast("long"), rest / F.lit(parts).cast("double")
+def quantile_sql(
+    value: str, weight: str, size: str, positions: Sequence[int], parts: int
+) -> tuple[list[str], list[str]]:
+    """SQL that picks quantiles position/parts out of ``running_counts`` rows.
 
-
-def quantile_columns(value: str, weight: str, size: str, positions: Sequence[int], parts: int):
-    """Aggregates that pick each quantile out of ``running_counts`` rows, plus their combination."""
-    upto, before = F.col(f"{weight}_upto"), F.col(f"{weight}_upto") - F.col(weight)
-    picks: list[Column] = []
+    First the aggregates (``_low<p>``, ``_high<p>``: the values at the two ranks around the
+    quantile), then per position the interpolation of the two. Ranks are integers throughout, so a
+    quantile that falls on a value is that value.
+    """
+    picks, combined = [], []
     for p in positions:
-        low, high, _ = rank_target(p, parts, F.col(size))
-        for name, rank in ((f"_low{p}", low), (f"_high{p}", high)):
-            here = (F.col(weight) > 0) & (before <= rank) & (rank < upto)
-            picks.append(F.max(F.when(here, F.col(value))).alias(name))
-
-    def combine(p: int) -> Column:
-        _, _, share = rank_target(p, parts, F.col(size))
-        low, high = F.col(f"_low{p}"), F.col(f"_high{p}")
-        return low + (high - low) * share
-
-    return picks, combine
+        scaled = f"({p} * ({size} - 1))"
+        low, share = f"{scaled} div {parts}", f"{scaled} % {parts}"
+        high = f"{low} + CAST({share} > 0 AS INT)"
+        for name, rank in (("low", low), ("high", high)):
+            picks.append(
+                f"max(CASE WHEN {weight}_upto - {weight} <= {rank} AND {rank} < {weight}_upto"
+                f" THEN {value} END) AS _{name}{p}"
+            )
+        combined.append(f"_low{p} + (_high{p} - _low{p}) * ({share} / {float(parts)}D)")
+    return picks, combined
 
 
 def exact_quantiles(
@@ -73,10 +70,12 @@ def exact_quantiles(
     usable = df.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("long").alias("_w"))
     ranked = running_counts(usable, keys, value, ["_w"], rows_per_slice=rows_per_slice)
     sizes = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    picks, combine = quantile_columns(value, "_w", "rows", percents, 100)
+    picks, combined = quantile_sql(value, "_w", "rows", percents, 100)
     return (
         ranked.join(sizes, keys)
         .groupBy(*keys, "rows")
-        .agg(*picks)
-        .select(*keys, "rows", *[combine(p).alias(f"p{p}") for p in percents])
+        .agg(*[F.expr(pick) for pick in picks])
+        .selectExpr(
+            *keys, "rows", *[f"{q} AS p{p}" for p, q in zip(percents, combined, strict=True)]
+        )
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import amount_zscore, velocity
 from tidemark.operators.asof import micros
 from tidemark.operators.scan import Total, neighbours, ordered_scan
-from tidemark.operators.slices import plan_slices
+from tidemark.operators.slices import ROWS_PER_SLICE, Slices, plan_slices
 
 MONEY = "decimal(18,4)"
 
@@ -28,6 +28,24 @@ def exact_sum(column: str | Column) -> Column:
     return F.sum(_col(column).cast(MONEY)).cast("double")
 
 
+def plan_window_slices(
+    txns: DataFrame,
+    keys: Sequence[str],
+    width: timedelta,
+    *,
+    event_ts: str = "event_ts",
+    rows_per_slice: int | None = None,
+) -> Slices:
+    """Slices for rows that enter and leave a trailing window; reads only keys and time.
+
+    Serves every pass over the same rows and keys.
+    """
+    at = _at(event_ts)
+    moments = F.explode(F.array(at, at + micros(width) + 1)).alias("_at")
+    rows = txns.where(_known([*keys, event_ts])).select(*keys, moments)
+    return plan_slices(rows, keys, "_at", 2 * (rows_per_slice or ROWS_PER_SLICE))
+
+
 def rolling_features(
     txns: DataFrame,
     keys: Sequence[str],
@@ -39,6 +57,7 @@ def rolling_features(
     distinct: Mapping[str, str] | None = None,
     prefix: str = "txn",
     suffix: str = "30d",
+    slices: Slices | None = None,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add trailing-window features over ``[ts - width, ts]`` to every row, in one scan per key.
@@ -49,6 +68,10 @@ def rolling_features(
     """
     keys, distinct = list(keys), dict(distinct or {})
     known = _known([*keys, event_ts])
+    if slices is None:
+        slices = plan_window_slices(
+            txns, keys, width, event_ts=event_ts, rows_per_slice=rows_per_slice
+        )
     deltas: dict[str, Column] = {}
     if amount is not None:
         value = F.col(amount).cast(MONEY)
@@ -60,7 +83,14 @@ def rolling_features(
     rows = _ledger(txns.where(known), keys, event_ts, width, deltas)
     names = dict(deltas)
     for i, item in enumerate(distinct):
-        changes = _presence_changes(txns, keys, item, width, event_ts, f"_d{i}", rows_per_slice)
+        marks = txns.where(_known([*keys, item, event_ts])).select(
+            *keys, item, _at(event_ts).alias("_at"), F.lit(0).alias("_tie")
+        )
+        # A key and item can only be heavy together if the key is.
+        by_item = Slices((*keys, item))
+        if slices.any_heavy:
+            by_item = plan_slices(marks, by_item.keys, "_at", rows_per_slice)
+        changes = _presence_changes(marks, keys, item, width, f"_d{i}", by_item)
         rows = rows.unionByName(changes, allowMissingColumns=True)
         names[f"_d{i}"] = F.lit(0)
 
@@ -70,7 +100,7 @@ def rolling_features(
         "_at",
         [Total(name, f"{name}_run") for name in names],
         peers=True,
-        rows_per_slice=rows_per_slice,
+        slices=slices,
     )
     rest = txns.where(~known).select(F.struct("*").alias("_row"))
     out = scanned.unionByName(rest, allowMissingColumns=True)
@@ -107,23 +137,13 @@ def _ledger(
 
 
 def _presence_changes(
-    txns: DataFrame,
-    keys: list[str],
-    item: str,
-    width: timedelta,
-    event_ts: str,
-    name: str,
-    rows_per_slice: int | None,
+    marks: DataFrame, keys: list[str], item: str, width: timedelta, name: str, slices: Slices
 ) -> DataFrame:
     """+1 when an item enters a key's trailing window, -1 just after it leaves.
 
     Events of one item whose windows touch form one span, so no set of items is ever held.
     """
     span, by_item = micros(width), [*keys, item]
-    marks = txns.where(_known([*by_item, event_ts])).select(
-        *by_item, _at(event_ts).alias("_at"), F.lit(0).alias("_tie")
-    )
-    slices = plan_slices(marks, by_item, "_at", rows_per_slice)
     if slices.any_heavy:
         # Slicing needs distinct instants; light groups settle equal instants in the window itself.
         marks = marks.distinct()
@@ -190,12 +210,20 @@ def amount_zscores(
     keys: Sequence[str],
     width: timedelta,
     *,
+    slices: Slices | None = None,
     rows_per_slice: int | None = None,
     out: str = "amount_zscore_user_30d",
 ) -> DataFrame:
     """Add each amount's z-score against the trailing window of its key (sample deviation)."""
     totals = rolling_features(
-        txns, keys, width, prefix="_z", suffix="w", spread=True, rows_per_slice=rows_per_slice
+        txns,
+        keys,
+        width,
+        prefix="_z",
+        suffix="w",
+        spread=True,
+        slices=slices,
+        rows_per_slice=rows_per_slice,
     )
     score = amount_zscore(F.col("amount"), F.col("_z_amount_avg_w"), F.col("_z_amount_std_w"))
     return totals.select(*txns.columns, score.alias(out))
@@ -208,6 +236,7 @@ def seconds_since_previous(
     event_ts: str = "event_ts",
     tie: str = "transaction_id",
     out: str = "seconds_since_prev_txn",
+    slices: Slices | None = None,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add whole seconds since the key's previous row in (time, tie) order; null for the first."""
@@ -217,6 +246,7 @@ def seconds_since_previous(
         keys,
         "_at",
         tie,
+        slices=slices,
         rows_per_slice=rows_per_slice,
     )
     gap = F.floor((F.col("_at") - F.col("_previous")) / F.lit(1_000_000)).cast("long")

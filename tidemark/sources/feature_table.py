@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.keys import entity_id_parts
 from tidemark.functions.scalars import event_date
 from tidemark.operators.asof import AsOfView, point_in_time_join_views
-from tidemark.sources.folders import drop_folder, has_data, subfolders
+from tidemark.sources.folders import drop_folder, has_data, move_folder, subfolders
 
 PARTITION = "event_date"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -78,6 +78,11 @@ def latest_per_entity(df: DataFrame, key: str = "entity_id") -> DataFrame:
     return newest_version(df.where(F.col(key).isNotNull()), [key], order)
 
 
+def _day(folder: str) -> date:
+    """Day of a partition folder's name."""
+    return date.fromisoformat(folder.split("=", 1)[1])
+
+
 @dataclass(frozen=True)
 class WriteResult:
     rows_written: int
@@ -118,6 +123,11 @@ class FeatureTable:
             ]
         )
 
+    def days(self) -> list[date]:
+        """The days stored, from the folder names alone."""
+        named = [f for f in subfolders(self.spark, self.path) if f.startswith(f"{PARTITION}=")]
+        return sorted(_day(f) for f in named)
+
     # -- reads -------------------------------------------------------------------------------
 
     def read_range(self, start: datetime, end: datetime, *, closed: bool = False) -> DataFrame:
@@ -136,11 +146,9 @@ class FeatureTable:
 
     def latest_event_ts(self) -> DataFrame:
         """One row with the greatest ``event_ts`` (null if empty), read from the newest day only."""
-        days = [f for f in subfolders(self.spark, self.path) if f.startswith(f"{PARTITION}=2")]
-        rows = self._scan()
+        rows, days = self._scan(), self.days()
         if days:
-            newest = date.fromisoformat(days[-1].split("=", 1)[1])
-            rows = rows.where(F.col(PARTITION) == F.lit(newest))
+            rows = rows.where(F.col(PARTITION) == F.lit(days[-1]))
         return rows.agg(F.max("event_ts").alias("latest_event_ts"))
 
     def partition_counts(self) -> DataFrame:
@@ -180,7 +188,7 @@ class FeatureTable:
 
     # -- writes ------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame) -> None:
+    def _write(self, df: DataFrame, path: str | None = None) -> None:
         # Rebalance lets adaptive execution split a crowded day and merge thin ones.
         (
             df.hint("rebalance", PARTITION)
@@ -188,35 +196,41 @@ class FeatureTable:
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(PARTITION)
-            .parquet(self.path)
+            .parquet(path or self.path)
         )
 
     def upsert(self, incoming: DataFrame) -> WriteResult:
-        """Merge by (entity_id, event_ts): greatest ``created_ts`` wins, equal goes to the incoming row."""
-        # Staged once: the days, the counts and the merge then all come from the same stored rows.
+        """Merge by (entity_id, event_ts): greatest ``created_ts`` wins, equal goes to the incoming row.
+
+        The incoming rows are first written beside the table, in its layout. Days the table does not
+        have yet are then moved in as they are; the other days are merged and replaced. A run that
+        fails part way is repeated with the same outcome.
+        """
         staged = f"{self.path}/_staging/{uuid.uuid4().hex[:12]}"
         keys = ["entity_id", "event_ts", PARTITION]
-        newest = newest_version(self.conform(incoming), keys, ["created_ts"])
-        newest.write.parquet(staged)
-        batch = self.spark.read.schema(self.schema).parquet(staged)
-        counts = batch.groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows")).collect()
-        by_day = {r[PARTITION]: r["rows"] for r in counts}
-        if None in by_day:
+        self._write(newest_version(self.conform(incoming), keys, ["created_ts"]), staged)
+        folders = subfolders(self.spark, staged)
+        if f"{PARTITION}=__HIVE_DEFAULT_PARTITION__" in folders:
             drop_folder(self.spark, staged)
             raise ValueError("event_ts must not be null")
-        days = tuple(sorted(by_day))
-        if days:
-            known = set(subfolders(self.spark, self.path))
-            overlap = [d for d in days if f"{PARTITION}={d.isoformat()}" in known]
-            if overlap:
-                stored = self._scan().where(F.col(PARTITION).isin(*overlap))
-                both = stored.withColumn("_incoming", F.lit(0)).unionByName(
-                    batch.withColumn("_incoming", F.lit(1))
-                )
-                batch = newest_version(both, keys, ["created_ts", "_incoming"])
-            self._write(batch.select(*self.schema.names))
+        if not folders:
+            return WriteResult(0, ())
+        batch = self.spark.read.schema(self.schema).parquet(staged)
+        rows_written = batch.count()
+        known = set(subfolders(self.spark, self.path))
+        overlap = [_day(f) for f in folders if f in known]
+        if overlap:
+            changed = F.col(PARTITION).isin(*overlap)
+            both = self._scan().where(changed).withColumn("_incoming", F.lit(0)).unionByName(
+                batch.where(changed).withColumn("_incoming", F.lit(1))
+            )
+            merged = newest_version(both, keys, ["created_ts", "_incoming"])
+            self._write(merged.select(*self.schema.names))
+        for folder in folders:
+            if folder not in known:
+                move_folder(self.spark, f"{staged}/{folder}", f"{self.path}/{folder}")
         drop_folder(self.spark, staged)
-        return WriteResult(sum(by_day.values()), days)
+        return WriteResult(rows_written, tuple(_day(f) for f in folders))
 
     def replace_days(self, df: DataFrame, days: Sequence[date]) -> None:
         """Recompute whole days: their folders end up holding ``df``'s rows and nothing else."""
@@ -235,11 +249,9 @@ class FeatureTable:
         """Drop day folders older than ``days``; no rows are read or rewritten."""
         cutoff = today - timedelta(days=days)
         dropped = []
-        for folder in subfolders(self.spark, self.path):
-            if not folder.startswith(f"{PARTITION}=2") and not folder.startswith(f"{PARTITION}=1"):
-                continue
-            day = date.fromisoformat(folder.split("=", 1)[1])
-            if day < cutoff and drop_folder(self.spark, f"{self.path}/{folder}"):
+        for day in self.days():
+            folder = f"{self.path}/{PARTITION}={day.isoformat()}"
+            if day < cutoff and drop_folder(self.spark, folder):
                 dropped.append(day)
         return dropped
 

@@ -28,3 +28,11 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
 def drop_folder(spark: SparkSession, path: str) -> bool:
     files, location = _resolve(spark, path)
     return files.exists(location) and files.delete(location, True)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    files, location = _resolve(spark, source)
+    _, destination = _resolve(spark, target)
+    files.mkdirs(destination.getParent())
+    if not files.rename(location, destination):
+        raise OSError(f"could not move {source} to {target}")

@@ -66,9 +66,9 @@ class LatestTable:
         return df.withColumn(BUCKET, bucket)
 
     def _replace(self, df: DataFrame) -> None:
+        """Replace the buckets of ``df``, whose partitions must already hold whole buckets."""
         (
             df.select(*self.schema.names, BUCKET)
-            .hint("rebalance", BUCKET)
             .sortWithinPartitions(BUCKET, "entity_id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -107,6 +107,8 @@ class LatestTable:
         stored = self._scan().withColumn("_incoming", F.lit(0))
         both = stored.unionByName(incoming.withColumn("_incoming", F.lit(1)))
         order = ["event_ts", "_incoming"] if newest_wins else ["_incoming", "event_ts"]
+        # Buckets are even by construction, and one shuffle serves both the merge and the layout.
+        both = both.repartition(self.buckets, BUCKET)
         self._replace(newest_version(both, [BUCKET, "entity_id"], order))
 
     def read(self, requests: DataFrame, now: datetime) -> DataFrame:
@@ -127,7 +129,8 @@ class LatestTable:
         count = extended.first()["extended"]
         if count:
             expiry = F.when(live, moment + F.lit(ttl)).otherwise(F.col("expires_at"))
-            self._replace(marked.withColumn("expires_at", expiry))
+            changed = marked.withColumn("expires_at", expiry)
+            self._replace(changed.repartition(self.buckets, BUCKET))
         return self.spark.createDataFrame([(self.name, count)], "feature_view string, extended long")
 
     def targets(self, requests: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -149,7 +152,7 @@ class LatestTable:
         before = {r[0] for r in stored.select(BUCKET).distinct().collect()}
         after = {r[0] for r in kept.select(BUCKET).distinct().collect()}
         if after:
-            self._replace(kept)
+            self._replace(kept.repartition(self.buckets, BUCKET))
         for bucket in before - after:
             drop_folder(self.spark, f"{self.path}/{BUCKET}={bucket}")
 
