@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def ordered_scan(
         return finish(rows, frame(*keys))
 
     tagged = slices.tag(rows, at)
-    carried = _state_at_cuts(tagged, keys, at, folds, slices)
+    carried = _state_at_cuts(rows, keys, at, folds, slices)
     on_cut = F.coalesce(F.col("_upto") > F.col("_below"), F.lit(False))
     crowded = F.coalesce(F.col("_upto") - F.col("_below") > 1, F.lit(False)) & F.col("_probe")
     sliced = tagged.withColumn("_slice", F.coalesce("_upto", F.lit(0)))
@@ -123,11 +124,13 @@ def ordered_scan(
 
 
 def _state_at_cuts(
-    tagged: DataFrame, keys: list[str], at: str, folds: Sequence[Fold], slices: Slices
+    rows: DataFrame, keys: list[str], at: str, folds: Sequence[Fold], slices: Slices
 ) -> DataFrame:
     """Folded state at every cut, rows on the cut included: keys, ``_slice``, ``_cut``, inputs."""
+    inputs = [f.column for f in folds]
+    given = reduce(Column.__or__, [F.col(c).isNotNull() for c in inputs])
     segments = (
-        tagged.where(F.col("_below").isNotNull())
+        slices.tag(rows.select(*keys, at, *inputs).where(given), at, heavy_only=True)
         .groupBy(*keys, "_below")
         .agg(*[f.partial(at).alias(f.column) for f in folds])
         .withColumn("_slice", F.col("_below") + 1)

@@ -43,13 +43,22 @@ class Slices:
     def any_heavy(self) -> bool:
         return self.table is not None
 
-    def tag(self, df: DataFrame, at: str) -> DataFrame:
-        """Add ``_below``/``_upto``: how many cuts lie below / at or below the row (null: light key)."""
-        tagged = df.join(F.broadcast(self.table), list(self.keys), "left")
-        heavy = F.col("_cuts").isNotNull()
-        below = F.when(heavy, self._count_cuts(F.col(at), inclusive=False))
-        upto = F.when(heavy, self._count_cuts(F.col(at), inclusive=True))
-        return tagged.withColumns({"_below": below, "_upto": upto}).drop("_cuts")
+    def tag(self, df: DataFrame, at: str, *, heavy_only: bool = False) -> DataFrame:
+        """Add ``_below``/``_upto``: how many cuts lie below / at or below the row.
+
+        Both are null for light keys; with ``heavy_only`` their rows are left out.
+        """
+        how = "inner" if heavy_only else "left"
+        upto = F.when(F.col("_cuts").isNotNull(), self._count_cuts(F.col(at), inclusive=True))
+        # Only a row exactly on a cut needs the second search.
+        on_cut = F.get(F.col("_cuts"), F.col("_upto") - 1) == F.col(at)
+        below = F.when(on_cut, self._count_cuts(F.col(at), inclusive=False)).otherwise(F.col("_upto"))
+        return (
+            df.join(F.broadcast(self.table), list(self.keys), how)
+            .withColumn("_upto", upto)
+            .withColumn("_below", below)
+            .drop("_cuts")
+        )
 
     def grid(self) -> DataFrame:
         """One row per heavy key and cut: keys, ``_slice`` (1-based) and ``_cut``."""
