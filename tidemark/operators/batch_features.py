@@ -163,54 +163,29 @@ def transaction_features(txns: DataFrame, *, rows_per_slice: int | None = None)
     )
 
 
-def user_activity_by_day(txns: DataFrame, days: Sequence[date]) -> DataFrame:
-    """30-day user activity for each of ``days`` in one job.
+def user_activity_by_day(
+    txns: DataFrame, days: Sequence[date], *, rows_per_slice: int | None = None
+) -> DataFrame:
+    """30-day user activity at midnight of each of ``days``, in one job for all of them.
 
-    Only transactions that some day can see are read. They are combined per user, merchant and span
-    of days they count for, then each combined row is expanded to those days (31 at most) and
-    combined again. A day's window is [day - 30 d, day] at midnight.
+    Only transactions that some day can see are read. Every user among them is probed once per day;
+    the window is [day - 30 d, day], and users without a transaction in it are left out.
     """
-    start, end = min(days), max(days)
-    midnight = F.to_date("event_ts")
-    exact = F.col("event_ts") == midnight.cast("timestamp")
-    first = F.when(exact, midnight).otherwise(F.date_add(midnight, 1))
-    seen = F.col("event_ts").between(instant(_midnight(start) - MONTH), instant(_midnight(end)))
-    combined = (
-        txns.where(F.col("user_id").isNotNull() & seen)
-        .groupBy(
-            "user_id",
-            "merchant_id",
-            F.greatest(first, F.lit(start)).alias("_first"),
-            F.least(F.date_add(midnight, 30), F.lit(end)).alias("_last"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count("amount").alias("_valued"),
-            F.sum(F.col("amount").cast("decimal(18,4)")).alias("_sum"),
-        )
-    )
-    by_day = combined.withColumn("partition_date", F.explode(F.sequence("_first", "_last")))
-    if len(set(days)) <= (end - start).days:
-        by_day = by_day.where(F.col("partition_date").isin(*days))
-    return (
-        by_day.groupBy(F.col("user_id").alias("entity_id"), "partition_date")
-        .agg(
-            F.sum("_n").alias("txn_count_30d"),
-            F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0)).alias("txn_amount_sum_30d"),
-            F.sum("_valued").alias("_valued"),
-            F.count_distinct("merchant_id").alias("distinct_merchants_30d"),
-        )
-        .select(
-            "entity_id",
-            F.col("partition_date").cast("timestamp").alias("event_ts"),
-            "txn_count_30d",
-            "txn_amount_sum_30d",
-            F.when(
-                F.col("_valued") > 0, F.col("txn_amount_sum_30d") / F.col("_valued")
-            ).alias("txn_amount_avg_30d"),
-            "distinct_merchants_30d",
-        )
+    moments = F.array(*[instant(_midnight(d)) for d in sorted(set(days))])
+    first, last = _midnight(min(days)), _midnight(max(days))
+    seen = txns.where(F.col("event_ts").between(instant(first - MONTH), instant(last)))
+    users = seen.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    activity = rolling_features(
+        seen.select("user_id", "merchant_id", "amount", "event_ts"),
+        ["user_id"],
+        MONTH,
+        distinct={"merchant_id": "distinct_merchants_30d"},
+        probes=users.select("user_id", F.explode(moments).alias("event_ts")),
+        rows_per_slice=rows_per_slice,
     )
+    active = activity.where("txn_count_30d > 0").withColumnRenamed("user_id", "entity_id")
+    total = F.coalesce("txn_amount_sum_30d", F.lit(0.0))
+    return active.withColumn("txn_amount_sum_30d", total)
 
 
 def _midnight(day: date) -> datetime:

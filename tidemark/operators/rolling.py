@@ -34,15 +34,18 @@ def plan_window_slices(
     width: timedelta,
     *,
     event_ts: str = "event_ts",
+    probes: DataFrame | None = None,
     rows_per_slice: int | None = None,
 ) -> Slices:
     """Slices for rows that enter and leave a trailing window; reads only keys and time.
 
     Serves every pass over the same rows and keys.
     """
-    at = _at(event_ts)
+    at, known = _at(event_ts), _known([*keys, event_ts])
     moments = F.explode(F.array(at, at + micros(width) + 1)).alias("_at")
-    rows = txns.where(_known([*keys, event_ts])).select(*keys, moments)
+    rows = txns.where(known).select(*keys, moments)
+    if probes is not None:
+        rows = rows.unionByName(probes.where(known).select(*keys, at.alias("_at")))
     return plan_slices(rows, keys, "_at", 2 * (rows_per_slice or ROWS_PER_SLICE))
 
 
@@ -57,11 +60,14 @@ def rolling_features(
     distinct: Mapping[str, str] | None = None,
     prefix: str = "txn",
     suffix: str = "30d",
+    probes: DataFrame | None = None,
     slices: Slices | None = None,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add trailing-window features over ``[ts - width, ts]`` to every row, in one scan per key.
 
+    With ``probes`` (same key and time columns) the features go to those rows instead.
+
     ``amount`` gives count, sum and avg (and sample std with ``spread``); null amounts count as
     events but not in sum or average. ``distinct`` maps columns to the name of their distinct count.
     Rows without key or time get no window.
@@ -70,7 +76,7 @@ def rolling_features(
     known = _known([*keys, event_ts])
     if slices is None:
         slices = plan_window_slices(
-            txns, keys, width, event_ts=event_ts, rows_per_slice=rows_per_slice
+            txns, keys, width, event_ts=event_ts, probes=probes, rows_per_slice=rows_per_slice
         )
     deltas: dict[str, Column] = {}
     if amount is not None:
@@ -80,7 +86,14 @@ def rolling_features(
         deltas["_sum"] = F.coalesce(value, F.lit(0).cast(MONEY))
         if spread:
             deltas["_squares"] = F.coalesce(value * value, F.lit(0).cast("decimal(37,8)"))
-    rows = _ledger(txns.where(known), keys, event_ts, width, deltas)
+    out_rows = txns if probes is None else probes
+    if probes is None and deltas:
+        rows = _ledger(txns, keys, event_ts, width, deltas, F.struct(*txns.columns))
+    else:
+        rows = _probes(out_rows, keys, event_ts)
+        if deltas:
+            ledger = _ledger(txns, keys, event_ts, width, deltas, None)
+            rows = rows.unionByName(ledger, allowMissingColumns=True)
     names = dict(deltas)
     for i, item in enumerate(distinct):
         marks = txns.where(_known([*keys, item, event_ts])).select(
@@ -102,7 +115,7 @@ def rolling_features(
         peers=True,
         slices=slices,
     )
-    rest = txns.where(~known).select(F.struct("*").alias("_row"))
+    rest = out_rows.where(~known).select(F.struct("*").alias("_row"))
     out = scanned.unionByName(rest, allowMissingColumns=True)
 
     added: dict[str, Column] = {}
@@ -114,26 +127,39 @@ def rolling_features(
     return out.select("_row.*", *[c.alias(n) for n, c in added.items()])
 
 
+def _probes(rows: DataFrame, keys: list[str], event_ts: str) -> DataFrame:
+    return rows.where(_known([*keys, event_ts])).select(
+        *keys,
+        _at(event_ts).alias("_at"),
+        F.lit(True).alias("_probe"),
+        F.struct(*rows.columns).alias("_row"),
+    )
+
+
 def _ledger(
-    txns: DataFrame, keys: list[str], event_ts: str, width: timedelta, deltas: dict[str, Column]
+    txns: DataFrame,
+    keys: list[str],
+    event_ts: str,
+    width: timedelta,
+    deltas: dict[str, Column],
+    row: Column | None,
 ) -> DataFrame:
-    """Each row as entry (a probe that also adds) and, given deltas, as expiry; one read of the input."""
+    """Each row as an entry that adds and an expiry that subtracts, from one read of the input.
+
+    Given ``row``, entries are probes as well and carry it.
+    """
     at = _at(event_ts)
-    entry = F.struct(
-        at.alias("_at"),
-        F.lit(True).alias("_probe"),
-        F.struct(*txns.columns).alias("_row"),
-        *[delta.alias(name) for name, delta in deltas.items()],
-    )
-    if not deltas:
-        return txns.select(*keys, entry.alias("_entry")).select(*keys, "_entry.*")
-    expiry = F.struct(
-        (at + micros(width) + 1).alias("_at"),
-        F.lit(False).alias("_probe"),
-        F.lit(None).cast(txns.schema).alias("_row"),
-        *[(-delta).alias(name) for name, delta in deltas.items()],
-    )
-    return txns.select(*keys, F.inline(F.array(entry, expiry)))
+
+    def change(when: Column, is_entry: bool, amounts: list[Column]) -> Column:
+        carried = []
+        if row is not None:
+            carried = [F.when(F.lit(is_entry), row).alias("_row")]
+        probe = F.lit(is_entry and row is not None).alias("_probe")
+        return F.struct(when.alias("_at"), probe, *carried, *amounts)
+
+    entry = change(at, True, [d.alias(n) for n, d in deltas.items()])
+    expiry = change(at + micros(width) + 1, False, [(-d).alias(n) for n, d in deltas.items()])
+    return txns.where(_known([*keys, event_ts])).select(*keys, F.inline(F.array(entry, expiry)))
 
 
 def _presence_changes(

@@ -99,13 +99,12 @@ def plan_slices(
         f"transform(sequence(1, _wanted), i -> element_at(_all,"
         f" cast(greatest(1, floor(i * {points + 1} / (_wanted + 1))) as int)))"
     )
+    shares = ", ".join(f"{i / (points + 1)!r}D" for i in range(1, points + 1))
     found = (
         present.join(F.broadcast(heavy), list(keys))
         .groupBy(*keys)
         .agg(
-            F.percentile_approx(
-                at, [i / (points + 1) for i in range(1, points + 1)], max(10_000, 4 * points)
-            ).alias("_all"),
+            F.expr(f"percentile_approx({at}, array({shares}), {max(10_000, 4 * points)}) AS _all"),
             F.max(wanted).alias("_wanted"),
         )
         .select(*keys, spread.alias("_cuts"))

@@ -44,8 +44,9 @@ from tidemark.queries.common import (
     table,
 )
 from tidemark.session import apply_settings
+from tidemark.sources.feature_table import instant
 from tidemark.sources.streams import decode_transactions
-from tidemark.sources.tables import order_transactions
+from tidemark.sources.tables import order_transactions, warehouse_until
 
 MONTH = timedelta(days=30)
 AS_OF = "2000-06-30"
@@ -184,7 +185,9 @@ SELECT user_id AS entity_id, max(n) AS txn_count_30d, max(s) AS txn_amount_sum_3
 
 
 def user_risk(spark, folder):
-    txns = orders(spark, folder).withColumn("merchant_id", F.lit(None).cast("string"))
+    orders(spark, folder).createOrReplaceTempView("warehouse_transactions")
+    seen = warehouse_until(spark, "warehouse_transactions", instant(at(AS_OF)))
+    txns = seen.withColumn("merchant_id", F.lit(None).cast("string"))
     risk = user_features(txns, at(AS_OF), countries=_countries(spark, folder))
     return risk.select("entity_id", "account_age_days", "chargeback_rate_90d", "home_country")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.queries.batch import SLIDING_WINDOW
 from tidemark.queries.common import EVENT_TXNS, at, events, exact, plain
-from tidemark.session import work_folder
+from tidemark.session import apply_settings, work_folder
 from tidemark.sources.feature_table import FeatureTable
 from tidemark.sources.latest_table import LatestTable
 from tidemark.sources.streams import event_stream
@@ -34,7 +34,7 @@ closed AS (SELECT * FROM hops
 
 
 def _streamed(spark: SparkSession, folder: str, **windows):
-    root, session = work_folder(spark, "hops"), streaming_session(spark)
+    root, session = work_folder(spark, "hops"), streaming_session(apply_settings(spark))
     stream = hop_velocity(event_stream(session, folder), **windows)
     append_to_folder(stream, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").withColumn("window_end", plain("window_end"))
@@ -107,7 +107,7 @@ SELECT count(DISTINCT (user_id, window_end)) AS windows, count(*) AS events_in_w
 
 
 def _dual(spark: SparkSession, folder: str, ttl: timedelta, snapshot: bool):
-    root, session = work_folder(spark, "dual"), streaming_session(spark)
+    root, session = work_folder(spark, "dual"), streaming_session(apply_settings(spark))
     online = LatestTable(spark, f"{root}/online", "transaction_velocity_v1", VELOCITY_FEATURES)
     offline = FeatureTable(spark, f"{root}/offline", "transaction_velocity_v1", VELOCITY_FEATURES)
     stream = as_feature_rows(hop_velocity(event_stream(session, folder)))

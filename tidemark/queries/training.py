@@ -287,13 +287,18 @@ SELECT count(*) AS rows, count(f.event_ts) AS matched,
 FROM spine s ASOF LEFT JOIN feats f ON s.entity_id = f.entity_id AND s.event_ts >= f.event_ts"""
 
 
+ACTIVITY = (
+    "txn_count_30d long, txn_amount_sum_30d double, txn_amount_avg_30d double,"
+    " distinct_merchants_30d long"
+)
+
+
 def training_set(spark, folder):
-    """Daily user activity over the month, joined to the purchases as of their time."""
+    """Daily user activity of the month into its table, then joined to the purchases as of theirs."""
     days = [date(2024, 1, d) for d in range(1, 32)]
-    activity = user_activity_by_day(events(spark, folder), days)
-    return _out(
-        point_in_time_join(_spine(spark, folder), activity, created_ts=None, ttl=timedelta(days=7))
-    )
+    stored = FeatureTable(spark, work_folder(spark, "training"), "user_activity_v1", ACTIVITY)
+    stored.replace_days(user_activity_by_day(events(spark, folder), days), days)
+    return _out(stored.as_of(_spine(spark, folder), ttl=timedelta(days=7)))
 
 
 TRAINING_SET = f"""WITH {SPINE}, days AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Declared schemas; zone-less file timestamps are read as UTC instants.
@@ -66,3 +66,8 @@ def line_transactions(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("is_refund"),
         (F.col("l_returnflag") == "A").alias("is_dispute"),
     )
+
+
+def warehouse_until(spark: SparkSession, name: str, as_of: Column, ts: str = "event_ts") -> DataFrame:
+    """A catalog table's rows up to an instant; the filter reaches the scan."""
+    return spark.table(name).where(F.col(ts) <= as_of)

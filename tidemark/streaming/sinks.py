@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources.feature_table import FeatureTable, newest_version
 from tidemark.sources.latest_table import LatestTable
-from tidemark.streaming.velocity import run_available
+from tidemark.streaming.velocity import start
 
 VELOCITY_FEATURES = "txn_count_5m long, txn_amount_sum_5m double, velocity_per_min double"
 VELOCITY_TTL = timedelta(seconds=600)
@@ -49,6 +49,7 @@ def dual_write(
     ttl: timedelta = SINK_TTL,
     written: Column | None = None,
     mode: str = "append",
+    every: str | None = None,
 ) -> StreamingQuery:
     """Run a feature stream (``entity_id, event_ts, <features>``) into both tables.
 
@@ -61,10 +62,4 @@ def dual_write(
         if offline is not None:
             snapshot_offline(batch, offline, created=written)
 
-    return run_available(
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, every)

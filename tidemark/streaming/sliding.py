@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.asof import micros
 from tidemark.operators.rolling import sliding_window
 from tidemark.sources.folders import drop_folder, has_data
-from tidemark.streaming.velocity import run_available
+from tidemark.streaming.velocity import start
 
 
 def sliding_stream(
@@ -31,6 +31,7 @@ def sliding_stream(
     value: str = "amount",
     event_ts: str = "event_ts",
     delay: timedelta = timedelta(seconds=10),
+    every: str | None = None,
     rows_per_slice: int | None = None,
 ) -> StreamingQuery:
     """Append count, sum and velocity per event to ``folder``; too late events are left out.
@@ -63,9 +64,4 @@ def sliding_stream(
         rows.unpersist()
         drop_folder(spark, f"{checkpoint}/recent/{batch_id - 2}")
 
-    return run_available(
-        stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{checkpoint}/query")
-        .trigger(availableNow=True)
-        .start()
-    )
+    return start(stream.writeStream.foreachBatch(step), f"{checkpoint}/query", every)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators.rolling import exact_sum
 
 WATERMARK = "10 seconds"
+NEAR_REAL_TIME = "5 minutes"
 
 
 def streaming_session(spark: SparkSession) -> SparkSession:
@@ -45,19 +46,23 @@ def hop_velocity(
     )
 
 
-def run_available(query: StreamingQuery) -> StreamingQuery:
-    """Wait until an ``availableNow`` query has read everything; re-raises its failure."""
+def start(writer: DataStreamWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start a query on its checkpoint.
+
+    With ``every`` it runs on with that trigger interval (the near-real-time tier uses
+    ``NEAR_REAL_TIME``); without, it reads all there is and this call waits for it.
+    """
+    writer = writer.option("checkpointLocation", checkpoint)
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def append_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def append_to_folder(
+    stream: DataFrame, folder: str, checkpoint: str, *, every: str | None = None
+) -> StreamingQuery:
     """Append finished rows to a Parquet folder, each exactly once."""
-    return run_available(
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", folder)
+    return start(writer, checkpoint, every)
