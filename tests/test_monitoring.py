@@ -294,6 +294,8 @@ def test_backfill_empties_days_without_rows(backfill):
     run_backfill(log, table, *span, compute, **options)
     table.replace_days(compute([date(2026, 4, 1)]), [date(2026, 4, 1), date(2026, 4, 2)])
     assert [r["event_date"].day for r in table.partition_counts().collect()] == [1, 3, 4, 5]
+    table.replace_days(compute([date(2026, 4, 1)]).limit(0), [date(2026, 4, d) for d in (1, 3)])
+    assert [d.day for d in table.days()] == [4, 5]
 
 
 def test_daily_activity_reads_only_days_that_count(spark, tmp_path):

@@ -111,7 +111,7 @@ def run_backfill(
         "created_at": instant(now),
         "updated_at": instant(now),
     }
-    log.record_run(**state, status="pending")
+    log.record_run(**state, status="pending" if dry_run else "running")
     if dry_run:
         return run_id
     todo = pending_days(partition_days(spark, start, end), log.partitions(), table.name)

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from tidemark.sources.feature_table import FeatureTable, instant
 from tidemark.sources.latest_table import LatestTable
 
-# Who may read which sensitivity, and which reads are audited.
+# Who may read which sensitivity, which reads are audited, how a denial reads.
 READ_ROLES = {
     "public": ("viewer", "analyst", "ml-engineer", "admin"),
     "financial": ("analyst", "ml-engineer", "admin"),
     "pii": ("ml-engineer", "admin"),
 }
 AUDITED = ("financial", "pii")
+DENIAL = "role '%s' cannot read %s features"
 
 
 def sensitive_views(views: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def access_decisions(spark: SparkSession, requests: DataFrame) -> DataFrame:
         F.broadcast(policy.withColumn("_granted", F.lit(True))), ["role", "sensitivity"], "left"
     )
     allowed = F.col("_granted").isNotNull()
-    denial = F.format_string("role '%s' cannot read %s features", "role", "sensitivity")
+    denial = F.format_string(DENIAL, "role", "sensitivity")
     return decided.select(
         *requests.columns,
         allowed.alias("allowed"),

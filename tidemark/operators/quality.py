@@ -94,7 +94,7 @@ def quality_report(
         whole = F.col("_rows") == 0 if i in known else F.lit(True)
         fraction = F.when(whole, F.lit(1.0)).otherwise(failing / F.nullif(F.col("_rows"), F.lit(0)))
         tolerance = max(fail_fraction, round(1.0 - rule.mostly, 12))
-        passed = ~whole & ((failing == 0) | (fraction <= tolerance))
+        passed = (~whole & (failing == 0)) | (fraction <= tolerance)
         results.append(
             F.struct(
                 F.lit(rule.column).alias("column_name"),
@@ -113,7 +113,7 @@ def require_quality(
     """Raise if any rule fails; only the failed rules' rows come to the driver."""
     failed = quality_report(df, rules, fail_fraction=fail_fraction).where(~F.col("passed")).collect()
     if failed:
-        texts = [f"{r['column_name']} {r['kind']}: {r['fraction']:.2%} rows violate" for r in failed]
+        texts = [f"{r['column_name']} {r['kind']}: {r['fraction']:.2%} of rows fail" for r in failed]
         raise QualityError("; ".join(texts))
 
 

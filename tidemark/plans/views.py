@@ -25,6 +25,7 @@ class FeatureView:
         return parse_duration_text(self.sla_freshness)
 
 
+# The declared views.
 USER_FEATURES = FeatureView(
     "user_features_v2",
     ("user_id",),

@@ -216,7 +216,7 @@ def backfill_runs_rollup(spark, folder):
 
 
 BACKFILL_RUNS_ROLLUP = f"""WITH {ACTIVITY_CTE}
-SELECT 'user_activity_v1' AS feature_view, 'pending' AS status, 0 AS partitions_done,
+SELECT 'user_activity_v1' AS feature_view, 'pending' AS status, CAST(0 AS BIGINT) AS partitions_done,
        CAST(0 AS BIGINT) AS rows_written
 UNION ALL SELECT 'user_activity_v1', 'completed', 7,
   (SELECT count(*) FROM act WHERE event_ts <= TIMESTAMP '2024-01-07')

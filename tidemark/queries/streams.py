@@ -21,7 +21,12 @@ from tidemark.streaming.sinks import (
     dual_write,
 )
 from tidemark.streaming.sliding import sliding_stream
-from tidemark.streaming.velocity import append_to_folder, hop_velocity, streaming_session
+from tidemark.streaming.velocity import (
+    append_to_folder,
+    hop_velocity,
+    late_rows,
+    streaming_session,
+)
 
 HOPS = f"""{EVENT_TXNS}, hops AS (
   SELECT user_id, count(*) AS txn_count_5m, {exact('amount')} AS txn_amount_sum_5m,
@@ -83,8 +88,7 @@ def late_drops(spark, folder):
         txns.where(arrival == step).write.parquet(f"{root}/in/arrival={step}")
         stream = session.readStream.schema(txns.schema).parquet(f"{root}/in/*")
         query = append_to_folder(hop_velocity(stream), f"{root}/out", f"{root}/checkpoint")
-        for progress in query.recentProgress:
-            dropped += sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        dropped += late_rows(query)
     kept = spark.read.parquet(f"{root}/out")
     return kept.agg(
         F.count(F.lit(1)).alias("windows"),

@@ -6,12 +6,13 @@ partitions (dynamic overwrite), so a task or executor that is lost and rerun cha
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ from tidemark.operators.asof import AsOfView, point_in_time_join_views
 from tidemark.sources.folders import drop_folder, has_data, move_folder, subfolders
 
 PARTITION = "event_date"
+DAY_FOLDER = re.compile(rf"{PARTITION}=\d{{4}}-\d\d-\d\d")
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 RETENTION_DAYS = 1095  # fixed value: three years
 
@@ -125,8 +127,9 @@ class FeatureTable:
 
     def days(self) -> list[date]:
         """The days stored, from the folder names alone."""
-        named = [f for f in subfolders(self.spark, self.path) if f.startswith(f"{PARTITION}=")]
-        return sorted(_day(f) for f in named)
+        return sorted(
+            _day(f) for f in subfolders(self.spark, self.path) if DAY_FOLDER.fullmatch(f)
+        )
 
     # -- reads -------------------------------------------------------------------------------
 
@@ -199,6 +202,9 @@ class FeatureTable:
             .parquet(path or self.path)
         )
 
+    def _staging(self) -> str:
+        return f"{self.path}/_staging/{uuid.uuid4().hex[:12]}"
+
     def upsert(self, incoming: DataFrame) -> WriteResult:
         """Merge by (entity_id, event_ts): greatest ``created_ts`` wins, equal goes to the incoming row.
 
@@ -206,7 +212,7 @@ class FeatureTable:
         have yet are then moved in as they are; the other days are merged and replaced. A run that
         fails part way is repeated with the same outcome.
         """
-        staged = f"{self.path}/_staging/{uuid.uuid4().hex[:12]}"
+        staged = self._staging()
         keys = ["entity_id", "event_ts", PARTITION]
         self._write(newest_version(self.conform(incoming), keys, ["created_ts"]), staged)
         folders = subfolders(self.spark, staged)
@@ -234,12 +240,15 @@ class FeatureTable:
 
     def replace_days(self, df: DataFrame, days: Sequence[date]) -> None:
         """Recompute whole days: their folders end up holding ``df``'s rows and nothing else."""
-        rows = self.conform(df).where(F.col(PARTITION).isin(*days))
-        written = Observation()
-        # A set of days reads the same however often a lost task is rerun.
-        self._write(rows.observe(written, F.collect_set(PARTITION).alias("days")))
-        for day in set(days) - set(written.get["days"] or ()):
-            drop_folder(self.spark, f"{self.path}/{PARTITION}={day.isoformat()}")
+        staged = self._staging()
+        self._write(self.conform(df).where(F.col(PARTITION).isin(*days)), staged)
+        made = subfolders(self.spark, staged)
+        for day in days:
+            folder = f"{PARTITION}={day.isoformat()}"
+            drop_folder(self.spark, f"{self.path}/{folder}")
+            if folder in made:
+                move_folder(self.spark, f"{staged}/{folder}", f"{self.path}/{folder}")
+        drop_folder(self.spark, staged)
 
     def append_versions(self, incoming: DataFrame) -> None:
         """Add rows beside earlier versions, for tables read with ``known_at``."""

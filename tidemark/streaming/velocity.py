@@ -34,7 +34,7 @@ def hop_velocity(
         txns.groupBy("user_id", F.window("event_ts", width, slide).alias("_window"))
         .agg(
             F.count(F.lit(1)).alias("txn_count_5m"),
-            F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("txn_amount_sum_5m"),
+            exact_sum("amount").alias("txn_amount_sum_5m"),
         )
         .select(
             "user_id",
@@ -66,3 +66,8 @@ def append_to_folder(
     """Append finished rows to a Parquet folder, each exactly once."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", folder)
     return start(writer, checkpoint, every)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the query's recent batches dropped as later than the watermark (row by window)."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
