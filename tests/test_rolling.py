@@ -110,6 +110,16 @@ def test_equal_amounts_score_zero(spark):
     assert {r["amount_zscore_user_30d"] for r in out.collect()} == {0.0}
 
 
+def test_very_large_amounts_fall_back_to_doubles(spark):
+    """n times the sum of squares passes 1e32, what the products can hold; the sums still fit 1e30."""
+    amounts = [1.1e13, 1.0e13, 0.9e13]
+    rows = [(i, "u", None, a, BASE + timedelta(hours=i)) for i, a in enumerate(amounts)]
+    df = spark.createDataFrame(rows * 400, SCHEMA)
+    out = rolling_features(df, ["user_id"], timedelta(days=30), spread=True)
+    last = out.where("id = 2").first()
+    assert last["txn_amount_std_30d"] == pytest.approx(statistics.stdev(amounts * 400), rel=1e-6)
+
+
 def test_peaks_are_the_highest_windows_ever(spark):
     rows = [(i, "u", f"m{i}", 10.0, BASE + timedelta(days=d)) for i, d in enumerate((0, 1, 2, 90))]
     peak = user_peaks(spark.createDataFrame(rows, SCHEMA), day(1, month=12)).first()

@@ -71,6 +71,18 @@ def test_stream_equals_batch_up_to_the_watermark(spark, feed, tmp_path):
     assert windows(spark.read.parquet(str(tmp_path / "out"))) == expected and expected
 
 
+def test_a_timed_query_keeps_running(spark, feed, tmp_path):
+    add, stream = feed
+    add(batch(spark, 20, 0, 1))
+    query = append_to_folder(
+        hop_velocity(stream()), str(tmp_path / "out"), str(tmp_path / "ck"), every="1 second"
+    )
+    query.processAllAvailable()
+    assert query.isActive and query.lastProgress["numInputRows"] >= 0
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_late_rows_are_dropped(spark, feed, tmp_path):
     add, stream = feed
     add(batch(spark, 50, 5, 1))

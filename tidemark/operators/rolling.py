@@ -3,7 +3,8 @@
 A window that slides with every event is two running sums: each event adds at its own time and
 subtracts again just after ``ts + width``. That costs one sort however long or crowded the window
 is, whereas a RANGE frame re-aggregates every frame. Sums run on decimals, so taking values out
-again is exact.
+again is exact. Amounts may reach 1e14 and a window's sum of squares 1e30; beyond that the job fails
+rather than return a wrong number.
 """
 
 from __future__ import annotations
@@ -192,9 +193,14 @@ def _total_columns(prefix: str, suffix: str, spread: bool) -> dict[str, Column]:
         f"{prefix}_amount_avg_{suffix}": F.when(valued > 0, total / valued),
     }
     if spread:
-        # n*sum(x^2) - sum(x)^2 on decimals does not cancel: equal amounts give exactly 0.
+        # n*sum(x^2) - sum(x)^2 on decimals does not cancel: equal amounts give exactly 0. Only
+        # where the products outgrow a decimal are they taken as doubles.
         squares, plain = F.col("_squares_run"), F.col("_sum_run")
-        numerator = (valued.cast("decimal(12,0)") * squares - plain * plain).cast("double")
+        exact = F.try_subtract(
+            F.try_multiply(valued.cast("decimal(18,0)"), squares), F.try_multiply(plain, plain)
+        )
+        rough = valued * squares.cast("double") - total * total
+        numerator = F.coalesce(exact.cast("double"), rough)
         pairs = valued.cast("double") * (valued - 1)
         added[f"{prefix}_amount_std_{suffix}"] = F.when(
             valued > 1, F.sqrt(F.greatest(numerator, F.lit(0.0)) / pairs)

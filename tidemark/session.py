@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the call site of every Column operation costs more than building the plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
