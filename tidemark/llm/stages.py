@@ -1,0 +1,5 @@
+"""The stages of the corpus pipeline; each calls one operator and takes ``(spark, docs, sf_dir)``."""
+
+from __future__ import annotations
+
+STAGES: list = []
