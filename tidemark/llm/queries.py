@@ -3,18 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.jaccard_join import jaccard_classes
+from tidemark.llm import jaccard_join, line_frequency, packing, secret_scan, token_counts
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of ``documents`` linked at 90 % Jaccard similarity of 3-word shingles."""
-    return jaccard_classes(documents(spark, folder), width=3, percent=90)
+    return jaccard_join.jaccard_classes(table(spark, folder, "documents"), width=3, percent=90)
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of ``documents`` under the 32k piece model."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, folder, "documents"), path, limit=4096)
+
+
+def op7_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality counts and boilerplate verdicts of ``documents``; the source stands for the host."""
+    return line_frequency.line_quality(table(spark, folder, "documents"))
+
+
+def op9_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 2048 tokens."""
+    path = tokenizer_file("word_bpe_49k.json")
+    pieces = packing.token_pieces(table(spark, folder, "documents"), path, capacity=2048, end_id=0)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in ``documents``; each document is a repository and its source the owner."""
+    found = secret_scan.scan_documents(table(spark, folder, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
 
 
-QUERIES = {"op2_jaccard_join": op2_jaccard_join}
+QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
+    "op4_token_counts": op4_token_counts,
+    "op7_line_quality": op7_line_quality,
+    "op9_best_two_fit": op9_best_two_fit,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLES: dict[str, str] = {}
