@@ -1,19 +1,57 @@
-"""A corpus pipeline over ``documents``: each stage reads what its predecessor wrote."""
+"""A corpus pipeline over ``documents``: each stage calls one operator on what its predecessor wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard_join, mixing, packing, secret_scan, toxicity
 from tidemark.llm.common import saved
-from tidemark.llm.stages import STAGES
+from tidemark.llm.queries import table, tokenizer_file
 
-#: Trained models, connected components and token packing have no SQL form; tests/llm holds the brute-force versions.
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier accepts; it learns from ``labels`` outside the held-out fold."""
+    model = toxicity.corpus_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class linked at 80 % Jaccard similarity of 5-word shingles."""
+    return jaccard_join.drop_copies(docs, width=5, percent=80)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the credentials that few owners have cut out of their texts."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources flattened by temperature until the smallest is passed over at most 1.5 times; every document stays."""
+    return mixing.mix(docs, max_repeat=1.5).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in sequences of at most 2048 tokens."""
+    pieces = packing.token_pieces(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: A trained model, connected components and token ids have no SQL form; tests/llm holds the plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``; the last stage's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

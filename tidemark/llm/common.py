@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import work_folder
 
@@ -18,7 +19,7 @@ BATCH_ROWS = 256
 BROADCAST_ROWS = 500_000
 
 
-def arrow_map(df: DataFrame, func: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, func: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in small batches: ``func(batches)`` yields record batches of ``schema``."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -64,7 +65,7 @@ def key_bits(keys: DataFrame, column: str, bits: int) -> Broadcast:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
     )
     flat = np.zeros(max(1, (1 << bits) // 8), np.uint8)
-    for k, m in rows.toLocalIterator():
+    for k, m in rows.collect():
         part = np.frombuffer(m, np.uint8)
         at = (k - 1) * len(part)
         flat[at : at + len(part)] = part[: len(flat) - at]
@@ -78,13 +79,12 @@ def in_bits(flat: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Mark a narrow frame for broadcast if it has few rows, by an actual count; else leave the join to Spark."""
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df
+    """A narrow frame, written to the shared folder and marked for broadcast if it has few rows by an actual count.
 
-
-def batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    A larger one is left for Spark to join by a shuffle.
+    """
+    kept = saved(df, "small")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
 def text_bytes(column: str | Column) -> Column:

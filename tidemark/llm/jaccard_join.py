@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, in_bits, key_bits, list_parts, long_lists, saved, text_bytes
+from tidemark.llm.common import arrow_map, in_bits, key_bits, list_parts, long_lists, saved, small, text_bytes
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mixed, set_digest, shingle_sets
 
@@ -108,15 +108,16 @@ def _prefixes(texts: DataFrame, width: int, percent: int, frequent) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("key"),
                     pa.array(n, pa.int64()),
                     pa.array(digests, pa.int64()),
                     long_lists(prefixes),
                     long_lists(parities),
                 ],
-                ["id", "n", "digest", "prefix", "parity"],
+                ["id", "key", "n", "digest", "prefix", "parity"],
             )
 
-    return arrow_map(texts, rows, "id long, n long, digest long, prefix array<long>, parity array<long>")
+    return arrow_map(texts, rows, "id long, key long, n long, digest long, prefix array<long>, parity array<long>")
 
 
 def _buckets(table: DataFrame, shared) -> DataFrame:
@@ -245,23 +246,13 @@ def _apart(buckets: DataFrame, roots: DataFrame, table: DataFrame, percent: int)
     )
 
 
-def jaccard_classes(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(id_col, n_shingles, component_id)`` for every row: texts linked by word-shingle Jaccard similarity.
-
-    Words are runs of anything but the six ASCII white-space bytes, A-Z lower-cased; a set holds the distinct
-    ``width``-word shingles of the whole text, or the whole sequence if there are fewer words. Two texts link when
-    ``100 * intersection >= percent * union``; ``component_id`` is the smallest id reachable by links. All links count:
-    the prefixes, size and place bounds and parity bitmaps exclude no pair that reaches the threshold, and each
-    remaining pair is verified by exact overlaps. Sets are told apart by 64-bit digests.
-
-    Null, empty and blank texts have no shingles and link with nothing. Repeated rows stay, in one class. A null id
-    gets its class's smallest other id, or null. Further columns are ignored. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, key, n, root, component_id)`` per row; ``key`` is xxhash64 of the text, ``root`` the class's set."""
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width positive")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), F.xxhash64(text_col).alias("key")
+    )
     frequent = _frequent(texts.select("text"), width)
     table = saved(_prefixes(texts, width, percent, frequent), "prefixes")
     shared = (
@@ -304,9 +295,49 @@ def jaccard_classes(
         "digest", "first", F.coalesce("root", "digest").alias("root")
     )
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(classes, "root").select("digest", "component_id")
-    return table.join(of, "digest", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    of = rooted.join(classes, "root").select("digest", "root", "component_id")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return table.join(of, "digest", "left").select("id", "key", "n", "root", component.alias("component_id"))
+
+
+def jaccard_classes(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id_col, n_shingles, component_id)`` for every row: texts linked by word-shingle Jaccard similarity.
+
+    Words are runs of anything but the six ASCII white-space bytes, A-Z lower-cased; a set holds the distinct
+    ``width``-word shingles of the whole text, or the whole sequence if there are fewer words. Two texts link when
+    ``100 * intersection >= percent * union``; ``component_id`` is the smallest id reachable by links. All links count:
+    the prefixes, size and place bounds and parity bitmaps exclude no pair that reaches the threshold, and each
+    remaining pair is verified by exact overlaps. Sets are told apart by 64-bit digests.
+
+    Null, empty and blank texts have no shingles and link with nothing. Repeated rows stay, in one class. A null id
+    gets its class's smallest other id, or null. Further columns are ignored. An empty table gives no rows.
+    """
+    rows = _classes(docs, width, percent, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_copies(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without those linked to an earlier one: of each class the row of the smallest id stays.
+
+    Texts without words link with nothing and stay, as do rows whose class has null ids only. A row that is repeated
+    with the same id and text stays once if it has words.
+    """
+    rows = saved(_classes(docs, width, percent, id_col, text_col).where("n > 0 AND component_id IS NOT NULL"), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("f")
+    kept = rows.groupBy("root").agg(first, F.count("*").alias("of")).where("of > 1").select("root", "f.id", "f.key")
+    kept = kept.withColumnsRenamed({"id": "kept_id", "key": "kept_key"})
+    chosen = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    judged = rows.join(kept, "root").withColumn("chosen", chosen)
+    judged = judged.groupBy("id", "key").agg(F.max("chosen").alias("chosen"), F.count("*").alias("of"))
+    gone = small(judged.where("NOT chosen OR of > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "chosen"))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
+    left = docs.join(gone.drop("chosen"), here, "left_anti")
+    again = gone.where("chosen")
+    if again.isEmpty():
+        return left
+    once = docs.join(again.drop("chosen"), here).dropDuplicates(["_id", "_key"])
+    return left.unionByName(once.select(*docs.columns))

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, line_frequency, packing, secret_scan, token_counts
+from tidemark.llm import (
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_frequency,
+    mixing,
+    packing,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,22 +29,48 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All ``embeddings`` linked at a cosine of 0.9, whatever their labels."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), threshold=0.9)
+
+
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of ``documents`` linked at 90 % Jaccard similarity of 3-word shingles."""
     return jaccard_join.jaccard_classes(table(spark, folder, "documents"), width=3, percent=90)
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences that ``documents`` are or name."""
+    return license_scan.license_scan(table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of ``documents`` under the 32k piece model."""
     path = tokenizer_file("piece_bpe_32k.model")
     return token_counts.count_tokens(table(spark, folder, "documents"), path, limit=4096)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of ``documents``, learned from ``labels``."""
+    return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` mixed over sources, the smallest passed over at most twice for each pass over the largest."""
+    mixed = mixing.mix(table(spark, folder, "documents"), max_repeat=2.0)
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch")
+
+
 def op7_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality counts and boilerplate verdicts of ``documents``; the source stands for the host."""
     return line_frequency.line_quality(table(spark, folder, "documents"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of ``documents``, learned from their lang column outside the held-out fold."""
+    return language_id.languages(table(spark, folder, "documents"))
+
+
 def op9_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     """All ``documents`` packed into sequences of at most 2048 tokens."""
     path = tokenizer_file("word_bpe_49k.json")
@@ -48,10 +85,18 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_jaccard_join": op2_jaccard_join,
-    "op4_token_counts": op4_token_counts,
-    "op7_line_quality": op7_line_quality,
-    "op9_best_two_fit": op9_best_two_fit,
-    "op10_secret_scan": op10_secret_scan,
+    query.__name__: query
+    for query in (
+        op1_embedding_dedup,
+        op2_jaccard_join,
+        op3_license_scan,
+        op4_token_counts,
+        op5_toxicity,
+        op6_mixing,
+        op7_line_quality,
+        op8_language_id,
+        op9_best_two_fit,
+        op10_secret_scan,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -19,7 +19,7 @@ from tidemark.llm.grams import hashed_grams
 
 ORDERS, BITS = (4, 5, 6), 20
 #: At most about so many labelled rows are learned from; and so many n-grams become features.
-SAMPLE, FEATURES = 30_000, 2_000
+SAMPLE, FEATURES = 30_000, 1_000
 _SPLIT = 8
 
 
@@ -132,31 +132,52 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     return Model(model.buckets, model.ratios, weights, bias)
 
 
+def _scores(column: pa.Array, model: Model, table: np.ndarray) -> np.ndarray:
+    linear = np.zeros(len(column))
+    if len(model.buckets):
+        text, feature = features(column, table, len(model.buckets))
+        linear = _linear(text, feature, model.ratios, model.weights, len(column))
+    return 1 / (1 + np.exp(-np.clip(linear + model.bias, -500, 500)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, score)`` for every row; null and empty texts get the score that no feature gives."""
-    table = model.table()
-    spread = docs.sparkSession.sparkContext.broadcast((table, model))
+    spread = docs.sparkSession.sparkContext.broadcast((model, model.table()))
 
     def rows(parts):
-        table, model = spread.value
         for batch in parts:
-            n = len(batch)
-            linear = np.zeros(n)
-            if len(model.buckets):
-                text, feature = features(batch.column("text"), table, len(model.buckets))
-                linear = _linear(text, feature, model.ratios, model.weights, n)
-            value = 1 / (1 + np.exp(-np.clip(linear + model.bias, -500, 500)))
+            value = _scores(batch.column("text"), *spread.value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(value, pa.float64())], ["id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
     return arrow_map(texts, rows, "id long, score double").withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``; one pass, no shuffle."""
+    spread = docs.sparkSession.sparkContext.broadcast((model, model.table()))
+
+    def rows(parts):
+        for batch in parts:
+            yield batch.filter(pa.array(_scores(batch.column(text_col), *spread.value) < threshold))
+
+    return arrow_map(docs, rows, docs.schema)
+
+
 def held_out(column: str, folds: int, fold: int):
     """Whether a row belongs to the fold that is never learned from; a null id does not."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def corpus_model(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """The model learned from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` outside the held-out fold."""
+    known = labels.where(~held_out("doc_id", 5, 0)).select(
+        F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label")
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text").alias("text"))
+    return train(texts, known, **options)
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``.
 
@@ -164,11 +185,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     alone: repeated rows get equal ones, null and empty texts the one of a text without features. Without labels of
     both kinds every text gets the labels' share. Extra columns are ignored; an empty table gives no rows.
     """
-    known = labels.where(~held_out("doc_id", 5, 0)).select(
-        F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text").alias("text"))
-    scored = score(docs, train(texts, known, **options))
+    scored = score(docs, corpus_model(docs, labels, **options))
     return scored.select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
