@@ -229,3 +229,24 @@ def test_versions_default_to_one_and_reach_the_manifest(spark):
     rows = manifest(made, service="s", snapshot="x").orderBy("pinned").collect()
     assert [(r["pinned"], r["row_count"]) for r in rows] == [("a:v1", 2), ("b:v3", 2)]
     assert made.rows.columns == ["entity_id", "event_ts", "a__v", "b__v"]
+
+
+@pytest.mark.parametrize("groups", range(1, 6))
+def test_each_set_of_keys_takes_one_shuffle(spark, tmp_path, groups):
+    columns = [f"k{i}" for i in range(groups)]
+    spine = spark.range(50).select(
+        "id", *[(F.col("id") % (i + 2)).alias(c) for i, c in enumerate(columns)],
+        F.timestamp_seconds(F.col("id") * 100).alias("event_ts"),
+    )
+    spine = spine.withColumn("k0", F.when(F.col("id") % 7 > 0, F.col("k0")))
+    spine.write.parquet(str(tmp_path / "spine"))
+    spine = spark.read.parquet(str(tmp_path / "spine"))
+    views = []
+    for c in columns:
+        spine.select(c, "event_ts", F.col("id").alias(f"v_{c}")).write.parquet(str(tmp_path / c))
+        views.append(AsOfView(c, spark.read.parquet(str(tmp_path / c)), (c,), created_ts=None))
+    out = point_in_time_join_views(spine, views)
+    assert shuffles(out) == groups
+    rows = out.collect()
+    assert len(rows) == 50 and all(r["v_k0"] == r["id"] for r in rows if r["k0"] is not None)
+    assert all(r["v_k0"] is None for r in rows if r["k0"] is None)

@@ -12,7 +12,7 @@ def con():
     return sql_connection(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & set(entry.queries())))
 def test_query_equals_its_sql(spark, con, name):
     problem, _ = compare(spark, con, SMALL, entry.queries()[name], entry.oracle_sql()[name])
     assert problem is None

@@ -145,3 +145,29 @@ def test_totals_read_the_input_once_and_shuffle_once(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "t"))
     out = rolling_features(stored.where("user_id IS NOT NULL"), ["user_id"], timedelta(days=1))
     assert shuffles(out) == 1
+
+
+def test_small_amounts_keep_their_digits(spark):
+    rows = [(i, "u", None, 0.00004, BASE + timedelta(hours=i)) for i in range(10)]
+    out = rolling_features(spark.createDataFrame(rows, SCHEMA), ["user_id"], timedelta(days=30))
+    last = out.where("id = 9").first()
+    assert last["txn_amount_sum_30d"] == pytest.approx(0.0004, rel=1e-12)
+    assert last["txn_amount_avg_30d"] == pytest.approx(0.00004, rel=1e-12)
+
+
+def test_large_and_negative_amounts_sum_exactly(spark):
+    amounts = [3e14, -3e14, 0.1, 2.0**60, -(2.0**60), -0.25]
+    rows = [(i, "u", None, a, BASE + timedelta(hours=i)) for i, a in enumerate(amounts)]
+    out = rolling_features(spark.createDataFrame(rows, SCHEMA), ["user_id"], timedelta(days=30))
+    assert out.where("id = 5").first()["txn_amount_sum_30d"] == pytest.approx(-0.15, rel=1e-12)
+
+
+@pytest.mark.parametrize("rows_per_slice", [3, 8, None])
+def test_gaps_are_the_same_however_keys_are_split(spark, rows_per_slice):
+    rows = [(i // 2, "u", None, float(i), BASE) for i in range(60)]
+    rows += [(100 + i, "u", None, 1.0, BASE + timedelta(days=1 + i // 4)) for i in range(40)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = seconds_since_previous(df, ["user_id"], tie="id", rows_per_slice=rows_per_slice)
+    gaps = [r["seconds_since_prev_txn"] for r in out.collect()]
+    assert gaps.count(None) == 1 and gaps.count(0) == 79 + 30 and gaps.count(86400) == 10

@@ -267,3 +267,41 @@ def test_erasure_reaches_every_store_and_composite_ids(spark, table, online, tmp
     assert [r["entity_id"] for r in online.rows().collect()] == ["u2"]
     assert set(run(day(6)).values()) == {0}
     assert spark.read.parquet(str(tmp_path / "audit/*/audit")).count() == 12
+
+
+def test_windows_with_one_write_time_are_counted_apart(spark, table, online):
+    table.upsert(
+        rows(spark, ("a", day(1), 1, day(1)), ("b", day(2), 2, day(2)), ("c", day(9), 3, day(9)))
+    )
+    counts = [
+        materialize_view(table, online, day(a), day(b), now=day(10), ttl=timedelta(days=1)).first()[1]
+        for a, b in ((1, 5), (8, 12), (20, 25))
+    ]
+    assert counts == [2, 1, 0]
+
+
+def test_an_erasure_that_failed_half_way_keeps_its_record(spark, table, tmp_path, monkeypatch):
+    other = FeatureTable(spark, str(tmp_path), "other_v1", "v long")
+    for t in (table, other):
+        t.upsert(rows(spark, ("u1", day(1), 1, day(1)), ("u2", day(1), 2, day(1))))
+    ask = spark.createDataFrame([("u1",)], "entity_id string")
+    options = {"offline": [table, other], "online": [], "audit_folder": str(tmp_path / "audit")}
+    erase = FeatureTable.erase
+
+    def failing(self, targets):
+        if self.name == "other_v1":
+            raise RuntimeError("lost")
+        erase(self, targets)
+
+    monkeypatch.setattr(FeatureTable, "erase", failing)
+    with pytest.raises(RuntimeError):
+        erase_entities(spark, ask, erased_at=day(5), **options)
+    monkeypatch.undo()
+    audit = erase_entities(spark, ask, erased_at=day(5), **options)
+    assert sorted(r["rows_deleted"] for r in audit.collect()) == [1, 1]
+    assert [r[0] for r in stored(other)] == ["u2"]
+    more = spark.createDataFrame([("u2",)], "entity_id string")
+    audit = erase_entities(spark, more, erased_at=day(5), **options)
+    assert sorted(r["rows_deleted"] for r in audit.collect()) == [1, 1]
+    assert spark.read.parquet(str(tmp_path / "audit/*/audit")).count() == 4
+    assert not list((tmp_path / "audit").glob("*/targets"))

@@ -24,7 +24,8 @@ def entity_id(keys: Mapping[str, Column]) -> Column:
 
 def entity_id_parts(encoded: Column) -> Column:
     """The key values inside an entity id, unescaped, as an array."""
-    pieces = F.regexp_extract_all(encoded, F.lit(r"((?:[^\\|]|\\.)+)"), F.lit(1))
+    # Every value follows the start or a bare separator; it may be empty.
+    pieces = F.regexp_extract_all(F.concat(F.lit("|"), encoded), F.lit(r"\|((?:[^\\|]|\\.)*)"), F.lit(1))
     return F.transform(pieces, lambda piece: F.regexp_replace(piece, r"\\(.)", "$1"))
 
 

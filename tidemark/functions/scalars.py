@@ -66,11 +66,12 @@ def event_date(ts: Column) -> Column:
 def parse_duration(spec: Column) -> Column:
     """'30s', '5m', '24h', '7d', '2w' to seconds; anything else is an error when evaluated."""
     trimmed = F.trim(spec)
-    unit = F.regexp_extract(trimmed, r"^\d+([smhdw])$", 1)
+    # Numbers above 12 digits would not fit in seconds.
+    unit = F.regexp_extract(trimmed, r"^0*\d{1,12}([smhdw])$", 1)
     seconds = F.lit(None).cast("long")
     for name, length in UNIT_SECONDS.items():
         seconds = F.when(unit == name, F.lit(length).cast("long")).otherwise(seconds)
-    number = F.regexp_extract(trimmed, r"^(\d+)[smhdw]$", 1)
+    number = F.regexp_extract(trimmed, r"^0*(\d{1,12})[smhdw]$", 1)
     return F.when(unit != "", F.try_to_number(number, F.lit("9" * 18)).cast("long") * seconds).when(
         spec.isNotNull(), F.raise_error(F.concat(F.lit("invalid duration: "), spec)).cast("long")
     )

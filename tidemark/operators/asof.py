@@ -7,6 +7,7 @@ the view's time-to-live (age > ttl) is treated as missing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
@@ -99,12 +100,11 @@ def point_in_time_join_views(
 
 def output_names(spine: DataFrame, views: Sequence[AsOfView]) -> dict[str, dict[str, str]]:
     """Feature name per view; a name the spine or another view also has becomes view__feature."""
-    uses: dict[str, int] = {c: 1 for c in spine.columns}
-    for view in views:
-        for c in view.feature_columns():
-            uses[c] = uses.get(c, 0) + 1
+    # Spark tells columns apart without regard to case.
+    uses = Counter(c.lower() for c in spine.columns)
+    uses.update(c.lower() for v in views for c in v.feature_columns())
     return {
-        v.name: {c: c if uses[c] == 1 else f"{v.name}__{c}" for c in v.feature_columns()}
+        v.name: {c: c if uses[c.lower()] == 1 else f"{v.name}__{c}" for c in v.feature_columns()}
         for v in views
     }
 
@@ -149,9 +149,20 @@ def _join_group(
     matched_ts: dict[str, str],
     slices: Slices,
 ) -> DataFrame:
+    # Rows without key or time match nothing. They come along in lanes of their own, so that the
+    # spine, which may hold another group's join, is read once.
     usable = _known([*keys, event_ts])
-    row = F.struct(*spine.columns).alias("_row")
-    rows, folds = _keyed(spine, keys, event_ts, F.lit(True).alias("_probe"), row), []
+    lane = F.when(usable, F.lit(0).cast("long")).otherwise(F.xxhash64(*spine.columns).bitwiseOR(F.lit(1)))
+    rows, folds = (
+        spine.select(
+            *[F.col(k).alias(i) for k, i in zip(keys, _key_ids(keys), strict=True)],
+            F.unix_micros(F.col(event_ts).cast("timestamp")).alias("_at"),
+            lane.alias("_lane"),
+            F.lit(True).alias("_probe"),
+            F.struct(*spine.columns).alias("_row"),
+        ),
+        [],
+    )
     for n, view in enumerate(views):
         created = F.col(view.created_ts) if view.created_ts else F.lit(None)
         at = F.unix_micros(F.col(view.feature_ts).cast("timestamp"))
@@ -165,30 +176,28 @@ def _join_group(
             view.frame,
             view.keys,
             view.feature_ts,
+            F.lit(0).cast("long").alias("_lane"),
             F.lit(False).alias("_probe"),
             packed.alias(f"_in{n}"),
         )
         rows = rows.unionByName(updates, allowMissingColumns=True)
         folds.append(Last(f"_in{n}", f"_hit{n}"))
 
-    matched = ordered_scan(rows, _key_ids(keys), "_at", folds, peers=False, slices=slices)
-    hits, blanks = [], []
+    matched = ordered_scan(
+        rows, _key_ids(keys), "_at", folds, peers=False, slices=slices, lane="_lane"
+    )
+    hits = []
     for n, view in enumerate(views):
         hit = F.col(f"_hit{n}")
         fresh = F.lit(True)
         if view.ttl is not None:
             fresh = F.col("_at") - hit["_feature_at"] <= F.lit(micros(view.ttl))
         for c in view.feature_columns():
-            name = names[view.name][c]
-            hits.append(F.when(fresh, hit[c]).alias(name))
-            blanks.append(F.lit(None).cast(view.frame.schema[c].dataType).alias(name))
+            hits.append(F.when(fresh, hit[c]).alias(names[view.name][c]))
         if view.name in matched_ts:
-            name = matched_ts[view.name]
-            hits.append(F.when(fresh, F.timestamp_micros(hit["_feature_at"])).alias(name))
-            blanks.append(F.lit(None).cast("timestamp").alias(name))
-    # Rows without key or time match nothing; they bypass the shuffle.
-    unusable = spine.where(~usable).select("*", *blanks)
-    return matched.select("_row.*", *hits).unionByName(unusable)
+            found = F.timestamp_micros(hit["_feature_at"])
+            hits.append(F.when(fresh, found).alias(matched_ts[view.name]))
+    return matched.select("_row.*", *hits)
 
 
 def leakage_audit(joined: DataFrame, *, event_ts: str, matched_ts: str) -> DataFrame:

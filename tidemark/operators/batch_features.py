@@ -16,11 +16,11 @@ from tidemark.functions.keys import entity_id
 from tidemark.functions.scalars import chargeback_rate, is_cross_border, pair_is_first_txn
 from tidemark.operators.rolling import (
     amount_zscores,
-    exact_sum,
     plan_window_slices,
     rolling_features,
     seconds_since_previous,
 )
+from tidemark.operators.sums import exact_sum
 from tidemark.sources.feature_table import instant, with_partition
 
 MONTH, QUARTER = timedelta(days=30), timedelta(days=90)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.feature_table import FeatureTable, instant
+from tidemark.sources.folders import drop_folder, has_data
 from tidemark.sources.latest_table import LatestTable
 
 # Who may read which sensitivity, which reads are audited, how a denial reads.
@@ -58,32 +59,40 @@ def erase_entities(
     online: Sequence[LatestTable],
     audit_folder: str,
     erased_at: datetime,
+    request_id: str | None = None,
 ) -> DataFrame:
     """Delete the requested entities (also as part of composite ids) from every table.
 
-    What will be deleted is recorded before anything is, so a rerun after a failure finishes the
-    deletes without losing the record. Returns this run's audit rows:
-    ``entity_id, store, feature_view, rows_deleted, erased_at``.
+    What will be deleted is recorded before anything is. A rerun with the same ``request_id`` (by
+    default a digest of the entities and ``erased_at``) takes up that record, finishes the deletes and
+    never counts again. The list of ids to delete goes when all is done; the audit stays. Returns this
+    run's audit rows: ``entity_id, store, feature_view, rows_deleted, erased_at``.
     """
     wanted = requests.select(F.col("entity_id").cast("string").alias("entity_id")).distinct()
-    run = f"{audit_folder.rstrip('/')}/erased_at={int(erased_at.timestamp())}"
+    if request_id is None:
+        mix = wanted.agg(F.count("*"), F.sum(F.xxhash64("entity_id").cast("decimal(38,0)"))).first()
+        request_id = f"{erased_at.isoformat()}-{mix[0]}-{mix[1]}".replace(":", "")
+    run = f"{audit_folder.rstrip('/')}/request={request_id}"
     tables = [("offline", t) for t in offline] + [("online", t) for t in online]
-    targets, counts = {}, []
-    for store, table in tables:
-        found = f"{run}/targets/{store}-{table.name}"
-        table.targets(wanted).write.mode("overwrite").parquet(found)
-        targets[store, table.name] = spark.read.parquet(found)
-        rows = table.erasure_counts(targets[store, table.name])
-        counts.append(
-            wanted.join(rows, "entity_id", "left").select(
-                "entity_id",
-                F.lit(store).alias("store"),
-                F.lit(table.name).alias("feature_view"),
-                F.coalesce("rows_deleted", F.lit(0)).alias("rows_deleted"),
-                instant(erased_at).alias("erased_at"),
+    if not has_data(spark, f"{run}/audit"):
+        counts = []
+        for store, table in tables:
+            found = f"{run}/targets/{store}-{table.name}"
+            table.targets(wanted).write.mode("overwrite").parquet(found)
+            rows = table.erasure_counts(spark.read.parquet(found))
+            counts.append(
+                wanted.join(rows, "entity_id", "left").select(
+                    "entity_id",
+                    F.lit(store).alias("store"),
+                    F.lit(table.name).alias("feature_view"),
+                    F.coalesce("rows_deleted", F.lit(0)).alias("rows_deleted"),
+                    instant(erased_at).alias("erased_at"),
+                )
             )
-        )
-    reduce(DataFrame.unionByName, counts).write.mode("overwrite").parquet(f"{run}/audit")
-    for store, table in tables:
-        table.erase(targets[store, table.name])
+        # The audit is written last: with it the record is whole.
+        reduce(DataFrame.unionByName, counts).write.mode("overwrite").parquet(f"{run}/audit")
+    if has_data(spark, f"{run}/targets"):
+        for store, table in tables:
+            table.erase(spark.read.parquet(f"{run}/targets/{store}-{table.name}"))
+        drop_folder(spark, f"{run}/targets")
     return spark.read.parquet(f"{run}/audit")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -13,18 +13,16 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import parse_duration
 from tidemark.operators.asof import RESERVED
 from tidemark.operators.ranks import exact_quantiles
+from tidemark.operators.sums import exact_sum
 from tidemark.sources.feature_table import instant
 
-# Thresholds, the guard against a zero mean, and where each severity goes.
+# Thresholds and the guard against a zero mean.
 NULL_RATE_LIMIT = 0.05
 SKEW_LIMIT = 0.1
 SKEW_EPSILON = 1e-9
 LATENCY_LIMIT_SECONDS = 0.010
-CHANNELS = {
-    "page": "pagerduty:ml-platform-oncall",
-    "ticket": "jira:MLP",
-    "slack": "slack:#feature-platform-alerts",
-}
+#: Where findings go unless the caller says otherwise: severity to channel.
+CHANNELS = {"page": "on-call", "ticket": "tracker", "slack": "chat"}
 
 
 def null_rates(
@@ -87,8 +85,8 @@ def skew_report(pairs: DataFrame, features: Sequence[str], limit: float = SKEW_L
         usable = matched & a.isNotNull() & b.isNotNull()
         n = F.count(F.when(usable, 1))
         per_row = F.nullif(n, F.lit(0))
-        gap = F.sum(F.when(usable, F.abs(a - b)).cast("decimal(28,8)")).cast("double") / per_row
-        mean = F.sum(F.when(usable, b).cast("decimal(28,8)")).cast("double") / per_row
+        gap = exact_sum(F.when(usable, F.abs(a - b))) / per_row
+        mean = exact_sum(F.when(usable, b)) / per_row
         skew = F.coalesce(gap / (F.abs(mean) + F.lit(SKEW_EPSILON)), F.lit(0.0))
         aggregates.append(
             F.struct(F.lit(f).alias("feature"), skew.alias("skew"), n.alias("n_compared")).alias(f)
@@ -164,9 +162,11 @@ def low_usage_views(
     return joined.where(F.col("last_read").isNull() | (F.col("last_read") < cutoff))
 
 
-def route_alerts(spark: SparkSession, *reports: DataFrame) -> DataFrame:
+def route_alerts(
+    spark: SparkSession, *reports: DataFrame, channels: Mapping[str, str] = CHANNELS
+) -> DataFrame:
     """Union of findings (``feature_view, title, severity, detail``) with their channel."""
-    channels = spark.createDataFrame(list(CHANNELS.items()), "severity string, channel string")
+    channels = spark.createDataFrame(list(channels.items()), "severity string, channel string")
     found = reduce(DataFrame.unionByName, reports)
     return found.join(F.broadcast(channels), "severity").select(
         "feature_view", "title", "severity", "detail", "channel"

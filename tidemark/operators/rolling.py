@@ -2,9 +2,8 @@
 
 A window that slides with every event is two running sums: each event adds at its own time and
 subtracts again just after ``ts + width``. That costs one sort however long or crowded the window
-is, whereas a RANGE frame re-aggregates every frame. Sums run on decimals, so taking values out
-again is exact. Amounts may reach 1e14 and a window's sum of squares 1e30; beyond that the job fails
-rather than return a wrong number.
+is, whereas a RANGE frame re-aggregates every frame. Sums run on decimal limbs (see ``sums``), so
+taking values out again is exact; sums of amounts or squares beyond 1e38 fail rather than round.
 """
 
 from __future__ import annotations
@@ -20,13 +19,10 @@ from tidemark.functions.scalars import amount_zscore, velocity
 from tidemark.operators.asof import micros
 from tidemark.operators.scan import Total, neighbours, ordered_scan
 from tidemark.operators.slices import ROWS_PER_SLICE, Slices, plan_slices
+from tidemark.operators.sums import joined, limbs
 
-MONEY = "decimal(18,4)"
-
-
-def exact_sum(column: str | Column) -> Column:
-    """Order-independent sum of a double column."""
-    return F.sum(_col(column).cast(MONEY)).cast("double")
+#: Relative spread of squares below which doubles can't tell a variance from 0.
+NOISE = 4e-15
 
 
 def plan_window_slices(
@@ -81,12 +77,12 @@ def rolling_features(
         )
     deltas: dict[str, Column] = {}
     if amount is not None:
-        value = F.col(amount).cast(MONEY)
+        value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
         deltas["_n"] = F.lit(1).cast("long")
         deltas["_valued"] = F.col(amount).isNotNull().cast("long")
-        deltas["_sum"] = F.coalesce(value, F.lit(0).cast(MONEY))
+        deltas["_whole"], deltas["_part"] = limbs(value)
         if spread:
-            deltas["_squares"] = F.coalesce(value * value, F.lit(0).cast("decimal(37,8)"))
+            deltas["_square_whole"], deltas["_square_part"] = limbs(value * value)
     out_rows = txns if probes is None else probes
     if probes is None and deltas:
         rows = _ledger(txns, keys, event_ts, width, deltas, F.struct(*txns.columns))
@@ -186,25 +182,19 @@ def _presence_changes(
 
 
 def _total_columns(prefix: str, suffix: str, spread: bool) -> dict[str, Column]:
-    total, valued = F.col("_sum_run").cast("double"), F.col("_valued_run")
+    total, valued = joined(F.col("_whole_run"), F.col("_part_run")), F.col("_valued_run")
     added = {
         f"{prefix}_count_{suffix}": F.coalesce("_n_run", F.lit(0)),
         f"{prefix}_amount_sum_{suffix}": F.when(valued > 0, total),
         f"{prefix}_amount_avg_{suffix}": F.when(valued > 0, total / valued),
     }
     if spread:
-        # n*sum(x^2) - sum(x)^2 on decimals does not cancel: equal amounts give exactly 0. Only
-        # where the products outgrow a decimal are they taken as doubles.
-        squares, plain = F.col("_squares_run"), F.col("_sum_run")
-        exact = F.try_subtract(
-            F.try_multiply(valued.cast("decimal(18,0)"), squares), F.try_multiply(plain, plain)
-        )
-        rough = valued * squares.cast("double") - total * total
-        numerator = F.coalesce(exact.cast("double"), rough)
+        squares = valued * joined(F.col("_square_whole_run"), F.col("_square_part_run"))
+        spread_out = squares - total * total
+        # Equal amounts give exactly 0: what is left of them after subtraction is noise.
+        numerator = F.when(spread_out > NOISE * squares, spread_out).otherwise(0.0)
         pairs = valued.cast("double") * (valued - 1)
-        added[f"{prefix}_amount_std_{suffix}"] = F.when(
-            valued > 1, F.sqrt(F.greatest(numerator, F.lit(0.0)) / pairs)
-        )
+        added[f"{prefix}_amount_std_{suffix}"] = F.when(valued > 1, F.sqrt(numerator / pairs))
     return added
 
 
@@ -292,7 +282,3 @@ def _at(event_ts: str) -> Column:
 
 def _known(columns: Sequence[str]) -> Column:
     return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
-
-
-def _col(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column

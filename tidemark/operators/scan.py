@@ -67,14 +67,19 @@ def ordered_scan(
     peers: bool,
     slices: Slices | None = None,
     rows_per_slice: int | None = None,
+    lane: str | None = None,
 ) -> DataFrame:
     """State of every fold at each ``_probe`` row, rows with the same order value included.
 
     With ``peers`` a row may be both probe and input (running totals). Without, probes come after
     the inputs of the same instant and ties among inputs go to the greatest input value. Rows need
     non-null keys and order value.
+
+    ``lane`` names a column that is 0 for such rows. Rows without key or order value may then come
+    along in other lanes, spread by a hash: they meet no input and come out with empty states.
     """
     keys = list(keys)
+    lanes = [lane] if lane else []
     if slices is None:
         slices = plan_slices(rows, keys, at, rows_per_slice)
     inputs = [f.column for f in folds]
@@ -90,11 +95,11 @@ def ordered_scan(
         return (
             df.withColumns({f.out: f.running(window) for f in folds})
             .where("_probe")
-            .drop("_probe", *inputs)
+            .drop("_probe", *lanes, *inputs)
         )
 
     if not slices.any_heavy:
-        return finish(rows, frame(*keys))
+        return finish(rows, frame(*keys, *lanes))
 
     tagged = slices.tag(rows, at)
     carried = _state_at_cuts(rows, keys, at, folds, slices)
@@ -106,18 +111,23 @@ def ordered_scan(
         {name: F.when(~on_cut, F.col(name)) for name in inputs}
     )
     seeds = carried.select(
-        *keys, "_slice", F.col("_cut").alias(at), F.lit(False).alias("_probe"), *inputs
+        *keys,
+        "_slice",
+        F.col("_cut").alias(at),
+        F.lit(False).alias("_probe"),
+        *[F.lit(0).cast("long").alias(x) for x in lanes],
+        *inputs,
     )
     stepped = finish(
         inside.drop("_below", "_upto").unionByName(seeds, allowMissingColumns=True),
-        frame(*keys, "_slice"),
+        frame(*keys, *lanes, "_slice"),
     )
     if not slices.crowded:
         return stepped.drop("_slice")
     states = carried.select(*keys, "_slice", *[F.col(f.column).alias(f.out) for f in folds])
     pinned = (
         sliced.where(crowded)
-        .drop("_below", "_upto", "_probe", *inputs)
+        .drop("_below", "_upto", "_probe", *lanes, *inputs)
         .join(F.broadcast(states), [*keys, "_slice"], "left")
     )
     return stepped.unionByName(pinned).drop("_slice")
@@ -163,20 +173,23 @@ def neighbours(
 ) -> DataFrame:
     """Add ``_previous`` and ``_following``: the order values next to each row in its key.
 
-    Order is ``(at, tie)``; ``tie`` must be unique per key and instant.
+    Order is ``(at, tie, hash of the row)``, whether a key is split or not; rows equal in all columns
+    are interchangeable. ``tie`` may be null or repeated.
     """
     keys = list(keys)
     if slices is None:
         slices = plan_slices(rows, keys, at, rows_per_slice)
+    order = F.struct(F.col(tie).alias("tie"), F.xxhash64(*rows.columns).alias("hash"))
+    rows = rows.withColumn("_order", order)
 
     def beside(df: DataFrame, *partition: str) -> DataFrame:
-        window = Window.partitionBy(*partition).orderBy(at, tie)
+        window = Window.partitionBy(*partition).orderBy(at, "_order")
         return df.withColumns(
             {"_previous": F.lag(at).over(window), "_following": F.lead(at).over(window)}
         )
 
     if not slices.any_heavy:
-        return beside(rows, *keys)
+        return beside(rows, *keys).drop("_order")
 
     tagged = slices.tag(rows, at)
     crowded = F.coalesce(F.col("_upto") - F.col("_below") > 1, F.lit(False))
@@ -195,8 +208,8 @@ def neighbours(
         .agg(
             F.min(at).alias("_low"),
             F.max(at).alias("_high"),
-            F.min(tie).alias("_first"),
-            F.max(tie).alias("_final"),
+            F.min("_order").alias("_first"),
+            F.max("_order").alias("_final"),
         )
         .select(
             *keys,
@@ -214,13 +227,29 @@ def neighbours(
             "_following": F.coalesce("_following", "_after"),
         }
     )
-    scratch = ("_slice", "_crowded", "_heavy", "_first", "_final", "_before", "_after")
+    scratch = (
+        "_order", "_slice", "_crowded", "_heavy", "_first", "_final", "_before", "_after"
+    )
     if not slices.crowded:
         return stepped.drop(*scratch)
-    pinned = joined.where("_crowded").withColumns(
-        {
-            "_previous": F.when(F.col(tie) == F.col("_first"), F.col("_before")).otherwise(F.col(at)),
-            "_following": F.when(F.col(tie) == F.col("_final"), F.col("_after")).otherwise(F.col(at)),
-        }
+    # Of a crowded instant only the first and the last row look beyond it. Rows equal to them in all
+    # columns are told apart by number; no others are shuffled.
+    at_edge = F.col("_order").eqNullSafe(F.col("_first")) | F.col("_order").eqNullSafe(F.col("_final"))
+    alike = Window.partitionBy(*keys, "_slice", "_order")
+    nth = F.row_number().over(alike.orderBy(at))
+    first = F.col("_order").eqNullSafe(F.col("_first")) & (F.col("_nth") == 1)
+    final = F.col("_order").eqNullSafe(F.col("_final")) & (F.col("_nth") == F.col("_alike"))
+    pinned = joined.where("_crowded")
+    inner = pinned.where(~at_edge).withColumns({"_previous": F.col(at), "_following": F.col(at)})
+    outer = (
+        pinned.where(at_edge)
+        .withColumns({"_nth": nth, "_alike": F.count(F.lit(1)).over(alike)})
+        .withColumns(
+            {
+                "_previous": F.when(first, F.col("_before")).otherwise(F.col(at)),
+                "_following": F.when(final, F.col("_after")).otherwise(F.col(at)),
+            }
+        )
+        .drop("_nth", "_alike")
     )
-    return stepped.unionByName(pinned).drop(*scratch)
+    return stepped.unionByName(inner).unionByName(outer).drop(*scratch)

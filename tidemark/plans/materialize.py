@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import Expectation, require_quality
 from tidemark.plans.views import FeatureView
-from tidemark.sources.feature_table import FeatureTable, instant, latest_per_entity
+from tidemark.sources.feature_table import FeatureTable, latest_per_entity
 from tidemark.sources.latest_table import LatestTable
 
 
@@ -25,15 +25,21 @@ def materialize_view(
     gate: Sequence[Expectation] = (),
     fail_fraction: float = 0.0,
 ) -> DataFrame:
-    """Write the newest row per entity of [start, end); returns ``feature_view, rows_written``."""
+    """Write the newest row per entity of [start, end); returns ``feature_view, rows_written``.
+
+    The count is that of this window, taken from the write itself; an empty window writes nothing.
+    """
     window = source.read_range(start, end)
     if gate:
         require_quality(window, gate, fail_fraction=fail_fraction)
-    target.write(latest_per_entity(window), now, ttl)
-    written = target.rows().where(F.col("written_ts") == instant(now))
-    return written.agg(
-        F.lit(target.name).alias("feature_view"), F.count(F.lit(1)).alias("rows_written")
-    )
+    count = 0
+    if not window.isEmpty():
+        seen = Observation()
+        newest = latest_per_entity(window).observe(seen, F.count(F.lit(1)).alias("rows"))
+        target.write(newest, now, ttl)
+        count = seen.get["rows"]
+    schema = "feature_view string, rows_written long"
+    return target.spark.createDataFrame([(target.name, count)], schema)
 
 
 def materialize_views(

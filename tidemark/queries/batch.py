@@ -321,6 +321,89 @@ FROM events_t WINDOW w AS (PARTITION BY user_id ORDER BY event_ts
   RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)"""
 
 
+# Amounts far from money: sums must not depend on a column's size.
+SCALES = {"tiny": 1e-6, "huge": 1e12}
+
+
+def _scaled(build):
+    """One query over the amounts at every scale."""
+
+    def query(spark, folder):
+        parts = [
+            build(spark, folder, F.col("amount") * F.lit(factor)).withColumn("scale", F.lit(name))
+            for name, factor in SCALES.items()
+        ]
+        return parts[0].unionByName(parts[1])
+
+    return query
+
+
+def _scaled_sql(sql: str, source: str, rows: str) -> str:
+    """The same in SQL: ``rows``, the expression that makes ``source``, with its amounts replaced."""
+    parts = []
+    for name, factor in SCALES.items():
+        scaled = f"SELECT * REPLACE (amount * {factor!r}::DOUBLE AS amount) FROM {source}_0"
+        made = rows.replace(f"{source} AS (", f"{source}_0 AS (", 1) + f", {source} AS ({scaled})"
+        parts.append(f"SELECT *, '{name}' AS scale FROM ({sql.replace(rows, made, 1)})")
+    return " UNION ALL ".join(parts)
+
+
+@_scaled
+def rolling_30d_scaled(spark, folder, amount):
+    totals = rolling_features(orders(spark, folder).withColumn("amount", amount), ["user_id"], MONTH)
+    return totals.drop("is_chargeback").withColumn("event_ts", plain("event_ts"))
+
+
+@_scaled
+def sliding_window_scaled(spark, folder, amount):
+    txns = events(spark, folder).select("transaction_id", "user_id", "event_ts", amount.alias("amount"))
+    counted = sliding_window(txns, ["user_id"], timedelta(hours=6), value="amount")
+    return counted.withColumn("event_ts", plain("event_ts"))
+
+
+@_scaled
+def txn_zscore_scaled(spark, folder, amount):
+    scored = amount_zscores(orders(spark, folder).withColumn("amount", amount), ["user_id"], MONTH)
+    return scored.select("transaction_id", "user_id", _rounded("amount_zscore_user_30d"))
+
+
+@_scaled
+def user_features_scaled(spark, folder, amount):
+    txns = lines(spark, folder).withColumnRenamed("is_refund", "is_chargeback")
+    found = user_features(
+        txns.withColumn("amount", amount), at(AS_OF), countries=_countries(spark, folder)
+    )
+    return found.select("entity_id", "txn_count_30d", "txn_amount_sum_30d", "txn_amount_avg_30d")
+
+
+USER_SUMS = f"""WITH {LINE_TXNS}, {USERS_SQL}, f AS ({USER_SQL})
+SELECT entity_id, txn_count_30d, txn_amount_sum_30d, txn_amount_avg_30d FROM f"""
+
+
+def txn_gap_ties(spark, folder):
+    """Each event twice on one instant under one id, with light keys and with all keys split."""
+    txns = events(spark, folder).select("transaction_id", "user_id", "event_ts", "amount")
+    # Whole hours make crowded instants.
+    txns = txns.withColumn("event_ts", F.date_trunc("hour", "event_ts"))
+    twice = txns.unionByName(txns)
+    parts = [
+        seconds_since_previous(twice, ["user_id"], rows_per_slice=rows)
+        .groupBy("user_id", "seconds_since_prev_txn")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("slices", F.lit(name))
+        for name, rows in (("none", None), ("small", 8))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+TXN_GAP_TIES = f"""WITH {EVENT_TXNS}, h AS (
+  SELECT user_id, transaction_id, date_trunc('hour', event_ts) AS event_ts FROM events_t),
+twice AS (SELECT * FROM h UNION ALL SELECT * FROM h),
+g AS (SELECT user_id, {GAP_SQL} AS seconds_since_prev_txn FROM twice)
+SELECT user_id, seconds_since_prev_txn, count(*) AS rows, slices
+FROM g, (VALUES ('none'), ('small')) v(slices) GROUP BY ALL"""
+
+
 def scalar_transforms(spark, folder):
     """Scalar functions over every line: zero denominators and negative amounts included."""
     rows = table(spark, folder, "lineitem")
@@ -446,6 +529,11 @@ UNION ALL SELECT entity_id, 'chargeback_rate_90d', chargeback_rate_90d, NULL FRO
 UNION ALL SELECT entity_id, 'home_country', NULL, home_country FROM f WHERE home_country IS NOT NULL"""
 
 QUERIES = {
+    "rolling_30d_scaled": rolling_30d_scaled,
+    "sliding_window_scaled": sliding_window_scaled,
+    "txn_zscore_scaled": txn_zscore_scaled,
+    "user_features_scaled": user_features_scaled,
+    "txn_gap_ties": txn_gap_ties,
     "rolling_30d": rolling_30d,
     "rolling_distinct": rolling_distinct_,
     "user_features_asof": user_features_asof,
@@ -466,6 +554,11 @@ QUERIES = {
     "feature_vector": feature_vector_,
 }
 ORACLES = {
+    "rolling_30d_scaled": _scaled_sql(ROLLING_30D, "orders_t", ORDER_TXNS),
+    "sliding_window_scaled": _scaled_sql(SLIDING_WINDOW, "events_t", EVENT_TXNS),
+    "txn_zscore_scaled": _scaled_sql(TXN_ZSCORE, "orders_t", ORDER_TXNS),
+    "user_features_scaled": _scaled_sql(USER_SUMS, "lines_t", LINE_TXNS),
+    "txn_gap_ties": TXN_GAP_TIES,
     "rolling_30d": ROLLING_30D,
     "rolling_distinct": ROLLING_DISTINCT,
     "user_features_asof": USER_FEATURES_ASOF,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.session import apply_settings
 from tidemark.sources.tables import event_transactions, line_transactions, read_table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 # Same columns as sources.tables, for use as common table expressions.
 EVENT_TXNS = """events_t AS (
   SELECT event_id AS transaction_id, CAST(user_id AS VARCHAR) AS user_id,
@@ -25,12 +28,36 @@ LINE_TXNS = """lines_t AS (
          CAST(l_suppkey AS VARCHAR) AS merchant_id, l_extendedprice AS amount,
          o_orderdate AS event_ts, l_returnflag = 'R' AS is_refund, l_returnflag = 'A' AS is_dispute
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-# Order-independent sum: exact decimals, then a double.
-SUM = "CAST(SUM(CAST({0} AS DECIMAL(18,4))) {1} AS DOUBLE)"
+# Of a double's 53 bits this keeps 31, that is nine digits, by plain double arithmetic: sums taken in
+# another order are equal then.
+KEPT_BITS = 2.0**22 + 1
 
 
 def exact(column: str, rest: str = "") -> str:
-    return SUM.format(column, rest)
+    """A plain sum of doubles, with compensation for rounding."""
+    return f"fsum({column}) {rest}"
+
+
+def nine(columns: str, query: Query) -> Query:
+    """The query with the named double columns at nine digits."""
+
+    def rounded(spark: SparkSession, folder: str) -> DataFrame:
+        kept = {}
+        for name in columns.split():
+            wide = F.col(name) * F.lit(KEPT_BITS)
+            kept[name] = wide - (wide - F.col(name))
+        return query(spark, folder).withColumns(kept)
+
+    return rounded
+
+
+def nine_sql(columns: str, sql: str) -> str:
+    """The same for the query's SQL."""
+    wide = "({0} * {1!r}::DOUBLE)"
+    kept = ", ".join(
+        f"{w} - ({w} - {c}) AS {c}" for c in columns.split() if (w := wide.format(c, KEPT_BITS))
+    )
+    return f"SELECT * REPLACE ({kept}) FROM ({sql})"
 
 
 def plain(ts: str | Column) -> Column:
@@ -38,10 +65,6 @@ def plain(ts: str | Column) -> Column:
     return (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
 
 
-def text_date(day: str) -> Column:
-    return F.col(day).cast("string")
-
-
 def events(spark: SparkSession, folder: str) -> DataFrame:
     return event_transactions(apply_settings(spark), folder)
 

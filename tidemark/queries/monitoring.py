@@ -29,6 +29,7 @@ from tidemark.operators.health import (
     skew_report,
 )
 from tidemark.operators.quality import USER_FEATURE_RULES, Expectation, quality_report
+from tidemark.operators.sums import exact_sum
 from tidemark.plans.views import VIEWS
 from tidemark.queries.batch import USER_SQL, USERS_SQL, user_rows
 from tidemark.queries.common import EVENT_TXNS, LINE_TXNS, at, events, exact, plain
@@ -167,7 +168,7 @@ def baseline(spark, folder):
     due = baseline_due(date(2024, 1, 1), today)
     return both.groupBy("sample").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("amount").cast("decimal(18,4)")).cast("double").alias("amount_sum"),
+        exact_sum("amount").alias("amount_sum"),
         F.count_distinct("merchant_id").alias("merchants"),
         F.lit(due).alias("due"),
     )
@@ -292,8 +293,7 @@ ALERTS = f"""WITH {SAMPLES_SQL}, {FRESHNESS_CTE}, {LINE_TXNS}, {USERS_SQL}, u AS
   UNION ALL SELECT DISTINCT feature_view, 'slow reads', 'page', 'p99 above limit' FROM p
     WHERE p99 > 0.01)
 SELECT feature_view, title, severity, detail, CASE severity
-  WHEN 'page' THEN 'pagerduty:ml-platform-oncall' WHEN 'ticket' THEN 'jira:MLP'
-  ELSE 'slack:#feature-platform-alerts' END AS channel FROM found"""
+  WHEN 'page' THEN 'on-call' WHEN 'ticket' THEN 'tracker' ELSE 'chat' END AS channel FROM found"""
 
 RULES = (
     *USER_FEATURE_RULES,

@@ -22,9 +22,9 @@ from tidemark.streaming.sinks import (
 )
 from tidemark.streaming.sliding import sliding_stream
 from tidemark.streaming.velocity import (
+    LateRows,
     append_to_folder,
     hop_velocity,
-    late_rows,
     streaming_session,
 )
 
@@ -60,6 +60,27 @@ def hop_velocity_batch(spark, folder):
 HOP_VELOCITY_BATCH = f"WITH {HOPS} SELECT * FROM hops"
 
 
+def hop_velocity_scaled(spark, folder):
+    """The windows with amounts a million times smaller and a trillion times larger."""
+    parts = [
+        hop_velocity(events(spark, folder).withColumn("amount", F.col("amount") * F.lit(factor)))
+        .withColumn("window_end", plain("window_end"))
+        .withColumn("scale", F.lit(name))
+        for name, factor in (("tiny", 1e-6), ("huge", 1e12))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+HOP_VELOCITY_SCALED = " UNION ALL ".join(
+    f"""SELECT user_id, count(*) AS txn_count_5m, {exact(f'amount * {factor!r}::DOUBLE')} AS txn_amount_sum_5m,
+         count(*) / 5.0::DOUBLE AS velocity_per_min, window_end, '{name}' AS scale
+  FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, value AS amount,
+               date_trunc('minute', ts) + to_minutes(i) AS window_end FROM events, range(1, 6) t(i))
+  GROUP BY user_id, window_end"""
+    for name, factor in (("tiny", 1e-6), ("huge", 1e12))
+)
+
+
 def hop_velocity_tumbling(spark, folder):
     return _streamed(spark, folder, width="5 minutes", slide="5 minutes")
 
@@ -73,7 +94,7 @@ SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 10 SECONDS FROM e
 
 
 def late_drops(spark, folder):
-    """Errors arrive ten days late, after their windows closed: what was kept, and was any dropped.
+    """Errors arrive ten days late, after their windows closed: what was kept, and what dropped.
 
     Each arrival is one run of the same query (same checkpoint).
     """
@@ -83,17 +104,19 @@ def late_drops(spark, folder):
     )
     third = F.least(F.floor((F.dayofmonth("event_ts") - 1) / 10), F.lit(2))
     arrival = third + F.when(F.col("event_type") == "error", 1).otherwise(0)
-    dropped = 0
+    late = LateRows()
+    session.streams.addListener(late)
     for step in range(4):
         txns.where(arrival == step).write.parquet(f"{root}/in/arrival={step}")
         stream = session.readStream.schema(txns.schema).parquet(f"{root}/in/*")
         query = append_to_folder(hop_velocity(stream), f"{root}/out", f"{root}/checkpoint")
-        dropped += late_rows(query)
+        dropped = late.total(query)
+    session.streams.removeListener(late)
     kept = spark.read.parquet(f"{root}/out")
     return kept.agg(
         F.count(F.lit(1)).alias("windows"),
         F.sum("txn_count_5m").alias("events_in_windows"),
-        F.lit(dropped > 0).alias("some_dropped"),
+        F.lit(dropped).cast("long").alias("windows_dropped"),
     )
 
 
@@ -107,7 +130,8 @@ w AS (SELECT user_id, arrival, date_trunc('minute', event_ts) + to_minutes(i) AS
 kept AS (SELECT w.* FROM w JOIN seen ON seen.step = w.arrival
   WHERE (wm IS NULL OR window_end > wm) AND window_end <= (SELECT wm FROM seen WHERE step = 5))
 SELECT count(DISTINCT (user_id, window_end)) AS windows, count(*) AS events_in_windows,
-       TRUE AS some_dropped FROM kept"""
+       (SELECT count(DISTINCT (arrival, user_id, window_end)) FROM w JOIN seen ON seen.step = w.arrival
+        WHERE window_end <= wm) AS windows_dropped FROM kept"""
 
 
 def _dual(spark: SparkSession, folder: str, ttl: timedelta, snapshot: bool):
@@ -179,6 +203,7 @@ def sliding_state(spark, folder):
 
 
 QUERIES = {
+    "hop_velocity_scaled": hop_velocity_scaled,
     "hop_velocity_stream": hop_velocity_stream,
     "hop_velocity_batch": hop_velocity_batch,
     "hop_velocity_tumbling": hop_velocity_tumbling,
@@ -188,6 +213,7 @@ QUERIES = {
     "sliding_state": sliding_state,
 }
 ORACLES = {
+    "hop_velocity_scaled": HOP_VELOCITY_SCALED,
     "hop_velocity_stream": HOP_VELOCITY_STREAM,
     "hop_velocity_batch": HOP_VELOCITY_BATCH,
     "hop_velocity_tumbling": HOP_VELOCITY_TUMBLING,

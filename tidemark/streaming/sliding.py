@@ -36,7 +36,8 @@ def sliding_stream(
 ) -> StreamingQuery:
     """Append count, sum and velocity per event to ``folder``; too late events are left out.
 
-    An event later than ``delay`` behind the newest one of earlier batches is dropped.
+    An event later than ``delay`` behind the newest one of earlier batches is dropped. Events
+    without a time come out without a window, in every batch.
     """
     columns, at = stream.columns, F.unix_micros(event_ts)
 
@@ -49,7 +50,7 @@ def sliding_stream(
             kept = spark.read.parquet(recent)
             newest = kept.agg(F.max(at)).first()[0]
             if newest is not None:
-                fresh = fresh.where(at >= newest - micros(delay))
+                fresh = fresh.where(at.isNull() | (at >= newest - micros(delay)))
             rows = kept.withColumn("_fresh", F.lit(False)).unionByName(fresh)
         rows = rows.persist()
         counted = sliding_window(
@@ -59,7 +60,8 @@ def sliding_stream(
             f"{folder}/batch={batch_id}"
         )
         end = rows.agg(F.max(at)).first()[0]
-        reach = at >= F.lit(end) - micros(width + delay)
+        # A batch of events without times leaves the state as it was.
+        reach = at.isNotNull() & (at >= F.coalesce(F.lit(end).cast("long"), F.lit(0)) - micros(width + delay))
         rows.where(reach).select(*columns).write.mode("overwrite").parquet(f"{checkpoint}/recent/{batch_id}")
         rows.unpersist()
         drop_folder(spark, f"{checkpoint}/recent/{batch_id - 2}")

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
-from tidemark.operators.rolling import exact_sum
+from tidemark.operators.sums import exact_sum
 
 WATERMARK = "10 seconds"
 NEAR_REAL_TIME = "5 minutes"
 
 
-def streaming_session(spark: SparkSession) -> SparkSession:
-    """A sibling session whose shuffles match the cluster's cores.
+def streaming_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A sibling session for stateful queries.
 
-    The partition count of stateful operators is fixed at a query's first start and not adapted.
+    Their partition count is fixed by the checkpoint at the first start, so choose ``partitions`` for
+    the state's expected size; without it the cores present now decide.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    session.conf.set("spark.sql.shuffle.partitions", str(cores))
+    partitions = partitions or max(1, spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return session
 
 
@@ -68,6 +71,38 @@ def append_to_folder(
     return start(writer, checkpoint, every)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query's recent batches dropped as later than the watermark (row by window)."""
-    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts what queries of a session drop as later than the watermark, over their whole life.
+
+    ``session.streams.addListener(LateRows())``; a batch that is run again counts once. The unit is
+    Spark's: rows as they reach the stateful operator, for aggregates one per group and batch.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: dict[str, dict[int, int]] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        batches = self._dropped.setdefault(str(progress.id), {})
+        # A trigger without data reports its batch number again.
+        batches[progress.batchId] = max(dropped, batches.get(progress.batchId, 0))
+
+    def onQueryTerminated(self, event) -> None:
+        self._of(event.runId).set()
+
+    def _of(self, run) -> threading.Event:
+        return self._ended.setdefault(str(run), threading.Event())
+
+    def total(self, query: StreamingQuery, patience: float = 60.0) -> int:
+        """Rows dropped by all runs of the query that this listener saw.
+
+        Progress is reported in the background: a query that has ended is waited for.
+        """
+        if not query.isActive and not self._of(query.runId).wait(patience):
+            raise TimeoutError("the query's last progress was not reported")
+        return sum(self._dropped.get(str(query.id), {}).values())
