@@ -14,7 +14,7 @@ from tidemark.operators.asof import (
     point_in_time_join,
     point_in_time_join_views,
 )
-from tidemark.plans.training import TrainingRequest, build_training_set, manifest
+from tidemark.plans.training import build_training_set, manifest
 
 SPINE = "entity_id string, event_ts timestamp"
 FEATURE = "entity_id string, event_ts timestamp, v long"
@@ -203,28 +203,20 @@ def test_audit_counts_matches_and_finds_no_leak(spark):
     assert tuple(audit) == (2, 1, 0)
 
 
-def test_training_request_is_checked_early(spark):
+def test_a_spine_that_lacks_columns_is_refused(spark):
     spine = spark.createDataFrame([("u1", day(1))], SPINE)
+    view = AsOfView("m", spine.withColumn("merchant_id", F.lit("m")), ("merchant_id",))
+    with pytest.raises(ValueError, match="merchant_id .*event_ts .*outcome"):
+        build_training_set(spine.drop("event_ts"), [view], label="outcome")
     with pytest.raises(ValueError):
-        TrainingRequest(spine.drop("event_ts"), ["a"])
-    with pytest.raises(ValueError):
-        TrainingRequest(spine, ["a"], label="label")
-    with pytest.raises(ValueError):
-        TrainingRequest(spine, [])
-    with pytest.raises(KeyError):
-        build_training_set(TrainingRequest(spine, ["unknown"]), {})
-    other = AsOfView("m", spine.withColumn("merchant_id", F.lit("m")), ("merchant_id",))
-    with pytest.raises(ValueError):
-        build_training_set(TrainingRequest(spine, ["m"]), {"m": other})
+        build_training_set(spine, [])
 
 
 def test_versions_default_to_one_and_reach_the_manifest(spark):
     spine = spark.createDataFrame([("u1", day(5)), ("u2", day(5))], SPINE)
     view = AsOfView("a", spark.createDataFrame([("u1", day(1), 1)], FEATURE), created_ts=None)
     other = AsOfView("b", spark.createDataFrame([("u1", day(1), 2)], FEATURE), created_ts=None)
-    made = build_training_set(
-        TrainingRequest(spine, ["a", "b"], versions={"b": 3}), {"a": view, "b": other}
-    )
+    made = build_training_set(spine, [view, other], versions={"b": 3})
     assert made.versions == {"a": 1, "b": 3}
     rows = manifest(made, service="s", snapshot="x").orderBy("pinned").collect()
     assert [(r["pinned"], r["row_count"]) for r in rows] == [("a:v1", 2), ("b:v3", 2)]

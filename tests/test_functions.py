@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import day
 from tidemark.functions import keys, scalars
-from tidemark.functions.ondemand import OnDemand, apply_on_demand
+from tidemark.functions.ondemand import DerivedView, usable, with_derived
 from tidemark.functions.packing import feature_vector, status_map
 from tidemark.sources.streams import decode_transactions, kafka_transactions
 
@@ -94,17 +94,28 @@ def test_entity_ids_are_ordered_escaped_and_injective(spark):
     assert one(spark, i=keys.entity_id({"a": F.lit(None), "b": F.lit("x")}))["i"] is None
 
 
-def test_on_demand_checks_names_and_inputs(spark):
-    df = spark.createDataFrame([(10.0, 4.0)], "amount double, txn_amount_avg_30d double")
-    assert apply_on_demand(df, ["amount_to_avg_ratio"]).first()["amount_to_avg_ratio"] == 2.5
-    with pytest.raises(KeyError):
-        apply_on_demand(df, ["nothing"])
-    with pytest.raises(KeyError):
-        apply_on_demand(df, ["transaction_ratios"])
-    kept = apply_on_demand(df, ["nothing", "transaction_ratios"], best_effort=True)
-    assert kept.columns == df.columns
-    own = {"double": OnDemand("double", ("amount",), ("twice",), lambda a: {"twice": a * 2})}
-    assert apply_on_demand(df, ["double"], registry=own).first()["twice"] == 20.0
+def test_derived_views_are_validated_together(spark):
+    df = spark.createDataFrame([(10.0, 4)], "amount double, txn_amount_avg_30d long")
+    assert with_derived(df, ["amount_to_avg_ratio"]).first()["amount_to_avg_ratio"] == 2.5
+    with pytest.raises(LookupError, match="nothing.*txn_amount_sum_30d"):
+        with_derived(df, ["nothing", "transaction_ratios"])
+    assert usable(df, ["nothing", "transaction_ratios", "amount_to_avg_ratio"]) == ["amount_to_avg_ratio"]
+    own = {"double": DerivedView("amount double", {"twice": lambda: F.col("amount") * 2})}
+    assert with_derived(df, ["double"], own).first()["twice"] == 20.0
+    with pytest.raises(LookupError, match="is string"):
+        with_derived(df.withColumn("amount", F.lit("x")), ["double"], own)
+
+
+def test_entity_id_parts_keep_empty_values(spark):
+    df = spark.createDataFrame([("m1|",), ("|",), ("a\\|b|c",)], "id string")
+    got = [r[0] for r in df.select(keys.entity_id_parts(F.col("id"))).collect()]
+    assert got == [["m1", ""], ["", ""], ["a|b", "c"]]
+
+
+def test_durations_too_long_are_an_error(spark):
+    df = spark.createDataFrame([("1" * 19 + "d",)], "d string")
+    with pytest.raises(Exception, match="invalid duration"):
+        df.select(scalars.parse_duration(F.col("d"))).collect()
 
 
 def test_feature_vector_splits_by_type_and_drops_nulls(spark):

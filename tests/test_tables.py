@@ -10,8 +10,8 @@ from tidemark.functions.packing import MISSING, PRESENT, STALE
 from tidemark.operators.governance import erase_entities
 from tidemark.operators.quality import Expectation, QualityError
 from tidemark.plans.materialize import materialize_view
-from tidemark.plans.training import TrainingRequest, build_from_tables
-from tidemark.plans.views import FeatureView
+from tidemark.plans.training import build_from_tables, save_training_set, service_training_set
+from tidemark.plans.views import VIEWS, FeatureView
 from tidemark.sources.feature_table import (
     FeatureTable,
     latest_per_entity,
@@ -127,9 +127,7 @@ def test_training_set_from_tables_uses_each_views_ttl(spark, table):
     table.upsert(rows(spark, ("a", day(1), 1, day(1))))
     spine = spark.createDataFrame([("a", day(3)), ("a", day(9))], "entity_id string, event_ts timestamp")
     view = FeatureView("numbers_v1", ("entity_id",), "v long", timedelta(days=5))
-    made = build_from_tables(
-        TrainingRequest(spine, ["numbers_v1"]), {"numbers_v1": table}, {"numbers_v1": view}
-    )
+    made = build_from_tables(spine, {"numbers_v1": table}, {"numbers_v1": view})
     assert sorted((r["event_ts"].day, r["v"]) for r in made.rows.collect()) == [(3, 1), (9, None)]
 
 
@@ -305,3 +303,32 @@ def test_an_erasure_that_failed_half_way_keeps_its_record(spark, table, tmp_path
     assert sorted(r["rows_deleted"] for r in audit.collect()) == [1, 1]
     assert spark.read.parquet(str(tmp_path / "audit/*/audit")).count() == 4
     assert not list((tmp_path / "audit").glob("*/targets"))
+
+
+def test_a_service_joins_each_view_on_its_own_keys(spark, tmp_path):
+    tables = {}
+    for name, ids in (("user_features_v2", "u1"), ("merchant_features_v1", "m1")):
+        features = ", ".join(VIEWS[name].features.split(", ")[:2])
+        tables[name] = FeatureTable(spark, str(tmp_path), name, features)
+        columns = tables[name].features
+        for version, at in ((1, day(1)), (2, day(4))):
+            row = spark.createDataFrame([(ids, day(1), at)], "entity_id string, event_ts timestamp, created_ts timestamp")
+            row = row.withColumns({c: F.lit(version).cast("double" if "avg" in c else "long") for c in columns})
+            tables[name].append_versions(row)
+    spine = spark.createDataFrame(
+        [("u1", "m1", day(5)), ("u1", "m2", day(5)), (None, "m1", day(5))],
+        "user_id string, merchant_id string, event_ts timestamp",
+    )
+    made = service_training_set(spine, "underwriting_v1", tables)
+    age, shop = "account_age_days", "merchant_age_days"
+    assert made.versions == {"user_features_v2": 2, "merchant_features_v1": 1}
+    assert sorted((r[age] or 0, r[shop] or 0) for r in made.rows.collect()) == [(0, 2), (2, 0), (2, 2)]
+    past = service_training_set(spine, "underwriting_v1", tables, known_at=day(2))
+    assert {r[age] for r in past.rows.collect()} == {1, None}
+    path = save_training_set(made, str(tmp_path / "sets"), service="underwriting_v1", snapshot="s1")
+    again = save_training_set(past, str(tmp_path / "sets"), service="underwriting_v1", snapshot="s1")
+    assert path == again and {r[age] for r in spark.read.parquet(path).collect()} == {2, None}
+    noted = spark.read.parquet(str(tmp_path / "sets/underwriting_v1/s1/manifest")).collect()
+    assert {(r["pinned"], r["row_count"]) for r in noted} == {("user_features_v2:v2", 3), ("merchant_features_v1:v1", 3)}
+    with pytest.raises(LookupError):
+        service_training_set(spine, "none", tables)

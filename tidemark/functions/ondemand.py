@@ -1,79 +1,73 @@
-"""Named request-time transforms over stored features plus request context."""
+"""Views computed at request time: typed inputs from a row, features as expressions over them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import ratio_or_zero
 
-Transform = Callable[..., Mapping[str, Column]]
-
 
 @dataclass(frozen=True)
-class OnDemand:
-    name: str
-    inputs: tuple[str, ...]
-    outputs: tuple[str, ...]
-    build: Transform
-
-
-REGISTRY: dict[str, OnDemand] = {}
-
-
-def on_demand(name: str, inputs: Sequence[str], outputs: Sequence[str]):
-    """Register a function of Columns (one per input) that returns a Column per output."""
-
-    def register(build: Transform) -> Transform:
-        REGISTRY[name] = OnDemand(name, tuple(inputs), tuple(outputs), build)
-        return build
-
-    return register
-
-
-def apply_on_demand(
-    df: DataFrame,
-    names: Sequence[str],
-    *,
-    best_effort: bool = False,
-    registry: Mapping[str, OnDemand] | None = None,
+class DerivedView:
+    """``inputs`` is DDL; ``features`` maps a feature to its expression, built when it is selected."""
+
+    inputs: str
+    features: Mapping[str, Callable[[], Column]]
+
+    def unmet(self, schema: T.StructType) -> list[str]:
+        """What a frame of this schema lacks: absent inputs and inputs of a type that can't widen."""
+        given = {f.name.lower(): f.dataType for f in schema}
+        lacks = []
+        for need in T.StructType.fromDDL(self.inputs):
+            kind = given.get(need.name.lower())
+            numbers = isinstance(kind, T.NumericType) and isinstance(need.dataType, T.NumericType)
+            if kind is None:
+                lacks.append(f"no {need.name}")
+            elif kind != need.dataType and not numbers:
+                lacks.append(f"{need.name} is {kind.simpleString()}, not {need.dataType.simpleString()}")
+        return lacks
+
+
+def _share(of: str) -> Callable[[], Column]:
+    return lambda: ratio_or_zero(F.col("amount"), F.col(of))
+
+
+DERIVED = {
+    "amount_to_avg_ratio": DerivedView(
+        "amount double, txn_amount_avg_30d double",
+        {"amount_to_avg_ratio": _share("txn_amount_avg_30d")},
+    ),
+    "transaction_ratios": DerivedView(
+        "amount double, txn_amount_avg_30d double, txn_amount_sum_30d double",
+        {
+            "amount_to_avg_ratio": _share("txn_amount_avg_30d"),
+            "amount_to_sum_ratio": _share("txn_amount_sum_30d"),
+        },
+    ),
+}
+
+
+def usable(df: DataFrame, names: Iterable[str], views: Mapping[str, DerivedView] = DERIVED) -> list[str]:
+    """Those of the names that are views whose inputs the frame has."""
+    return [n for n in names if n in views and not views[n].unmet(df.schema)]
+
+
+def with_derived(
+    df: DataFrame, names: Iterable[str], views: Mapping[str, DerivedView] = DERIVED
 ) -> DataFrame:
-    """Add the outputs of the named transforms; inputs are checked against the schema up front.
+    """The frame with the features of all named views, as one select list.
 
-    An unknown name or a missing input raises, or is skipped with ``best_effort``.
+    The names are validated together: a LookupError lists everything that is wrong with any of them.
+    Use ``usable`` first to leave out what can't be computed.
     """
-    registry = REGISTRY if registry is None else registry
-    for name in names:
-        transform = registry.get(name)
-        if transform is None:
-            if best_effort:
-                continue
-            raise KeyError(f"on-demand feature {name!r} is not registered")
-        missing = [c for c in transform.inputs if c not in df.columns]
-        if missing:
-            if best_effort:
-                continue
-            raise KeyError(f"{name}: missing inputs {missing}")
-        built = transform.build(*[F.col(c) for c in transform.inputs])
-        df = df.withColumns({c: built[c] for c in transform.outputs if c in built})
-    return df
-
-
-@on_demand("amount_to_avg_ratio", ["amount", "txn_amount_avg_30d"], ["amount_to_avg_ratio"])
-def _amount_to_avg(amount: Column, average: Column) -> dict[str, Column]:
-    return {"amount_to_avg_ratio": ratio_or_zero(amount, average)}
-
-
-@on_demand(
-    "transaction_ratios",
-    ["amount", "txn_amount_avg_30d", "txn_amount_sum_30d"],
-    ["amount_to_avg_ratio", "amount_to_sum_ratio"],
-)
-def _transaction_ratios(amount: Column, average: Column, total: Column) -> dict[str, Column]:
-    return {
-        "amount_to_avg_ratio": ratio_or_zero(amount, average),
-        "amount_to_sum_ratio": ratio_or_zero(amount, total),
-    }
+    wrong = {n: views[n].unmet(df.schema) if n in views else ["not a derived view"] for n in names}
+    wrong = {n: lacks for n, lacks in wrong.items() if lacks}
+    if wrong:
+        raise LookupError("; ".join(f"{n}: {', '.join(lacks)}" for n, lacks in wrong.items()))
+    features = {f: build for n in names for f, build in views[n].features.items()}
+    return df.withColumns({f: build() for f, build in features.items()})

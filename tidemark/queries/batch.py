@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import entity_id, online_key
-from tidemark.functions.ondemand import apply_on_demand
+from tidemark.functions.ondemand import with_derived
 from tidemark.functions.packing import feature_vector
 from tidemark.functions.scalars import (
     chargeback_rate,
@@ -435,7 +435,7 @@ def ondemand_ratios(spark, folder):
     )
     requests = orders(spark, folder).where(F.col("event_ts") > F.lit(AS_OF).cast("timestamp"))
     merged = requests.select("transaction_id", "user_id", "amount").join(stored, "user_id", "left")
-    ratios = apply_on_demand(merged, ["amount_to_avg_ratio", "transaction_ratios"])
+    ratios = with_derived(merged, ["amount_to_avg_ratio", "transaction_ratios"])
     return ratios.select("transaction_id", "amount_to_avg_ratio", "amount_to_sum_ratio")
 
 

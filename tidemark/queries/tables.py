@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.health import hot_entities
 from tidemark.operators.quality import Contract, ContractColumn, Expectation, contract_report
 from tidemark.plans.materialize import materialize_view, materialize_views
+from tidemark.plans.training import service_training_set
 from tidemark.plans.views import MERCHANT_FEATURES, PAIR_FEATURES, SERVICES, USER_FEATURES
 from tidemark.queries.batch import (
     AS_OF,
@@ -25,7 +26,7 @@ from tidemark.queries.batch import (
 )
 from tidemark.queries.common import EVENT_TXNS, LINE_TXNS, at, events, lines, plain
 from tidemark.session import work_folder
-from tidemark.sources.feature_table import FeatureTable, latest_per_entity
+from tidemark.sources.feature_table import FeatureTable, instant, latest_per_entity
 from tidemark.sources.latest_table import LatestTable, expiry_by_tier, lookup, prewarm
 
 ACTIVITY = "amount double, merchant_id string"
@@ -211,6 +212,42 @@ def _stored_views(spark: SparkSession, folder: str, root: str) -> dict[str, Feat
     return made
 
 
+def training_service(spark, folder):
+    """A service's two views, each on its own key, joined to order lines around and after their day."""
+    tables = {}
+    for view, rows in ((USER_FEATURES, user_rows), (MERCHANT_FEATURES, merchant_rows)):
+        root = work_folder(spark, "service")
+        tables[view.name] = FeatureTable(spark, root, view.name, view.features)
+        tables[view.name].upsert(rows(spark, folder, AS_OF))
+    spine = lines(spark, folder).where(
+        (F.col("event_ts") >= instant(at("2000-06-20"))) & (F.col("event_ts") < instant(at("2001-01-20")))
+    )
+    spine = spine.select("transaction_id.l_linenumber", "user_id", "merchant_id", "event_ts")
+    made = service_training_set(spine, "underwriting_v1", tables)
+    return made.rows.select(
+        *spine.columns[:3],
+        plain("event_ts").alias("event_ts"),
+        "account_age_days",
+        "home_country",
+        "merchant_age_days",
+        "refund_rate_30d",
+    )
+
+
+TRAINING_SERVICE = f"""WITH {LINE_TXNS}, {USERS_SQL}, u AS ({USER_SQL}), m AS ({MERCHANT_SQL}), s AS (
+  SELECT *, event_ts - TIMESTAMP '{AS_OF}' AS age FROM lines_t
+  WHERE event_ts >= TIMESTAMP '2000-06-20' AND event_ts < TIMESTAMP '2001-01-20')
+SELECT l_linenumber, user_id, merchant_id, s.event_ts,
+  CASE WHEN age BETWEEN INTERVAL 0 DAYS AND INTERVAL 90 DAYS THEN account_age_days END
+    AS account_age_days,
+  CASE WHEN age BETWEEN INTERVAL 0 DAYS AND INTERVAL 90 DAYS THEN home_country END AS home_country,
+  CASE WHEN age BETWEEN INTERVAL 0 DAYS AND INTERVAL 180 DAYS THEN merchant_age_days END
+    AS merchant_age_days,
+  CASE WHEN age BETWEEN INTERVAL 0 DAYS AND INTERVAL 180 DAYS THEN refund_rate_30d END
+    AS refund_rate_30d
+FROM s LEFT JOIN u ON u.entity_id = s.user_id LEFT JOIN m ON m.entity_id = s.merchant_id"""
+
+
 def materialize_views_(spark, folder):
     """All three views of June into latest tables, twice; the rerun overwrites the same rows."""
     root = work_folder(spark, "materialize")
@@ -418,6 +455,7 @@ SELECT i.entity_id, txn_count_30d, txn_amount_sum_30d
 FROM (SELECT DISTINCT user_id AS entity_id FROM lines_t) i LEFT JOIN u ON i.entity_id = u.entity_id"""
 
 QUERIES = {
+    "training_service": training_service,
     "read_range": read_range,
     "upsert_dedup": upsert_dedup,
     "snapshot_read": snapshot_read,
@@ -435,6 +473,7 @@ QUERIES = {
     "tiers": tiers,
 }
 ORACLES = {
+    "training_service": TRAINING_SERVICE,
     "read_range": READ_RANGE,
     "upsert_dedup": UPSERT_DEDUP,
     "snapshot_read": SNAPSHOT_READ,

@@ -12,7 +12,7 @@ from tidemark.functions.scalars import is_within_ttl
 from tidemark.operators.asof import AsOfView, leakage_audit, point_in_time_join
 from tidemark.operators.batch_features import user_activity_by_day
 from tidemark.operators.sampling import join_fanout, sample_rows
-from tidemark.plans.training import TrainingRequest, build_training_set, manifest
+from tidemark.plans.training import build_training_set, manifest
 from tidemark.queries.common import EVENT_TXNS, events, exact, plain
 from tidemark.session import work_folder
 from tidemark.sources.feature_table import FeatureTable, spine_range
@@ -212,10 +212,9 @@ def _kinds(spark: SparkSession, folder: str) -> dict[str, AsOfView]:
 def _multi_view(spark: SparkSession, folder: str):
     spine = purchases(spark, folder).drop("entity_id")
     kinds = _kinds(spark, folder)
-    request = TrainingRequest(
-        spine, tuple(kinds), label="label", versions={"pair_signups_v2": 2}
+    return build_training_set(
+        spine, kinds.values(), label="label", versions={"pair_signups_v2": 2}
     )
-    return build_training_set(request, kinds)
 
 
 def pit_multi_view(spark, folder):

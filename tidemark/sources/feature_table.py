@@ -163,14 +163,21 @@ class FeatureTable:
         end: datetime,
         ttl: timedelta | None = None,
         columns: Sequence[str] | None = None,
+        known_at: datetime | None = None,
     ) -> AsOfView:
-        """As-of input for spine rows within [start, end]: no older than the first row minus ttl."""
+        """As-of input for spine rows within [start, end]: no older than the first row minus ttl.
+
+        With ``known_at`` each row is the newest version written by then.
+        """
         if ttl is None:
             rows = self._scan().where(
                 (F.col(PARTITION) <= F.lit(utc(end).date())) & (F.col("event_ts") <= instant(end))
             )
         else:
             rows = self.read_range(utc(start) - ttl, end, closed=True)
+        if known_at is not None:
+            rows = rows.where(F.col("created_ts") <= instant(known_at))
+            rows = newest_version(rows, ["entity_id", "event_ts"], ["created_ts"])
         columns = tuple(columns or self.features)
         rows = rows.select("entity_id", "event_ts", "created_ts", *columns)
         return AsOfView(self.name, rows, ttl=ttl, columns=columns)
