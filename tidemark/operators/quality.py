@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
@@ -28,9 +28,32 @@ class QualityError(RuntimeError):
     """A batch failed its expectations."""
 
 
+def _broken(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def _outside(column: Column, missing: Column, _: T.DataType, bounds: dict[str, Any]) -> Column:
+    return _broken(~missing & ~column.between(bounds["min"], bounds["max"]))
+
+
+def _of_another_type(_: Column, __: Column, dtype: T.DataType, wanted: dict[str, Any]) -> Column:
+    return _broken(F.lit(not isinstance(dtype, TYPE_NAMES[wanted["type"]])))
+
+
+#: How many rows break a rule, as an aggregate over the column, its missing rows, type and parameters.
+#: Missing values (null and NaN) pass ``between``, fail ``in_set`` and count against ``unique``.
+KINDS: dict[str, Callable[[Column, Column, T.DataType, dict[str, Any]], Column]] = {
+    "not_null": lambda column, missing, dtype, _: _broken(missing),
+    "in_set": lambda column, missing, dtype, given: _broken(missing | ~column.isin(*given["values"])),
+    "unique": lambda column, missing, dtype, _: F.count(F.lit(1)) - F.count_distinct(F.when(~missing, column)),
+    "between": _outside,
+    "of_type": _of_another_type,
+}
+
+
 @dataclass(frozen=True)
 class Expectation:
-    """One rule: ``not_null``, ``between``, ``in_set``, ``unique`` or ``of_type``.
+    """A rule of one of the ``KINDS`` on a column.
 
     ``mostly`` tolerates a failing share of ``1 - mostly`` whatever the run's own tolerance is.
     """
@@ -40,32 +63,19 @@ class Expectation:
     params: dict[str, Any] = field(default_factory=dict)
     mostly: float = 1.0
 
+    def __post_init__(self) -> None:
+        if self.kind not in KINDS:
+            raise ValueError(f"rules are {', '.join(sorted(KINDS))}; {self.kind} is none of them")
+
     def failing(self, df: DataFrame) -> Column:
-        """Aggregate counting the rows that break the rule.
-
-        Nulls (and NaN) pass ``between``, fail ``in_set`` and count against ``unique``.
-        """
-        dtype = df.schema[self.column].dataType
-        column = F.col(self.column)
-        missing = column.isNull()
-        if isinstance(dtype, T.FloatType | T.DoubleType):
-            missing = missing | F.isnan(column)
-        rows = F.count(F.lit(1))
-        if self.kind == "not_null":
-            return F.count(F.when(missing, 1))
-        if self.kind == "between":
-            outside = (column < self.params["min"]) | (column > self.params["max"])
-            return F.count(F.when(~missing & outside, 1))
-        if self.kind == "in_set":
-            return F.count(F.when(missing | ~column.isin(*self.params["values"]), 1))
-        if self.kind == "unique":
-            return rows - F.count_distinct(F.when(~missing, column))
-        if self.kind == "of_type":
-            matches = isinstance(dtype, TYPE_NAMES[self.params["type"]])
-            return F.when(F.lit(matches), F.lit(0)).otherwise(rows)
-        raise ValueError(f"unknown expectation kind {self.kind!r}")
+        """Aggregate counting the rows that break the rule."""
+        column, dtype = F.col(self.column), df.schema[self.column].dataType
+        floating = isinstance(dtype, T.FloatType | T.DoubleType)
+        missing = column.isNull() | F.isnan(column) if floating else column.isNull()
+        return KINDS[self.kind](column, missing, dtype, self.params)
 
 
+# The rules of the declared user view.
 USER_FEATURE_RULES = (
     Expectation("entity_id", "not_null"),
     Expectation("txn_count_30d", "between", {"min": 0, "max": 100_000}),
