@@ -144,11 +144,16 @@ def test_alerts_are_routed_by_severity(spark):
         [("v", "f", "alert"), ("v", "g", "watch"), ("v", "h", "stable")],
         "feature_view string, feature string, band string",
     )
-    out = health.route_alerts(spark, health.freshness_findings(stale), health.drift_findings(bands))
-    got = {(r["detail"], r["severity"], r["channel"].split(":")[0]) for r in out.collect()}
+    found = health.freshness_findings(stale), health.drift_findings(bands)
+    channels = {"page": "phone", "ticket": "desk", "slack": "room"}
+    got = {
+        (r["detail"], r["severity"], r["channel"])
+        for r in health.route_alerts(spark, *found, channels=channels).collect()
+    }
     assert got == {
-        ("older than its limit", "page", "pagerduty"), ("f", "ticket", "jira"), ("g", "slack", "slack")
+        ("older than its limit", "page", "phone"), ("f", "ticket", "desk"), ("g", "slack", "room")
     }
+    assert {r["channel"] for r in health.route_alerts(spark, *found).collect()} == {"on-call", "tracker", "chat"}
 
 
 def test_hot_entities_take_ties_by_id(spark):

@@ -332,3 +332,18 @@ def test_a_service_joins_each_view_on_its_own_keys(spark, tmp_path):
     assert {(r["pinned"], r["row_count"]) for r in noted} == {("user_features_v2:v2", 3), ("merchant_features_v1:v1", 3)}
     with pytest.raises(LookupError):
         service_training_set(spine, "none", tables)
+
+
+def test_one_changed_key_leaves_other_buckets_alone(spark, tmp_path):
+    made = LatestTable(spark, str(tmp_path), "v", "v long", buckets=8)
+    made.write(latest(spark, **{f"u{i}": i for i in range(100)}), day(1), timedelta(days=9))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("v/bucket=*/*.parquet")}
+    before = files()
+    again = LatestTable(spark, str(tmp_path), "v", "v long")
+    assert again.buckets == 8
+    again.write(latest(spark, u7=700), day(2), timedelta(days=9))
+    kept = before.items() & files().items()
+    assert len({p.rsplit("/", 2)[1] for p, _ in kept}) == 7
+    assert {r["entity_id"]: r["v"] for r in again.rows().collect()} == {f"u{i}": i for i in range(100)} | {"u7": 700}
+    with pytest.raises(ValueError):
+        LatestTable(spark, str(tmp_path), "v", "v long", buckets=4)

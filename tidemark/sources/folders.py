@@ -18,6 +18,11 @@ def has_data(spark: SparkSession, path: str) -> bool:
     return any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(location))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, location = _resolve(spark, path)
+    files.mkdirs(location)
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     files, location = _resolve(spark, path)
     if not files.exists(location):

@@ -17,9 +17,11 @@ from tidemark.functions.keys import entity_id
 from tidemark.functions.packing import MISSING, PRESENT, STALE
 from tidemark.functions.scalars import parse_duration_text
 from tidemark.sources.feature_table import instant, matching_entities, newest_version
-from tidemark.sources.folders import drop_folder, has_data
+from tidemark.sources.folders import drop_folder, has_data, make_folder, subfolders
 
 BUCKET = "bucket"
+# Name of the marker folder that holds a table's number of buckets; readers skip it.
+_COUNT = "_buckets="
 # Lifetime per serving tier.
 TIER_TTL = {"hot": "24h", "cold": "7d"}
 
@@ -35,12 +37,20 @@ class LatestTable:
         root: str,
         name: str,
         features: str | T.StructType,
-        buckets: int = 32,
+        buckets: int | None = None,
     ):
+        """``buckets`` is fixed when the table is first written and stored with it; 32 unless given.
+
+        Choose it for the table's size: a bucket is rewritten whole, and by one task.
+        """
         if isinstance(features, str):
             features = T.StructType.fromDDL(features)
-        self.spark, self.name, self.buckets = spark, name, buckets
+        self.spark, self.name = spark, name
         self.path = f"{root.rstrip('/')}/{name}"
+        stored = [int(f.partition("=")[2]) for f in subfolders(spark, self.path) if f.startswith(_COUNT)]
+        self.buckets = stored[0] if stored else buckets or 32
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"{name} was made with {self.buckets} buckets, not {buckets}")
         self.features = [f.name for f in features]
         self.schema = T.StructType(
             [
@@ -67,6 +77,7 @@ class LatestTable:
 
     def _replace(self, df: DataFrame) -> None:
         """Replace the buckets of ``df``, whose partitions must already hold whole buckets."""
+        make_folder(self.spark, f"{self.path}/{_COUNT}{self.buckets}")
         (
             df.select(*self.schema.names, BUCKET)
             .sortWithinPartitions(BUCKET, "entity_id")
@@ -103,8 +114,8 @@ class LatestTable:
                 (moment + F.lit(ttl)).alias("expires_at"),
             )
         )
-        # Any sizeable batch reaches every hash bucket, so finding the touched ones is not worth a job.
-        stored = self._scan().withColumn("_incoming", F.lit(0))
+        # Only the buckets that the incoming rows fall in are read and rewritten.
+        stored = self._touched(incoming).withColumn("_incoming", F.lit(0))
         both = stored.unionByName(incoming.withColumn("_incoming", F.lit(1)))
         order = ["event_ts", "_incoming"] if newest_wins else ["_incoming", "event_ts"]
         # Buckets are even by construction, and one shuffle serves both the merge and the layout.
