@@ -9,6 +9,7 @@ single task.
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -21,16 +22,18 @@ from tidemark.llm.common import arrow_map, text_bytes
 from tidemark.session import work_folder
 
 SALTS = 64
+_PUNCTUATION = string.punctuation.encode()
 
 
 class WordTokenizer:
     """A ``tokenizers`` file whose pre-tokenizer drops white space, with remembered words.
 
     Such a tokenizer treats what stands between white space on its own, so a text's ids are those of its words in a
-    row. Words are remembered up to a bounded number; forgetting costs time only.
+    row. Words are remembered in two generations of at most LIMIT: when the young one is full it becomes the old one,
+    and words that are met again come back from there. Forgetting costs time only.
     """
 
-    LIMIT = 500_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,34 +43,90 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or "</w>"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        """The word in lower case, without full stops and commas that follow a last ASCII letter, and those."""
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """The word with A-Z in lower case, cut after its last letter if only ASCII punctuation follows."""
+        if word.isalpha():
+            return word.lower(), b""
         # The names of special tokens are matched in the raw text, before lower case.
-        if word.isascii() and b"<|" not in word:
-            word = word.lower()
-        stem = word.rstrip(b".,")
-        return (stem, word[len(stem) :]) if stem != word and stem[-1:].isalpha() else (word,)
+        if b"<|" in word:
+            return word, b""
+        word = word.lower()
+        stem = word.rstrip(_PUNCTUATION)
+        if len(stem) == len(word) or not stem:
+            return word, b""
+        if not stem[-1:].isalpha():
+            # A letter may become a letter and a mark in lower case, and marks go with what follows.
+            last = stem[-4:].decode(errors="replace")[-1].lower()
+            if not last.isalpha():
+                return word, b""
+        return stem, word[len(stem) :]
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters: encoded as one text and cut after each id that ends a word."""
+        out = []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            whole = b" ".join(some).decode()
+            ids = np.array(self.library.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() or [0]
+            data = ids.tobytes()
+            cut = [data[x:y] for x, y in zip([0, *ends], ends)]
+            # Letters by another Unicode version than the library's: word by word.
+            out += cut if len(cut) == len(some) and ends[-1] == len(data) else self._encode(some)
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for x in parts.values() for p in x if p not in known})
-        found = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        for p, encoding in zip(new, found):
-            known[p] = np.array(encoding.ids, "<u4").tobytes()
-        for w, x in parts.items():
-            known[w] = b"".join([known[p] for p in x])
+        known, old = self.known, self.old
+        new, made = set(), []
+        for word in words:
+            if (ids := old.get(word)) is not None:
+                known[word] = ids
+                continue
+            stem, rest = self._parts(word)
+            if rest or stem != word:
+                made.append((word, stem, rest))
+            for part in (stem, rest) if rest else (stem,):
+                if part not in known:
+                    if (ids := old.get(part)) is not None:
+                        known[part] = ids
+                    else:
+                        new.add(part)
+        letters = [w for w in new if w.isalpha() or w.decode().isalpha()]
+        known.update(zip(letters, self._encode_letters(letters)))
+        others = list(new.difference(letters))
+        known.update(zip(others, self._encode(others)))
+        for word, stem, rest in made:
+            known[word] = known[stem] + known[rest] if rest else known[stem]
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [text.split() if text else [] for text in texts]
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-        self._learn({w for words in split for w in words} - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self.old, self.known = self.known, {}
+        known, get = self.known, self.known.get
+        out, missing = [], []
+        for i, text in enumerate(texts):
+            words = text.split() if text else []
+            found = list(map(get, words))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a word without ids yet
+                out.append(b"")
+                missing.append((i, words, found))
+        self._learn({w for _, words, found in missing for w, ids in zip(words, found) if ids is None})
+        for i, words, found in missing:
+            out[i] = b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
+        return out
 
 
 @lru_cache(1)
