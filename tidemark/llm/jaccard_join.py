@@ -7,7 +7,8 @@ shingle space is cut into hash fragments: each fragment of each set is a row of
 counted fragment by fragment and summed per pair, so no task needs a whole set.
 
 Equal sets are one node from the start. Each bucket (the sets that share a prefix shingle) first links its members to
-one leader; then only pairs between what is still apart are compared, so groups of copies don't turn into all pairs.
+one leader; of what is still apart each set is compared with its nearest, and only then the pairs that are left, so groups of
+copies don't turn into all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tidemark.llm.components import components
 from tidemark.llm.shingles import mixed, set_digest, shingle_sets
 
 #: Frequent shingles that are told apart in the global order: at most so many, each in at least so many sets.
-FREQUENT, LEAST_SETS = 1 << 17, 32
+FREQUENT, LEAST_SETS = 1 << 18, 4
 #: Shingles a task gathers before it counts them; bounds its memory.
 GATHER = 4_000_000
 #: Fragments of the shingle space in verification.
@@ -70,7 +71,7 @@ def _frequent(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         .toArrow()
     )
     items = np.asarray(rows.column("item").combine_chunks()).view(np.uint64)
-    level = np.log2(np.asarray(rows.column("n").combine_chunks()).astype(float)).astype(np.int64)
+    level = np.log2(np.asarray(rows.column("n").combine_chunks()).astype(float)).astype(np.int8)
     order = np.argsort(items)
     return items[order], level[order]
 
@@ -211,39 +212,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, width: int,
     return linked.where(f"100 * both >= {percent} * (a_n + b_n - both)").select("a", "b")
 
 
-def _apart(buckets: DataFrame, roots: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """Pairs in a bucket of three sets or more that no link has joined yet and whose parity bitmaps allow a link.
+def _parities(table: DataFrame) -> DataFrame:
+    """``(digest, n, w0, w1, ...)``: each set's size and parity bitmap, once."""
+    words = (F.first(F.col("parity")[i]).alias(f"w{i}") for i in range(PARITY))
+    return saved(table.where("parity IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), *words), "parities")
+
+
+def _differ() -> str:
+    return " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(PARITY))
+
+
+def _near(percent: int) -> str:
+    """Whether two bitmaps ``a`` and ``b`` allow a link.
 
     A shingle in one set only flips one parity bit, so two bitmaps differ in at most as many bits as the sets do in
     shingles.
     """
+    return f"(100 + {percent}) * ({_differ()}) <= {100 - percent} * (a.n + b.n)"
+
+
+def _apart(buckets: DataFrame, roots: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Pairs in a bucket of three sets or more that no link has joined yet and whose parity bitmaps allow a link."""
     parted = buckets.join(roots, buckets.node == roots.node, "left").select(
         "item", buckets.node, "n", "at", F.coalesce("root", buckets.node).alias("root")
     )
+    # The place that the smaller set of a linked pair can have; the larger set may have any place in its prefix.
+    early = f"(100 + {percent}) * (n - at) >= {2 * percent} * n"
     open_items = (
         parted.groupBy("item")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets"))
-        .where("lo <> hi AND sets > 2")
+        .agg(
+            F.min("root").alias("lo"),
+            F.max("root").alias("hi"),
+            F.count("*").alias("sets"),
+            F.max(F.expr(early)).alias("early"),
+        )
+        .where("lo <> hi AND sets > 2 AND early")
         .select("item")
     )
-    rest = parted.join(open_items, "item")
-    words = table.where("parity IS NOT NULL").groupBy("digest").agg(
-        *(F.first(F.col("parity")[i]).alias(f"w{i}") for i in range(PARITY))
-    )
-    rest = saved(rest.join(words, rest.node == words.digest).drop("digest"), "apart")
-    differ = " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(PARITY))
-    return (
-        rest.alias("a")
+    rest = parted.join(open_items, "item").drop("n")
+    rest = saved(rest.join(parities, rest.node == parities.digest).drop("digest"), "apart")
+    pairs = (
+        rest.where(early)
+        .alias("a")
         .join(
             rest.alias("b"),
             F.expr(
                 f"a.item = b.item AND a.root <> b.root AND (a.n < b.n OR a.n = b.n AND a.node < b.node)"
-                f" AND {_may_link(percent)} AND (100 + {percent}) * ({differ}) <= {100 - percent} * (a.n + b.n)"
+                f" AND {_may_link(percent)} AND {_near(percent)}"
             ),
         )
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        .select(
+            F.least("a.node", "b.node").alias("a"),
+            F.greatest("a.node", "b.node").alias("b"),
+            F.expr(_differ()).alias("differ"),
+        )
         .distinct()
     )
+    return saved(pairs, "apart-pairs")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For every set in ``pairs(a, b, differ)`` the pair with the set that differs least."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+    best = both.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -268,6 +300,7 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         .where("sets > 1")
         .select("item", "l.node", "l.n", "l.at")
     )
+    parities = _parities(table)
     smaller = "(a.n < b.n OR a.n = b.n AND a.node < b.node)"
     star = saved(
         buckets.alias("a")
@@ -276,19 +309,31 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         .where(
             F.expr(f"CASE WHEN {smaller} THEN {_may_link(percent)} ELSE {_may_link(percent, 'b', 'a')} END")
         )
-        .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        .distinct(),
+        .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"))
+        .distinct()
+        .join(parities.alias("a"), F.expr("x = a.digest"))
+        .join(parities.alias("b"), F.expr(f"y = b.digest AND {_near(percent)}"))
+        .select(F.col("x").alias("a"), F.col("y").alias("b")),
         "star",
     )
     links = saved(_verified(star, texts, table, width, percent), "links")
     roots = components(links)
-    more = _apart(buckets, roots, table, percent)
-    more = saved(
-        more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(star, ["a", "b"], "left_anti"),
-        "apart-pairs",
-    )
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, table, width, percent))
+    # What is still apart: first each set with its nearest, so that families grow together, then the rest.
+    tested, pairs = star, _apart(buckets, roots, parities, percent)
+    for choose in (_nearest, lambda left: left.select("a", "b")):
+        of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+        left = (
+            pairs.join(of_a, "a", "left")
+            .join(of_b, "b", "left")
+            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+            .select("a", "b", "differ")
+            .join(tested, ["a", "b"], "left_anti")
+        )
+        chosen = saved(choose(saved(left, "left")), "chosen")
+        if chosen.isEmpty():
+            break
+        tested = tested.unionByName(chosen)
+        links = saved(links.unionByName(_verified(chosen, texts, table, width, percent)), "links")
         roots = components(links)
     firsts = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"))
     rooted = firsts.join(roots, F.col("digest") == F.col("node"), "left").select(
