@@ -151,6 +151,11 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> str:
     )
 
 
+def _early(percent: int) -> str:
+    """The place that the smaller set of a linked pair can have; the larger may have any place in its prefix."""
+    return f"(100 + {percent}) * (n - at) >= {2 * percent} * n"
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of set digests whose summed fragment overlaps reach the threshold."""
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
@@ -236,8 +241,7 @@ def _apart(buckets: DataFrame, roots: DataFrame, parities: DataFrame, percent: i
     parted = buckets.join(roots, buckets.node == roots.node, "left").select(
         "item", buckets.node, "n", "at", F.coalesce("root", buckets.node).alias("root")
     )
-    # The place that the smaller set of a linked pair can have; the larger set may have any place in its prefix.
-    early = f"(100 + {percent}) * (n - at) >= {2 * percent} * n"
+    early = _early(percent)
     open_items = (
         parted.groupBy("item")
         .agg(
@@ -287,13 +291,29 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     )
     frequent = _frequent(texts.select("text"), width)
     table = saved(_prefixes(texts, width, percent, frequent), "prefixes")
+    # What two sets share and their sizes and places allow is seen from sums over the bucket, without its rows.
+    held = table.select(F.posexplode("prefix").alias("at", "item"), F.col("digest").alias("node"), "n")
     shared = (
-        table.select(F.explode("prefix").alias("item"), F.col("digest").alias("node"))
-        .groupBy("item")
-        .agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .where("lo <> hi")
+        held.groupBy("item")
+        .agg(
+            F.min("node").alias("x"),
+            F.max("node").alias("y"),
+            F.min("n").alias("smallest"),
+            F.max("n").alias("largest"),
+            F.min(F.col("n") - F.col("at")).alias("room"),
+            F.count("*").alias("sets"),
+            F.max(F.expr(_early(percent))).alias("early"),
+        )
+        .where("x <> y AND early")
+        .select("item", "x", "y", "smallest", "largest", "room", "sets")
     )
-    buckets = saved(_buckets(table.where("prefix IS NOT NULL"), key_bits(shared, "item", BITS)), "buckets")
+    shared = saved(shared, "shared")
+    twos = shared.where(
+        f"sets = 2 AND 100 * smallest >= {percent} * largest"
+        f" AND (100 + {percent}) * room >= {percent} * (smallest + largest)"
+    ).select("x", "y")
+    several = key_bits(shared.where("sets > 2"), "item", BITS)
+    buckets = saved(_buckets(table.where("prefix IS NOT NULL"), several), "buckets")
     leaders = (
         buckets.groupBy("item")
         .agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "at")).alias("l"), F.count("*").alias("sets"))
@@ -310,6 +330,7 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
             F.expr(f"CASE WHEN {smaller} THEN {_may_link(percent)} ELSE {_may_link(percent, 'b', 'a')} END")
         )
         .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"))
+        .unionByName(twos)
         .distinct()
         .join(parities.alias("a"), F.expr("x = a.digest"))
         .join(parities.alias("b"), F.expr(f"y = b.digest AND {_near(percent)}"))
