@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,6 +132,30 @@ def test_licences_and_notices(spark):
     assert license_scan.license_scan(df.limit(0)).collect() == []
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.fill(x, width, break_on_hyphens=False) for x in text.split("\n"))
+
+
+def test_licences_are_found_however_they_are_wrapped(spark):
+    joined = {k: " ".join(v.split()) for k, v in license_scan.TEXTS.items()}
+    holder = "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n"
+    forms = [(k, holder + wrapped(v, w)) for k, v in joined.items() for w in (10**6, 41, 66, 79)]
+    usual = joined["MIT"].replace("AUTHORS OR COPYRIGHT", "AUTHORS\nOR COPYRIGHT").replace("OR COPYRIGHT", "OR\nCOPYRIGHT")
+    rows = [(i, k, t) for i, (k, t) in enumerate([*forms, ("MIT", usual), ("MIT", joined["MIT"])])]
+    df = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    got = license_scan.license_scan(df).collect()
+    assert {r.doc_id: r.license for r in got} == {i: k for i, k, _ in rows}
+
+
+def test_only_holder_lines_are_taken_off(spark):
+    prose = ["copyright law applies", "(c) You must retain it", "All rights reserved by law stay", "copyright holders agree"]
+    holders = ["Copyright 2020 A", "# Copyright (C) B", "// © 2021 C", "(c) 1999 D", "Copyright by E", "All rights reserved.", "Copyright [yyyy] [name]"]
+    rows = [(i, f"one\n{x}\ntwo") for i, x in enumerate([*prose, *holders])]
+    df = spark.createDataFrame(rows, "i long, text string").select("i", license_scan.canonical(F.col("text")).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    assert all((got[i] != "one two") == (i < len(prose)) for i in got)
+
+
 def test_registered_mixing_and_licences(spark, folder, docs):
     assert queries.op3_license_scan(spark, folder).count() == docs.count()
     assert queries.op6_mixing(spark, folder).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

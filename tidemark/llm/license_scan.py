@@ -69,18 +69,26 @@ NOTICES = {
     "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
     "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
 }
-#: Lines that only say who holds the rights, in lower case.
-_COPYRIGHT = r"(?m)^[\x20\t#*/;-]*(copyright|\(c\)|©|all rights reserved|spdx-filecopyrighttext)[^\n]*$"
+_YEAR = r"(?:[0-9]{4}|[<\[{(]+(?:yyyy|year|dates?)\b)"
+#: Lines that only say who holds the rights, in lower case. Prose that a wrapped line begins with is none.
+_COPYRIGHT = (
+    rf"(?m)^[\x20\t#*/;-]*(?:copyright:?[\x20\t]*(?:\(c\)|©|{_YEAR}|by\b)|(?:\(c\)|©)[\x20\t]*(?:copyright\b|{_YEAR})"
+    r"|spdx-filecopyrighttext)[^\n]*$|(?m)^[\x20\t#*/;-]*all rights reserved[\x20\t\r.*/#-]*$"
+)
+#: White space, with what begins a line of a comment.
+_BREAK = r"[\x00-\x20]*\n[\x00-\x20#*/;-]*|[\x00-\x20]+"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, and runs of ASCII letters, digits and other scripts' characters.
 
-    Case is folded for A-Z only, so that every engine folds alike. Null is empty.
+    Case is folded for A-Z only, so that every engine folds alike. Lines are joined before spellings are unified, so the
+    form does not depend on where a text is wrapped. Null is empty.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     out = F.translate(F.coalesce(text.cast("string"), F.lit("")), upper, lower)
     out = F.regexp_replace(out, _COPYRIGHT, "")
+    out = F.regexp_replace(out, _BREAK, " ")
     for pattern, form in SPELLINGS.items():
         out = F.regexp_replace(out, pattern, form)
     return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
