@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,33 @@ def test_only_holder_lines_are_taken_off(spark):
     assert all((got[i] != "one two") == (i < len(prose)) for i in got)
 
 
+def test_titles_and_holders_do_not_matter(spark):
+    rows = [(k, f"# {title}\n\nCopyright (c) 2020 A\n\n{license_scan.TEXTS[k]}") for k, titles in license_scan.TITLES.items() for title in titles]
+    bsd = license_scan.TEXTS["BSD-3-Clause"].replace("3. Neither", "  * Neither").replace("the copyright holder nor", "Foo Inc. nor")
+    rows += [("BSD-3-Clause", bsd.replace("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "BY FOO INC."))]
+    rows += [("MIT", license_scan.TEXTS["MIT"].replace('"', "\u201d")), ("", "MIT License"), ("", "The BSD License\n" + bsd + " More.")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, want string, text string")
+    got = {r.doc_id: r.license or "" for r in license_scan.license_scan(df).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(rows)}
+
+
+STANDARD = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/MPL-2.0").exists(), reason="no standard texts on this system")
+def test_long_texts_are_known(spark):
+    files = {k: Path("/usr/share/common-licenses", v).read_text() for k, v in STANDARD.items()}
+    rows = [(k, t) for k, t in files.items()] + [("Apache-2.0", files["Apache-2.0"].split("      APPENDIX")[0])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, want string, text string")
+    assert {r.doc_id: r.license for r in license_scan.license_scan(df).collect()} == {i: k for i, (k, _) in enumerate(rows)}
+
+
+def test_lines_are_filtered_by_the_given_notices(spark):
+    notices = {"X": "Public domain work.", "Y": "Version 3"}
+    df = spark.createDataFrame([(1, "a\n-- " + "-" * 400 + " PUBLIC domain: work\nver. 3"), (2, "public work")], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in license_scan.license_scan(df, notices=notices).collect()} == {1: "X,Y", 2: ""}
+
+
 def test_registered_mixing_and_licences(spark, folder, docs):
     assert queries.op3_license_scan(spark, folder).count() == docs.count()
     assert queries.op6_mixing(spark, folder).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
