@@ -85,6 +85,19 @@ def test_boilerplate_lines_deplete_documents(spark):
     assert got[200] == (True, 0) and got[300] == (True, 0) and got[400] == (True, 0)
 
 
+def test_copies_do_not_change_verdicts_on_lines(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda i: " ".join(f"w{i}x{j}".translate(letters) for j in range(60))
+    rows = [(i, ("menu of the site\n" if i < 30 else "") + own(i), "host") for i in range(100)]
+    more = [(1000 + i, own(99), "host") for i in range(300)] + [(2000 + i, x, "host") for i in range(300) for x in (None, "", " \n")]
+    verdicts = []
+    for table in (rows, rows + more):
+        df = spark.createDataFrame(table, "doc_id long, text string, source string")
+        got = line_quality(df, max_share=0.2).where("doc_id < 100").collect()
+        verdicts.append(sorted((r.doc_id, r.kept, r.n_line_words) for r in got))
+    assert verdicts[0] == verdicts[1] and verdicts[1][0][2] == 4
+
+
 def test_token_counts_equal_the_library(spark, docs, folder):
     import sentencepiece
 

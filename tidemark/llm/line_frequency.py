@@ -81,8 +81,8 @@ def line_quality(
     """Base counts, ``n_line_words`` (words in boilerplate lines), ``base_failed`` and ``kept`` for every row.
 
     Lines are lower-cased, white space and digits unified, and hashed. A line is boilerplate if more than ``max_docs``
-    distinct documents of its host have it, and more than ``max_share`` of them; equal texts are one document. Null
-    hosts are one host. Null and empty texts have no words and are not kept. Repeated rows come back as often as given.
+    distinct documents of its host have it, and more than ``max_share`` of its distinct documents, so the larger of the
+    two limits rules; equal texts are one document, and texts without words are none. Null hosts are one host. Null and empty texts have no words and are not kept. Repeated rows come back as often as given.
     """
     texts = _texts(docs, id_col, text_col, host_col)
     normal = F.regexp_replace(F.regexp_replace(F.lower(F.trim("line")), _SPACE, " "), "[0-9]+", "0")
@@ -90,7 +90,9 @@ def line_quality(
         texts.select("id", "host", "key", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))).alias("line"))
         .select("id", "host", "key", F.xxhash64(normal).alias("hash"), F.size(F.array_remove(F.split("line", _SPACE), "")).alias("n"))
     )
-    hosts = texts.groupBy("host").agg(F.count("*").alias("texts"))
+    # Copies and texts without words are no documents of their own, here as in the counts of lines.
+    worded = texts.where(F.col("text").rlike(_WORD)).select("host", "key").distinct()
+    hosts = worded.groupBy("host").agg(F.count("*").alias("texts"))
     frequent = (
         lines.select("host", "hash", "key")
         .distinct()
