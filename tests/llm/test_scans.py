@@ -56,6 +56,17 @@ def test_widely_copied_secrets_are_examples(spark):
     assert texts[99] == f"my [SECRET] and token: {shared}" and texts[0] == rows[0][1] and len(texts) == 31
 
 
+def test_keys_in_many_documents_of_one_source_are_examples(spark):
+    example, own = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "Zx9QWw8Er7Ty6Ui5Op4Lk3"
+    rows = [(i, f"text {i} has token={example}", "hot") for i in range(31)] + [(100 + i, f"my {own} here", "hot") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {(r.kind, r.live, r.owners, r.repositories) for r in secret_scan.secret_spans(df).collect()}
+    assert found == {("assign", False, 1, 31), ("hex", False, 1, 31), ("owned", True, 1, 1)}
+    assert {r.repositories for r in secret_scan.secret_spans(df, repository_col="doc_id").where("kind = 'owned'").collect()} == set()
+    texts = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert texts[0] == rows[0][1] and texts[100] == "my [SECRET] here"
+
+
 def test_line_quality_counts(spark, docs):
     got = line_quality(docs).collect()
     want = []

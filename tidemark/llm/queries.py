@@ -79,7 +79,7 @@ def op9_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Secrets in ``documents``; each document is a repository and its source the owner."""
+    """Secrets in ``documents``; each distinct text is a repository and its source the owner."""
     found = secret_scan.scan_documents(table(spark, folder, "documents"))
     return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
 

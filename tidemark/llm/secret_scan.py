@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidates in every text. Each candidate's hash is counted over distinct repositories and owners: what many
-owners carry is a copied example, what few own and what looks random is a live credential.
+owners or very many repositories carry is a copied example, what few own and what looks random is a live credential.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ KINDS = {
 EXTRA = {"owned": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0, 20)}
 #: A candidate in the hands of more owners than this is a copied example.
 MAX_OWNERS = 3
+#: So is one in more repositories than this, however few their owners.
+MAX_REPOSITORIES = 30
 #: Distinct characters that a random-looking credential has at least.
 MIN_CHARACTERS = 8
 _MATCH = "struct<kind:int,nth:int,gap:int,whole:int,value:string>"
@@ -63,24 +65,27 @@ def secret_spans(
     owner_col: str = "source",
     repository_col: str | None = None,
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """``(id, text_key, kind, start, end, hash, owners, repositories, live)``: one row per span and distinct text of an id.
 
     Places count code points, ends exclusive. All matches of the base kinds are spans; runs of credential characters
-    outside them are spans of the kind ``owned`` if they are live: no more than ``max_owners`` distinct owners have
-    them, and they hold a digit, a letter and MIN_CHARACTERS distinct characters. Without ``repository_col`` each
-    document is a repository. Owners and repositories that are null count as one. Null and empty texts have no
+    outside them are spans of the kind ``owned`` if they are live: no more than ``max_owners`` distinct owners and
+    ``max_repositories`` distinct repositories have them, and they hold a digit, a letter and MIN_CHARACTERS distinct
+    characters. Without ``repository_col`` each distinct text is a repository, so copies of a document add none. Owners and repositories that are null count as one. Null and empty texts have no
     spans; ``text_key`` is xxhash64 of the text, so rows of one id with different texts stay apart.
     """
     kinds = KINDS | EXTRA
     text = F.col("text")
+    given = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The owner goes by a name that no column of the table can clash with.
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        given.alias("text"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repository_col or id_col).cast("string"), F.lit("")).alias("repository"),
-    ).select("*", F.xxhash64("text").alias("text_key"))
+        (F.coalesce(F.col(repository_col).cast("string"), F.lit("")) if repository_col else F.xxhash64(given)).alias("repository"),
+        F.xxhash64(given).alias("text_key"),
+    )
     found = F.concat(*(_matches(text, n, p, g) for n, (p, g, _) in enumerate(kinds.values())))
     each = (
         rows.select("id", "text_key", "owner", "repository", F.explode(found).alias("m"))
@@ -110,7 +115,7 @@ def secret_spans(
         .withColumn("start", F.col("end") - F.col("whole"))
         .where("fits")
         .join(owned, "hash")
-        .withColumn("live", (F.col("owners") <= max_owners) & F.col("random"))
+        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories) & F.col("random"))
     )
     base = F.col("kind") < len(KINDS)
     by_place = Window.partitionBy("id", "text_key").orderBy("start", "kind")
