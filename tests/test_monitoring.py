@@ -128,6 +128,16 @@ def skew(spark, online, offline):
     return health.skew_report(pairs, ["f"]).first()
 
 
+def test_gaps_of_one_last_bit_are_summed(spark):
+    rate = 0.013
+    above = math.nextafter(rate, 1)
+    rows = [("a", above, rate, "matched"), ("b", rate, rate, "matched"), ("c", 1e-30, 0.0, "matched")]
+    pairs = spark.createDataFrame(rows, "entity_id string, f__online double, f__offline double, side string")
+    got = health.skew_report(pairs, ["f"]).first()
+    assert got["n_compared"] == 3
+    assert got["skew"] == pytest.approx(((above - rate + 1e-30) / 3) / (2 * rate / 3 + 1e-9), rel=1e-12, abs=0)
+
+
 def test_skew(spark):
     same = skew(spark, [("a", 1.0)], [("a", 1.0)])
     assert same["skew"] == 0.0 and not same["alert"]

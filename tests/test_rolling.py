@@ -155,6 +155,17 @@ def test_small_amounts_keep_their_digits(spark):
     assert last["txn_amount_avg_30d"] == pytest.approx(0.00004, rel=1e-12)
 
 
+def test_tiny_amounts_and_squares_are_summed(spark):
+    amounts = [2e-12, 4e-12, -3e-20, 5.0]
+    rows = [(i, "u", None, a, BASE + timedelta(days=15 * i)) for i, a in enumerate(amounts)]
+    out = rolling_features(spark.createDataFrame(rows, SCHEMA), ["user_id"], timedelta(days=16), spread=True)
+    got = {r["id"]: r for r in out.collect()}
+    assert got[0]["txn_amount_sum_30d"] == 2e-12
+    assert got[1]["txn_amount_std_30d"] == pytest.approx(statistics.stdev(amounts[:2]), rel=1e-9, abs=0)
+    assert got[2]["txn_amount_sum_30d"] == pytest.approx(4e-12 - 3e-20, rel=1e-12, abs=0)
+    assert got[3]["txn_amount_sum_30d"] == 5.0
+
+
 def test_large_and_negative_amounts_sum_exactly(spark):
     amounts = [3e14, -3e14, 0.1, 2.0**60, -(2.0**60), -0.25]
     rows = [(i, "u", None, a, BASE + timedelta(hours=i)) for i, a in enumerate(amounts)]

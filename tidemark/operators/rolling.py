@@ -80,9 +80,10 @@ def rolling_features(
         value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
         deltas["_n"] = F.lit(1).cast("long")
         deltas["_valued"] = F.col(amount).isNotNull().cast("long")
-        deltas["_whole"], deltas["_part"] = limbs(value)
+        deltas["_whole"], deltas["_part"], deltas["_tiny"] = limbs(value)
         if spread:
-            deltas["_square_whole"], deltas["_square_part"] = limbs(value * value)
+            names = ("_square_whole", "_square_part", "_square_tiny")
+            deltas |= dict(zip(names, limbs(value * value)))
     out_rows = txns if probes is None else probes
     if probes is None and deltas:
         rows = _ledger(txns, keys, event_ts, width, deltas, F.struct(*txns.columns))
@@ -182,14 +183,16 @@ def _presence_changes(
 
 
 def _total_columns(prefix: str, suffix: str, spread: bool) -> dict[str, Column]:
-    total, valued = joined(F.col("_whole_run"), F.col("_part_run")), F.col("_valued_run")
+    total, valued = joined(*map(F.col, ("_whole_run", "_part_run", "_tiny_run"))), F.col("_valued_run")
     added = {
         f"{prefix}_count_{suffix}": F.coalesce("_n_run", F.lit(0)),
         f"{prefix}_amount_sum_{suffix}": F.when(valued > 0, total),
         f"{prefix}_amount_avg_{suffix}": F.when(valued > 0, total / valued),
     }
     if spread:
-        squares = valued * joined(F.col("_square_whole_run"), F.col("_square_part_run"))
+        squares = valued * joined(
+            *map(F.col, ("_square_whole_run", "_square_part_run", "_square_tiny_run"))
+        )
         spread_out = squares - total * total
         # Equal amounts give exactly 0: what is left of them after subtraction is noise.
         numerator = F.when(spread_out > NOISE * squares, spread_out).otherwise(0.0)

@@ -1,7 +1,8 @@
 """Sums of doubles that lose no digits, in any order and with values taken out again.
 
 A double is split at its decimal point: the whole part and the fraction are summed as two decimals. Whole parts may sum
-up to 1e38 and fractions are kept to 26 places. What does not fit is an error, never a rounded result.
+up to 1e38 and fractions are kept to 26 places; a sum that does not fit is an error. Values too small for those places are
+summed as a third decimal, times a power of two, which keeps them to 44 places; what is smaller still counts as 0.
 """
 
 from __future__ import annotations
@@ -12,28 +13,34 @@ from pyspark.sql import functions as F
 WHOLE, PART = "decimal(38,0)", "decimal(38,26)"
 #: From here on a double has no fraction.
 _NO_FRACTION = float(2**52)
-#: Smaller magnitudes would keep fewer than nine digits.
+#: Smaller magnitudes would keep fewer than nine digits as fractions.
 LEAST = 1e-17
+#: Those are multiplied by this power of two, which is exact, and summed with 8 places.
+TINY, SCALE = "decimal(38,8)", float(2**120)
 
 
-def limbs(value: Column) -> tuple[Column, Column]:
-    """Whole part and fraction of a double as decimals, both with its sign; null gives nulls."""
+def limbs(value: Column) -> tuple[Column, Column, Column]:
+    """Whole part, fraction and scaled tiny value of a double as decimals, with its sign; null gives nulls."""
     x = value.cast("double")
     size = F.abs(x)
     near = F.when(x < 0, -F.floor(-x)).otherwise(F.floor(x))
     fits = size < _NO_FRACTION
     whole = F.when(fits, near.cast(WHOLE)).otherwise(x.cast(WHOLE))
-    lost = F.raise_error(F.concat(F.lit("too small to be summed without loss: "), x.cast("string"))).cast(PART)
-    part = F.when((size > 0) & (size < LEAST), lost).when(fits, (x - near.cast("double")).cast(PART))
-    return whole, F.when(x.isNotNull(), F.coalesce(part, F.lit(0).cast(PART)))
+    part = F.when(fits & (size >= LEAST), (x - near.cast("double")).cast(PART))
+    tiny = F.when(size < LEAST, (x * F.lit(SCALE)).cast(TINY))
+    known = x.isNotNull()
+    return (
+        whole,
+        F.when(known, F.coalesce(part, F.lit(0).cast(PART))),
+        F.when(known, F.coalesce(tiny, F.lit(0).cast(TINY))),
+    )
 
 
-def joined(whole: Column, part: Column) -> Column:
-    """The double that two summed limbs stand for."""
-    return whole.cast("double") + part.cast("double")
+def joined(whole: Column, part: Column, tiny: Column) -> Column:
+    """The double that three summed limbs stand for."""
+    return whole.cast("double") + part.cast("double") + tiny.cast("double") / F.lit(SCALE)
 
 
 def exact_sum(column: str | Column) -> Column:
     """Order-independent sum of a double column."""
-    whole, part = limbs(F.col(column) if isinstance(column, str) else column)
-    return joined(F.sum(whole), F.sum(part))
+    return joined(*map(F.sum, limbs(F.col(column) if isinstance(column, str) else column)))
