@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import packing, queries, secret_scan, token_counts
+from tidemark.llm import common, packing, queries, secret_scan, token_counts
 from tidemark.llm.line_frequency import line_quality
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -67,6 +67,16 @@ def test_keys_in_many_documents_of_one_source_are_examples(spark):
     assert texts[0] == rows[0][1] and texts[100] == "my [SECRET] here"
 
 
+def test_redaction_broadcasts_few_spans_only(spark, monkeypatch):
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(10)]
+    df = spark.createDataFrame([(1, " x ".join(keys), "me")], "doc_id long, text string, source string")
+    for rows, hinted in ((5, False), (50, True)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        out = secret_scan.redact(df)
+        assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == hinted
+        assert out.first().text == " x ".join(["[SECRET]"] * 10)
+
+
 def test_line_quality_counts(spark, docs):
     got = line_quality(docs).collect()
     want = []

@@ -78,13 +78,14 @@ def in_bits(flat: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (flat[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, items: Column | None = None) -> DataFrame:
     """A narrow frame, written to the shared folder and marked for broadcast if it has few rows by an actual count.
 
-    A larger one is left for Spark to join by a shuffle.
+    Rows that hold arrays count as many as ``items`` says. A larger frame is left for Spark to join by a shuffle.
     """
     kept = saved(df, "small")
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    many = kept.count() if items is None else kept.agg(F.sum(items)).first()[0] or 0
+    return F.broadcast(kept) if many <= BROADCAST_ROWS else kept
 
 
 def text_bytes(column: str | Column) -> Column:

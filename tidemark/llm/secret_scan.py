@@ -192,7 +192,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
         ),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
     )
-    out = docs.join(small(live), same, "left").withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut))
+    out = docs.join(small(live, F.size("_spans") + 1), same, "left").withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut))
     if "n_chars" in docs.columns:
         kept = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col))
         out = out.withColumn("n_chars", kept.cast(docs.schema["n_chars"].dataType))
