@@ -13,7 +13,9 @@ from tidemark.llm import (
     line_frequency,
     mixing,
     packing,
+    ranked_search,
     secret_scan,
+    spelling,
     token_counts,
     toxicity,
 )
@@ -84,6 +86,16 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of ``documents``, some misspelt by rule, with the frequent words they are variants of."""
+    return spelling.spelling_variants(spelling.noisy_word_counts(table(spark, folder, "documents")))
+
+
+def op12_best_position(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 ``documents`` that rank highest for each ``benchmark`` item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -97,6 +109,32 @@ QUERIES = {
         op8_language_id,
         op9_best_two_fit,
         op10_secret_scan,
+        op11_spelling_variants,
+        op12_best_position,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_TERMS = r"""unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+ORACLES: dict[str, str] = {
+    "op12_best_position": f"""
+WITH words AS (SELECT doc_id, {_TERMS} FROM documents),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+sizes AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM lengths, corpus),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM postings, corpus GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id)
+    GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+""",
+}
