@@ -13,6 +13,7 @@ from tidemark.llm import (
     line_frequency,
     mixing,
     packing,
+    pitman_yor,
     ranked_search,
     secret_scan,
     spelling,
@@ -96,6 +97,11 @@ def op12_best_position(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
 
 
+def op13_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probabilities of ``documents`` under a Pitman-Yor model of the rows outside the held-out fold."""
+    return pitman_yor.corpus_scores(table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -111,6 +117,7 @@ QUERIES = {
         op10_secret_scan,
         op11_spelling_variants,
         op12_best_position,
+        op13_pitman_yor,
     )
 }
 
