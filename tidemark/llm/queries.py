@@ -126,6 +126,47 @@ _TERMS = r"""unnest(regexp_extract_all(
         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
 
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc_steps AS (
+    SELECT i, 0 AS step, i::UBIGINT AS c FROM range(256) t(i)
+    UNION ALL
+    SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END
+    FROM crc_steps WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crc FROM crc_steps WHERE step = 8),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL HAVING length(run) >= 7),
+hashed AS (
+    SELECT run, n, xor(list_reduce(
+        [4294967295::UBIGINT] || list_transform(
+            string_split(trim(regexp_replace(hex(encode(doc_id || ':' || run)), '(..)', '\1 ', 'g')), ' '),
+            lambda x: ('0x' || x)::UBIGINT),
+        lambda c, b: xor(c >> 8, crc[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS h
+    FROM counted, crc_table),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, i, word[:i] || word[i + 2:] AS gap FROM words, unnest(range(length(word))) t(i)),
+pairs AS (
+    SELECT a.word, b.word AS near FROM gaps a JOIN gaps b ON a.i = b.i AND a.gap = b.gap AND a.word <> b.word
+    UNION SELECT word, gap FROM gaps SEMI JOIN words w ON gap = w.word
+    UNION SELECT gap, word FROM gaps SEMI JOIN words w ON gap = w.word),
+nears AS (
+    SELECT p.word, count(*) AS n_near, max(w.n) AS most, arg_min(near, (-w.n, near)) AS best
+    FROM pairs p JOIN words w ON w.word = near GROUP BY p.word),
+forms AS (
+    SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * n THEN best END AS form,
+        CASE WHEN most >= 10 * n THEN most END AS form_n
+    FROM words LEFT JOIN nears USING (word)),
+chains AS (
+    SELECT word, word AS tip, 0 AS step FROM forms
+    UNION ALL SELECT c.word, f.form, step + 1 FROM chains c JOIN forms f ON f.word = c.tip WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(tip, step) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+""",
     "op12_best_position": f"""
 WITH words AS (SELECT doc_id, {_TERMS} FROM documents),
 asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
