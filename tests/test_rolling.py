@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import day, shuffles
 from tidemark.operators.batch_features import user_activity_by_day, user_peaks
+from tidemark.operators.sums import double_sum
 from tidemark.operators.rolling import (
     amount_zscores,
     rolling_features,
@@ -182,3 +183,47 @@ def test_gaps_are_the_same_however_keys_are_split(spark, rows_per_slice):
     out = seconds_since_previous(df, ["user_id"], tie="id", rows_per_slice=rows_per_slice)
     gaps = [r["seconds_since_prev_txn"] for r in out.collect()]
     assert gaps.count(None) == 1 and gaps.count(0) == 79 + 30 and gaps.count(86400) == 10
+
+
+@pytest.mark.parametrize("rows_per_slice", [None, 2, 5])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_special_values_leave_with_their_rows(spark, rows_per_slice, ansi):
+    """Windows of three rows: NaN, infinities and 1e39 count only while they are inside."""
+    nan, inf = float("nan"), float("inf")
+    amounts = [1.0, nan, 2.0, 3.0, 4.0, inf, 5.0, -inf, 6.0, 7.0, 8.0, 1e39, 1.0, None, 0.5, 0.25]
+    rows = [(i, "u", None, a, BASE + timedelta(hours=i)) for i, a in enumerate(amounts)]
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame(rows, SCHEMA)
+        out = rolling_features(df, ["user_id"], timedelta(hours=2), rows_per_slice=rows_per_slice)
+        got = {r["id"]: r["txn_amount_sum_30d"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    for i in range(len(amounts)):
+        want = sum(a for a in amounts[max(0, i - 2) : i + 1] if a is not None)
+        assert got[i] == pytest.approx(want, rel=1e-15, nan_ok=True)
+
+
+@pytest.mark.parametrize("rows_per_slice", [None, 2])
+def test_spread_far_from_zero(spark, rows_per_slice):
+    for amounts in ([1e9, 1e9 + 1, 1e9 + 2], [1e8, 1e8 + 0.5, 1e8 + 1], [-1e12, -1e12 + 0.25, -1e12 - 0.25] * 4, [1e15] * 5):
+        rows = [(i, "u", None, a, BASE + timedelta(hours=i)) for i, a in enumerate([5.0, -7e14, *amounts])]
+        rows = [(i, u, m, a, t if i > 1 else t - timedelta(days=40)) for i, u, m, a, t in rows]
+        df = spark.createDataFrame(rows, SCHEMA)
+        out = rolling_features(df, ["user_id"], timedelta(days=30), spread=True, rows_per_slice=rows_per_slice)
+        last = out.where(F.col("id") == len(rows) - 1).first()
+        assert last["txn_amount_std_30d"] == pytest.approx(statistics.stdev(amounts), rel=1e-9)
+
+
+def test_sums_beyond_the_limbs_are_an_error(spark):
+    df = spark.createDataFrame([(1, "u", None, 1e60, BASE)], SCHEMA)
+    with pytest.raises(Exception, match="beyond"):
+        rolling_features(df, ["user_id"], timedelta(days=1)).collect()
+
+
+def test_plain_sums_have_special_values(spark):
+    nan, inf = float("nan"), float("inf")
+    for values in ([1.0, nan], [1.0, inf], [inf, -inf], [1e39, 1.0], [0.1] * 10, [None], [None, 2.5], [2.0**60, 0.5, -(2.0**60)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got, plain_sum = df.agg(double_sum("x"), F.sum("x")).first()
+        assert got == plain_sum or got == pytest.approx(plain_sum, rel=1e-15, nan_ok=True) or values[0] == 2.0**60

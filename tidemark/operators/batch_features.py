@@ -20,7 +20,7 @@ from tidemark.operators.rolling import (
     rolling_features,
     seconds_since_previous,
 )
-from tidemark.operators.sums import exact_sum
+from tidemark.operators.sums import double_sum
 from tidemark.sources.feature_table import instant, with_partition
 
 MONTH, QUARTER = timedelta(days=30), timedelta(days=90)
@@ -64,7 +64,7 @@ def user_features(
         .agg(
             F.datediff(instant(as_of), F.min("event_ts")).cast("long").alias("account_age_days"),
             _count_if(month).alias("txn_count_30d"),
-            F.coalesce(exact_sum(amount), F.lit(0.0)).alias("txn_amount_sum_30d"),
+            F.coalesce(double_sum(amount), F.lit(0.0)).alias("txn_amount_sum_30d"),
             F.count(amount).alias("_valued"),
             F.count_distinct(F.when(month, F.col("merchant_id"))).alias("distinct_merchants_30d"),
             chargeback_rate(
@@ -101,7 +101,7 @@ def pair_features(txns: DataFrame, as_of: datetime, *, created: datetime | None
         .groupBy("user_id", "merchant_id")
         .agg(
             F.count(F.lit(1)).alias("pair_txn_count_90d"),
-            exact_sum("amount").alias("pair_amount_sum_90d"),
+            double_sum("amount").alias("pair_amount_sum_90d"),
             F.max_by("amount", F.struct("event_ts", "transaction_id")).alias("pair_last_amount"),
         )
         .withColumn(
@@ -123,7 +123,7 @@ def merchant_features(
         .groupBy(F.col("merchant_id").alias("entity_id"))
         .agg(
             F.datediff(instant(as_of), F.min("event_ts")).cast("long").alias("merchant_age_days"),
-            (exact_sum("amount") / F.nullif(F.count("amount"), F.lit(0))).alias("avg_ticket_size"),
+            (double_sum("amount") / F.nullif(F.count("amount"), F.lit(0))).alias("avg_ticket_size"),
             chargeback_rate(_count_if(month & F.col("is_refund")), _count_if(month)).alias(
                 "refund_rate_30d"
             ),

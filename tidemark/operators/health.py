@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import parse_duration
 from tidemark.operators.asof import RESERVED
 from tidemark.operators.ranks import exact_quantiles
-from tidemark.operators.sums import exact_sum
+from tidemark.operators.sums import double_sum
 from tidemark.sources.feature_table import instant
 
 # Thresholds and the guard against a zero mean.
@@ -85,8 +85,8 @@ def skew_report(pairs: DataFrame, features: Sequence[str], limit: float = SKEW_L
         usable = matched & a.isNotNull() & b.isNotNull()
         n = F.count(F.when(usable, 1))
         per_row = F.nullif(n, F.lit(0))
-        gap = exact_sum(F.when(usable, F.abs(a - b))) / per_row
-        mean = exact_sum(F.when(usable, b)) / per_row
+        gap = double_sum(F.when(usable, F.abs(a - b))) / per_row
+        mean = double_sum(F.when(usable, b)) / per_row
         skew = F.coalesce(gap / (F.abs(mean) + F.lit(SKEW_EPSILON)), F.lit(0.0))
         aggregates.append(
             F.struct(F.lit(f).alias("feature"), skew.alias("skew"), n.alias("n_compared")).alias(f)

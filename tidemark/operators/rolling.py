@@ -3,7 +3,8 @@
 A window that slides with every event is two running sums: each event adds at its own time and
 subtracts again just after ``ts + width``. That costs one sort however long or crowded the window
 is, whereas a RANGE frame re-aggregates every frame. Sums run on decimal limbs (see ``sums``), so
-taking values out again is exact; sums of amounts or squares beyond 1e38 fail rather than round.
+taking values out again is exact, and NaN and infinities leave with their row. Squares are summed
+without rounding, so a deviation is right down to some 1e-14 of the mean.
 """
 
 from __future__ import annotations
@@ -19,10 +20,7 @@ from tidemark.functions.scalars import amount_zscore, velocity
 from tidemark.operators.asof import micros
 from tidemark.operators.scan import Total, neighbours, ordered_scan
 from tidemark.operators.slices import ROWS_PER_SLICE, Slices, plan_slices
-from tidemark.operators.sums import joined, limbs
-
-#: Relative spread of squares below which doubles can't tell a variance from 0.
-NOISE = 4e-15
+from tidemark.operators.sums import PARTS, SUMMED, joined, with_limbs, with_variance
 
 
 def plan_window_slices(
@@ -75,24 +73,21 @@ def rolling_features(
         slices = plan_window_slices(
             txns, keys, width, event_ts=event_ts, probes=probes, rows_per_slice=rows_per_slice
         )
-    deltas: dict[str, Column] = {}
+    deltas: list[str] = []
+    valued = txns
     if amount is not None:
-        value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
-        deltas["_n"] = F.lit(1).cast("long")
-        deltas["_valued"] = F.col(amount).isNotNull().cast("long")
-        deltas["_whole"], deltas["_part"], deltas["_tiny"] = limbs(value)
-        if spread:
-            names = ("_square_whole", "_square_part", "_square_tiny")
-            deltas |= dict(zip(names, limbs(value * value)))
+        one = {"_n": F.lit(1).cast("long"), "_valued": F.col(amount).isNotNull().cast("long")}
+        valued = with_limbs(txns.withColumns(one), amount, "_sum", "_square" if spread else None)
+        deltas = [*one, *[f"{x}_{part}" for x in ("_sum", "_square")[: 1 + spread] for part in PARTS]]
     out_rows = txns if probes is None else probes
     if probes is None and deltas:
-        rows = _ledger(txns, keys, event_ts, width, deltas, F.struct(*txns.columns))
+        rows = _ledger(valued, keys, event_ts, width, deltas, F.struct(*txns.columns))
     else:
         rows = _probes(out_rows, keys, event_ts)
         if deltas:
-            ledger = _ledger(txns, keys, event_ts, width, deltas, None)
+            ledger = _ledger(valued, keys, event_ts, width, deltas, None)
             rows = rows.unionByName(ledger, allowMissingColumns=True)
-    names = dict(deltas)
+    names = list(deltas)
     for i, item in enumerate(distinct):
         marks = txns.where(_known([*keys, item, event_ts])).select(
             *keys, item, _at(event_ts).alias("_at"), F.lit(0).alias("_tie")
@@ -103,13 +98,13 @@ def rolling_features(
             by_item = plan_slices(marks, by_item.keys, "_at", rows_per_slice)
         changes = _presence_changes(marks, keys, item, width, f"_d{i}", by_item)
         rows = rows.unionByName(changes, allowMissingColumns=True)
-        names[f"_d{i}"] = F.lit(0)
+        names.append(f"_d{i}")
 
     scanned = ordered_scan(
         rows,
         keys,
         "_at",
-        [Total(name, f"{name}_run") for name in names],
+        [Total(n, f"{n}_run", SUMMED if n.startswith(("_sum_", "_square_")) else None) for n in names],
         peers=True,
         slices=slices,
     )
@@ -118,6 +113,8 @@ def rolling_features(
 
     added: dict[str, Column] = {}
     if amount is not None:
+        if spread:
+            out = with_variance(out, "_var", _sums, _squares, F.col("_valued_run"))
         added |= _total_columns(prefix, suffix, spread)
     for i, name in enumerate(distinct.values()):
         count = F.coalesce(f"_d{i}_run", F.lit(0))
@@ -139,7 +136,7 @@ def _ledger(
     keys: list[str],
     event_ts: str,
     width: timedelta,
-    deltas: dict[str, Column],
+    deltas: list[str],
     row: Column | None,
 ) -> DataFrame:
     """Each row as an entry that adds and an expiry that subtracts, from one read of the input.
@@ -155,8 +152,8 @@ def _ledger(
         probe = F.lit(is_entry and row is not None).alias("_probe")
         return F.struct(when.alias("_at"), probe, *carried, *amounts)
 
-    entry = change(at, True, [d.alias(n) for n, d in deltas.items()])
-    expiry = change(at + micros(width) + 1, False, [(-d).alias(n) for n, d in deltas.items()])
+    entry = change(at, True, [F.col(n) for n in deltas])
+    expiry = change(at + micros(width) + 1, False, [(-F.col(n)).alias(n) for n in deltas])
     return txns.where(_known([*keys, event_ts])).select(*keys, F.inline(F.array(entry, expiry)))
 
 
@@ -182,22 +179,23 @@ def _presence_changes(
     return changes.where(F.col(name).isNotNull()).withColumn("_probe", F.lit(False))
 
 
+def _sums(part: str) -> Column:
+    return F.col(f"_sum_{part}_run")
+
+
+def _squares(part: str) -> Column:
+    return F.col(f"_square_{part}_run")
+
+
 def _total_columns(prefix: str, suffix: str, spread: bool) -> dict[str, Column]:
-    total, valued = joined(*map(F.col, ("_whole_run", "_part_run", "_tiny_run"))), F.col("_valued_run")
+    total, valued = joined(_sums), F.col("_valued_run")
     added = {
         f"{prefix}_count_{suffix}": F.coalesce("_n_run", F.lit(0)),
         f"{prefix}_amount_sum_{suffix}": F.when(valued > 0, total),
         f"{prefix}_amount_avg_{suffix}": F.when(valued > 0, total / valued),
     }
     if spread:
-        squares = valued * joined(
-            *map(F.col, ("_square_whole_run", "_square_part_run", "_square_tiny_run"))
-        )
-        spread_out = squares - total * total
-        # Equal amounts give exactly 0: what is left of them after subtraction is noise.
-        numerator = F.when(spread_out > NOISE * squares, spread_out).otherwise(0.0)
-        pairs = valued.cast("double") * (valued - 1)
-        added[f"{prefix}_amount_std_{suffix}"] = F.when(valued > 1, F.sqrt(numerator / pairs))
+        added[f"{prefix}_amount_std_{suffix}"] = F.sqrt("_var")
     return added
 
 

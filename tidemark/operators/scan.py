@@ -40,16 +40,20 @@ class Last:
 
 @dataclass(frozen=True)
 class Total:
-    """Running sum."""
+    """Running sum, of another type than the column's if ``kind`` names one."""
 
     column: str
     out: str
+    kind: str | None = None
 
     def running(self, window: WindowSpec) -> Column:
-        return F.sum(self.column).over(window)
+        return self._sum().over(window)
 
     def partial(self, at: str) -> Column:
-        return F.sum(self.column)
+        return self._sum()
+
+    def _sum(self) -> Column:
+        return F.sum(F.col(self.column).cast(self.kind) if self.kind else F.col(self.column))
 
     def carried(self, window: WindowSpec) -> Column:
         return F.sum(self.column).over(window)

@@ -14,6 +14,8 @@ SUMS = {
     "user_features_scaled": _MONTH,
     "user_peak_30d": _MONTH,
     "training_set": _MONTH,
+    "rolling_30d_special": "txn_amount_sum_30d",
+    "merchant_sums_special": "avg_ticket_size",
     "pair_features": "pair_amount_sum_90d",
     "merchant_features": "avg_ticket_size",
     "sliding_window": "window_sum",

@@ -528,11 +528,101 @@ UNION ALL SELECT entity_id, 'txn_amount_avg_30d', txn_amount_avg_30d, NULL FROM
 UNION ALL SELECT entity_id, 'chargeback_rate_90d', chargeback_rate_90d, NULL FROM f
 UNION ALL SELECT entity_id, 'home_country', NULL, home_country FROM f WHERE home_country IS NOT NULL"""
 
+# Every so many transactions with an amount that is no plain number, or too large for a decimal.
+ODD_AMOUNTS = {97: "NaN", 89: "Infinity", 83: "-Infinity", 79: "1e39"}
+
+
+def _odd(column):
+    odd = F.col(column)
+    for step, value in ODD_AMOUNTS.items():
+        odd = F.when(F.col("transaction_id") % step == 0, F.lit(float(value))).otherwise(odd)
+    return odd
+
+
+def _odd_sql(source: str, rows: str) -> str:
+    """The expression that makes ``source``, with the same amounts."""
+    cases = " ".join(
+        f"WHEN transaction_id % {step} = 0 THEN '{value}'::DOUBLE"
+        for step, value in reversed(ODD_AMOUNTS.items())
+    )
+    odd = f"SELECT * REPLACE (CASE {cases} ELSE amount END AS amount) FROM {source}_0"
+    return rows.replace(f"{source} AS (", f"{source}_0 AS (", 1) + f", {source} AS ({odd})"
+
+
+def _kinds(rows, *names):
+    """Sums told apart by kind, and the finite ones."""
+    kinds = {}
+    for name in names:
+        x = F.col(name)
+        kinds[f"{name}_kind"] = (
+            F.when(F.isnan(x), "nan").when(x == float("inf"), "up").when(x == float("-inf"), "down").otherwise("finite")
+        )
+        kinds[name] = F.when(F.abs(x) < float("inf"), x)
+    return rows.withColumns(kinds)
+
+
+def _kinds_sql(sql: str, *names: str) -> str:
+    kinds = ", ".join(
+        f"CASE WHEN isnan({n}) THEN 'nan' WHEN {n} = 'inf'::DOUBLE THEN 'up'"
+        f" WHEN {n} = '-inf'::DOUBLE THEN 'down' ELSE 'finite' END AS {n}_kind"
+        for n in names
+    )
+    kept = ", ".join(f"CASE WHEN isfinite({n}) THEN {n} END AS {n}" for n in names)
+    return f"SELECT * REPLACE ({kept}), {kinds} FROM ({sql})"
+
+
+def rolling_30d_special(spark, folder):
+    """Windows over NaN, infinities and amounts beyond decimals, which leave with their rows."""
+    totals = rolling_features(orders(spark, folder).withColumn("amount", _odd("amount")), ["user_id"], MONTH)
+    kept = totals.select("transaction_id", "txn_count_30d", "txn_amount_sum_30d")
+    return _kinds(kept, "txn_amount_sum_30d")
+
+
+ROLLING_30D_SPECIAL = _kinds_sql(
+    f"""WITH {_odd_sql("orders_t", ORDER_TXNS)}
+SELECT transaction_id, count(*) OVER w AS txn_count_30d, sum(amount) OVER w AS txn_amount_sum_30d
+FROM orders_t WINDOW w AS {FRAME}""",
+    "txn_amount_sum_30d",
+)
+
+
+def merchant_sums_special(spark, folder):
+    """Average ticket of merchants over the same amounts, where nothing is taken out again."""
+    txns = lines(spark, folder).withColumn("transaction_id", F.col("transaction_id.l_orderkey"))
+    found = merchant_features(txns.withColumn("amount", _odd("amount")), at(AS_OF))
+    return _kinds(found.select("entity_id", "avg_ticket_size"), "avg_ticket_size")
+
+
+MERCHANT_SUMS_SPECIAL = _kinds_sql(
+    f"""WITH {_odd_sql("lines_t", LINE_TXNS.replace("SELECT l_orderkey,", "SELECT l_orderkey AS transaction_id, l_orderkey,"))}
+SELECT merchant_id AS entity_id, sum(amount) / count(amount) AS avg_ticket_size
+FROM lines_t WHERE event_ts <= TIMESTAMP '{AS_OF}' GROUP BY merchant_id""",
+    "avg_ticket_size",
+)
+
+
+def spread_far_from_zero(spark, folder):
+    """Deviations of amounts that all lie beyond 1e9, from exact sums of squares."""
+    far = orders(spark, folder).withColumn("amount", F.col("amount") + F.lit(1e9))
+    totals = rolling_features(far, ["user_id"], MONTH, spread=True)
+    return totals.select("transaction_id", F.round("txn_amount_std_30d", 1).alias("txn_amount_std_30d"))
+
+
+# What is left after taking the shift off again is exact, so plain arithmetic finds the same deviation.
+SPREAD_FAR_FROM_ZERO = f"""WITH {ORDER_TXNS}, near AS (
+  SELECT * REPLACE ((amount + 1e9) - 1e9 AS amount) FROM orders_t)
+SELECT transaction_id, round(stddev_samp(amount) OVER w, 1) AS txn_amount_std_30d
+FROM near WINDOW w AS {FRAME}"""
+
+
 QUERIES = {
     "rolling_30d_scaled": rolling_30d_scaled,
     "sliding_window_scaled": sliding_window_scaled,
     "txn_zscore_scaled": txn_zscore_scaled,
     "user_features_scaled": user_features_scaled,
+    "rolling_30d_special": rolling_30d_special,
+    "merchant_sums_special": merchant_sums_special,
+    "spread_far_from_zero": spread_far_from_zero,
     "txn_gap_ties": txn_gap_ties,
     "rolling_30d": rolling_30d,
     "rolling_distinct": rolling_distinct_,
@@ -558,6 +648,9 @@ ORACLES = {
     "sliding_window_scaled": _scaled_sql(SLIDING_WINDOW, "events_t", EVENT_TXNS),
     "txn_zscore_scaled": _scaled_sql(TXN_ZSCORE, "orders_t", ORDER_TXNS),
     "user_features_scaled": _scaled_sql(USER_SUMS, "lines_t", LINE_TXNS),
+    "rolling_30d_special": ROLLING_30D_SPECIAL,
+    "merchant_sums_special": MERCHANT_SUMS_SPECIAL,
+    "spread_far_from_zero": SPREAD_FAR_FROM_ZERO,
     "txn_gap_ties": TXN_GAP_TIES,
     "rolling_30d": ROLLING_30D,
     "rolling_distinct": ROLLING_DISTINCT,

@@ -29,7 +29,7 @@ from tidemark.operators.health import (
     skew_report,
 )
 from tidemark.operators.quality import USER_FEATURE_RULES, Expectation, quality_report
-from tidemark.operators.sums import exact_sum
+from tidemark.operators.sums import double_sum
 from tidemark.plans.views import VIEWS
 from tidemark.queries.batch import USER_SQL, USERS_SQL, user_rows
 from tidemark.queries.common import EVENT_TXNS, LINE_TXNS, at, events, exact, plain
@@ -168,7 +168,7 @@ def baseline(spark, folder):
     due = baseline_due(date(2024, 1, 1), today)
     return both.groupBy("sample").agg(
         F.count(F.lit(1)).alias("rows"),
-        exact_sum("amount").alias("amount_sum"),
+        double_sum("amount").alias("amount_sum"),
         F.count_distinct("merchant_id").alias("merchants"),
         F.lit(due).alias("due"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
-from tidemark.operators.sums import exact_sum
+from tidemark.operators.sums import double_sum
 
 WATERMARK = "10 seconds"
 NEAR_REAL_TIME = "5 minutes"
@@ -37,7 +37,7 @@ def hop_velocity(
         txns.groupBy("user_id", F.window("event_ts", width, slide).alias("_window"))
         .agg(
             F.count(F.lit(1)).alias("txn_count_5m"),
-            exact_sum("amount").alias("txn_amount_sum_5m"),
+            double_sum("amount").alias("txn_amount_sum_5m"),
         )
         .select(
             "user_id",
