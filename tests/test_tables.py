@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -12,6 +13,7 @@ from tidemark.operators.quality import Expectation, QualityError
 from tidemark.plans.materialize import materialize_view
 from tidemark.plans.training import build_from_tables, save_training_set, service_training_set
 from tidemark.plans.views import VIEWS, FeatureView
+from tidemark.sources.commits import CommitLog, WriteConflict
 from tidemark.sources.feature_table import (
     FeatureTable,
     latest_per_entity,
@@ -334,16 +336,114 @@ def test_a_service_joins_each_view_on_its_own_keys(spark, tmp_path):
         service_training_set(spine, "none", tables)
 
 
-def test_one_changed_key_leaves_other_buckets_alone(spark, tmp_path):
+def test_one_changed_key_writes_one_row(spark, tmp_path):
     made = LatestTable(spark, str(tmp_path), "v", "v long", buckets=8)
     made.write(latest(spark, **{f"u{i}": i for i in range(100)}), day(1), timedelta(days=9))
-    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("v/bucket=*/*.parquet")}
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("v/run=*/*.parquet")}
     before = files()
     again = LatestTable(spark, str(tmp_path), "v", "v long")
     assert again.buckets == 8
     again.write(latest(spark, u7=700), day(2), timedelta(days=9))
-    kept = before.items() & files().items()
-    assert len({p.rsplit("/", 2)[1] for p, _ in kept}) == 7
-    assert {r["entity_id"]: r["v"] for r in again.rows().collect()} == {f"u{i}": i for i in range(100)} | {"u7": 700}
+    assert before.items() <= files().items()
+    added = [p for p in files() if p not in before]
+    assert spark.read.parquet(*added).count() == 1
+    want = {f"u{i}": i for i in range(100)} | {"u7": 700}
+    assert {r["entity_id"]: r["v"] for r in again.rows().collect()} == want
+    again.compact()
+    assert again.log.newest()[1]["deltas"] == []
+    assert {r["entity_id"]: r["v"] for r in again.rows().collect()} == want
     with pytest.raises(ValueError):
         LatestTable(spark, str(tmp_path), "v", "v long", buckets=4)
+
+
+def test_changes_merge_in_order_across_compactions(spark, tmp_path):
+    """Random writes, extensions and deletions against a dict, compacted after every third change."""
+    rng = random.Random(3)
+    made = LatestTable(spark, str(tmp_path), "v", "v long", buckets=2, compact_after=3)
+    want, minute = {}, timedelta(minutes=1)
+    for turn in range(12):
+        now = day(1, hours=turn)
+        some = rng.sample("abcdef", 3)
+        kind = rng.choice(["put", "newest", "extend", "erase"])
+        ask = spark.createDataFrame([(k,) for k in some], "entity_id string")
+        if kind == "extend":
+            alive = [k for k in some if k in want and want[k][2] > now]
+            assert made.extend_ttl(ask, now, 90 * minute).first()["extended"] == len(alive)
+            for k in alive:
+                want[k] = (*want[k][:2], now + 90 * minute)
+        elif kind == "erase" and turn % 4 == 3:
+            made.erase(ask.withColumn("requested", F.col("entity_id")))
+            want = {k: v for k, v in want.items() if k not in some}
+        else:
+            given = [(k, turn, day(rng.randrange(1, 9))) for k in some]
+            df = spark.createDataFrame(given, "entity_id string, v long, event_ts timestamp")
+            made.write(df, now, 90 * minute, newest_wins=kind == "newest")
+            for k, v, at in given:
+                if kind != "newest" or k not in want or at >= want[k][1]:
+                    want[k] = (v, at, now + 90 * minute)
+        got = {r["entity_id"]: (r["v"], r["event_ts"], r["expires_at"]) for r in made.rows().collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert {k: v[2].timestamp() for k, v in got.items()} == {k: v[2].timestamp() for k, v in want.items()}
+        assert len(made.log.newest()[1].get("deltas", [])) < 3
+    assert len(list(tmp_path.glob("v/run=*"))) <= 12
+
+
+def test_a_repeated_write_changes_nothing(spark, online):
+    for value in (1, 2):
+        online.write(latest(spark, u=value), day(1), timedelta(days=1), token="stream:7")
+    assert [r["v"] for r in online.rows().collect()] == [1] and len(online.log.versions()) == 1
+
+
+def test_erased_entities_are_in_no_file(spark, online, tmp_path):
+    online.write(latest(spark, u1=1, u2=2), day(1), timedelta(days=1))
+    online.write(latest(spark, u1=3), day(1), timedelta(days=1))
+    online.erase(spark.createDataFrame([("u1", "u1")], "entity_id string, requested string"))
+    found = spark.read.parquet(*[str(p) for p in tmp_path.glob("online/numbers_v1/run=*/*.parquet")])
+    assert {r["entity_id"] for r in found.collect()} == {"u2"}
+
+
+def test_readers_keep_their_version_and_snapshots_can_be_read(spark, tmp_path):
+    moments = iter(range(1, 20))
+    made = FeatureTable(spark, str(tmp_path), "t", "v long", clock=lambda: day(next(moments)), keep=3)
+    made.upsert(rows(spark, ("a", day(1), 1, day(1)), ("b", day(2), 2, day(1))))
+    before = made.read_range(day(1), day(9))
+    made.upsert(rows(spark, ("a", day(1), 10, day(2)), ("c", day(3), 3, day(2))))
+    values = lambda df: sorted(r["v"] for r in df.collect())
+    assert values(before) == [1, 2] and values(made.read_range(day(1), day(9))) == [2, 3, 10]
+    at = lambda n, **more: values(made.snapshot(day(n, **more), day(1), day(9)))
+    assert at(1) == [1, 2] and at(1, hours=23) == [1, 2] and at(2) == [2, 3, 10] and made.snapshot(day(1, month=4), day(1), day(9)).isEmpty()
+    made.replace_days(rows(spark, ("z", day(3), 30, day(3))), [date(2026, 5, 3), date(2026, 5, 2)])
+    assert at(2) == [2, 3, 10] and at(3) == [10, 30]
+    made.erase(spark.createDataFrame([("a",)], "entity_id string"))
+    assert at(4) == [30] and at(3) == [30]
+    assert len(made.log.versions()) == 3 and at(1) == []
+
+
+def test_colliding_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    first, other = (FeatureTable(spark, str(tmp_path), "t", "v long") for _ in range(2))
+    first.upsert(rows(spark, ("a", day(1), 1, day(1))))
+    newest = CommitLog.newest
+    turns = []
+
+    def late(self):
+        found = newest(self)
+        if self is first.log and not turns:
+            turns.append(1)
+            other.upsert(rows(spark, ("b", day(1), 2, day(1))))
+        return found
+
+    monkeypatch.setattr(CommitLog, "newest", late)
+    first.upsert(rows(spark, ("c", day(1), 3, day(1))))
+    monkeypatch.undo()
+    assert stored(first) == [("a", 1, 1), ("b", 1, 2), ("c", 1, 3)]
+    with pytest.raises(WriteConflict):
+        first.log.commit(1, {})
+
+
+def test_a_version_cut_short_is_not_read(spark, tmp_path):
+    made = FeatureTable(spark, str(tmp_path), "t", "v long")
+    made.upsert(rows(spark, ("a", day(1), 1, day(1))))
+    (tmp_path / "t/_commits/000000000002.json").write_text('{"days": {"20')
+    assert stored(made) == [("a", 1, 1)]
+    made.upsert(rows(spark, ("b", day(1), 2, day(1))))
+    assert stored(made) == [("a", 1, 1), ("b", 1, 2)] and made.log.versions() == [1, 2, 3]

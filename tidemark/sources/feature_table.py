@@ -1,14 +1,12 @@
-"""The offline feature table: Parquet, one folder per ``event_date``, upserts by (entity, time).
+"""The offline feature table: Parquet, one folder per write and ``event_date``, upserts by (entity, time).
 
-One writer per table at a time: a partition swap is not atomic for readers. Writes replace whole
-partitions (dynamic overwrite), so a task or executor that is lost and rerun changes nothing.
+Every change is a new version (see ``commits``): days it touches get new folders, the others keep theirs, and readers hold
+on to the version they began with. Past versions can be read back. Writers that collide begin anew on the other's version.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
@@ -19,10 +17,10 @@ from pyspark.sql import types as T
 from tidemark.functions.keys import entity_id_parts
 from tidemark.functions.scalars import event_date
 from tidemark.operators.asof import AsOfView, point_in_time_join_views
-from tidemark.sources.folders import drop_folder, has_data, move_folder, subfolders
+from tidemark.sources.commits import KEEP, RUN, CommitLog, now_utc
+from tidemark.sources.folders import drop_folder, has_data, subfolders
 
 PARTITION = "event_date"
-DAY_FOLDER = re.compile(rf"{PARTITION}=\d{{4}}-\d\d-\d\d")
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 RETENTION_DAYS = 1095  # fixed value: three years
 
@@ -85,6 +83,23 @@ def _day(folder: str) -> date:
     return date.fromisoformat(folder.split("=", 1)[1])
 
 
+def _by_day(state: dict) -> dict[str, list[str]]:
+    """Folders per day of a version."""
+    return {d: [f"{run}/{PARTITION}={d}" for run in runs] for d, runs in sorted(state.get("days", {}).items())}
+
+
+def _folders(state: dict) -> list[str]:
+    return [f for found in _by_day(state).values() for f in found]
+
+
+def _paths(run: str, days: Sequence[date]) -> list[str]:
+    return [f"{run}/{PARTITION}={d.isoformat()}" for d in days]
+
+
+def _run(folder: str) -> str:
+    return folder.partition("/")[0]
+
+
 @dataclass(frozen=True)
 class WriteResult:
     rows_written: int
@@ -94,11 +109,22 @@ class WriteResult:
 class FeatureTable:
     """Rows ``entity_id, event_ts, <features>, created_ts, event_date`` of one feature view."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, features: str | T.StructType):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        name: str,
+        features: str | T.StructType,
+        *,
+        clock: Callable[[], datetime] = now_utc,
+        keep: int = KEEP,
+    ):
+        """``clock`` gives the time of a version, ``keep`` says how many of them can be read back."""
         if isinstance(features, str):
             features = T.StructType.fromDDL(features)
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.keep = spark, name, keep
         self.path = f"{root.rstrip('/')}/{name}"
+        self.log = CommitLog(spark, self.path, clock)
         self.features = [f.name for f in features]
         self.schema = T.StructType(
             [
@@ -110,10 +136,23 @@ class FeatureTable:
             ]
         )
 
-    def _scan(self) -> DataFrame:
-        if not has_data(self.spark, self.path):
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        stored = T.StructType([*self.schema.fields, T.StructField(RUN, T.StringType())])
+        paths = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(stored).option("basePath", self.path).parquet(*paths).drop(RUN)
+
+    def _scan(
+        self, start: date | None = None, end: date | None = None, *, days: Sequence[date] | None = None, state: dict | None = None
+    ) -> DataFrame:
+        """The newest version's rows (or a given state's), of the days from ``start`` to ``end`` or of those listed."""
+        state = self.log.newest()[1] if state is None else state
+        wanted = None if days is None else {d.isoformat() for d in days}
+        first, last = ("" if start is None else start.isoformat()), ("9999" if end is None else end.isoformat())
+        return self._read(
+            [f for day, found in _by_day(state).items() if first <= day <= last and (wanted is None or day in wanted) for f in found]
+        )
 
     def conform(self, df: DataFrame) -> DataFrame:
         """Columns and types of the declared schema; ``event_date`` derived from ``event_ts``."""
@@ -126,18 +165,28 @@ class FeatureTable:
         )
 
     def days(self) -> list[date]:
-        """The days stored, from the folder names alone."""
-        return sorted(
-            _day(f) for f in subfolders(self.spark, self.path) if DAY_FOLDER.fullmatch(f)
-        )
+        """The days stored, from the newest version alone."""
+        return sorted(map(date.fromisoformat, _by_day(self.log.newest()[1])))
 
     # -- reads -------------------------------------------------------------------------------
 
-    def read_range(self, start: datetime, end: datetime, *, closed: bool = False) -> DataFrame:
+    def read_range(
+        self, start: datetime, end: datetime, *, closed: bool = False, state: dict | None = None
+    ) -> DataFrame:
         """Rows in [start, end), or [start, end] if ``closed``; reads only those days' folders."""
         ts = F.col("event_ts")
         upper = ts <= instant(end) if closed else ts < instant(end)
-        return self._scan().where(prune(start, end) & (ts >= instant(start)) & upper)
+        rows = self._scan(utc(start).date(), utc(end).date(), state=state)
+        return rows.where(prune(start, end) & (ts >= instant(start)) & upper)
+
+    def snapshot(self, as_of: datetime, start: datetime, end: datetime) -> DataFrame:
+        """[start, end) of the table as it was at a past moment: the newest version made by then.
+
+        The last ``keep`` versions can be read back; days that were erased or expired since are gone from all of them.
+        """
+        state = self.log.as_of(utc(as_of))
+        days = {d: [f for f in found if has_data(self.spark, f"{self.path}/{f}")] for d, found in _by_day(state).items()}
+        return self.read_range(start, end, state={"days": {d: [_run(f) for f in found] for d, found in days.items()}})
 
     def known_at(self, as_of: datetime, start: datetime, end: datetime) -> DataFrame:
         """[start, end) as it stood at a past instant: versions written later are ignored.
@@ -149,7 +198,8 @@ class FeatureTable:
 
     def latest_event_ts(self) -> DataFrame:
         """One row with the greatest ``event_ts`` (null if empty), read from the newest day only."""
-        rows, days = self._scan(), self.days()
+        days = self.days()
+        rows = self._scan(days=days[-1:])
         if days:
             rows = rows.where(F.col(PARTITION) == F.lit(days[-1]))
         return rows.agg(F.max("event_ts").alias("latest_event_ts"))
@@ -170,7 +220,7 @@ class FeatureTable:
         With ``known_at`` each row is the newest version written by then.
         """
         if ttl is None:
-            rows = self._scan().where(
+            rows = self._scan(end=utc(end).date()).where(
                 (F.col(PARTITION) <= F.lit(utc(end).date())) & (F.col("event_ts") <= instant(end))
             )
         else:
@@ -198,79 +248,83 @@ class FeatureTable:
 
     # -- writes ------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame, path: str | None = None) -> None:
+    def _write(self, df: DataFrame) -> tuple[str, list[date]]:
+        """Write rows to a folder of their own, by day; its name and the days it has."""
+        run = self.log.new_run()
         # Rebalance lets adaptive execution split a crowded day and merge thin ones.
         (
             df.hint("rebalance", PARTITION)
             .sortWithinPartitions(PARTITION, "entity_id", "event_ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PARTITION)
-            .parquet(path or self.path)
+            .write.partitionBy(PARTITION)
+            .parquet(f"{self.path}/{run}")
         )
+        folders = subfolders(self.spark, f"{self.path}/{run}")
+        if f"{PARTITION}=__HIVE_DEFAULT_PARTITION__" in folders:
+            drop_folder(self.spark, f"{self.path}/{run}")
+            raise ValueError("event_ts must not be null")
+        return run, [_day(f) for f in folders]
 
-    def _staging(self) -> str:
-        return f"{self.path}/_staging/{uuid.uuid4().hex[:12]}"
+    def _commit(self, step: Callable[[dict[str, list[str]]], dict[str, list[str]] | None]) -> None:
+        """Make a version of what ``step`` turns the runs per day into; None leaves the table as it is."""
+
+        def whole(state: dict) -> dict | None:
+            days = step({d: list(runs) for d, runs in state.get("days", {}).items()})
+            return None if days is None else {"days": {d: runs for d, runs in days.items() if runs}}
+
+        self.log.change(whole)
+        self.log.tidy(_folders, self.keep)
 
     def upsert(self, incoming: DataFrame) -> WriteResult:
         """Merge by (entity_id, event_ts): greatest ``created_ts`` wins, equal goes to the incoming row.
 
-        The incoming rows are first written beside the table, in its layout. Days the table does not
-        have yet are then moved in as they are; the other days are merged and replaced. A run that
-        fails part way is repeated with the same outcome.
+        The incoming rows are written once, in the table's layout. Days the table does not have yet take those folders as
+        they are; the other days are merged into new ones. All days change in one version, and a run that fails part way
+        has changed nothing.
         """
-        staged = self._staging()
         keys = ["entity_id", "event_ts", PARTITION]
-        self._write(newest_version(self.conform(incoming), keys, ["created_ts"]), staged)
-        folders = subfolders(self.spark, staged)
-        if f"{PARTITION}=__HIVE_DEFAULT_PARTITION__" in folders:
-            drop_folder(self.spark, staged)
-            raise ValueError("event_ts must not be null")
-        if not folders:
+        run, days = self._write(newest_version(self.conform(incoming), keys, ["created_ts"]))
+        if not days:
             return WriteResult(0, ())
-        batch = self.spark.read.schema(self.schema).parquet(staged)
-        rows_written = batch.count()
-        known = set(subfolders(self.spark, self.path))
-        overlap = [_day(f) for f in folders if f in known]
-        if overlap:
-            changed = F.col(PARTITION).isin(*overlap)
-            both = self._scan().where(changed).withColumn("_incoming", F.lit(0)).unionByName(
-                batch.where(changed).withColumn("_incoming", F.lit(1))
-            )
-            merged = newest_version(both, keys, ["created_ts", "_incoming"])
-            self._write(merged.select(*self.schema.names))
-        for folder in folders:
-            if folder not in known:
-                move_folder(self.spark, f"{staged}/{folder}", f"{self.path}/{folder}")
-        drop_folder(self.spark, staged)
-        return WriteResult(rows_written, tuple(_day(f) for f in folders))
+        rows_written = self._read(_paths(run, days)).count()
+
+        def merged(stored: dict[str, list[str]]) -> dict[str, list[str]]:
+            overlap = [d for d in days if d.isoformat() in stored]
+            fresh = {d.isoformat(): [run] for d in days}
+            if overlap:
+                old = self._scan(days=overlap, state={"days": stored}).withColumn("_incoming", F.lit(0))
+                new = self._read(_paths(run, overlap)).withColumn("_incoming", F.lit(1))
+                both = newest_version(old.unionByName(new), keys, ["created_ts", "_incoming"])
+                joint, _ = self._write(both.select(*self.schema.names))
+                fresh |= {d.isoformat(): [joint] for d in overlap}
+            return stored | fresh
+
+        self._commit(merged)
+        return WriteResult(rows_written, tuple(days))
 
     def replace_days(self, df: DataFrame, days: Sequence[date]) -> None:
-        """Recompute whole days: their folders end up holding ``df``'s rows and nothing else."""
-        staged = self._staging()
-        self._write(self.conform(df).where(F.col(PARTITION).isin(*days)), staged)
-        made = subfolders(self.spark, staged)
-        for day in days:
-            folder = f"{PARTITION}={day.isoformat()}"
-            drop_folder(self.spark, f"{self.path}/{folder}")
-            if folder in made:
-                move_folder(self.spark, f"{staged}/{folder}", f"{self.path}/{folder}")
-        drop_folder(self.spark, staged)
+        """Recompute whole days: they end up holding ``df``'s rows and nothing else."""
+        run, made = self._write(self.conform(df).where(F.col(PARTITION).isin(*days)))
+        self._commit(lambda stored: stored | {d.isoformat(): [run] if d in made else [] for d in days})
 
     def append_versions(self, incoming: DataFrame) -> None:
-        """Add rows beside earlier versions, for tables read with ``known_at``."""
-        self.conform(incoming).write.mode("append").partitionBy(PARTITION).parquet(self.path)
+        """Add rows beside earlier versions of them, for tables read with ``known_at``."""
+        run, days = self._write(self.conform(incoming))
+        self._commit(lambda stored: stored | {d.isoformat(): [*stored.get(d.isoformat(), []), run] for d in days})
 
     def expire(self, today: date, days: int = RETENTION_DAYS) -> list[date]:
-        """Drop day folders older than ``days``; no rows are read or rewritten."""
+        """Drop days older than ``days``, from past versions too; no rows are read or rewritten."""
         cutoff = today - timedelta(days=days)
-        dropped = []
-        for day in self.days():
-            folder = f"{self.path}/{PARTITION}={day.isoformat()}"
-            if day < cutoff and drop_folder(self.spark, folder):
-                dropped.append(day)
+        dropped = [d for d in self.days() if d < cutoff]
+        if dropped:
+            self._drop_days({d.isoformat(): [] for d in dropped})
         return dropped
 
+    def _drop_days(self, changed: dict[str, list[str]]) -> None:
+        """Give days other runs (or none) and delete all folders that they had in any version."""
+        self._commit(lambda stored: stored | changed)
+        names = {f"{PARTITION}={d}" for d in changed}
+        self.log.purge(_folders, lambda folder: folder.partition("/")[2] in names)
+
     def erasure_counts(self, targets: DataFrame) -> DataFrame:
         """Rows per requested key that ``erase`` would remove."""
         return (
@@ -281,7 +335,7 @@ class FeatureTable:
         )
 
     def erase(self, targets: DataFrame) -> list[date]:
-        """Delete the rows of all target entities; rewrites only the days that hold any."""
+        """Delete the rows of all target entities, from past versions too; rewrites only the days that hold any."""
         gone = targets.select("entity_id").distinct().withColumn("_gone", F.lit(1))
         marked = self._scan().join(gone, "entity_id", "left")
         by_day = (
@@ -291,13 +345,14 @@ class FeatureTable:
             .orderBy(PARTITION)
             .collect()
         )
-        emptied = [r[PARTITION] for r in by_day if r["gone"] == r["rows"]]
+        changed = {r[PARTITION].isoformat(): [] for r in by_day}
         thinned = [r[PARTITION] for r in by_day if r["gone"] < r["rows"]]
         if thinned:
-            kept = marked.where(F.col(PARTITION).isin(*thinned) & F.col("_gone").isNull())
-            self._write(kept.select(*self.schema.names))
-        for day in emptied:
-            drop_folder(self.spark, f"{self.path}/{PARTITION}={day.isoformat()}")
+            left = self._scan(days=thinned).join(gone.select("entity_id"), "entity_id", "left_anti")
+            run, _ = self._write(left.select(*self.schema.names))
+            changed |= {d.isoformat(): [run] for d in thinned}
+        if changed:
+            self._drop_days(changed)
         return [r[PARTITION] for r in by_day]
 
     def targets(self, requests: DataFrame, key: str = "entity_id") -> DataFrame:

@@ -5,39 +5,26 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def _resolve(spark: SparkSession, path: str):
+def resolve(spark: SparkSession, path: str):
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
 
 
 def has_data(spark: SparkSession, path: str) -> bool:
     """True if the folder exists and holds a partition folder or a data file."""
-    files, location = _resolve(spark, path)
+    files, location = resolve(spark, path)
     if not files.exists(location):
         return False
     return any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(location))
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
-    files, location = _resolve(spark, path)
-    files.mkdirs(location)
-
-
 def subfolders(spark: SparkSession, path: str) -> list[str]:
-    files, location = _resolve(spark, path)
+    files, location = resolve(spark, path)
     if not files.exists(location):
         return []
     return sorted(s.getPath().getName() for s in files.listStatus(location) if s.isDirectory())
 
 
 def drop_folder(spark: SparkSession, path: str) -> bool:
-    files, location = _resolve(spark, path)
+    files, location = resolve(spark, path)
     return files.exists(location) and files.delete(location, True)
-
-
-def move_folder(spark: SparkSession, source: str, target: str) -> None:
-    files, location = _resolve(spark, source)
-    _, destination = _resolve(spark, target)
-    files.mkdirs(destination.getParent())
-    if not files.rename(location, destination):
-        raise OSError(f"could not move {source} to {target}")

@@ -1,12 +1,13 @@
-"""The latest-value table: one row per entity with an expiry, in hash buckets of the entity.
+"""The latest-value table: one row per entity with an expiry, as a base and a log of changes.
 
-Rows are ``entity_id, <features>, event_ts, written_ts, expires_at``. Changes to listed entities
-rewrite only the buckets those fall in. One writer per table at a time.
+Rows are ``entity_id, <features>, event_ts, written_ts, expires_at``. A write, an extension of lifetimes or a stream's
+micro-batch is appended as a delta that holds its own entities only, and takes effect as a new version (see ``commits``).
+Readers merge the deltas into the base in the order of their versions. ``COMPACT_AFTER`` deltas are merged into a new base.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,17 @@ from pyspark.sql import types as T
 from tidemark.functions.keys import entity_id
 from tidemark.functions.packing import MISSING, PRESENT, STALE
 from tidemark.functions.scalars import parse_duration_text
+from tidemark.sources.commits import RUN, CommitLog, now_utc
 from tidemark.sources.feature_table import instant, matching_entities, newest_version
-from tidemark.sources.folders import drop_folder, has_data, make_folder, subfolders
 
-BUCKET = "bucket"
-# Name of the marker folder that holds a table's number of buckets; readers skip it.
-_COUNT = "_buckets="
+#: Deltas that a reader has to merge at most; the write that reaches the number makes a new base.
+COMPACT_AFTER = 16
+#: Versions that readers may still be on.
+KEEP = 4
+#: Names of writes that are remembered, so that a repeated one changes nothing.
+TOKENS = 100
+# What a delta's row does: replaces the entity's row, replaces one that is not newer, or gives a live row a new expiry.
+_PUT, _PUT_NEWEST, _EXTEND = 0, 1, 2
 # Lifetime per serving tier.
 TIER_TTL = {"hot": "24h", "cold": "7d"}
 
@@ -30,6 +36,10 @@ def tier_ttl(tier: str) -> timedelta:
     return parse_duration_text(TIER_TTL[tier])
 
 
+def _folders(state: dict) -> list[str]:
+    return [*([state["base"]] if state.get("base") else []), *state.get("deltas", [])]
+
+
 class LatestTable:
     def __init__(
         self,
@@ -38,17 +48,17 @@ class LatestTable:
         name: str,
         features: str | T.StructType,
         buckets: int | None = None,
+        *,
+        compact_after: int = COMPACT_AFTER,
+        clock: Callable[[], datetime] = now_utc,
     ):
-        """``buckets`` is fixed when the table is first written and stored with it; 32 unless given.
-
-        Choose it for the table's size: a bucket is rewritten whole, and by one task.
-        """
+        """``buckets`` is the number of files of a base, 32 unless given, fixed when the table is first written."""
         if isinstance(features, str):
             features = T.StructType.fromDDL(features)
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.compact_after = spark, name, compact_after
         self.path = f"{root.rstrip('/')}/{name}"
-        stored = [int(f.partition("=")[2]) for f in subfolders(spark, self.path) if f.startswith(_COUNT)]
-        self.buckets = stored[0] if stored else buckets or 32
+        self.log = CommitLog(spark, self.path, clock)
+        self.buckets = self.log.newest()[1].get("buckets") or buckets or 32
         if buckets not in (None, self.buckets):
             raise ValueError(f"{name} was made with {self.buckets} buckets, not {buckets}")
         self.features = [f.name for f in features]
@@ -62,35 +72,91 @@ class LatestTable:
             ]
         )
 
-    def _scan(self) -> DataFrame:
-        stored = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        if not has_data(self.spark, self.path):
+    # -- reads -------------------------------------------------------------------------------
+
+    def _read(self, runs: Sequence[str], *extra: T.StructField) -> DataFrame:
+        stored = T.StructType([*self.schema.fields, *extra, T.StructField(RUN, T.StringType())])
+        if not runs:
             return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).parquet(self.path)
-
-    def rows(self) -> DataFrame:
-        return self._scan().drop(BUCKET)
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("entity_id"), F.lit(self.buckets)).cast("int")
-        return df.withColumn(BUCKET, bucket)
-
-    def _replace(self, df: DataFrame) -> None:
-        """Replace the buckets of ``df``, whose partitions must already hold whole buckets."""
-        make_folder(self.spark, f"{self.path}/{_COUNT}{self.buckets}")
-        (
-            df.select(*self.schema.names, BUCKET)
-            .sortWithinPartitions(BUCKET, "entity_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BUCKET)
-            .parquet(self.path)
+        paths = [f"{self.path}/{run}" for run in runs]
+        return self.spark.read.schema(stored).option("basePath", self.path).parquet(*paths)
+
+    def rows(self, keys: DataFrame | None = None, *, state: dict | None = None) -> DataFrame:
+        """The newest version's rows; given ``keys(entity_id)``, only theirs, picked before anything is merged."""
+        state = self.log.newest()[1] if state is None else state
+        runs = state.get("deltas", [])
+        base = self._read([state["base"]] if state.get("base") else []).drop(RUN)
+        deltas = self._read(runs, T.StructField("_op", T.IntegerType()))
+        if keys is not None:
+            wanted = keys.select("entity_id").distinct()
+            base, deltas = (x.join(wanted, "entity_id", "left_semi") for x in (base, deltas))
+        if not runs:
+            return base
+        names = [n for n in self.schema.names if n != "entity_id"]
+        order = F.create_map(*[F.lit(x) for i, run in enumerate(runs) for x in (run.partition("=")[2], i)])
+        # A delta has an entity once, so no list is longer than the number of deltas.
+        steps = deltas.groupBy(F.col("entity_id").alias("_id")).agg(
+            F.array_sort(
+                F.collect_list(F.struct(order[F.col(RUN)].alias("n"), "_op", F.struct(*names).alias("row"))),
+                lambda a, b: a["n"] - b["n"],
+            ).alias("_steps")
         )
+        stored = base.select("entity_id", F.struct(*names).alias("_row"))
+        both = stored.join(steps, F.col("entity_id").eqNullSafe(F.col("_id")), "full_outer")
+
+        def step(row: Column, change: Column) -> Column:
+            given, op = change["row"], change["_op"]
+            newer = row.isNull() | row["event_ts"].isNull() | (given["event_ts"] >= row["event_ts"])
+            replaced = F.when((op == _PUT) | (op == _PUT_NEWEST) & newer, given)
+            alive = row.isNotNull() & (row["expires_at"] > given["written_ts"])
+            longer = F.struct(*[(given if n == "expires_at" else row)[n].alias(n) for n in names])
+            return replaced.when((op == _EXTEND) & alive, longer).otherwise(row)
+
+        unchanged = F.coalesce("_steps", F.array().cast(both.schema["_steps"].dataType))
+        merged = both.select(F.coalesce("entity_id", "_id").alias("entity_id"), F.aggregate(unchanged, F.col("_row"), step).alias("_row"))
+        return merged.where("_row IS NOT NULL").select("entity_id", "_row.*")
+
+    def read(self, requests: DataFrame, now: datetime) -> DataFrame:
+        """Every request row with its entity's features; an absent or expired entity gives nulls."""
+        live = self.rows(requests).where(F.col("expires_at") > instant(now))
+        live = live.select("entity_id", *self.features)
+        return requests.join(live, "entity_id", "left")
+
+    # -- writes ------------------------------------------------------------------------------
+
+    def _append(self, rows: DataFrame, token: str | None = None) -> int:
+        """Write a delta and make it a version; how many rows it has. A known ``token`` changes nothing."""
+        run = self.log.new_run()
+        rows.select(*self.schema.names, "_op").write.parquet(f"{self.path}/{run}")
+        count = self._read([run]).count()
+
+        def step(state: dict) -> dict | None:
+            if not count or token is not None and token in state.get("tokens", []):
+                return None
+            tokens = [*state.get("tokens", []), token][-TOKENS:] if token is not None else state.get("tokens", [])
+            deltas = [*state.get("deltas", []), run]
+            return state | {"buckets": self.buckets, "deltas": deltas, "tokens": tokens}
+
+        made = self.log.change(step)
+        if made is not None and len(made["deltas"]) >= self.compact_after:
+            self.compact()
+        return count
+
+    def _rebase(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Make a base of the merged rows, as ``change`` leaves them, and begin the log of changes anew."""
+
+        def step(state: dict) -> dict:
+            run = self.log.new_run()
+            rows = change(self.rows(state=state)).repartition(self.buckets, "entity_id")
+            rows.sortWithinPartitions("entity_id").write.parquet(f"{self.path}/{run}")
+            return state | {"buckets": self.buckets, "base": run, "deltas": []}
 
-    def _touched(self, df: DataFrame) -> DataFrame:
-        """Stored rows of the buckets (at most ``buckets`` of them) that ``df`` falls in."""
-        ids = [r[0] for r in df.select(BUCKET).distinct().collect()]
-        return self._scan().where(F.col(BUCKET).isin(*ids) if ids else F.lit(False))
+        self.log.change(step)
+
+    def compact(self) -> None:
+        """Merge the deltas into a new base; bases and deltas that no kept version has are deleted."""
+        self._rebase(lambda rows: rows)
+        self.log.tidy(_folders, KEEP)
 
     def write(
         self,
@@ -99,49 +165,32 @@ class LatestTable:
         ttl: timedelta,
         *,
         newest_wins: bool = False,
+        token: str | None = None,
     ) -> None:
         """Upsert one row per entity. The incoming row wins; with ``newest_wins`` only if not older.
 
-        ``now`` is the write time, or a column of ``latest`` that holds it per row.
+        ``now`` is the write time, or a column of ``latest`` that holds it per row. A write with a ``token`` that the table
+        remembers has happened already and changes nothing.
         """
+        if token is not None and token in self.log.newest()[1].get("tokens", []):
+            return
         moment = now if isinstance(now, Column) else instant(now)
-        incoming = self._bucketed(
-            latest.select(
-                F.col("entity_id").cast("string"),
-                *[F.col(f.name).cast(f.dataType) for f in self.schema if f.name in self.features],
-                F.col("event_ts").cast("timestamp"),
-                moment.alias("written_ts"),
-                (moment + F.lit(ttl)).alias("expires_at"),
-            )
+        incoming = latest.select(
+            F.col("entity_id").cast("string"),
+            *[F.col(f.name).cast(f.dataType) for f in self.schema if f.name in self.features],
+            F.col("event_ts").cast("timestamp"),
+            moment.alias("written_ts"),
+            (moment + F.lit(ttl)).alias("expires_at"),
         )
-        # Only the buckets that the incoming rows fall in are read and rewritten.
-        stored = self._touched(incoming).withColumn("_incoming", F.lit(0))
-        both = stored.unionByName(incoming.withColumn("_incoming", F.lit(1)))
-        order = ["event_ts", "_incoming"] if newest_wins else ["_incoming", "event_ts"]
-        # Buckets are even by construction, and one shuffle serves both the merge and the layout.
-        both = both.repartition(self.buckets, BUCKET)
-        self._replace(newest_version(both, [BUCKET, "entity_id"], order))
-
-    def read(self, requests: DataFrame, now: datetime) -> DataFrame:
-        """Every request row with its entity's features; an absent or expired entity gives nulls."""
-        live = self.rows().where(F.col("expires_at") > instant(now))
-        live = live.select("entity_id", *self.features)
-        return requests.join(live, "entity_id", "left")
+        newest = newest_version(incoming, ["entity_id"], ["event_ts"])
+        self._append(newest.withColumn("_op", F.lit(_PUT_NEWEST if newest_wins else _PUT)), token)
 
     def extend_ttl(self, keys: DataFrame, now: datetime, ttl: timedelta) -> DataFrame:
         """Give the listed live entities a new expiry; returns how many that were."""
         moment = instant(now)
-        wanted = self._bucketed(keys.select("entity_id").distinct()).withColumn("_wanted", F.lit(1))
-        stored = self._touched(wanted)
-        live = F.col("_wanted").isNotNull() & (F.col("expires_at") > moment)
-        marked = stored.join(wanted.drop(BUCKET), "entity_id", "left")
-        # Counted before the rewrite: afterwards the same rows would be found live again.
-        extended = marked.agg(F.coalesce(F.sum(live.cast("long")), F.lit(0)).alias("extended"))
-        count = extended.first()["extended"]
-        if count:
-            expiry = F.when(live, moment + F.lit(ttl)).otherwise(F.col("expires_at"))
-            changed = marked.withColumn("expires_at", expiry)
-            self._replace(changed.repartition(self.buckets, BUCKET))
+        live = self.rows(keys).where(F.col("expires_at") > moment)
+        changed = live.withColumns({"written_ts": moment, "expires_at": moment + F.lit(ttl), "_op": F.lit(_EXTEND)})
+        count = self._append(changed)
         return self.spark.createDataFrame([(self.name, count)], "feature_view string, extended long")
 
     def targets(self, requests: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -149,23 +198,19 @@ class LatestTable:
 
     def erasure_counts(self, targets: DataFrame) -> DataFrame:
         return (
-            self.rows()
+            self.rows(targets)
             .join(targets, "entity_id")
             .groupBy(F.col("requested").alias("entity_id"))
             .agg(F.count(F.lit(1)).alias("rows_deleted"))
         )
 
     def erase(self, targets: DataFrame) -> None:
-        """Delete the target entities."""
-        gone = self._bucketed(targets.select("entity_id").distinct())
-        stored = self._touched(gone)
-        kept = stored.join(gone.select("entity_id"), "entity_id", "left_anti")
-        before = {r[0] for r in stored.select(BUCKET).distinct().collect()}
-        after = {r[0] for r in kept.select(BUCKET).distinct().collect()}
-        if after:
-            self._replace(kept.repartition(self.buckets, BUCKET))
-        for bucket in before - after:
-            drop_folder(self.spark, f"{self.path}/{BUCKET}={bucket}")
+        """Delete the target entities, from past versions too."""
+        gone = targets.select("entity_id").distinct()
+        if self.rows(gone).isEmpty():
+            return
+        self._rebase(lambda rows: rows.join(gone, "entity_id", "left_anti"))
+        self.log.purge(_folders, lambda folder: True)
 
 
 def lookup(
