@@ -9,7 +9,7 @@ from tests.conftest import day
 from tidemark.functions import keys, scalars
 from tidemark.functions.ondemand import DerivedView, usable, with_derived
 from tidemark.functions.packing import feature_vector, status_map
-from tidemark.sources.streams import decode_transactions, kafka_transactions
+from tidemark.sources.streams import decode_transactions, kafka_options, kafka_transactions
 
 
 def one(spark, **columns):
@@ -139,3 +139,12 @@ def test_json_messages_are_decoded(spark):
 def test_kafka_offsets_are_checked(spark):
     with pytest.raises(ValueError):
         kafka_transactions(spark, "localhost:1", starting_offsets="middle")
+    with pytest.raises(ValueError):
+        kafka_options("localhost:1", starting_offsets={"t": {0: -3}})
+
+
+def test_kafka_options_name_group_and_offsets():
+    options = kafka_options("h:1", "t", group="readers", starting_offsets={"t": {0: 12, 1: -2}}, max_offsets=5)
+    assert options["kafka.group.id"] == "readers" and options["maxOffsetsPerTrigger"] == "5"
+    assert options["startingOffsets"] == '{"t": {"0": 12, "1": -2}}' and options["subscribe"] == "t"
+    assert "kafka.group.id" not in kafka_options("h:1") and kafka_options("h:1")["startingOffsets"] == "latest"

@@ -16,6 +16,7 @@ from tidemark.streaming.sinks import (
     dual_write,
     upsert_online,
 )
+from tidemark.streaming.side_outputs import side_outputs, side_totals
 from tidemark.streaming.sliding import sliding_stream
 from tidemark.streaming.velocity import (
     LateRows,
@@ -154,3 +155,71 @@ def test_events_without_a_time_come_out_in_every_batch(spark, feed, tmp_path):
         )
     out = spark.read.parquet(str(tmp_path / "out")).where("event_ts IS NULL")
     assert sorted(r["batch"] for r in out.collect()) == [0, 0, 1, 1]
+
+
+def test_a_batch_is_computed_once_and_late_counts_outlive_the_listener(spark, feed, tmp_path):
+    """The file sink and the dual write drop as many, and a listener made after a restart goes on counting."""
+    add, stream = feed
+    session, totals = stream, {}
+    add(batch(spark, 50, 5, 1))
+    stream_of = lambda: hop_velocity(stream())
+    online = LatestTable(spark, str(tmp_path / "on"), "velocity", VELOCITY_FEATURES, buckets=2)
+    offline = FeatureTable(spark, str(tmp_path / "off"), "velocity", VELOCITY_FEATURES)
+    runs = {
+        "file": lambda: append_to_folder(stream_of(), str(tmp_path / "out"), str(tmp_path / "ck1")),
+        "dual": lambda: dual_write(
+            as_feature_rows(stream_of()), str(tmp_path / "ck2"), online=online, offline=offline, written=F.col("event_ts")
+        ),
+    }
+    for run in runs.values():
+        run()
+    for step in range(2):
+        add(batch(spark, 20, step, 2 + step))
+        for name, run in runs.items():
+            late = LateRows(spark, str(tmp_path / "late" / name))
+            session = stream().sparkSession
+            session.streams.addListener(late)
+            totals[name, step] = late.total(run())
+            session.streams.removeListener(late)
+    assert totals["file", 0] == totals["dual", 0] > 0
+    assert totals["file", 1] == totals["dual", 1] > totals["file", 0]
+
+
+def test_side_outputs_are_counted_once_and_survive_replays(spark, tmp_path):
+    messages = str(tmp_path / "in")
+    session = streaming_session(spark)
+
+    def add(*texts):
+        spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").parquet(messages)
+
+    def text(i, minute):
+        return f'{{"transaction_id":"{i}","user_id":"u","amount":1.5,"event_ts":"2026-05-01T00:{minute:02d}:00Z"}}'
+
+    fail, kept = [True], {}
+
+    def sink(df, batch_id):
+        kept[batch_id] = sorted(r["transaction_id"] for r in df.collect())
+        if batch_id == 1 and fail.pop():
+            raise RuntimeError("lost")
+
+    def run():
+        stream = session.readStream.schema("value string").parquet(messages)
+        side_outputs(stream, str(tmp_path / "ck"), str(tmp_path / "sides"), sink)
+
+    assert side_totals(spark, str(tmp_path / "sides")).first()["messages"] == 0
+    add(text(1, 10), text(2, 30), "{broken", "", None)
+    run()
+    add(text(3, 5), text(4, 40), "[1, 2]", text(5, 29))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    fail.append(False)
+    run()
+    add(text(6, 35), text(7, 41))
+    run()
+    assert kept == {0: ["1", "2"], 1: ["4"], 2: ["7"]}
+    total = side_totals(spark, str(tmp_path / "sides")).first()
+    assert (total["messages"], total["malformed"], total["late"]) == (11, 4, 3)
+    bad = spark.read.parquet(str(tmp_path / "sides/malformed")).collect()
+    assert sorted(r["malformed"] for r in bad) == ["", "", "[1, 2]", "{broken"]
+    late = spark.read.parquet(str(tmp_path / "sides/late")).collect()
+    assert sorted(r["transaction_id"] for r in late) == ["3", "5", "6"]

@@ -7,8 +7,9 @@ shingle space is cut into hash fragments: each fragment of each set is a row of
 counted fragment by fragment and summed per pair, so no task needs a whole set.
 
 Equal sets are one node from the start. Each bucket (the sets that share a prefix shingle) first links its members to
-one leader; of what is still apart each set is compared with its nearest, and only then the pairs that are left, so groups of
-copies don't turn into all pairs.
+one leader. What is still apart meets in rounds: every set goes to the bucket of its least prefix shingle by the round's
+hash, as most of its near copies do, and is compared there with a few leaders, so a round costs as much as there are sets
+and families of any size grow together. Only then come the pairs that are left, those of each set with its nearest first.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ FRAGMENTS = 16
 #: 64-bit words of the parity bitmap that bounds a pair's difference from below.
 PARITY = 16
 BITS = 26
+#: Rounds of meetings at most (more only save pairs afterwards), buckets a set goes to and leaders it meets in each.
+ROUNDS, MEETINGS, LEADERS = 8, 2, 4
 
 
 def _frequent(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +159,19 @@ def _early(percent: int) -> str:
     return f"(100 + {percent}) * (n - at) >= {2 * percent} * n"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of set digests whose summed fragment overlaps reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    owners = saved(
+def _owners(nodes: DataFrame, table: DataFrame) -> DataFrame:
+    """``(digest, owner, n)``: of each set in ``nodes(digest)`` a row that has it, and its size."""
+    return saved(
         table.where("digest IS NOT NULL")
         .groupBy("digest")
         .agg(F.min(F.coalesce("id", F.lit(0))).alias("owner"), F.first("n").alias("n"))
-        .join(wanted, "digest"),
+        .join(nodes.distinct(), "digest"),
         "owners",
     )
+
+
+def _fragments(owners: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``(node, fragment, items)``: the sets of ``owners``, cut along the hash order."""
     by_owner, by_set = key_bits(owners, "owner", BITS - 3), key_bits(owners, "digest", BITS - 3)
 
     def fragments(parts):
@@ -197,7 +203,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, width: int,
                     ["node", "fragment", "items"],
                 )
 
-    parts = saved(arrow_map(texts, fragments, "node long, fragment int, items array<long>"), "fragments")
+    return saved(arrow_map(texts, fragments, "node long, fragment int, items array<long>"), "fragments")
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of set digests whose summed fragment overlaps reach the threshold."""
     a, b = (
         parts.select(F.col("node").alias(x), "fragment", F.col("items").alias(f"{x}_items")) for x in ("a", "b")
     )
@@ -217,6 +227,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, width: int,
     return linked.where(f"100 * both >= {percent} * (a_n + b_n - both)").select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest")))
+
+
 def _parities(table: DataFrame) -> DataFrame:
     """``(digest, n, w0, w1, ...)``: each set's size and parity bitmap, once."""
     words = (F.first(F.col("parity")[i]).alias(f"w{i}") for i in range(PARITY))
@@ -236,30 +250,62 @@ def _near(percent: int) -> str:
     return f"(100 + {percent}) * ({_differ()}) <= {100 - percent} * (a.n + b.n)"
 
 
-def _apart(buckets: DataFrame, roots: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
-    """Pairs in a bucket of three sets or more that no link has joined yet and whose parity bitmaps allow a link."""
-    parted = buckets.join(roots, buckets.node == roots.node, "left").select(
-        "item", buckets.node, "n", "at", F.coalesce("root", buckets.node).alias("root")
-    )
-    early = _early(percent)
+def _open(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The rows of buckets, with the roots they have by now, whose sets are not all joined; three sets or more."""
+    parted = rows.drop("root").join(roots.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left")
+    parted = parted.withColumn("root", F.coalesce("root", "node")).drop("known")
     open_items = (
         parted.groupBy("item")
         .agg(
             F.min("root").alias("lo"),
             F.max("root").alias("hi"),
             F.count("*").alias("sets"),
-            F.max(F.expr(early)).alias("early"),
+            F.max(F.expr(_early(percent))).alias("early"),
         )
         .where("lo <> hi AND sets > 2 AND early")
         .select("item")
     )
-    rest = parted.join(open_items, "item").drop("n")
-    rest = saved(rest.join(parities, rest.node == parities.digest).drop("digest"), "apart")
+    return saved(parted.join(open_items, "item"), "open")
+
+
+def _smaller_first(percent: int) -> str:
+    smaller = "(a.n < b.n OR a.n = b.n AND a.node < b.node)"
+    return f"CASE WHEN {smaller} THEN {_may_link(percent)} ELSE {_may_link(percent, 'b', 'a')} END"
+
+
+def _meetings(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Of each set the pair with the nearest of the few leaders that it meets in this round, if bounds allow a link."""
+    pairs = None
+    for seed in range(turn * MEETINGS, (turn + 1) * MEETINGS):
+        least = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("item", F.lit(seed)).alias("h"), "item")).alias("m"))
+        guests = rows.join(least.select("node", F.col("m.item").alias("item")), ["node", "item"])
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(seed * LEADERS + i)).alias("h"), "node")) for i in range(LEADERS)]
+        leaders = (
+            guests.groupBy("item")
+            .agg(F.array_distinct(F.transform(F.array(*drawn), lambda x: x["node"])).alias("nodes"))
+            .select("item", F.explode("nodes").alias("node"))
+        )
+        met = (
+            guests.alias("a")
+            .join(
+                guests.join(leaders, ["item", "node"]).alias("b"),
+                F.expr(f"a.item = b.item AND a.root <> b.root AND {_smaller_first(percent)} AND {_near(percent)}"),
+            )
+            .select("a.node", F.col("b.node").alias("other"), F.expr(_differ()).alias("differ"))
+        )
+        pairs = met if pairs is None else pairs.unionByName(met)
+    best = pairs.groupBy("node").agg(F.min(F.struct("differ", "other")).alias("best"))
+    ends = (F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b"))
+    return saved(best.select(*ends).distinct(), "meetings")
+
+
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open buckets that no link has joined yet and whose parity bitmaps allow a link."""
     pairs = (
-        rest.where(early)
+        rows.where(_early(percent))
         .alias("a")
         .join(
-            rest.alias("b"),
+            rows.alias("b"),
             F.expr(
                 f"a.item = b.item AND a.root <> b.root AND (a.n < b.n OR a.n = b.n AND a.node < b.node)"
                 f" AND {_may_link(percent)} AND {_near(percent)}"
@@ -275,6 +321,22 @@ def _apart(buckets: DataFrame, roots: DataFrame, parities: DataFrame, percent: i
     return saved(pairs, "apart-pairs")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, root)`` after more links: only the roots that those join are walked again."""
+    of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    ends = (
+        links.join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
+    )
+    higher = components(saved(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "root-links"))
+    above = higher.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    # Sets that were alone are roots of their own, and may now be under another.
+    old = roots.join(above, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = higher.join(roots.select("node"), "node", "left_anti")
+    return saved(old.unionByName(alone.select("node", "root")), "roots")
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """For every set in ``pairs(a, b, differ)`` the pair with the set that differs least."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
@@ -321,14 +383,11 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         .select("item", "l.node", "l.n", "l.at")
     )
     parities = _parities(table)
-    smaller = "(a.n < b.n OR a.n = b.n AND a.node < b.node)"
     star = saved(
         buckets.alias("a")
         .join(leaders.alias("b"), "item")
         .where("a.node <> b.node")
-        .where(
-            F.expr(f"CASE WHEN {smaller} THEN {_may_link(percent)} ELSE {_may_link(percent, 'b', 'a')} END")
-        )
+        .where(F.expr(_smaller_first(percent)))
         .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"))
         .unionByName(twos)
         .distinct()
@@ -337,25 +396,39 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         .select(F.col("x").alias("a"), F.col("y").alias("b")),
         "star",
     )
-    links = saved(_verified(star, texts, table, width, percent), "links")
+    owners = _owners(_ends(star), table)
+    links = saved(_verified(star, _fragments(owners, texts, width), owners, percent), "links")
     roots = components(links)
-    # What is still apart: first each set with its nearest, so that families grow together, then the rest.
-    tested, pairs = star, _apart(buckets, roots, parities, percent)
-    for choose in (_nearest, lambda left: left.select("a", "b")):
-        of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
-        left = (
-            pairs.join(of_a, "a", "left")
-            .join(of_b, "b", "left")
-            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-            .select("a", "b", "differ")
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        chosen = saved(choose(saved(left, "left")), "chosen")
-        if chosen.isEmpty():
-            break
-        tested = tested.unionByName(chosen)
-        links = saved(links.unionByName(_verified(chosen, texts, table, width, percent)), "links")
-        roots = components(links)
+    rows = _open(buckets.withColumn("root", F.col("node")), roots, percent)
+    rows = saved(rows.join(parities.drop("n"), rows.node == parities.digest).drop("digest"), "open")
+    if not rows.isEmpty():
+        owners = _owners(rows.select(F.col("node").alias("digest")), table)
+        parts = _fragments(owners, texts, width)
+        tested = star
+        for turn in range(ROUNDS):
+            chosen = saved(_meetings(rows, turn, percent).join(tested, ["a", "b"], "left_anti"), "chosen")
+            found = saved(_verified(chosen, parts, owners, percent), "found")
+            if found.isEmpty():
+                break
+            tested = tested.unionByName(chosen)
+            roots = _joined(roots, found)
+            rows = _open(rows, roots, percent)
+        # What is still apart: first each set with its nearest, then the rest.
+        pairs = _apart(rows, percent)
+        for choose in (_nearest, lambda left: left.select("a", "b")):
+            of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+            left = (
+                pairs.join(of_a, "a", "left")
+                .join(of_b, "b", "left")
+                .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+                .select("a", "b", "differ")
+                .join(tested, ["a", "b"], "left_anti")
+            )
+            chosen = saved(choose(saved(left, "left")), "chosen")
+            if chosen.isEmpty():
+                break
+            tested = tested.unionByName(chosen)
+            roots = _joined(roots, saved(_verified(chosen, parts, owners, percent), "found"))
     firsts = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"))
     rooted = firsts.join(roots, F.col("digest") == F.col("node"), "left").select(
         "digest", "first", F.coalesce("root", "digest").alias("root")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.feature_table import FeatureTable, instant
 from tidemark.sources.folders import drop_folder, has_data
@@ -20,6 +22,7 @@ READ_ROLES = {
     "pii": ("ml-engineer", "admin"),
 }
 AUDITED = ("financial", "pii")
+AUDIT_DAY, AUDIT_BATCH = "audit_date", "batch"
 DENIAL = "role '%s' cannot read %s features"
 
 
@@ -51,6 +54,44 @@ def access_audit(decisions: DataFrame) -> DataFrame:
     )
 
 
+class AuditLog:
+    """Audited reads, appended by batch into a day-partitioned table.
+
+    A batch has folders of its own under each day, which it replaces when it is appended again: once or twice, the log has
+    one copy. Days are those of the reads.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, *, at: str = "read_ts"):
+        self.spark, self.path, self.at = spark, path.rstrip("/"), at
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.columns = fields.names
+        self.schema = T.StructType(
+            [*fields.fields, T.StructField(AUDIT_DAY, T.DateType()), T.StructField(AUDIT_BATCH, T.StringType())]
+        )
+
+    def append(self, decisions: DataFrame, batch: str) -> None:
+        """Add the audited reads among ``decisions`` under the batch's name (letters, digits, ``-`` and ``_``)."""
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+            raise ValueError("a batch is named by letters, digits, - and _")
+        rows = access_audit(decisions).select(*self.columns)
+        rows = rows.withColumns({AUDIT_DAY: F.to_date(F.col(self.at)), AUDIT_BATCH: F.lit(batch)})
+        (
+            rows.hint("rebalance", AUDIT_DAY)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(AUDIT_DAY, AUDIT_BATCH)
+            .parquet(self.path)
+        )
+
+    def read(self, start: datetime, end: datetime) -> DataFrame:
+        """The audited reads of [start, end); reads only those days' folders."""
+        if not has_data(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
+        rows, at = self.spark.read.schema(self.schema).parquet(self.path), F.col(self.at)
+        days = F.col(AUDIT_DAY).between(F.lit(start.date()), F.lit(end.date()))
+        return rows.where(days & (at >= instant(start)) & (at < instant(end)))
+
+
 def erase_entities(
     spark: SparkSession,
     requests: DataFrame,

@@ -11,6 +11,7 @@ from tidemark.functions.keys import entity_id
 from tidemark.operators.backfill import BackfillLog, pending_days, run_backfill, run_rollup
 from tidemark.operators.batch_features import user_activity_by_day
 from tidemark.operators.governance import (
+    AuditLog,
     access_audit,
     access_decisions,
     erase_entities,
@@ -81,6 +82,26 @@ ACCESS_AUDIT = f"""WITH {DECIDED} SELECT * EXCLUDE (allowed, must_audit) FROM d
 WHERE allowed AND must_audit"""
 
 
+def audit_log(spark, folder):
+    """Reads decided and logged in three batches, one of them twice; the second week read back."""
+    reads = _requests(spark, folder).join(
+        events(spark, folder).select("transaction_id", F.col("event_ts").alias("read_ts")), "transaction_id"
+    )
+    decided = access_decisions(spark, reads)
+    columns = "transaction_id long, principal string, role string, feature_view string, sensitivity string, read_ts timestamp"
+    log = AuditLog(spark, work_folder(spark, "audit"), columns)
+    for batch in (0, 1, 1, 2):
+        log.append(decided.where(F.col("transaction_id") % 3 == batch), f"reads-{batch}")
+    found = log.read(at("2024-01-08"), at("2024-01-15"))
+    return found.select("transaction_id", "principal", "feature_view", plain("read_ts").alias("read_ts"), "batch")
+
+
+AUDIT_LOG = f"""WITH {DECIDED}
+SELECT transaction_id, principal, feature_view, event_ts AS read_ts, 'reads-' || (transaction_id % 3) AS batch
+FROM d JOIN (SELECT transaction_id, event_ts FROM events_t) USING (transaction_id)
+WHERE allowed AND must_audit AND event_ts >= TIMESTAMP '2024-01-08' AND event_ts < TIMESTAMP '2024-01-15'"""
+
+
 def sensitive_reads(spark, folder):
     """Reads per view that needs auditing."""
     levels = spark.createDataFrame(VIEW_LEVELS, "feature_view string, sensitivity string")
@@ -226,6 +247,7 @@ UNION ALL SELECT 'user_activity_v1', 'completed', 18,
 QUERIES = {
     "access_decisions": access_decisions_,
     "access_audit": access_audit_,
+    "audit_log": audit_log,
     "sensitive_reads": sensitive_reads,
     "erase": erase,
     "backfill_plan": backfill_plan,
@@ -235,6 +257,7 @@ QUERIES = {
 ORACLES = {
     "access_decisions": ACCESS_DECISIONS,
     "access_audit": ACCESS_AUDIT,
+    "audit_log": AUDIT_LOG,
     "sensitive_reads": SENSITIVE_READS,
     "erase": ERASE,
     "backfill_plan": BACKFILL_PLAN,

@@ -20,6 +20,7 @@ from tidemark.streaming.sinks import (
     as_feature_rows,
     dual_write,
 )
+from tidemark.streaming.side_outputs import side_outputs, side_totals
 from tidemark.streaming.sliding import sliding_stream
 from tidemark.streaming.velocity import (
     LateRows,
@@ -93,17 +94,22 @@ HOP_VELOCITY_TUMBLING = f"""WITH {EVENT_TXNS}, w AS (
 SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 10 SECONDS FROM events)"""
 
 
+def _arrivals(spark: SparkSession, folder: str):
+    """Events, and in which of four parts each arrives: ten days at a time, errors ten days late."""
+    txns = events(spark, folder).select(
+        "transaction_id", "user_id", "merchant_id", "amount", "event_ts", "event_type"
+    )
+    third = F.least(F.floor((F.dayofmonth("event_ts") - 1) / 10), F.lit(2))
+    return txns, third + F.when(F.col("event_type") == "error", 1).otherwise(0)
+
+
 def late_drops(spark, folder):
     """Errors arrive ten days late, after their windows closed: what was kept, and what dropped.
 
     Each arrival is one run of the same query (same checkpoint).
     """
     root, session = work_folder(spark, "late"), streaming_session(spark)
-    txns = events(spark, folder).select(
-        "transaction_id", "user_id", "merchant_id", "amount", "event_ts", "event_type"
-    )
-    third = F.least(F.floor((F.dayofmonth("event_ts") - 1) / 10), F.lit(2))
-    arrival = third + F.when(F.col("event_type") == "error", 1).otherwise(0)
+    txns, arrival = _arrivals(spark, folder)
     late = LateRows()
     session.streams.addListener(late)
     for step in range(4):
@@ -202,12 +208,83 @@ def sliding_state(spark, folder):
     return counted.withColumn("event_ts", plain("event_ts"))
 
 
+def late_drops_dual(spark, folder):
+    """The same arrivals through both tables, with a new listener at each start: windows kept online and offline, dropped."""
+    root, session = work_folder(spark, "late-dual"), streaming_session(spark)
+    online = LatestTable(spark, f"{root}/online", "velocity", VELOCITY_FEATURES)
+    offline = FeatureTable(spark, f"{root}/offline", "velocity", VELOCITY_FEATURES)
+    txns, arrival = _arrivals(spark, folder)
+    for step in range(4):
+        late = LateRows(spark, f"{root}/late")
+        session.streams.addListener(late)
+        txns.where(arrival == step).write.parquet(f"{root}/in/arrival={step}")
+        stream = session.readStream.schema(txns.schema).parquet(f"{root}/in/*")
+        query = dual_write(
+            as_feature_rows(hop_velocity(stream)),
+            f"{root}/checkpoint",
+            online=online,
+            offline=offline,
+            written=F.col("event_ts"),
+        )
+        dropped = late.total(query)
+        session.streams.removeListener(late)
+    kept = offline.read_range(at("2024-01-01"), at("2024-03-01")).agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("txn_count_5m").alias("events_in_windows")
+    )
+    users = online.rows().agg(F.count(F.lit(1)).alias("users"))
+    return kept.withColumn("windows_dropped", F.lit(dropped).cast("long")).join(users)
+
+
+LATE_DROPS_DUAL = LATE_DROPS.replace(
+    "SELECT count(DISTINCT (user_id, window_end)) AS windows,",
+    "SELECT count(DISTINCT user_id) AS users, count(DISTINCT (user_id, window_end)) AS windows,",
+)
+
+
+def stream_side_outputs(spark, folder):
+    """Events as JSON, some cut short, errors ten days late: what reaches the sink, what is malformed and what is late.
+
+    Each arrival is a run of its own, and the last batch is run a second time by a query that lost its progress.
+    """
+    root, session = work_folder(spark, "sides"), streaming_session(spark)
+    txns, arrival = _arrivals(spark, folder)
+    fields = ("transaction_id", "user_id", "merchant_id", "amount", "event_ts")
+    text = F.to_json(F.struct(*[(F.col(c).cast("string") if c == "transaction_id" else F.col(c)).alias(c) for c in fields]))
+    cut = F.when(F.col("transaction_id") % 50 == 7, F.expr("substring(value, 1, length(value) - 5)")).otherwise(F.col("value"))
+    messages = txns.withColumns({"value": text, "_arrival": arrival}).withColumn("value", cut)
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    for step in range(4):
+        messages.where(F.col("_arrival") == step).select("value").write.parquet(f"{root}/in/arrival={step}")
+        stream = session.readStream.schema("value string").parquet(f"{root}/in/*")
+        side_outputs(stream, f"{root}/checkpoint", f"{root}/sides", sink)
+    kept = spark.read.parquet(f"{root}/out").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum(F.col("transaction_id").cast("long")).alias("kept_ids")
+    )
+    return side_totals(spark, f"{root}/sides").join(kept)
+
+
+STREAM_SIDE_OUTPUTS = f"""WITH {EVENT_TXNS}, a AS (
+  SELECT *, transaction_id % 50 = 7 AS bad, least((day(event_ts) - 1) // 10, 2) + CAST(event_type = 'error' AS INT) AS arrival
+  FROM events_t),
+seen AS (SELECT s.step, (SELECT max(event_ts) - INTERVAL 10 SECONDS FROM a WHERE arrival < s.step AND NOT bad) AS wm
+  FROM range(4) s(step)),
+judged AS (SELECT a.*, NOT bad AND wm IS NOT NULL AND event_ts <= wm AS late FROM a JOIN seen ON seen.step = a.arrival)
+SELECT count(*) AS messages, count(*) FILTER (bad) AS malformed, count(*) FILTER (late) AS late,
+  count(*) FILTER (NOT bad AND NOT late) AS kept,
+  CAST(sum(transaction_id) FILTER (NOT bad AND NOT late) AS BIGINT) AS kept_ids FROM judged"""
+
+
 QUERIES = {
     "hop_velocity_scaled": hop_velocity_scaled,
     "hop_velocity_stream": hop_velocity_stream,
     "hop_velocity_batch": hop_velocity_batch,
     "hop_velocity_tumbling": hop_velocity_tumbling,
     "late_drops": late_drops,
+    "late_drops_dual": late_drops_dual,
+    "stream_side_outputs": stream_side_outputs,
     "stream_upsert": stream_upsert,
     "stream_snapshot": stream_snapshot,
     "sliding_state": sliding_state,
@@ -218,6 +295,8 @@ ORACLES = {
     "hop_velocity_batch": HOP_VELOCITY_BATCH,
     "hop_velocity_tumbling": HOP_VELOCITY_TUMBLING,
     "late_drops": LATE_DROPS,
+    "late_drops_dual": LATE_DROPS_DUAL,
+    "stream_side_outputs": STREAM_SIDE_OUTPUTS,
     "stream_upsert": STREAM_UPSERT,
     "stream_snapshot": STREAM_SNAPSHOT,
     "sliding_state": SLIDING_WINDOW,

@@ -26,8 +26,8 @@ from tidemark.queries.batch import (
 )
 from tidemark.queries.common import EVENT_TXNS, LINE_TXNS, at, events, lines, plain
 from tidemark.session import work_folder
-from tidemark.sources.feature_table import FeatureTable, instant, latest_per_entity
-from tidemark.sources.latest_table import LatestTable, expiry_by_tier, lookup, prewarm
+from tidemark.sources.feature_table import FeatureTable, instant, latest_per_entity, utc
+from tidemark.sources.latest_table import LatestTable, expiry_by_tier, lookup, lookup_vectors, prewarm
 
 ACTIVITY = "amount double, merchant_id string"
 NOW = at("2000-07-01")
@@ -454,11 +454,92 @@ GATED_MATERIALIZE = f"""WITH {USER_CTES}
 SELECT i.entity_id, txn_count_30d, txn_amount_sum_30d
 FROM (SELECT DISTINCT user_id AS entity_id FROM lines_t) i LEFT JOIN u ON i.entity_id = u.entity_id"""
 
+def snapshot_of_upserts(spark, folder):
+    """The corrected table, and the same days as they were before the correction replaced them."""
+    moments = iter(at(f"2024-03-0{i}T00:00:00") for i in (1, 2))
+    hourly = activity_rows(spark, folder).withColumn("event_ts", F.date_trunc("hour", "event_ts"))
+    stored = FeatureTable(
+        spark, work_folder(spark, "snapshots"), "user_hours_v1", ACTIVITY, clock=lambda: utc(next(moments))
+    )
+    stored.upsert(hourly.where("event_type <> 'error'"))
+    corrected = hourly.where("event_type IN ('error', 'purchase')").withColumn("amount", F.col("amount") + 1)
+    stored.upsert(corrected)
+    seen = [
+        _rows_out(stored.snapshot(at(moment), at("2024-01-01"), at("2024-02-01"))).withColumn("seen", F.lit(name))
+        for name, moment in (("before", "2024-03-01T12:00:00"), ("after", "2024-03-09T00:00:00"))
+    ]
+    return seen[0].unionByName(seen[1])
+
+
+SNAPSHOT_OF_UPSERTS = f"""WITH {ACTIVITY_SQL}, v AS (
+  SELECT * REPLACE (date_trunc('hour', event_ts) AS event_ts), 0 AS prio FROM act
+  WHERE event_type <> 'error'
+  UNION ALL SELECT * REPLACE (date_trunc('hour', event_ts) AS event_ts, amount + 1 AS amount),
+    1 AS prio FROM act WHERE event_type IN ('error', 'purchase'))
+SELECT {ROWS_SQL}, 'before' AS seen FROM v WHERE prio = 0
+QUALIFY row_number() OVER (PARTITION BY entity_id, event_ts ORDER BY created_ts DESC) = 1
+UNION ALL SELECT {ROWS_SQL}, 'after' AS seen FROM v
+QUALIFY row_number() OVER (PARTITION BY entity_id, event_ts ORDER BY created_ts DESC, prio DESC) = 1"""
+
+
+def latest_deltas(spark, folder):
+    """Five batches of events merged into the latest table, newest first; purchases live on, by deltas across two bases."""
+    table = LatestTable(spark, work_folder(spark, "deltas"), "last_event_v1", "amount double, kind string", compact_after=3)
+    rows = events(spark, folder).select(
+        F.col("user_id").alias("entity_id"), "amount", F.col("event_type").alias("kind"), "event_ts", "transaction_id"
+    )
+    for turn in range(5):
+        mine = rows.where(F.col("transaction_id") % 5 == turn).drop("transaction_id")
+        table.write(mine, at(f"2024-03-01T0{turn}:00:00"), timedelta(hours=9), newest_wins=True, token=f"batch-{turn}")
+    buyers = table.rows().where("kind = 'purchase'")
+    table.extend_ttl(buyers, at("2024-03-01T05:00:00"), timedelta(days=1))
+    stored = table.rows()
+    return stored.select("entity_id", "amount", "kind", *[plain(c).alias(c) for c in ("event_ts", "written_ts", "expires_at")])
+
+
+LATEST_DELTAS = f"""WITH {EVENT_TXNS}, newest AS (
+  SELECT user_id AS entity_id, amount, event_type AS kind, event_ts,
+         TIMESTAMP '2024-03-01 00:00:00' + to_hours(CAST(transaction_id % 5 AS INT)) AS written_ts
+  FROM events_t
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_ts DESC, transaction_id % 5 DESC, amount DESC) = 1)
+SELECT *, CASE WHEN kind = 'purchase' THEN TIMESTAMP '2024-03-02 05:00:00'
+  ELSE written_ts + INTERVAL 9 HOURS END AS expires_at FROM newest"""
+
+
+def lookup_vectors_(spark, folder):
+    """The statuses and features of a lookup as maps, entry by entry."""
+    root = work_folder(spark, "vectors")
+    users = _user_latest(spark, root)
+    users.write(user_rows(spark, folder), NOW, USER_FEATURES.ttl)
+    merchants = LatestTable(spark, root, MERCHANT_FEATURES.name, MERCHANT_FEATURES.features)
+    merchants.write(merchant_rows(spark, folder), at(AS_OF), timedelta(hours=12))
+    requests = lines(spark, folder).where(F.col("event_ts") > F.lit(AS_OF).cast("timestamp"))
+    requests = requests.select("transaction_id.*", "user_id", "merchant_id").drop("l_extendedprice")
+    packed = lookup_vectors(requests, [(users, ["user_id"]), (merchants, ["merchant_id"])], NOW)
+    line = ("l_orderkey", "l_linenumber")
+    statuses = packed.select(*line, F.explode("statuses").alias("name", "status")).withColumn("value", F.lit(None).cast("string"))
+    text = packed.select(*line, F.explode("text").alias("name", "value")).withColumn("status", F.lit(None).cast("int"))
+    return statuses.unionByName(text)
+
+
+LOOKUP_VECTORS = f"""WITH {USER_CTES}, m AS ({MERCHANT_SQL}), found AS (
+  SELECT l_orderkey, l_linenumber, u.entity_id AS u_id, m.entity_id AS m_id, u.home_country
+  FROM lines_t l LEFT JOIN u ON l.user_id = u.entity_id LEFT JOIN m ON l.merchant_id = m.entity_id
+  WHERE event_ts > TIMESTAMP '{AS_OF}')
+SELECT l_orderkey, l_linenumber, 'user_features_v2' AS name,
+  CASE WHEN u_id IS NULL THEN 2 ELSE 1 END AS status, CAST(NULL AS VARCHAR) AS value FROM found
+UNION ALL SELECT l_orderkey, l_linenumber, 'merchant_features_v1', CASE WHEN m_id IS NULL THEN 2 ELSE 3 END, NULL FROM found
+UNION ALL SELECT l_orderkey, l_linenumber, 'home_country', NULL, home_country FROM found WHERE home_country IS NOT NULL"""
+
+
 QUERIES = {
     "training_service": training_service,
     "read_range": read_range,
     "upsert_dedup": upsert_dedup,
     "snapshot_read": snapshot_read,
+    "snapshot_of_upserts": snapshot_of_upserts,
+    "latest_deltas": latest_deltas,
+    "lookup_vectors": lookup_vectors_,
     "retention": retention,
     "partition_counts": partition_counts,
     "latest_ts": latest_ts,
@@ -477,6 +558,9 @@ ORACLES = {
     "read_range": READ_RANGE,
     "upsert_dedup": UPSERT_DEDUP,
     "snapshot_read": SNAPSHOT_READ,
+    "snapshot_of_upserts": SNAPSHOT_OF_UPSERTS,
+    "latest_deltas": LATEST_DELTAS,
+    "lookup_vectors": LOOKUP_VECTORS,
     "retention": RETENTION,
     "partition_counts": PARTITION_COUNTS,
     "latest_ts": LATEST_TS,

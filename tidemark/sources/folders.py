@@ -28,3 +28,26 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
 def drop_folder(spark: SparkSession, path: str) -> bool:
     files, location = resolve(spark, path)
     return files.exists(location) and files.delete(location, True)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced if it is there."""
+    files, location = resolve(spark, path)
+    stream = files.create(location, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def read_small(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The names and texts of a folder's small files; none if there is no folder."""
+    files, location = resolve(spark, folder)
+    if not files.exists(location):
+        return {}
+    found = {}
+    for status in files.listStatus(location):
+        name = status.getPath().getName()
+        if status.isFile() and not name.startswith((".", "_")):
+            stream = files.open(status.getPath())
+            found[name] = bytes(stream.readAllBytes()).decode()
+            stream.close()
+    return found

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import entity_id
-from tidemark.functions.packing import MISSING, PRESENT, STALE
+from tidemark.functions.packing import MISSING, PRESENT, STALE, feature_vector, status_map
 from tidemark.functions.scalars import parse_duration_text
 from tidemark.sources.commits import RUN, CommitLog, now_utc
 from tidemark.sources.feature_table import instant, matching_entities, newest_version
@@ -252,6 +252,16 @@ def lookup(
     return out
 
 
+def lookup_vectors(requests: DataFrame, tables: Sequence[tuple[LatestTable, Sequence[str]]], now: datetime, **options) -> DataFrame:
+    """``lookup`` with its answer packed: ``numeric`` and ``text`` hold the features that are there, ``statuses`` has every
+    view's status by name. ``options`` are those of ``lookup``."""
+    found = lookup(requests, tables, now, **options)
+    views = [c.removesuffix("__status") for c in found.columns if c.endswith("__status") and c not in requests.columns]
+    features = [c for c in found.columns if c not in requests.columns and not c.endswith("__status")]
+    packed = feature_vector(found, features) | {"statuses": status_map({v: F.col(f"{v}__status") for v in views})}
+    return found.select(*requests.columns, *[c.alias(n) for n, c in packed.items()])
+
+
 def prewarm(
     tables: Sequence[LatestTable],
     peaks: DataFrame,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +21,58 @@ def decode_transactions(df: DataFrame, value: str | Column = "value") -> DataFra
     return df.select(F.from_json(column.cast("string"), TRANSACTION).alias("_t")).select("_t.*")
 
 
-def kafka_transactions(
-    spark: SparkSession,
+def decode_or_keep(df: DataFrame, value: str | Column = "value") -> DataFrame:
+    """The transaction columns, the time a message came (``timestamp``, if the source has it) and, for a payload that is
+    no such JSON, the payload itself as ``malformed``; it is null for good ones."""
+    column = (F.col(value) if isinstance(value, str) else value).cast("string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+    typed = F.from_json(column, f"{TRANSACTION}, malformed string", options)
+    # A payload that is null or empty gives no struct, or one without a reason.
+    blank = column.isNull() | (F.trim(column) == "")
+    return df.select(typed.alias("_t"), F.when(blank, F.coalesce(column, F.lit(""))).alias("_blank")).select(
+        *[F.col(f"_t.{name.split()[0]}") for name in TRANSACTION.split(", ")],
+        F.coalesce("_t.malformed", "_blank").alias("malformed"),
+    )
+
+
+def kafka_options(
     servers: str,
     topic: str = "transactions",
     *,
-    starting_offsets: str = "latest",
+    group: str | None = None,
+    starting_offsets: str | Mapping[str, Mapping[int, int]] = "latest",
     max_offsets: int | None = None,
-) -> DataFrame:
-    """The transaction topic, committed messages only. The query's checkpoint holds the offsets."""
-    if starting_offsets not in ("latest", "earliest"):
-        raise ValueError("starting_offsets must be 'latest' or 'earliest'")
-    reader = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("startingOffsets", starting_offsets)
-        .option("kafka.isolation.level", "read_committed")
-    )
+) -> dict[str, str]:
+    """Reader options. ``starting_offsets`` may give offsets per topic and partition (-2 earliest, -1 latest).
+
+    ``group`` is the consumer group whose rights and quotas hold. Offsets are the checkpoint's affair all the same: two
+    queries must not share a group while they run.
+    """
+    if isinstance(starting_offsets, Mapping):
+        offsets = {t: {str(p): int(at) for p, at in parts.items()} for t, parts in starting_offsets.items()}
+        if any(at < -2 for parts in offsets.values() for at in parts.values()):
+            raise ValueError("offsets are -2, -1 or places in a partition")
+        starting = json.dumps(offsets, sort_keys=True)
+    elif starting_offsets in ("latest", "earliest"):
+        starting = starting_offsets
+    else:
+        raise ValueError("starting_offsets must be 'latest', 'earliest' or offsets per topic and partition")
+    options = {
+        "kafka.bootstrap.servers": servers,
+        "subscribe": topic,
+        "startingOffsets": starting,
+        "kafka.isolation.level": "read_committed",
+    }
+    if group:
+        options["kafka.group.id"] = group
     if max_offsets:
-        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+        options["maxOffsetsPerTrigger"] = str(max_offsets)
+    return options
+
+
+def kafka_transactions(spark: SparkSession, servers: str, topic: str = "transactions", **options) -> DataFrame:
+    """The transaction topic, committed messages only. The query's checkpoint holds the offsets."""
+    reader = spark.readStream.format("kafka").options(**kafka_options(servers, topic, **options))
     return decode_transactions(reader.load())
 
 

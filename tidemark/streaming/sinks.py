@@ -23,13 +23,21 @@ def as_feature_rows(windows: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def upsert_online(
-    batch: DataFrame, online: LatestTable, *, ttl: timedelta, written: Column | None = None
+    batch: DataFrame,
+    online: LatestTable,
+    *,
+    ttl: timedelta,
+    written: Column | None = None,
+    token: str | None = None,
 ) -> None:
-    """Newest window per entity into the latest table; an older window never replaces a newer one."""
+    """Newest window per entity into the latest table; an older window never replaces a newer one.
+
+    A batch that the table remembers by its ``token`` is not written again.
+    """
     moment = F.current_timestamp() if written is None else written
     stamped = batch.withColumn("_written", moment)
     newest = newest_version(stamped, ["entity_id"], ["event_ts"])
-    online.write(newest, F.col("_written"), ttl, newest_wins=True)
+    online.write(newest, F.col("_written"), ttl, newest_wins=True, token=token)
 
 
 def snapshot_offline(
@@ -53,13 +61,17 @@ def dual_write(
 ) -> StreamingQuery:
     """Run a feature stream (``entity_id, event_ts, <features>``) into both tables.
 
-    Both writes are upserts, so a batch replayed after a failure leaves the same rows behind.
-    ``written`` replaces the clock as write time (it may use the row's columns).
+    Both writes are upserts, so a batch replayed after a failure leaves the same rows behind. A micro-batch is computed
+    once, for both tables. ``written`` replaces the clock as write time (it may use the row's columns).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_online(batch, online, ttl=ttl, written=written)
-        if offline is not None:
-            snapshot_offline(batch, offline, created=written)
+        batch = batch.persist()
+        try:
+            upsert_online(batch, online, ttl=ttl, written=written, token=f"{checkpoint}:{batch_id}")
+            if offline is not None:
+                snapshot_offline(batch, offline, created=written)
+        finally:
+            batch.unpersist()
 
     return start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, every)

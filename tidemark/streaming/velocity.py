@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from tidemark.operators.sums import double_sum
+from tidemark.sources.folders import read_small, write_small
 
 WATERMARK = "10 seconds"
 NEAR_REAL_TIME = "5 minutes"
@@ -74,11 +75,14 @@ def append_to_folder(
 class LateRows(StreamingQueryListener):
     """Counts what queries of a session drop as later than the watermark, over their whole life.
 
-    ``session.streams.addListener(LateRows())``; a batch that is run again counts once. The unit is
-    Spark's: rows as they reach the stateful operator, for aggregates one per group and batch.
+    ``session.streams.addListener(LateRows(spark, folder))``; a batch that is run again counts once. Counts are kept in
+    ``folder``, one file per query and batch, so a listener made after a restart goes on with them; without one they last
+    as long as the listener. The unit is Spark's: rows as they reach the stateful operator, for aggregates one per group
+    and batch. (``side_outputs`` counts events instead.)
     """
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None) -> None:
+        self._spark, self._folder = spark, folder
         self._dropped: dict[str, dict[int, int]] = {}
         self._ended: dict[str, threading.Event] = {}
 
@@ -88,9 +92,12 @@ class LateRows(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         progress = event.progress
         dropped = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
-        batches = self._dropped.setdefault(str(progress.id), {})
+        batches = self._batches(str(progress.id))
         # A trigger without data reports its batch number again.
-        batches[progress.batchId] = max(dropped, batches.get(progress.batchId, 0))
+        if dropped > batches.get(progress.batchId, 0):
+            batches[progress.batchId] = dropped
+            if self._folder:
+                write_small(self._spark, f"{self._folder}/{progress.id}/{progress.batchId}", str(dropped))
 
     def onQueryTerminated(self, event) -> None:
         self._of(event.runId).set()
@@ -98,11 +105,17 @@ class LateRows(StreamingQueryListener):
     def _of(self, run) -> threading.Event:
         return self._ended.setdefault(str(run), threading.Event())
 
+    def _batches(self, query: str) -> dict[int, int]:
+        if query not in self._dropped:
+            stored = read_small(self._spark, f"{self._folder}/{query}") if self._folder else {}
+            self._dropped[query] = {int(batch): int(text) for batch, text in stored.items()}
+        return self._dropped[query]
+
     def total(self, query: StreamingQuery, patience: float = 60.0) -> int:
-        """Rows dropped by all runs of the query that this listener saw.
+        """Rows dropped by all runs of the query that this listener, or an earlier one of its folder, saw.
 
         Progress is reported in the background: a query that has ended is waited for.
         """
         if not query.isActive and not self._of(query.runId).wait(patience):
             raise TimeoutError("the query's last progress was not reported")
-        return sum(self._dropped.get(str(query.id), {}).values())
+        return sum(self._batches(str(query.id)).values())
