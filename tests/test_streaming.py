@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tidemark.streaming.sinks import (
     dual_write,
     upsert_online,
 )
+from tidemark.streaming.keyed import keyed_sliding_stream, window_sums
 from tidemark.streaming.side_outputs import side_outputs, side_totals
 from tidemark.streaming.sliding import sliding_stream
 from tidemark.streaming.velocity import (
@@ -223,3 +225,46 @@ def test_side_outputs_are_counted_once_and_survive_replays(spark, tmp_path):
     assert sorted(r["malformed"] for r in bad) == ["", "", "[1, 2]", "{broken"]
     late = spark.read.parquet(str(tmp_path / "sides/late")).collect()
     assert sorted(r["transaction_id"] for r in late) == ["3", "5", "6"]
+
+
+@pytest.mark.parametrize("split", [None, {("a",): 3}])
+def test_keyed_state_equals_the_batch_operator_and_forgets(spark, feed, tmp_path, split):
+    add, stream = feed
+    width = timedelta(minutes=7)
+
+    def run():
+        return keyed_sliding_stream(
+            stream(), ["user_id"], width, str(tmp_path / "out"), str(tmp_path / "ck"), event_id="transaction_id", split=split
+        )
+
+    parts = [batch(spark, 50, step, step) for step in range(3)]
+    for part in parts:
+        add(part)
+        run()
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = ["transaction_id", "user_id", "event_ts", "window_count", "window_sum", "velocity_per_min"]
+    expected = sliding_window(whole, ["user_id"], width, value="amount")
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    key = lambda df: sorted(map(tuple, df.select(*names).collect()))
+    assert key(got) == key(expected)
+    # One event far ahead: the next run drops the state of everybody else, and events that are late by then.
+    add(batch(spark, 1, 40, 5))
+    run()
+    late = batch(spark, 5, 0, 9).withColumn("transaction_id", F.lit(-1).cast("long"))
+    odd = late.withColumn("event_ts", F.lit(None).cast("timestamp")).unionByName(late)
+    add(odd)
+    query = run()
+    assert spark.read.parquet(str(tmp_path / "out")).where("transaction_id = -1").count() == 0
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1] <= 3
+
+
+def test_window_sums_against_plain_sums():
+    rng = np.random.default_rng(2)
+    at = np.sort(rng.integers(0, 50, 200))
+    value = rng.choice([0.1, 1e9, -2.5, 3e-7, np.nan, np.inf], 200, p=[0.4, 0.2, 0.2, 0.18, 0.01, 0.01])
+    ask = np.arange(60)
+    n, total = window_sums(at, value, ask, 5)
+    for t, k, s in zip(ask, n, total):
+        inside = value[(at >= t - 5) & (at <= t)]
+        assert k == len(inside) and s == pytest.approx(inside.sum(), rel=1e-13, nan_ok=True)

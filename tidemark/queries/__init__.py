@@ -20,6 +20,7 @@ SUMS = {
     "merchant_features": "avg_ticket_size",
     "sliding_window": "window_sum",
     "sliding_window_scaled": "window_sum",
+    "sliding_state_keyed": "window_sum",
     "hop_velocity_stream": "txn_amount_sum_5m",
     "hop_velocity_batch": "txn_amount_sum_5m",
     "hop_velocity_scaled": "txn_amount_sum_5m",

@@ -20,6 +20,7 @@ from tidemark.streaming.sinks import (
     as_feature_rows,
     dual_write,
 )
+from tidemark.streaming.keyed import keyed_sliding_stream
 from tidemark.streaming.side_outputs import side_outputs, side_totals
 from tidemark.streaming.sliding import sliding_stream
 from tidemark.streaming.velocity import (
@@ -277,6 +278,31 @@ SELECT count(*) AS messages, count(*) FILTER (bad) AS malformed, count(*) FILTER
   CAST(sum(transaction_id) FILTER (NOT bad AND NOT late) AS BIGINT) AS kept_ids FROM judged"""
 
 
+def sliding_state_keyed(spark, folder):
+    """The same windows from keyed state; ten users are split into three sub-keys each."""
+    root, session = work_folder(spark, "keyed"), streaming_session(apply_settings(spark))
+    txns = events(spark, folder).select(
+        "transaction_id", "user_id", F.col("event_ts").cast("timestamp").alias("event_ts"), "amount"
+    )
+    third = F.least(F.floor((F.dayofmonth("event_ts") - 1) / 10), F.lit(2))
+    for step in range(3):
+        txns.where(third == step).write.parquet(f"{root}/in/part={step}")
+        stream = session.readStream.schema(txns.schema).parquet(f"{root}/in/*")
+        keyed_sliding_stream(
+            stream,
+            ["user_id"],
+            timedelta(hours=6),
+            f"{root}/out",
+            f"{root}/checkpoint",
+            event_id="transaction_id",
+            split={(str(user),): 3 for user in range(10)},
+        )
+    return spark.read.parquet(f"{root}/out").drop("batch").withColumn("event_ts", plain("event_ts"))
+
+
+SLIDING_STATE_KEYED = f"SELECT * EXCLUDE (amount) FROM ({SLIDING_WINDOW})"
+
+
 QUERIES = {
     "hop_velocity_scaled": hop_velocity_scaled,
     "hop_velocity_stream": hop_velocity_stream,
@@ -288,6 +314,7 @@ QUERIES = {
     "stream_upsert": stream_upsert,
     "stream_snapshot": stream_snapshot,
     "sliding_state": sliding_state,
+    "sliding_state_keyed": sliding_state_keyed,
 }
 ORACLES = {
     "hop_velocity_scaled": HOP_VELOCITY_SCALED,
@@ -300,4 +327,5 @@ ORACLES = {
     "stream_upsert": STREAM_UPSERT,
     "stream_snapshot": STREAM_SNAPSHOT,
     "sliding_state": SLIDING_WINDOW,
+    "sliding_state_keyed": SLIDING_STATE_KEYED,
 }
