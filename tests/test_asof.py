@@ -242,3 +242,20 @@ def test_each_set_of_keys_takes_one_shuffle(spark, tmp_path, groups):
     rows = out.collect()
     assert len(rows) == 50 and all(r["v_k0"] == r["id"] for r in rows if r["k0"] is not None)
     assert all(r["v_k0"] is None for r in rows if r["k0"] is None)
+
+
+@pytest.mark.parametrize("rows_per_slice", [None, 2])
+def test_maps_in_spines_and_views_are_carried(spark, rows_per_slice):
+    """What a vector lookup returns can be joined: ties at one instant go to the greatest entries."""
+    view = spark.createDataFrame(
+        [("a", day(1), {"x": 1.0, "y": 2.0}), ("a", day(1), {"x": 3.0}), ("b", day(2), None), ("b", day(1), {"z": 1.0})],
+        "entity_id string, event_ts timestamp, vector map<string,double>",
+    )
+    spine = spark.createDataFrame(
+        [("a", day(3), {"s": 1}), ("b", day(3), None), (None, day(3), {}), ("c", None, {"t": 2})],
+        "entity_id string, event_ts timestamp, statuses map<string,int>",
+    )
+    views = [AsOfView("v", view, columns=("vector",))]
+    out = point_in_time_join_views(spine, views, event_ts="event_ts", rows_per_slice=rows_per_slice)
+    got = {r["entity_id"]: (r["statuses"], r["vector"]) for r in out.collect()}
+    assert got == {"a": ({"s": 1}, {"x": 3.0}), "b": (None, None), None: ({}, None), "c": ({"t": 2}, None)}

@@ -11,6 +11,7 @@ from tidemark.functions.packing import MISSING, PRESENT, STALE
 from tidemark.operators.governance import erase_entities
 from tidemark.operators.quality import Expectation, QualityError
 from tidemark.plans.materialize import materialize_view
+from tidemark.plans.stored_reports import stored_freshness, stored_null_rates, stored_volumes
 from tidemark.plans.training import build_from_tables, save_training_set, service_training_set
 from tidemark.plans.views import VIEWS, FeatureView
 from tidemark.sources.commits import CommitLog, WriteConflict
@@ -447,3 +448,27 @@ def test_a_version_cut_short_is_not_read(spark, tmp_path):
     assert stored(made) == [("a", 1, 1)]
     made.upsert(rows(spark, ("b", day(1), 2, day(1))))
     assert stored(made) == [("a", 1, 1), ("b", 1, 2)] and made.log.versions() == [1, 2, 3]
+
+
+def test_reports_over_stored_views_read_no_files(spark, table, tmp_path):
+    other = FeatureTable(spark, str(tmp_path), "more_v1", "x double, w string")
+    more = "entity_id string, event_ts timestamp, x double, w string, created_ts timestamp"
+    nan = float("nan")
+    data = [("a", day(1), 1.0, None, day(1)), ("b", day(1), nan, "s", day(1)), ("c", day(2), None, "s", day(1))]
+    other.append_versions(spark.createDataFrame(data, more))
+    other.append_versions(spark.createDataFrame(data[:1], more))
+    table.upsert(rows(spark, ("a", day(1), 1, day(1)), ("b", day(1), None, day(1)), ("b", day(4), None, day(1))))
+    table.upsert(rows(spark, ("a", day(1), None, day(2)), ("c", day(1, hours=3), 5, day(2))))
+    table.erase(spark.createDataFrame([("b",)], "entity_id string"))
+    counts = {(r["feature_view"], r["event_date"].day): r["rows"] for r in stored_volumes([table, other]).collect()}
+    assert counts == {("numbers_v1", 1): 2, ("more_v1", 1): 3, ("more_v1", 2): 1}
+    report = stored_null_rates([table, other])
+    assert "Scan parquet" not in explained(report)
+    rates = {(r["feature_view"], r["feature"]): r["null_rate"] for r in report.collect()}
+    assert rates == {("numbers_v1", "v"): 0.5, ("more_v1", "x"): 0.5, ("more_v1", "w"): 0.5}
+    first = stored_null_rates([other], date(2026, 5, 2), date(2026, 5, 9))
+    assert {r["feature"]: r["null_rate"] for r in first.collect()} == {"x": 1.0, "w": 0.0}
+    slas = spark.createDataFrame([("numbers_v1", "1h"), ("more_v1", "9d"), ("none", "1d")], "feature_view string, sla string")
+    aged = {r["feature_view"]: (r["age_seconds"], r["breached"]) for r in stored_freshness([table, other], slas, day(2)).collect()}
+    assert aged == {"numbers_v1": (21 * 3600.0, True), "more_v1": (0.0, False), "none": (float("inf"), True)}
+    assert table.upsert(rows(spark, ("z", day(8), 1, day(8)))).rows_written == 1

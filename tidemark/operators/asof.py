@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.scan import Last, ordered_scan
 from tidemark.operators.slices import Slices, plan_slices
@@ -117,6 +118,16 @@ def _known(columns: Sequence[str]) -> Column:
     return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def _entries(column: Column, kind: T.DataType) -> Column:
+    return F.array_sort(F.map_entries(column)) if isinstance(kind, T.MapType) else column
+
+
 def _keyed(df: DataFrame, keys: Sequence[str], ts: str, *columns: Column) -> DataFrame:
     """Rows with key and time, under the names the scan uses."""
     return df.where(_known([*keys, ts])).select(
@@ -152,7 +163,9 @@ def _join_group(
     # Rows without key or time match nothing. They come along in lanes of their own, so that the
     # spine, which may hold another group's join, is read once.
     usable = _known([*keys, event_ts])
-    lane = F.when(usable, F.lit(0).cast("long")).otherwise(F.xxhash64(*spine.columns).bitwiseOR(F.lit(1)))
+    # Maps have neither hash nor order; the lane needs only what spreads rows.
+    hashed = [f.name for f in spine.schema if not _has_map(f.dataType)] or [F.lit(0)]
+    lane = F.when(usable, F.lit(0).cast("long")).otherwise(F.xxhash64(*hashed).bitwiseOR(F.lit(1)))
     rows, folds = (
         spine.select(
             *[F.col(k).alias(i) for k, i in zip(keys, _key_ids(keys), strict=True)],
@@ -166,11 +179,14 @@ def _join_group(
     for n, view in enumerate(views):
         created = F.col(view.created_ts) if view.created_ts else F.lit(None)
         at = F.unix_micros(F.col(view.feature_ts).cast("timestamp"))
-        # Field order settles ties at one instant: newest write first, then the feature values.
+        # Field order settles ties at one instant: newest write first, then the feature values. Maps can't be compared:
+        # they go along as sorted entries.
+        kinds = {c: view.frame.schema[c].dataType for c in view.feature_columns()}
+        features = [_entries(F.col(c), kinds[c]).alias(c) for c in kinds]
         packed = F.struct(
             created.cast("timestamp").alias("_created"),
             at.alias("_feature_at"),
-            *view.feature_columns(),
+            *features,
         )
         updates = _keyed(
             view.frame,
@@ -193,7 +209,9 @@ def _join_group(
         if view.ttl is not None:
             fresh = F.col("_at") - hit["_feature_at"] <= F.lit(micros(view.ttl))
         for c in view.feature_columns():
-            hits.append(F.when(fresh, hit[c]).alias(names[view.name][c]))
+            kind = view.frame.schema[c].dataType
+            value = F.map_from_entries(hit[c]) if isinstance(kind, T.MapType) else hit[c]
+            hits.append(F.when(fresh, value).alias(names[view.name][c]))
         if view.name in matched_ts:
             found = F.timestamp_micros(hit["_feature_at"])
             hits.append(F.when(fresh, found).alias(matched_ts[view.name]))

@@ -38,7 +38,7 @@ def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def _stamp(df: DataFrame, as_of: datetime, created: datetime | None) -> DataFrame:
+def stamp(df: DataFrame, as_of: datetime, created: datetime | None) -> DataFrame:
     stamped = df.withColumns(
         {"event_ts": instant(as_of), "created_ts": instant(created or as_of)}
     )
@@ -76,7 +76,7 @@ def user_features(
     out = sums.withColumn("txn_amount_avg_30d", average).drop("_valued")
     if countries is not None:
         out = out.join(countries.select("user_id", "home_country"), "user_id", "left")
-    return _stamp(out.withColumnRenamed("user_id", "entity_id"), as_of, created)
+    return stamp(out.withColumnRenamed("user_id", "entity_id"), as_of, created)
 
 
 def user_peaks(
@@ -110,7 +110,7 @@ def pair_features(txns: DataFrame, as_of: datetime, *, created: datetime | None
     )
     encoded = entity_id({"user_id": F.col("user_id"), "merchant_id": F.col("merchant_id")})
     out = out.withColumn("entity_id", encoded).drop("user_id", "merchant_id")
-    return _stamp(out, as_of, created)
+    return stamp(out, as_of, created)
 
 
 def merchant_features(
@@ -132,7 +132,7 @@ def merchant_features(
             ),
         )
     )
-    return _stamp(out, as_of, created)
+    return stamp(out, as_of, created)
 
 
 def with_countries(txns: DataFrame, users: DataFrame, merchants: DataFrame) -> DataFrame:

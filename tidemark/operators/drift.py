@@ -7,12 +7,13 @@ values outside them stay in the denominator only. Nulls and NaN are left out.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import quantile_sql, running_counts
+from tidemark.sources.feature_table import FeatureTable
 
 # Share floor and alert thresholds.
 SHARE_FLOOR = 1e-6
@@ -160,3 +161,9 @@ def baseline_and_current(
         rows.where(day == F.lit(today)),
     )
 
+
+
+def stored_baseline(table: FeatureTable, today: date, *, days: int = BASELINE_DAYS) -> tuple[DataFrame, DataFrame]:
+    """The same two samples of a stored view, reading only their days' folders."""
+    at = [datetime.combine(today + timedelta(days=n), time(), timezone.utc) for n in (-days, 0, 1)]
+    return table.read_range(at[0], at[1]), table.read_range(at[1], at[2])

@@ -148,13 +148,19 @@ def with_variance(
     return df.withColumn(out, variance).drop(*[f"{out}_{k}" for k in ("s", "q", *steps)])
 
 
+def double_parts(x: Column) -> tuple[Column, Column]:
+    """Whole part and fraction of a double, to be summed apart; NaN, infinities and null are in the first."""
+    x = x.cast("double")
+    split = F.abs(x) < _CUT
+    fraction = x % F.lit(1.0)
+    whole = F.when(split, x - fraction).otherwise(x)
+    return whole, F.when(split, fraction).otherwise(F.when(x.isNotNull(), 0.0))
+
+
 def double_sum(column: str | Column) -> Column:
     """The sum of a double column where nothing is taken out again, as plain arithmetic has it; null without values.
 
     Whole parts add up without rounding (below 2^53), so only the sum of the fractions is rounded.
     """
-    x = (F.col(column) if isinstance(column, str) else column).cast("double")
-    split = F.abs(x) < _CUT
-    fraction = x % F.lit(1.0)
-    whole = F.when(split, x - fraction).otherwise(x)
-    return F.sum(whole) + F.sum(F.when(split, fraction).otherwise(F.when(x.isNotNull(), 0.0)))
+    whole, fraction = double_parts(F.col(column) if isinstance(column, str) else column)
+    return F.sum(whole) + F.sum(fraction)

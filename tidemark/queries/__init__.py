@@ -12,6 +12,7 @@ SUMS = {
     "rolling_30d_scaled": _MONTH,
     "user_features_asof": _MONTH,
     "user_features_scaled": _MONTH,
+    "user_features_tiles": _MONTH,
     "user_peak_30d": _MONTH,
     "training_set": _MONTH,
     "rolling_30d_special": "txn_amount_sum_30d",
@@ -26,6 +27,7 @@ SUMS = {
     "hop_velocity_scaled": "txn_amount_sum_5m",
     "hop_velocity_tumbling": "txn_amount_sum_5m",
     "baseline": "amount_sum",
+    "baseline_stored": "amount_sum",
 }
 MODULES = (training, batch, tables, monitoring, governance, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}

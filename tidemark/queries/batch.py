@@ -26,6 +26,7 @@ from tidemark.operators.batch_features import (
     user_peaks,
     with_countries,
 )
+from tidemark.operators.day_tiles import DayTiles, user_features_from_tiles
 from tidemark.operators.rolling import (
     amount_zscores,
     rolling_features,
@@ -43,7 +44,7 @@ from tidemark.queries.common import (
     plain,
     table,
 )
-from tidemark.session import apply_settings
+from tidemark.session import apply_settings, work_folder
 from tidemark.sources.feature_table import instant
 from tidemark.sources.streams import decode_transactions
 from tidemark.sources.tables import order_transactions, warehouse_until
@@ -152,6 +153,20 @@ def user_features_asof(spark, folder):
     return _stamped(user_rows(spark, folder))
 
 
+def user_features_tiles(spark, folder):
+    """The same rows from day tiles and a table of first times, whose updates come in two parts."""
+    txns = lines(spark, folder).withColumnRenamed("is_refund", "is_chargeback")
+    tiles = DayTiles(spark, work_folder(spark, "tiles"), "user")
+    last = at(AS_OF).date()
+    days = [last - timedelta(days=i) for i in range(1, 90)]
+    for some in (days[45:], days[:45]):
+        tiles.update(txns, some, at(AS_OF))
+    newer = F.col("event_ts") >= F.lit(AS_OF).cast("timestamp") - timedelta(days=400)
+    for some in (newer, ~newer):
+        tiles.see(txns.where(some), at(AS_OF))
+    return _stamped(user_features_from_tiles(tiles, txns, at(AS_OF), countries=_countries(spark, folder)))
+
+
 def _if(condition: str, value: str) -> str:
     return f"CASE WHEN {condition} THEN {value} END"
 
@@ -627,6 +642,7 @@ QUERIES = {
     "rolling_30d": rolling_30d,
     "rolling_distinct": rolling_distinct_,
     "user_features_asof": user_features_asof,
+    "user_features_tiles": user_features_tiles,
     "user_peak_30d": user_peak_30d,
     "user_risk": user_risk,
     "pair_features": pair_features_,
@@ -655,6 +671,7 @@ ORACLES = {
     "rolling_30d": ROLLING_30D,
     "rolling_distinct": ROLLING_DISTINCT,
     "user_features_asof": USER_FEATURES_ASOF,
+    "user_features_tiles": USER_FEATURES_ASOF,
     "user_peak_30d": USER_PEAK_30D,
     "user_risk": USER_RISK,
     "pair_features": PAIR_FEATURES,

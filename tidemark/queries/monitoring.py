@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.drift import (
     baseline_and_current,
     baseline_due,
+    stored_baseline,
     drift_report,
     drift_statistics,
     long_samples,
@@ -30,11 +31,13 @@ from tidemark.operators.health import (
 )
 from tidemark.operators.quality import USER_FEATURE_RULES, Expectation, quality_report
 from tidemark.operators.sums import double_sum
+from tidemark.plans.stored_reports import stored_freshness, stored_null_rates
 from tidemark.plans.views import VIEWS
 from tidemark.queries.batch import USER_SQL, USERS_SQL, user_rows
 from tidemark.queries.common import EVENT_TXNS, LINE_TXNS, at, events, exact, plain
 from tidemark.queries.tables import READS_SQL, read_log
 from tidemark.session import work_folder
+from tidemark.sources.feature_table import FeatureTable
 
 SPLIT, NOW = "2024-01-16", "2024-01-31 00:00:00"
 FEATURES = ("amount", "merchant_no", "inflated", "constant")
@@ -353,6 +356,63 @@ SELECT v.feature_view, last_read FROM (VALUES ('user_features_v2'), ('merchant_f
 LEFT JOIN log ON v.feature_view = log.feature_view
 WHERE last_read IS NULL OR last_read < TIMESTAMP '2024-04-15' - INTERVAL 90 DAYS"""
 
+def _stored_views(spark: SparkSession, folder: str) -> list[FeatureTable]:
+    """One stored view per event type, its rows in two writes; cheap amounts are missing or no number."""
+    root = work_folder(spark, "views")
+    rows = events(spark, folder).select(
+        F.col("user_id").alias("entity_id"),
+        "event_ts",
+        F.when(F.col("amount") >= 20, F.col("amount")).when(F.col("amount") >= 10, F.lit(float("nan"))).alias("amount"),
+        F.when(F.col("merchant_id").cast("int") < 95, F.col("merchant_id")).alias("merchant_id"),
+        F.col("event_ts").alias("created_ts"),
+        "event_type",
+    )
+    tables = []
+    for name in ("click", "error", "purchase", "signup", "view"):
+        table = FeatureTable(spark, root, name, "amount double, merchant_id string")
+        mine = rows.where(F.col("event_type") == name)
+        for early in (True, False):
+            table.append_versions(mine.where((F.dayofmonth("event_ts") < 20) == F.lit(early)))
+        tables.append(table)
+    return tables
+
+
+def stored_freshness_(spark, folder):
+    """Freshness of stored views from what their writes noted."""
+    return stored_freshness(_stored_views(spark, folder), _slas(spark), at(NOW))
+
+
+def stored_null_rates_(spark, folder):
+    """Missing values of stored views over two weeks, from what their writes noted."""
+    return stored_null_rates(_stored_views(spark, folder), date(2024, 1, 10), date(2024, 1, 23))
+
+
+STORED_NULL_RATES = f"""WITH {EVENT_TXNS}, r AS (
+  SELECT event_type AS feature_view, avg(CAST(amount < 20 OR amount IS NULL AS INT)) AS amount,
+    avg(CAST(CAST(merchant_id AS INT) >= 95 OR merchant_id IS NULL AS INT)) AS merchant_id
+  FROM events_t WHERE event_ts >= TIMESTAMP '2024-01-10' AND event_ts < TIMESTAMP '2024-01-24' GROUP BY event_type)
+SELECT feature_view, feature, null_rate, null_rate > 0.05 AS breached
+FROM (UNPIVOT r ON amount, merchant_id INTO NAME feature VALUE null_rate)"""
+
+
+def baseline_stored(spark, folder):
+    """The baseline and the current day of a stored view, from their days' folders alone."""
+    table = FeatureTable(spark, work_folder(spark, "baseline"), "transactions", "amount double, merchant_id string, txn long")
+    rows = events(spark, folder).withColumns(
+        {"entity_id": F.col("user_id"), "txn": F.col("transaction_id").cast("long"), "created_ts": F.col("event_ts")}
+    )
+    table.append_versions(rows)
+    old, new = stored_baseline(table, date(2024, 1, 29), days=21)
+    both = old.withColumn("sample", F.lit("baseline")).unionByName(new.withColumn("sample", F.lit("current")))
+    due = baseline_due(date(2024, 1, 1), date(2024, 1, 29))
+    return both.groupBy("sample").agg(
+        F.count(F.lit(1)).alias("rows"),
+        double_sum("amount").alias("amount_sum"),
+        F.count_distinct("merchant_id").alias("merchants"),
+        F.lit(due).alias("due"),
+    )
+
+
 QUERIES = {
     "null_rates": null_rates_,
     "psi": psi,
@@ -360,6 +420,9 @@ QUERIES = {
     "drift_report": drift_report_,
     "drift_sliced": drift_sliced,
     "baseline": baseline,
+    "baseline_stored": baseline_stored,
+    "stored_freshness": stored_freshness_,
+    "stored_null_rates": stored_null_rates_,
     "freshness": freshness_,
     "skew": skew,
     "latency_p99": latency_p99_,
@@ -375,6 +438,9 @@ ORACLES = {
     "drift_report": DRIFT_REPORT,
     "drift_sliced": DRIFT_REPORT,
     "baseline": BASELINE,
+    "baseline_stored": BASELINE,
+    "stored_freshness": FRESHNESS,
+    "stored_null_rates": STORED_NULL_RATES,
     "freshness": FRESHNESS,
     "skew": SKEW,
     "latency_p99": LATENCY_P99,

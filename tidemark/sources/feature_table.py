@@ -125,6 +125,7 @@ class FeatureTable:
         self.spark, self.name, self.keep = spark, name, keep
         self.path = f"{root.rstrip('/')}/{name}"
         self.log = CommitLog(spark, self.path, clock)
+        self._measured: dict[str, dict] = {}
         self.features = [f.name for f in features]
         self.schema = T.StructType(
             [
@@ -204,6 +205,24 @@ class FeatureTable:
             rows = rows.where(F.col(PARTITION) == F.lit(days[-1]))
         return rows.agg(F.max("event_ts").alias("latest_event_ts"))
 
+    def day_stats(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        """``(event_date, rows, latest_event_ts, nulls)`` per stored day, as the writes noted them: no file is opened.
+
+        Versions kept beside each other (``append_versions``) count as often as they are stored.
+        """
+        state = self.log.newest()[1]
+        first, last = ("" if start is None else start.isoformat()), ("9999" if end is None else end.isoformat())
+        found = []
+        for day, runs in state.get("days", {}).items():
+            stats = [state["stats"][f"{run}/{day}"] for run in runs]
+            if first <= day <= last:
+                nulls = {f: sum(s["nulls"].get(f, 0) for s in stats) for f in self.features}
+                latest = max((s["latest"] for s in stats if s["latest"] is not None), default=None)
+                found.append((date.fromisoformat(day), sum(s["rows"] for s in stats), latest, nulls))
+        schema = f"{PARTITION} date, rows long, latest long, nulls map<string,long>"
+        stats = self.spark.createDataFrame(found, schema)
+        return stats.withColumn("latest", F.timestamp_micros("latest")).withColumnRenamed("latest", "latest_event_ts")
+
     def partition_counts(self) -> DataFrame:
         return self._scan().groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows")).orderBy(PARTITION)
 
@@ -262,16 +281,48 @@ class FeatureTable:
         if f"{PARTITION}=__HIVE_DEFAULT_PARTITION__" in folders:
             drop_folder(self.spark, f"{self.path}/{run}")
             raise ValueError("event_ts must not be null")
-        return run, [_day(f) for f in folders]
+        days = [_day(f) for f in folders]
+        self._measured |= self._measure(run, days)
+        return run, days
+
+    def _measure(self, run: str, days: Sequence[date]) -> dict[str, dict]:
+        """Per day of a write its rows, newest event time and missing values: one pass over what was written."""
+        if not days:
+            return {}
+        kinds = {f.name: f.dataType for f in self.schema}
+
+        def missing(name: str) -> Column:
+            column = F.col(name)
+            if isinstance(kinds[name], T.FloatType | T.DoubleType):
+                return column.isNull() | F.isnan(column)
+            return column.isNull()
+
+        found = self._read(_paths(run, days)).groupBy(PARTITION).agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.max(F.unix_micros("event_ts")).alias("latest"),
+            F.array(*[F.count_if(missing(f)) for f in self.features]).alias("nulls"),
+        )
+        return {
+            f"{run}/{r[PARTITION].isoformat()}": {
+                "rows": r["rows"], "latest": r["latest"], "nulls": dict(zip(self.features, r["nulls"]))
+            }
+            for r in found.collect()
+        }
 
     def _commit(self, step: Callable[[dict[str, list[str]]], dict[str, list[str]] | None]) -> None:
         """Make a version of what ``step`` turns the runs per day into; None leaves the table as it is."""
 
         def whole(state: dict) -> dict | None:
             days = step({d: list(runs) for d, runs in state.get("days", {}).items()})
-            return None if days is None else {"days": {d: runs for d, runs in days.items() if runs}}
+            if days is None:
+                return None
+            days = {d: runs for d, runs in days.items() if runs}
+            known = state.get("stats", {}) | self._measured
+            stats = {k: known[k] for d, runs in days.items() for run in runs if (k := f"{run}/{d}") in known}
+            return {"days": days, "stats": stats}
 
         self.log.change(whole)
+        self._measured = {}
         self.log.tidy(_folders, self.keep)
 
     def upsert(self, incoming: DataFrame) -> WriteResult:
@@ -285,7 +336,7 @@ class FeatureTable:
         run, days = self._write(newest_version(self.conform(incoming), keys, ["created_ts"]))
         if not days:
             return WriteResult(0, ())
-        rows_written = self._read(_paths(run, days)).count()
+        rows_written = sum(self._measured[f"{run}/{d.isoformat()}"]["rows"] for d in days)
 
         def merged(stored: dict[str, list[str]]) -> dict[str, list[str]]:
             overlap = [d for d in days if d.isoformat() in stored]
