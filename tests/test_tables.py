@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import day, explained
 from tidemark.functions.packing import MISSING, PRESENT, STALE
+from tidemark.operators import asof
 from tidemark.operators.governance import erase_entities
 from tidemark.operators.quality import Expectation, QualityError
 from tidemark.plans.materialize import materialize_view
@@ -472,3 +473,20 @@ def test_reports_over_stored_views_read_no_files(spark, table, tmp_path):
     aged = {r["feature_view"]: (r["age_seconds"], r["breached"]) for r in stored_freshness([table, other], slas, day(2)).collect()}
     assert aged == {"numbers_v1": (21 * 3600.0, True), "more_v1": (0.0, False), "none": (float("inf"), True)}
     assert table.upsert(rows(spark, ("z", day(8), 1, day(8)))).rows_written == 1
+
+
+def test_statistics_spare_the_planning_of_views(spark, table, monkeypatch):
+    """With the table's bounds only the spine is counted; a key that may be heavy is planned for as before."""
+    table.upsert(rows(spark, *[("a", day(d), d, day(d)) for d in range(1, 11)], *[("b", day(1, hours=h), h, day(1)) for h in range(9)]))
+    assert table.rows_per_entity() == 18 and table.rows_per_entity(date(2026, 5, 2), date(2026, 5, 4)) == 3
+    spine = spark.createDataFrame([("a", day(10, hours=5)), ("a", day(3)), ("b", day(2))], "entity_id string, event_ts timestamp")
+    planned = []
+    plan = asof.plan_slices
+    monkeypatch.setattr(asof, "plan_slices", lambda *args: planned.append(1) or plan(*args))
+    values = lambda out: sorted((r["entity_id"], r["event_ts"].day, r["v"]) for r in out.collect())
+    want = [("a", 3, 3), ("a", 10, 10), ("b", 2, 8)]
+    assert values(table.as_of(spine)) == want and not planned
+    monkeypatch.setattr(asof, "ROWS_PER_SLICE", 5)
+    assert values(table.as_of(spine)) == want and planned
+    few = table.as_of(spine.where("entity_id = 'b'"), spine_keys_only=True)
+    assert values(few) == [("b", 2, 8)] and "LeftSemi" in explained(few)

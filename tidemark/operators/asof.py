@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.scan import Last, ordered_scan
-from tidemark.operators.slices import Slices, plan_slices
+from tidemark.operators.slices import ROWS_PER_SLICE, Slices, plan_slices
 
 RESERVED = ("entity_id", "event_ts", "created_ts", "event_date")
 
 
 @dataclass(frozen=True)
 class AsOfView:
-    """Feature rows to look up: where they are, what identifies them, how long they stay valid."""
+    """Feature rows to look up: where they are, what identifies them, how long they stay valid.
+
+    ``rows_per_key`` is a bound on any key's rows, if the table's statistics give one; planning then need not count them.
+    """
 
     name: str
     frame: DataFrame
@@ -34,6 +37,7 @@ class AsOfView:
     created_ts: str | None = "created_ts"
     ttl: timedelta | None = None
     columns: tuple[str, ...] | None = None
+    rows_per_key: int | None = None
 
     def feature_columns(self) -> list[str]:
         if self.columns is not None:
@@ -144,11 +148,16 @@ def _plan(
     event_ts: str,
     rows_per_slice: int | None,
 ) -> Slices:
-    moments = [_keyed(spine, keys, event_ts)]
-    moments += [_keyed(v.frame, v.keys, v.feature_ts) for v in views]
-    return plan_slices(
-        reduce(DataFrame.unionByName, moments), _key_ids(keys), "_at", rows_per_slice
-    )
+    ids = _key_ids(keys)
+    probes = _keyed(spine, keys, event_ts)
+    bounds = [v.rows_per_key for v in views]
+    if None not in bounds:
+        # Where the views have bounds, counting the spine is enough to see that no key can be heavy.
+        most = probes.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most + sum(bounds) <= (rows_per_slice or ROWS_PER_SLICE):
+            return Slices(tuple(ids))
+    moments = [probes] + [_keyed(v.frame, v.keys, v.feature_ts) for v in views]
+    return plan_slices(reduce(DataFrame.unionByName, moments), ids, "_at", rows_per_slice)
 
 
 def _join_group(

@@ -263,6 +263,17 @@ def pit_pushdown(spark, folder):
     return _out(feature_table.as_of(spine, ttl=timedelta(days=2)))
 
 
+def pit_spine_keys(spark, folder):
+    """The same for purchases of every seventh user: other users' feature rows are left out before the shuffle."""
+    feature_table = FeatureTable(
+        spark, work_folder(spark, "pit"), "user_views_v1", "view_amount double, view_merchant string"
+    )
+    feature_table.upsert(views(spark, folder).withColumn("created_ts", F.col("event_ts")))
+    spine = _spine(spark, folder).where(F.col("event_ts") >= F.lit("2024-01-15").cast("timestamp"))
+    few = spine.where(F.col("entity_id").cast("int") % 7 == 0)
+    return _out(feature_table.as_of(few, ttl=timedelta(days=2), spine_keys_only=True))
+
+
 PIT_PUSHDOWN = f"""WITH {SPINE}, hit AS (
   SELECT transaction_id, s.entity_id, s.event_ts, label, view_amount, view_merchant,
          s.event_ts - f.event_ts <= INTERVAL 2 DAYS AS ok, row_number() OVER (
@@ -273,6 +284,9 @@ SELECT transaction_id, entity_id, event_ts, label, CASE WHEN ok THEN view_amount
        CASE WHEN ok THEN view_merchant END AS view_merchant FROM hit WHERE rn = 1"""
 
 
+PIT_SPINE_KEYS = f"SELECT * FROM ({PIT_PUSHDOWN}) WHERE CAST(entity_id AS INT) % 7 = 0"
+
+
 def pit_leakage_audit(spark, folder):
     joined = point_in_time_join(
         _spine(spark, folder), views(spark, folder), matched_ts="feature_ts"
@@ -352,6 +366,7 @@ QUERIES = {
     "pit_null_keys": pit_null_keys,
     "pit_multi_view": pit_multi_view,
     "pit_pushdown": pit_pushdown,
+    "pit_spine_keys": pit_spine_keys,
     "pit_leakage_audit": pit_leakage_audit,
     "training_set": training_set,
     "training_sample": training_sample,
@@ -369,6 +384,7 @@ ORACLES = {
     "pit_null_keys": PIT_NULL_KEYS,
     "pit_multi_view": PIT_MULTI_VIEW,
     "pit_pushdown": PIT_PUSHDOWN,
+    "pit_spine_keys": PIT_SPINE_KEYS,
     "pit_leakage_audit": PIT_LEAKAGE_AUDIT,
     "training_set": TRAINING_SET,
     "training_sample": TRAINING_SAMPLE,

@@ -7,7 +7,7 @@ on to the version they began with. Past versions can be read back. Writers that
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -223,6 +223,18 @@ class FeatureTable:
         stats = self.spark.createDataFrame(found, schema)
         return stats.withColumn("latest", F.timestamp_micros("latest")).withColumnRenamed("latest", "latest_event_ts")
 
+    def rows_per_entity(self, start: date | None = None, end: date | None = None) -> int:
+        """A bound on the rows of any entity over the days from start to end: the most of each write and day, added up."""
+        state = self.log.newest()[1]
+        first, last = ("" if start is None else start.isoformat()), ("9999" if end is None else end.isoformat())
+        found = [
+            state["stats"][f"{run}/{day}"]["most"]
+            for day, runs in state.get("days", {}).items()
+            if first <= day <= last
+            for run in runs
+        ]
+        return sum(found)
+
     def partition_counts(self) -> DataFrame:
         return self._scan().groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows")).orderBy(PARTITION)
 
@@ -249,7 +261,8 @@ class FeatureTable:
             rows = newest_version(rows, ["entity_id", "event_ts"], ["created_ts"])
         columns = tuple(columns or self.features)
         rows = rows.select("entity_id", "event_ts", "created_ts", *columns)
-        return AsOfView(self.name, rows, ttl=ttl, columns=columns)
+        bound = self.rows_per_entity(None if ttl is None else (utc(start) - ttl).date(), utc(end).date())
+        return AsOfView(self.name, rows, ttl=ttl, columns=columns, rows_per_key=bound)
 
     def as_of(
         self,
@@ -258,11 +271,20 @@ class FeatureTable:
         ttl: timedelta | None = None,
         event_ts: str = "event_ts",
         columns: Sequence[str] | None = None,
+        spine_keys_only: bool = False,
     ) -> DataFrame:
-        """As-of join against the stored table, scanning only days and columns that can match."""
+        """As-of join against the stored table, scanning only days and columns that can match.
+
+        With ``spine_keys_only`` feature rows of entities that the spine lacks are left out before anything is shuffled
+        (by a broadcast of the spine's distinct keys where adaptive execution finds them small, else by a Bloom filter
+        where Spark's runtime filters apply): for a spine of few entities against a large table.
+        """
         # A spine without any time matches nothing, so a range before all data will do.
         start, end = time_bounds(spine, event_ts) or (EPOCH, EPOCH)
         view = self.view_for(start, end, ttl, columns)
+        if spine_keys_only:
+            wanted = spine.select("entity_id").distinct()
+            view = replace(view, frame=view.frame.join(wanted, "entity_id", "left_semi"))
         return point_in_time_join_views(spine, [view], event_ts=event_ts)
 
     # -- writes ------------------------------------------------------------------------------
@@ -286,7 +308,10 @@ class FeatureTable:
         return run, days
 
     def _measure(self, run: str, days: Sequence[date]) -> dict[str, dict]:
-        """Per day of a write its rows, newest event time and missing values: one pass over what was written."""
+        """Per day of a write its rows, the most of one entity, newest event time and missing values.
+
+        One pass over what was written.
+        """
         if not days:
             return {}
         kinds = {f.name: f.dataType for f in self.schema}
@@ -297,17 +322,27 @@ class FeatureTable:
                 return column.isNull() | F.isnan(column)
             return column.isNull()
 
-        found = self._read(_paths(run, days)).groupBy(PARTITION).agg(
+        nulls = [f"_n{i}" for i in range(len(self.features))]
+        by_entity = self._read(_paths(run, days)).groupBy(PARTITION, "entity_id").agg(
             F.count(F.lit(1)).alias("rows"),
             F.max(F.unix_micros("event_ts")).alias("latest"),
-            F.array(*[F.count_if(missing(f)) for f in self.features]).alias("nulls"),
+            *[F.count_if(missing(f)).alias(n) for f, n in zip(self.features, nulls)],
+        )
+        found = by_entity.groupBy(PARTITION).agg(
+            F.max("rows").alias("most"),
+            F.sum("rows").alias("rows"),
+            F.max("latest").alias("latest"),
+            F.array(*[F.sum(n) for n in nulls]).alias("nulls"),
         )
         return {
             f"{run}/{r[PARTITION].isoformat()}": {
-                "rows": r["rows"], "latest": r["latest"], "nulls": dict(zip(self.features, r["nulls"]))
+                "rows": r["rows"],
+                "most": r["most"],
+                "latest": r["latest"],
+                "nulls": dict(zip(self.features, r["nulls"])),
             }
             for r in found.collect()
-        }
+        }
 
     def _commit(self, step: Callable[[dict[str, list[str]]], dict[str, list[str]] | None]) -> None:
         """Make a version of what ``step`` turns the runs per day into; None leaves the table as it is."""
