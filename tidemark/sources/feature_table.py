@@ -155,6 +155,12 @@ class FeatureTable:
             [f for day, found in _by_day(state).items() if first <= day <= last and (wanted is None or day in wanted) for f in found]
         )
 
+    def _everything(self) -> DataFrame:
+        """All days of the newest version, between bounds that the scan is given as a predicate."""
+        days = self.days()
+        rows = self._scan(days=days)
+        return rows.where(F.col(PARTITION).between(F.lit(days[0]), F.lit(days[-1]))) if days else rows
+
     def conform(self, df: DataFrame) -> DataFrame:
         """Columns and types of the declared schema; ``event_date`` derived from ``event_ts``."""
         df = with_partition(df)
@@ -236,7 +242,8 @@ class FeatureTable:
         return sum(found)
 
     def partition_counts(self) -> DataFrame:
-        return self._scan().groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows")).orderBy(PARTITION)
+        """Rows per stored day, as the writes noted them."""
+        return self.day_stats().select(PARTITION, "rows").orderBy(PARTITION)
 
     def view_for(
         self,
@@ -251,7 +258,7 @@ class FeatureTable:
         With ``known_at`` each row is the newest version written by then.
         """
         if ttl is None:
-            rows = self._scan(end=utc(end).date()).where(
+            rows = self._everything().where(
                 (F.col(PARTITION) <= F.lit(utc(end).date())) & (F.col("event_ts") <= instant(end))
             )
         else:
@@ -413,36 +420,52 @@ class FeatureTable:
 
     def erasure_counts(self, targets: DataFrame) -> DataFrame:
         """Rows per requested key that ``erase`` would remove."""
-        return (
-            self._scan()
-            .join(targets, "entity_id")
-            .groupBy(F.col("requested").alias("entity_id"))
-            .agg(F.count(F.lit(1)).alias("rows_deleted"))
-        )
+        found = targets if PARTITION in targets.columns else self._located(targets)
+        return found.groupBy(F.col("requested").alias("entity_id")).agg(F.sum("rows").alias("rows_deleted"))
 
     def erase(self, targets: DataFrame) -> list[date]:
-        """Delete the rows of all target entities, from past versions too; rewrites only the days that hold any."""
-        gone = targets.select("entity_id").distinct().withColumn("_gone", F.lit(1))
-        marked = self._scan().join(gone, "entity_id", "left")
-        by_day = (
-            marked.groupBy(PARTITION)
-            .agg(F.count(F.lit(1)).alias("rows"), F.count("_gone").alias("gone"))
-            .where(F.col("gone") > 0)
-            .orderBy(PARTITION)
-            .collect()
-        )
-        changed = {r[PARTITION].isoformat(): [] for r in by_day}
-        thinned = [r[PARTITION] for r in by_day if r["gone"] < r["rows"]]
+        """Delete the rows of all target entities, from past versions too; rewrites only the days that hold any.
+
+        Targets that ``targets`` found in the version that is still the newest tell the days; others are looked for.
+        """
+        version, state = self.log.newest()
+        current = PARTITION in targets.columns and targets.where(F.col("version") != version).isEmpty()
+        found = targets if current else self._located(targets.select("entity_id"))
+        once = found.select("entity_id", PARTITION, "rows").distinct()
+        gone = {r[PARTITION]: r["rows"] for r in once.groupBy(PARTITION).agg(F.sum("rows").alias("rows")).collect()}
+        stored = {
+            d: sum(state["stats"][f"{run}/{d.isoformat()}"]["rows"] for run in state["days"][d.isoformat()]) for d in gone
+        }
+        changed = {d.isoformat(): [] for d in gone}
+        thinned = sorted(d for d in gone if gone[d] < stored[d])
         if thinned:
-            left = self._scan(days=thinned).join(gone.select("entity_id"), "entity_id", "left_anti")
+            left = self._scan(days=thinned).join(targets.select("entity_id").distinct(), "entity_id", "left_anti")
             run, _ = self._write(left.select(*self.schema.names))
             changed |= {d.isoformat(): [run] for d in thinned}
         if changed:
             self._drop_days(changed)
-        return [r[PARTITION] for r in by_day]
+        return sorted(gone)
 
     def targets(self, requests: DataFrame, key: str = "entity_id") -> DataFrame:
-        return matching_entities(self._scan(), requests, key)
+        """``entity_id, requested, event_date, rows, version``: what of the newest version is to go, from one read of it."""
+        return self._found(requests.select(F.col(key).cast("string").alias("requested")).distinct(), parts=True)
+
+    def _located(self, targets: DataFrame) -> DataFrame:
+        """The same for entities that are named in full."""
+        named = "requested" if "requested" in targets.columns else "entity_id"
+        located = self._found(targets.select(F.col("entity_id").alias("requested")).distinct(), parts=False)
+        asked = targets.select("entity_id", F.col(named).alias("requested")).distinct()
+        return located.drop("requested").join(asked, "entity_id")
+
+    def _found(self, wanted: DataFrame, *, parts: bool) -> DataFrame:
+        version, _ = self.log.newest()
+        names = F.array("entity_id")
+        if parts:
+            names = F.array_distinct(F.concat(names, entity_id_parts(F.col("entity_id"))))
+        ids = self._everything().where(F.col("entity_id").isNotNull()).select("entity_id", PARTITION, F.explode(names).alias("requested"))
+        # Rows that nobody asked for go no further than their scan.
+        found = ids.join(wanted, "requested", "left_semi").groupBy("entity_id", "requested", PARTITION)
+        return found.agg(F.count(F.lit(1)).alias("rows")).withColumn("version", F.lit(version))
 
 
 def matching_entities(table: DataFrame, requests: DataFrame, key: str = "entity_id") -> DataFrame:
