@@ -110,6 +110,52 @@ def test_mix_meets_budgets(spark, docs, budget, monkeypatch):
         assert max(math.ceil(b / totals[s]) for s, (_, b) in budgets.items() if totals[s]) <= 3
 
 
+def test_mix_takes_the_blocks_and_documents_that_a_plain_version_takes(spark, docs, monkeypatch):
+    """Budgets, permutations and the cut of the last epoch in plain Python, on Spark's hashes; clashing columns come back."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 2_000)
+    seed, clash = 5, {"weight": F.lit("w"), "Place": F.lit(1), "_mix_key": F.col("doc_id"), "_source": F.lit("mine"), "_key": F.lit("k")}
+    odd = docs.withColumns(clash)
+    got = mixing.mix(odd, max_repeat=2.0, budget=60_000, seed=seed).collect()
+    assert {(r["_source"], r["_key"]) for r in got} == {("mine", "k")} and all(r["_mix_key"] == r["doc_id"] for r in got)
+    hashed = docs.select(
+        "doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id", "text").alias("key")
+    ).withColumn("n_tokens", mixing.words(F.col("text")))
+    totals = Counter()
+    for r in hashed.collect():
+        totals[r["source"]] += r["n_tokens"]
+    budgets = mixing.source_budgets(totals, max_repeat=2.0, budget=60_000)
+    plan = [(s, b // max(1, totals[s]), b % max(1, totals[s]), max(1, totals[s] // 2_000)) for s, (_, b) in budgets.items()]
+    sources = spark.createDataFrame(plan, "source string, epochs long, rest long, blocks long")
+    block = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks"))
+    rows = hashed.join(sources, "source").withColumn("block", block).withColumn(
+        "place", F.xxhash64("source", "block", F.lit(seed), "epochs")
+    ).withColumn("order", F.xxhash64("key", F.lit(seed), "epochs")).collect()
+    want = Counter()
+    for source, epochs, rest, _ in plan:
+        mine = [r for r in rows if r["source"] == source]
+        at, taken = 0, set()
+        for _, group in sorted({(r["place"], r["block"]) for r in mine if r["n_tokens"]}):
+            inside = Counter()
+            for r in mine:
+                if r["block"] == group and r["n_tokens"]:
+                    inside[r["order"], r["key"]] += r["n_tokens"]
+            fits, place = at + inside.total() <= rest, at
+            for (_, key), n in sorted(inside.items()):
+                if at < rest and (fits or place < rest):
+                    taken.add(key)
+                place += n
+            at += inside.total()
+        for r in mine:
+            want[r["doc_id"], r["text"]] += 1 if not r["n_tokens"] else epochs + (r["key"] in taken)
+    have = Counter((r["doc_id"], r["text"]) for r in got)
+    assert have == +want
+    # An epoch is one permutation: a block has one place in it, and other epochs have other orders.
+    places = {}
+    for r in got:
+        assert places.setdefault((r["source"], r["block"], r["epoch"]), r["place"]) == r["place"]
+    assert len(set(places.values())) == len(places)
+
+
 def test_mix_of_nothing(spark, empty, docs):
     assert mixing.mix(empty).collect() == []
     blank = docs.where("text IS NULL OR trim(text) = ''")

@@ -98,59 +98,78 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with ``n_tokens``, ``weight`` and ``epoch`` (from 0).
+    """The rows of ``docs`` as often as the mix takes them, with ``n_tokens``, ``weight``, ``epoch`` (from 0), ``block``
+    and ``place``.
+
+    Each epoch of a source is a permutation of its blocks: ``place`` is drawn for a block and epoch, and the epoch runs
+    through the blocks by ``place`` (ties by ``block``); documents of a block are in the order of a hash of their own.
 
     Every row comes in all whole epochs of its source's budget, and in the last, partial one if its place in that
     epoch's order lies within what is left of the budget (the document that reaches it is still taken). Rows without
     tokens come once. Null sources are one source; null texts have no tokens. Repeated rows are rows of their own and
-    are taken together. Columns of ``docs`` named like the new ones are replaced. An empty table gives no rows.
+    are taken together. Columns of ``docs`` named like the new ones, in either case, are replaced; all
+    others come back as they are. An empty table gives no rows.
 
     What the driver gets is one total per source; orders are taken per block, and inside the one block per source that
     a budget ends in.
     """
-    names = [c for c in docs.columns if c not in ("n_tokens", "weight", "epoch")]
+    added = ("n_tokens", "weight", "epoch", "block", "place")
+    # Column names are told apart without regard to case; names used on the way are such that docs has none like them.
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    names, p = docs.columns, "_mix_"
+    while any(c.lower().startswith(p) for c in names):
+        p = f"_{p}"
+    group, key, block, count, epochs, rest, blocks, before, at, whole_, picked_, t = (
+        p + x for x in ("source", "key", "block", "n", "epochs", "rest", "blocks", "before", "at", "whole", "picked", "t")
+    )
     tokens = words(F.col(text_col))
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    sums = docs.select(source.alias("_source"), tokens.alias("_t")).groupBy("_source").agg(F.sum("_t").alias("t"))
-    totals = {r["_source"]: r["t"] for r in sums.collect()}
-    if not totals:
-        return docs.select(*names, tokens.alias("n_tokens"), F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"))
+    rows = docs.withColumns(
+        {
+            group: F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+            count: tokens,
+            key: F.xxhash64(F.col(id_col), F.col(text_col)),
+        }
+    )
+    totals = {r[0]: r[1] for r in rows.groupBy(group).agg(F.sum(count)).collect()}
     plan = [
         (x, w, b // max(1, totals[x]), b % max(1, totals[x]), max(1, totals[x] // BLOCK_TOKENS))
         for x, (w, b) in source_budgets(totals, max_repeat, target_entropy, budget).items()
     ]
-    spark = docs.sparkSession
-    schema = "_source string, weight double, _epochs long, _rest long, _blocks long"
-    sources = small(spark.createDataFrame(plan, schema))
-    # One permutation of blocks for the partial epoch; whole epochs take every block whatever their order.
-    block = F.pmod(F.xxhash64("_key", F.lit(seed)), F.col("_blocks"))
-    place = F.xxhash64("_source", "_block", F.lit(seed), "_epochs")
-    rows = (
-        docs.withColumns({"_source": source, "n_tokens": tokens, "_key": key})
-        .join(sources, "_source")
-        .withColumn("_block", block)
-    )
-    narrow = rows.where("_rest > 0 AND n_tokens > 0").groupBy("_source", "_block", "_key").agg(
-        F.sum("n_tokens").alias("t"), F.first("_rest").alias("_rest"), F.first("_epochs").alias("_epochs")
+    schema = f"{group} string, {p}weight double, {epochs} long, {rest} long, {blocks} long"
+    sources = small(docs.sparkSession.createDataFrame(plan, schema))
+    rows = rows.join(sources, group).withColumn(block, F.pmod(F.xxhash64(key, F.lit(seed)), F.col(blocks)))
+
+    def place(epoch: str):
+        """A block's place in an epoch's permutation."""
+        return F.xxhash64(group, block, F.lit(seed), F.col(epoch).cast("long"))
+
+    narrow = rows.where((F.col(rest) > 0) & (F.col(count) > 0)).groupBy(group, block, key).agg(
+        F.sum(count).alias(t), F.first(rest).alias(rest), F.first(epochs).alias(epochs)
     )
     narrow = saved(narrow, "mix")
-    blocks = narrow.groupBy("_source", "_block").agg(
-        F.sum("t").alias("t"), F.first("_rest").alias("_rest"), F.first("_epochs").alias("_epochs")
-    )
-    order = Window.partitionBy("_source").orderBy(place, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    cut = blocks.withColumn("_before", F.coalesce(F.sum("t").over(order), F.lit(0))).where("_before < _rest")
-    whole = cut.where("_before + t <= _rest").select("_source", "_block", F.lit(True).alias("_whole"))
-    last = cut.where("_before + t > _rest").select("_source", "_block", "_before")
-    inside = Window.partitionBy("_source").orderBy(F.xxhash64("_key", F.lit(seed), "_epochs"), "_key")
+    sizes = narrow.groupBy(group, block).agg(F.sum(t).alias(t), F.first(rest).alias(rest), F.first(epochs).alias(epochs))
+    order = Window.partitionBy(group).orderBy(place(epochs), block).rowsBetween(Window.unboundedPreceding, -1)
+    cut = sizes.withColumn(before, F.coalesce(F.sum(t).over(order), F.lit(0))).where(F.col(before) < F.col(rest))
+    fits = F.col(before) + F.col(t) <= F.col(rest)
+    whole = cut.where(fits).select(group, block, F.lit(True).alias(whole_))
+    last = cut.where(~fits).select(group, block, before)
+    inside = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed), epochs), key)
+    so_far = F.sum(t).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(t)
     picked = (
-        narrow.join(small(last), ["_source", "_block"])
-        .withColumn("_at", F.col("_before") + F.sum("t").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))
-        .where("_at < _rest")
-        .select("_source", "_key", F.lit(True).alias("_picked"))
+        narrow.join(small(last), [group, block])
+        .withColumn(at, F.col(before) + so_far)
+        .where(F.col(at) < F.col(rest))
+        .select(group, key, F.lit(True).alias(picked_))
+    )
+    taken = rows.join(small(whole), [group, block], "left").join(small(picked), [group, key], "left")
+    partial = (F.col(count) > 0) & (F.coalesce(whole_, F.lit(False)) | F.coalesce(picked_, F.lit(False)))
+    times = F.when(F.col(count) == 0, 1).otherwise(F.col(epochs) + partial.cast("int")).cast("int")
+    turns = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
+    return taken.withColumn("epoch", F.explode(turns)).select(
+        *names,
+        F.col(count).alias("n_tokens"),
+        F.col(f"{p}weight").alias("weight"),
+        "epoch",
+        F.col(block).alias("block"),
+        place("epoch").alias("place"),
     )
-    taken = rows.join(small(whole), ["_source", "_block"], "left").join(small(picked), ["_source", "_key"], "left")
-    part = F.when((F.col("n_tokens") > 0) & (F.coalesce("_whole", F.lit(False)) | F.coalesce("_picked", F.lit(False))), 1)
-    times = F.when(F.col("n_tokens") == 0, 1).otherwise(F.col("_epochs") + F.coalesce(part, F.lit(0))).cast("int")
-    epochs = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
-    return taken.withColumn("epoch", F.explode(epochs)).select(*names, "n_tokens", "weight", "epoch")

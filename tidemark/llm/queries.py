@@ -61,7 +61,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` mixed over sources, the smallest passed over at most twice for each pass over the largest."""
     mixed = mixing.mix(table(spark, folder, "documents"), max_repeat=2.0)
-    return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch")
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "place")
 
 
 def op7_line_quality(spark: SparkSession, folder: str) -> DataFrame:
