@@ -255,7 +255,7 @@ def test_maps_in_spines_and_views_are_carried(spark, rows_per_slice):
         [("a", day(3), {"s": 1}), ("b", day(3), None), (None, day(3), {}), ("c", None, {"t": 2})],
         "entity_id string, event_ts timestamp, statuses map<string,int>",
     )
-    views = [AsOfView("v", view, columns=("vector",))]
+    views = [AsOfView("v", view, created_ts=None, columns=("vector",))]
     out = point_in_time_join_views(spine, views, event_ts="event_ts", rows_per_slice=rows_per_slice)
     got = {r["entity_id"]: (r["statuses"], r["vector"]) for r in out.collect()}
     assert got == {"a": ({"s": 1}, {"x": 3.0}), "b": (None, None), None: ({}, None), "c": ({"t": 2}, None)}
