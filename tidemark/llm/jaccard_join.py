@@ -273,34 +273,40 @@ def _smaller_first(percent: int) -> str:
     return f"CASE WHEN {smaller} THEN {_may_link(percent)} ELSE {_may_link(percent, 'b', 'a')} END"
 
 
-def _meetings(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+def _meetings(rows: DataFrame, parities: DataFrame, turn: int, percent: int) -> DataFrame:
     """Of each set the pair with the nearest of the few leaders that it meets in this round, if bounds allow a link."""
     pairs = None
     for seed in range(turn * MEETINGS, (turn + 1) * MEETINGS):
-        least = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("item", F.lit(seed)).alias("h"), "item")).alias("m"))
-        guests = rows.join(least.select("node", F.col("m.item").alias("item")), ["node", "item"])
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(seed * LEADERS + i)).alias("h"), "node")) for i in range(LEADERS)]
-        leaders = (
-            guests.groupBy("item")
-            .agg(F.array_distinct(F.transform(F.array(*drawn), lambda x: x["node"])).alias("nodes"))
-            .select("item", F.explode("nodes").alias("node"))
+        least = rows.groupBy("node").agg(
+            F.min(F.struct(F.xxhash64("item", F.lit(seed)).alias("h"), "item", "n", "at", "root")).alias("m")
         )
+        guests = least.select("node", "m.item", "m.n", "m.at", "m.root")
+        drawn = [
+            F.min(F.struct(F.xxhash64("node", F.lit(seed * LEADERS + i)).alias("h"), "node", "n", "at", "root"))
+            for i in range(LEADERS)
+        ]
+        leaders = guests.groupBy("item").agg(F.array_distinct(F.array(*drawn)).alias("l"), F.count("*").alias("sets"))
+        leaders = leaders.where("sets > 1").select("item", F.explode("l").alias("l")).select("item", "l.*").drop("h")
         met = (
             guests.alias("a")
-            .join(
-                guests.join(leaders, ["item", "node"]).alias("b"),
-                F.expr(f"a.item = b.item AND a.root <> b.root AND {_smaller_first(percent)} AND {_near(percent)}"),
-            )
-            .select("a.node", F.col("b.node").alias("other"), F.expr(_differ()).alias("differ"))
+            .join(leaders.alias("b"), F.expr(f"a.item = b.item AND a.root <> b.root AND {_smaller_first(percent)}"))
+            .select("a.node", F.col("b.node").alias("other"))
         )
         pairs = met if pairs is None else pairs.unionByName(met)
-    best = pairs.groupBy("node").agg(F.min(F.struct("differ", "other")).alias("best"))
+    near = (
+        pairs.distinct()
+        .join(parities.alias("a"), F.expr("node = a.digest"))
+        .join(parities.alias("b"), F.expr(f"other = b.digest AND {_near(percent)}"))
+        .select("node", "other", F.expr(_differ()).alias("differ"))
+    )
+    best = near.groupBy("node").agg(F.min(F.struct("differ", "other")).alias("best"))
     ends = (F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b"))
     return saved(best.select(*ends).distinct(), "meetings")
 
 
-def _apart(rows: DataFrame, percent: int) -> DataFrame:
+def _apart(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs of open buckets that no link has joined yet and whose parity bitmaps allow a link."""
+    rows = rows.join(parities.drop("n"), rows.node == parities.digest).drop("digest")
     pairs = (
         rows.where(_early(percent))
         .alias("a")
@@ -400,21 +406,22 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     links = saved(_verified(star, _fragments(owners, texts, width), owners, percent), "links")
     roots = components(links)
     rows = _open(buckets.withColumn("root", F.col("node")), roots, percent)
-    rows = saved(rows.join(parities.drop("n"), rows.node == parities.digest).drop("digest"), "open")
     if not rows.isEmpty():
         owners = _owners(rows.select(F.col("node").alias("digest")), table)
         parts = _fragments(owners, texts, width)
-        tested = star
         for turn in range(ROUNDS):
-            chosen = saved(_meetings(rows, turn, percent).join(tested, ["a", "b"], "left_anti"), "chosen")
+            chosen = _meetings(rows, parities, turn, percent)
             found = saved(_verified(chosen, parts, owners, percent), "found")
-            if found.isEmpty():
+            links = found.count()
+            if not links:
                 break
-            tested = tested.unionByName(chosen)
             roots = _joined(roots, found)
             rows = _open(rows, roots, percent)
+            # Where few sets still find a link, the pairs that are left are few as well.
+            if links * 50 < owners.count():
+                break
         # What is still apart: first each set with its nearest, then the rest.
-        pairs = _apart(rows, percent)
+        tested, pairs = star, _apart(rows, parities, percent)
         for choose in (_nearest, lambda left: left.select("a", "b")):
             of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
             left = (
