@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import day, explained
+from tests.conftest import SMALL, day, explained
 from tidemark.functions.packing import MISSING, PRESENT, STALE
 from tidemark.operators import asof
 from tidemark.operators.governance import erase_entities
@@ -15,6 +15,7 @@ from tidemark.plans.materialize import materialize_view
 from tidemark.plans.stored_reports import stored_freshness, stored_null_rates, stored_volumes
 from tidemark.plans.training import build_from_tables, save_training_set, service_training_set
 from tidemark.plans.views import VIEWS, FeatureView
+from tidemark.queries import QUERIES, common
 from tidemark.sources.commits import CommitLog, WriteConflict
 from tidemark.sources.feature_table import (
     FeatureTable,
@@ -490,3 +491,19 @@ def test_statistics_spare_the_planning_of_views(spark, table, monkeypatch):
     assert values(table.as_of(spine)) == want and planned
     few = table.as_of(spine.where("entity_id = 'b'"), spine_keys_only=True)
     assert values(few) == [("b", 2, 8)] and "LeftSemi" in explained(few)
+
+
+@pytest.mark.parametrize(
+    "name", ["materialize_views", "training_service", "user_features_tiles", "lookup_vectors", "online_lookup", "gated_materialize"]
+)
+def test_order_lines_are_joined_once(spark, monkeypatch, name):
+    joined, join = [], common.line_transactions
+    monkeypatch.setattr(common, "line_transactions", lambda *args: joined.append(1) or join(*args))
+    QUERIES[name](spark, SMALL)
+    assert len(joined) == 1
+
+
+def test_stored_lines_are_the_lines(spark):
+    stored, given = common.stored_lines(spark, SMALL), common.lines(spark, SMALL)
+    assert stored.schema.simpleString() == given.schema.simpleString()
+    assert sorted(map(str, stored.collect())) == sorted(map(str, given.collect()))
