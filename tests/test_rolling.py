@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import day, shuffles
+from tests.conftest import day, explained, shuffles
 from tidemark.operators.batch_features import user_activity_by_day, user_peaks
 from tidemark.operators.sums import double_sum
 from tidemark.operators.rolling import (
@@ -227,3 +227,15 @@ def test_plain_sums_have_special_values(spark):
         df = spark.createDataFrame([(v,) for v in values], "x double")
         got, plain_sum = df.agg(double_sum("x"), F.sum("x")).first()
         assert got == plain_sum or got == pytest.approx(plain_sum, rel=1e-15, nan_ok=True) or values[0] == 2.0**60
+
+
+def test_windows_of_small_keys_need_no_decimals(spark):
+    df = spark.createDataFrame(transactions(), SCHEMA)
+    small = amount_zscores(df, ["user_id"], timedelta(days=3))
+    assert "decimal(38" not in explained(small)
+    # One key beyond the limit: the same scores by decimals.
+    more = [(1_000 + i, "many", "m1", 1.0, BASE + timedelta(seconds=i)) for i in range(600)]
+    large = amount_zscores(df.unionByName(spark.createDataFrame(more, SCHEMA)), ["user_id"], timedelta(days=3))
+    assert "decimal(38" in explained(large)
+    scores = {r.id: r[-1] for r in small.collect()}
+    assert scores == {r.id: r[-1] for r in large.where("id < 1000").collect()}

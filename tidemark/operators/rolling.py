@@ -20,7 +20,7 @@ from tidemark.functions.scalars import amount_zscore, velocity
 from tidemark.operators.asof import micros
 from tidemark.operators.scan import Total, neighbours, ordered_scan
 from tidemark.operators.slices import ROWS_PER_SLICE, Slices, plan_slices
-from tidemark.operators.sums import PARTS, SUMMED, joined, with_limbs, with_variance
+from tidemark.operators.sums import FEW, PARTS, SUMMED, joined, with_limbs, with_variance
 
 
 def plan_window_slices(
@@ -73,6 +73,8 @@ def rolling_features(
         slices = plan_window_slices(
             txns, keys, width, event_ts=event_ts, probes=probes, rows_per_slice=rows_per_slice
         )
+    # Keys of few rows need no decimals: they are slow, and three times as wide in a sort.
+    kind = None if slices.largest is not None and slices.largest <= FEW else SUMMED
     deltas: list[str] = []
     valued = txns
     if amount is not None:
@@ -104,7 +106,7 @@ def rolling_features(
         rows,
         keys,
         "_at",
-        [Total(n, f"{n}_run", SUMMED if n.startswith(("_sum_", "_square_")) else None) for n in names],
+        [Total(n, f"{n}_run", kind if n.startswith(("_sum_", "_square_")) else None) for n in names],
         peers=True,
         slices=slices,
     )
@@ -114,7 +116,7 @@ def rolling_features(
     added: dict[str, Column] = {}
     if amount is not None:
         if spread:
-            out = with_variance(out, "_var", _sums, _squares, F.col("_valued_run"))
+            out = with_variance(out, "_var", _sums, _squares, F.col("_valued_run"), kind)
         added |= _total_columns(prefix, suffix, spread)
     for i, name in enumerate(distinct.values()):
         count = F.coalesce(f"_d{i}_run", F.lit(0))

@@ -31,13 +31,15 @@ MAX_CUTS_PER_KEY = 16_384
 class Slices:
     """Cut points of the heavy keys; ``table`` is None when no key is heavy.
 
-    ``crowded`` says that several cuts of some key fell on one instant.
+    ``crowded`` says that several cuts of some key fell on one instant. ``largest`` is the number of rows of the largest key,
+    if it was counted.
     """
 
     keys: tuple[str, ...]
     table: DataFrame | None = None
     longest: int = 0
     crowded: bool = False
+    largest: int | None = None
 
     @property
     def any_heavy(self) -> bool:
@@ -89,7 +91,7 @@ def plan_slices(
     sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     if not total or largest <= rows_per_slice:
-        return Slices(keys)
+        return Slices(keys, largest=largest or 0)
 
     target = max(rows_per_slice, math.ceil(total / MAX_SLICES))
     points = max(1, min(MAX_CUTS_PER_KEY, math.ceil(largest / target)))
