@@ -338,6 +338,101 @@ def _end_after(model, word):
     return math.log10(float(np.mean(weights * np.array(end.roots))))
 
 
+def plain_word_model(texts, burn_in=2, samples=3, exact=20, hot_words=1 << 19):
+    """The model whose contexts are whole words, with every pair sampled in plain Python."""
+    c, counts = Counter(), Counter()
+    for text in texts:
+        before = None
+        for word in plain_tokens(text):
+            c[word, before] += 1
+            counts[word] += 1
+            before = word
+    names = keys_of(counts)
+    ranked = sorted(counts, key=lambda w: (-counts[w], names[w]))
+    levels = {w: math.floor(math.log2(counts[w]) * 8) for w in counts}
+    reach = np.cumsum(np.bincount(list(levels.values()))[::-1])[::-1]
+    hot = {w: i for i, w in enumerate(ranked) if reach[levels[w]] <= hot_words}
+    codes = {w: np.int64(hot[w]) if w in hot else (names[w] | np.uint64(1 << 63)).view(np.int64) for w in counts}
+    key = {(w, u): pitman_yor._pairs(np.array([codes[w]]), np.array([codes[u]])) for w, u in c}
+    word_key = {w: pitman_yor.mixed(np.array([codes[w]]).view(np.uint64)) for w in counts}
+    dishes = Counter(w for w, _ in c)
+    n = [list(x.values()).count(i) for x in (c, dishes) for i in (1, 2)]
+    d1, d0 = (min(max(a / (a + 2 * b) if a else 0.5, 0.05), 0.95) for a, b in (n[:2], n[2:]))
+    t, z, size, states = dict.fromkeys(c, 1), dict.fromkeys(counts, 1), len(counts), []
+
+    def drawn(keys, turn):
+        return float(pitman_yor.uniforms(keys, turn)[0])
+
+    def sums():
+        tables, root = Counter(), Counter()
+        for (w, u), k in t.items():
+            tables[u] += k
+            root[w] += k
+        return tables, root, sum(z.values())
+
+    for turn in range(1, burn_in + samples + 1):
+        tables, root, all_z = sums()
+        base, all_k, new = (1 + d0 * all_z) / (size + 1), sum(root.values()), {}
+        for (w, u), k in c.items():
+            left = root[w] - t[w, u]
+            p = (left - d0 * min(z[w], left) + base) / (1 + all_k - t[w, u])
+            more = lambda step, x=key[w, u]: drawn(x, turn * 1000 + step)
+            new[w, u] = plain_draw(k, tables[u] - t[w, u], p, drawn(key[w, u], turn), more, d1, 1.0, exact)
+        t = new
+        _, root, _ = sums()
+        z = {
+            w: plain_draw(
+                root[w], all_z - z[w], 1 / (size + 1), drawn(word_key[w], turn),
+                lambda step, x=word_key[w]: drawn(x, turn * 1000 + step), d0, 1.0, exact,
+            )
+            for w in z
+        }
+        if turn > burn_in:
+            states.append((dict(t), dict(z), *sums(), sum(root.values())))
+
+    def probability(w, u):
+        out = []
+        for t, z, tables, root, all_z, all_k in states:
+            p = (root[w] - d0 * z.get(w, 0) + (1 + d0 * all_z) / (size + 1)) / (1 + all_k)
+            own = c[w, u] - d1 * t[w, u] if (w, u) in c else 0.0
+            out.append((own + (1 + d1 * tables[u]) * p) / (1 + counts[u]))
+        return sum(out) / len(out)
+
+    return probability, counts
+
+
+@pytest.mark.parametrize("hot_words, hot_pairs, bits", [(0, 0, 27), (60, 40, 4), (1 << 19, 1 << 21, 27)])
+def test_word_contexts_equal_plain_version(spark, docs, monkeypatch, hot_words, hot_pairs, bits):
+    monkeypatch.setattr(pitman_yor, "EXACT", 20)
+    monkeypatch.setattr(pitman_yor, "BITS", bits)
+    some = docs.where("doc_id IS NULL OR doc_id < 40").where("text IS NULL OR length(text) < 10000").select("doc_id", "text", "n")
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    assert any(held.values())
+    probability, counts = plain_word_model([text for i, text in rows if not held[i]], hot_words=hot_words)
+    got = pitman_yor.corpus_scores(some, hot_words=hot_words, hot_pairs=hot_pairs).collect()
+    floor = counts.total() + 0.1 * (len(counts) + 1)
+    want = []
+    for i, text in rows:
+        words = plain_tokens(text)
+        base = sum(math.log10((counts[w] + 0.1) / floor) for w in words)
+        own = sum(math.log10(probability(w, u)) for w, u in zip(words, [None, *words]))
+        want.append((i is None, i or 0, held[i], len(words), sum(counts[w] > 0 for w in words), base, own))
+    have = [(r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got]
+    assert {r.train_tokens for r in got} == {counts.total()} and len(have) == len(want)
+    for a, b in zip(sorted(have), sorted(want)):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-6)
+
+
+def test_context_is_the_whole_word_before(spark):
+    """After two words that end alike, what follows differs; with the last character as context it did not."""
+    texts = [(i, "sand wet") for i in range(1, 30)] + [(i, "band loud") for i in range(31, 60)]
+    asked = [(100, "sand wet"), (101, "sand loud"), (102, "band wet"), (103, "band loud")]
+    rows = spark.createDataFrame(texts + asked, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in pitman_yor.corpus_scores(rows).collect()}
+    assert score[100] > score[101] + 0.7 and score[103] > score[102] + 0.7
+
+
 def test_tables_are_drawn_from_all_seatings():
     """Seating customers one by one by the restaurant's rule, weighted to one dish, gives the drawn distribution."""
     c, others, p, discount, strength = 5, 3, 0.2, 0.6, 1.0
