@@ -259,6 +259,34 @@ def test_keyed_state_equals_the_batch_operator_and_forgets(spark, feed, tmp_path
     assert states[-1] <= 3
 
 
+def test_users_share_groups_of_keyed_state(spark, tmp_path):
+    """Two hundred users in three groups: three rows of state, and no user's values reach another's sums."""
+    session, names = streaming_session(spark), "transaction_id long, user_id string, event_ts timestamp, amount double"
+    rows = spark.range(1000).selectExpr(
+        "id AS transaction_id",
+        "CAST(id % 200 AS string) AS user_id",
+        "timestamp_seconds(1700000000 + id) AS event_ts",
+        "CASE WHEN id % 200 = 7 THEN 1e12 ELSE id / 4 END AS amount",
+    )
+    expected = sliding_window(rows, ["user_id"], timedelta(seconds=300), value="amount")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = keyed_sliding_stream(
+        session.readStream.schema(names).parquet(str(tmp_path / "in")),
+        ["user_id"],
+        timedelta(seconds=300),
+        str(tmp_path / "out"),
+        str(tmp_path / "ck"),
+        event_id="transaction_id",
+        groups=3,
+    )
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(states) <= 3
+    columns = ["transaction_id", "user_id", "event_ts", "window_count", "window_sum"]
+    got = spark.read.parquet(str(tmp_path / "out"))
+    have, want = (sorted(map(tuple, df.select(columns).collect())) for df in (got, expected))
+    assert have == want
+
+
 def test_window_sums_against_plain_sums():
     rng = np.random.default_rng(2)
     at = np.sort(rng.integers(0, 50, 200))

@@ -1,9 +1,12 @@
 """Per-event trailing windows on a stream, with the recent events of each user as keyed state.
 
-A micro-batch reads and writes the state of the users it has events of, and no other; users without events are dropped when
-their last event can't be reached any more (a timer in event time). A user with too many events for one key is split: each
+Users share a fixed number of groups by a hash, since a call per group costs far more than the few events of a user. A
+micro-batch reads and writes the state of the groups it has events of, and no other; within one, users are told apart by name
+and summed one by one. What can't be reached any more is dropped when its group is called, at the latest by a timer in event
+time after the group's last event. A user with too many events for one group is split: each
 of its events is stored under one of ``n`` sub-keys by a hash, asks all of them, and the partial windows are added up. What
-``sliding_stream`` does with a table beside the checkpoint this does in the state store, so its work follows the batch's keys.
+``sliding_stream`` does with a table beside the checkpoint this does in the state store, so its work follows the batch's
+groups.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from tidemark.functions.scalars import velocity
 from tidemark.operators.asof import micros
 from tidemark.streaming.velocity import start
 
-_STATE = "at array<long>, value array<double>"
+_STATE = "name array<string>, n array<long>, at array<long>, value array<double>"
 _PARTIAL = "_id string, _n long, _sum double"
 #: Split users at most: the table of them is small whatever the stream is.
 MAX_SPLIT = 10_000
+#: Groups that users share.
+GROUPS = 1024
 
 
 def window_sums(at: np.ndarray, value: np.ndarray, ask: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,40 +55,60 @@ def window_sums(at: np.ndarray, value: np.ndarray, ask: np.ndarray, width: int)
 
 
 def _advance(width: int):
-    """The state function of one user's sub-key: its stored events, and the events that ask it."""
+    """The state function of one group: its users' stored events, and the events that ask them."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs() * 1000
-        at, value = (np.array(x, kind) for x, kind in zip(state.get if state.exists else ([], []), (np.int64, float)))
+        names, n, at, value = state.get if state.exists else ([], [], [], [])
+        user = np.repeat(np.array(names, object), np.array(n, np.int64))
+        at, value = np.array(at, np.int64), np.array(value, float)
         keep = at >= mark - width
-        at, value = at[keep], value[keep]
+        user, at, value = user[keep], at[keep], value[keep]
         if state.hasTimedOut:
             # Nothing new: what is left can be reached for a while yet.
-            _store(state, at, value, mark, width)
+            _store(state, user, at, value, mark, width)
             return
         rows = pd.concat(list(frames), ignore_index=True)
         rows = rows[rows["_at"] >= mark]
-        mine = rows[rows["_mine"]]
-        at = np.concatenate([at, mine["_at"].to_numpy(np.int64)])
-        value = np.concatenate([value, mine["_value"].to_numpy(float)])
-        order = np.argsort(at, kind="stable")
-        at, value = at[order], value[order]
+        mine, asking = rows["_mine"].to_numpy(bool), rows["_user"].to_numpy(object)
+        user = np.concatenate([user, asking[mine]])
+        at = np.concatenate([at, rows["_at"].to_numpy(np.int64)[mine]])
+        value = np.concatenate([value, rows["_value"].to_numpy(float)[mine]])
+        code, known = pd.factorize(np.concatenate([user, asking]))
+        code, asks = code[: len(user)], code[len(user) :]
+        order = np.lexsort((at, code))
+        user, at, value, code = user[order], at[order], value[order], code[order]
         if len(rows):
-            n, total = window_sums(at, value, rows["_at"].to_numpy(np.int64), width)
-            yield pd.DataFrame({"_id": rows["_id"].to_numpy(), "_n": n, "_sum": total})
-        _store(state, at, value, mark, width)
+            yield _answers(rows, asks, code, at, value, len(known), width)
+        _store(state, user, at, value, mark, width)
 
     return step
 
 
-def _store(state: GroupState, at: np.ndarray, value: np.ndarray, mark: int, width: int) -> None:
+def _answers(rows: pd.DataFrame, asks: np.ndarray, code: np.ndarray, at: np.ndarray, value: np.ndarray, users: int, width: int):
+    """The partial windows of all rows. Each user is summed apart, so no other's values can touch the sums."""
+    order = np.argsort(asks, kind="stable")
+    ask = rows["_at"].to_numpy(np.int64)[order]
+    of_ask = np.searchsorted(asks[order], np.arange(users + 1)).tolist()
+    stored = np.searchsorted(code, np.arange(users + 1)).tolist()
+    n, total = np.zeros(len(ask), np.int64), np.zeros(len(ask))
+    for a, b, c, d in zip(of_ask, of_ask[1:], stored, stored[1:]):
+        if b > a:
+            n[a:b], total[a:b] = window_sums(at[c:d], value[c:d], ask[a:b], width)
+    return pd.DataFrame({"_id": rows["_id"].to_numpy()[order], "_n": n, "_sum": total})
+
+
+def _store(state: GroupState, user: np.ndarray, at: np.ndarray, value: np.ndarray, mark: int, width: int) -> None:
+    """Keep the events, each user's together."""
     if not len(at):
         if state.exists:
             state.remove()
         return
-    state.update((at.tolist(), value.tolist()))
+    first = np.flatnonzero(np.append(True, user[1:] != user[:-1]))
+    n = np.diff(np.append(first, len(user)))
+    state.update((user[first].tolist(), n.tolist(), at.tolist(), value.tolist()))
     # After this no event that is still accepted can reach the newest one.
-    state.setTimeoutTimestamp(max(int(at[-1] + width) // 1000 + 1, mark // 1000 + 1))
+    state.setTimeoutTimestamp(max(int(at.max() + width) // 1000 + 1, mark // 1000 + 1))
 
 
 def keyed_sliding_stream(
@@ -98,13 +123,14 @@ def keyed_sliding_stream(
     event_ts: str = "event_ts",
     delay: timedelta = timedelta(seconds=10),
     split: Mapping[tuple[str, ...], int] | None = None,
+    groups: int = GROUPS,
     every: str | None = None,
 ) -> StreamingQuery:
     """Append ``event_id, <keys>, event_ts, window_count, window_sum, velocity_per_min`` per event to ``folder``.
 
     Events later than ``delay`` behind the newest of earlier batches are left out, as are those without a time or a key.
-    ``event_id`` tells events apart. ``split`` gives hot keys' numbers of sub-keys (at most ``MAX_SPLIT`` keys); it may
-    change between runs only with a new checkpoint. A batch that is run again overwrites what it wrote.
+    ``event_id`` tells events apart. ``split`` gives hot keys' numbers of sub-keys (at most ``MAX_SPLIT`` keys), ``groups``
+    how many groups share the keys' state; both may change between runs only with a new checkpoint. A batch that is run again overwrites what it wrote.
     """
     keys, split = list(keys), dict(split or {})
     if len(split) > MAX_SPLIT:
@@ -134,7 +160,11 @@ def keyed_sliding_stream(
         number = F.coalesce("_parts", F.lit(1))
     own = F.pmod(F.xxhash64("_id"), number)
     asks = events.withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("_mine", F.col("_part") == own)
-    partial = asks.groupBy("_key", "_part").applyInPandasWithState(
+    user = F.concat_ws("|", F.col("_part").cast("string"), "_key")
+    asks = asks.select(
+        event_ts, "_at", "_value", "_id", "_mine", user.alias("_user"), F.pmod(F.xxhash64(user), F.lit(groups)).alias("_group")
+    )
+    partial = asks.groupBy("_group").applyInPandasWithState(
         _advance(span), _PARTIAL, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     schema = ", ".join(
