@@ -279,8 +279,10 @@ def test_users_share_groups_of_keyed_state(spark, tmp_path):
         event_id="transaction_id",
         groups=3,
     )
-    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
-    assert 0 < max(states) <= 3
+    operators = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(o["numRowsTotal"] for o in operators) <= 3
+    # State is on disk, not in the heap of the executors.
+    assert all("rocksdbPutCount" in o["customMetrics"] for o in operators)
     columns = ["transaction_id", "user_id", "event_ts", "window_count", "window_sum"]
     got = spark.read.parquet(str(tmp_path / "out"))
     have, want = (sorted(map(tuple, df.select(columns).collect())) for df in (got, expected))

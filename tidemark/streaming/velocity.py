@@ -13,6 +13,8 @@ from tidemark.sources.folders import read_small, write_small
 
 WATERMARK = "10 seconds"
 NEAR_REAL_TIME = "5 minutes"
+#: Keeps state on executors' disks; Spark's default holds all open windows in their heaps.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def streaming_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
@@ -25,6 +27,7 @@ def streaming_session(spark: SparkSession, partitions: int | None = None) -> Spa
     session.conf.set("spark.sql.session.timeZone", "UTC")
     partitions = partitions or max(1, spark.sparkContext.defaultParallelism)
     session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return session
 
 
