@@ -433,6 +433,16 @@ def test_context_is_the_whole_word_before(spark):
     assert score[100] > score[101] + 0.7 and score[103] > score[102] + 0.7
 
 
+def test_rows_beside_rare_words_hold_numbers_only(spark):
+    """Lists that are null cost a batch of rows its square: Spark sizes an Arrow batch after each row."""
+    rows = spark.createDataFrame([(1, 2, 3), (-5, 2, 1), (1, -5, 1), (-5, -7, 2)], "w long, u long, c long")
+    rare = spark.createDataFrame([(-5, 4, 0.5, 0.25)], "key long, c long, roots0 double, weights0 double")
+    got = pitman_yor._with_rare(rows, rare, ["c", "roots0"], ["weights0"])
+    assert not any(kind.startswith("array") for _, kind in got.dtypes)
+    want = {(1, 2, 3, None, None, None), (-5, 2, 1, 4, 0.5, None), (1, -5, 1, None, None, 0.25), (-5, -7, 2, 4, 0.5, None)}
+    assert {tuple(r) for r in got.select("w", "u", "c", "w_c", "w_roots0", "u_weights0").collect()} == want
+
+
 def test_tables_are_drawn_from_all_seatings():
     """Seating customers one by one by the restaurant's rule, weighted to one dish, gives the drawn distribution."""
     c, others, p, discount, strength = 5, 3, 0.2, 0.6, 1.0

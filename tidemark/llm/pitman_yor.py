@@ -676,12 +676,13 @@ class Restaurants:
     totals: Totals
 
 
-def _with_rare(rows: DataFrame, rare: DataFrame, columns: list[str]) -> DataFrame:
+def _with_rare(rows: DataFrame, rare: DataFrame, of_w: list[str], of_u: list[str]) -> DataFrame:
     """The rows ``(w, u, ...)`` with what ``rare`` knows of both words, as ``w_<column>`` and ``u_<column>``.
 
-    Only rows with a rare word are joined; frequent words have nulls, as have words that were never seen.
+    Only rows with a rare word are joined; frequent words have nulls, as have words that were never seen. The columns hold
+    numbers: after each row Spark sets the size of an Arrow batch, which walks all null lists at its end.
     """
-    for of in ("w", "u"):
+    for of, columns in (("w", of_w), ("u", of_u)):
         names = [f"{of}_{c}" for c in columns]
         known = rare.select(F.col("key").alias(of), *[F.col(c).alias(n) for c, n in zip(columns, names)])
         kinds = {f.name: f.dataType for f in known.schema}
@@ -780,7 +781,7 @@ def train_words(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES
                     [*(column(x) for x in ("w", "u", "c", *old)), pa.array(new)], ["w", "u", "c", *old, name]
                 )
 
-        rows = _with_rare(state.select(*carried), rare, ["k", "z", "t"])
+        rows = _with_rare(state.select(*carried), rare, ["k", "z"], ["t"])
         kinds = ", ".join(f"{x} long" for x in ("w", "u", "c", *old, name))
         state = saved(arrow_map(rows, sweep, kinds, NUMBERS), "word-sweep")
         both = f"stack(2, w, {name}, 0L, u, 0L, {name}) AS (key, k, t)"
@@ -808,6 +809,9 @@ def train_words(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES
     model = WordModel(codes, counts, roots, weights, settings, None, int(train_tokens), int(v))
     shared = spark.sparkContext.broadcast((counts, roots, weights))
     names = [f"t{i}" for i in range(burn_in + 1, burn_in + samples + 1)]
+    known = {f"{x}{i}": F.col(x)[i] for x in ("roots", "weights") for i in range(samples)}
+    by_w, by_u = ([x for x in known if x.startswith(of)] for of in ("roots", "weights"))
+    of_w, of_u = [f"w_{x}" for x in by_w], [f"u_{x}" for x in by_u]
 
     def averaged(parts):
         counts, roots, weights = shared.value
@@ -817,9 +821,10 @@ def train_words(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES
             t = np.stack([np.asarray(column(x)) for x in names], 1)
             size = _either(u, counts, column("u_c"))
             root, weight = np.tile(unknown, (len(w), 1)), np.ones((len(w), len(names)))
-            for codes_, dense, out, x in ((w, roots, root, "w_roots"), (u, weights, weight, "u_weights")):
-                there = np.flatnonzero(np.asarray(column(x).is_valid().cast(pa.int8())) > 0)
-                out[there] = np.asarray(column(x).flatten()).reshape(len(there), len(names))
+            for codes_, dense, out, columns in ((w, roots, root, of_w), (u, weights, weight, of_u)):
+                for i, x in enumerate(columns):
+                    there = np.asarray(column(x).is_valid().cast(pa.int8())) > 0
+                    out[there, i] = np.asarray(column(x).fill_null(0.0))[there]
                 there = codes_ >= 0
                 out[there] = dense[codes_[there]]
             lp = np.log10((_own(settings, c[:, None], t, size[:, None]) + weight * root).mean(1))
@@ -829,7 +834,8 @@ def train_words(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES
             )
 
     single = pairs.where("c < 2").select("w", "u", "c", *[F.col("c").alias(x) for x in names])
-    rows = _with_rare(state.select("w", "u", "c", *names).unionByName(single), rare, ["c", "roots", "weights"])
+    rare = rare.select("key", "c", *[x.alias(name) for name, x in known.items()])
+    rows = _with_rare(state.select("w", "u", "c", *names).unionByName(single), rare, ["c", *by_w], ["c", *by_u])
     model.pairs = saved(arrow_map(rows, averaged, "pair long, w long, c long, lp double, cw long", NUMBERS), "word-model")
     return model
 
