@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tidemark.llm import components as walks
 from tidemark.llm import embedding_dedup, jaccard_join, queries
 from tidemark.llm.components import components
 
@@ -81,6 +82,21 @@ def test_chains_and_shared_passages(spark):
         assert got == jaccard_brute(rows, width, percent)
 
 
+def test_only_sets_of_candidate_pairs_are_cut(spark, monkeypatch):
+    """Texts that share a shingle or two by chance are compared by sketches; before, all of them were cut and shuffled."""
+    rng = random.Random(11)
+    some = [" ".join(f"s{rng.randrange(10**9)}" for _ in range(3)) for _ in range(20)]
+    texts = [" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(40)), some[i % 20]]) for i in range(100)]
+    rows = [*enumerate(texts), (100, texts[5] + " more")]
+    cut, fragments = [], jaccard_join._fragments
+    monkeypatch.setattr(
+        jaccard_join, "_fragments", lambda owners, *rest: cut.extend(r.digest for r in owners.collect()) or fragments(owners, *rest)
+    )
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard_join.jaccard_classes(df, 3, 90).collect()))
+    assert got == jaccard_brute(rows, 3, 90) and len(set(cut)) == 2
+
+
 def check_dropped(before, after, width=5, percent=80):
     """One row of the smallest id of every class of texts with words, and all texts without."""
     sets, root = linked(before, width, percent)
@@ -111,6 +127,18 @@ def test_components_of_long_chains_and_loops(spark):
     assert {n: got.get(n, n) for n in nodes} == roots(nodes, edges)
 
 
+def test_few_edges_and_many_give_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(200)] + [(None, 3), (4, 4)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(tuple(r) for r in components(df).collect())
+    monkeypatch.setattr(walks, "FEW", -1)
+    many = sorted(tuple(r) for r in components(df).collect())
+    own = [e for e in edges if None not in e]
+    want = roots({x for e in own for x in e}, own)
+    assert few == many == sorted((n, r) for n, r in want.items() if n != r)
+
+
 def odd_vectors():
     rng = np.random.default_rng(5)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 24)))]

@@ -159,15 +159,9 @@ def _early(percent: int) -> str:
     return f"(100 + {percent}) * (n - at) >= {2 * percent} * n"
 
 
-def _owners(nodes: DataFrame, table: DataFrame) -> DataFrame:
+def _owners(nodes: DataFrame, parities: DataFrame) -> DataFrame:
     """``(digest, owner, n)``: of each set in ``nodes(digest)`` a row that has it, and its size."""
-    return saved(
-        table.where("digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min(F.coalesce("id", F.lit(0))).alias("owner"), F.first("n").alias("n"))
-        .join(nodes.distinct(), "digest"),
-        "owners",
-    )
+    return saved(parities.select("digest", "owner", "n").join(nodes.distinct(), "digest"), "owners")
 
 
 def _fragments(owners: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -206,8 +200,13 @@ def _fragments(owners: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return saved(arrow_map(texts, fragments, "node long, fragment int, items array<long>"), "fragments")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of set digests whose summed fragment overlaps reach the threshold."""
+def _verified(pairs: DataFrame, parities: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of set digests whose summed fragment overlaps reach the threshold.
+
+    Only sets of these pairs are cut: they are few beside those that share a shingle by chance, which never move.
+    """
+    owners = _owners(_ends(pairs), parities)
+    parts = _fragments(owners, texts, width)
     a, b = (
         parts.select(F.col("node").alias(x), "fragment", F.col("items").alias(f"{x}_items")) for x in ("a", "b")
     )
@@ -232,9 +231,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _parities(table: DataFrame) -> DataFrame:
-    """``(digest, n, w0, w1, ...)``: each set's size and parity bitmap, once."""
+    """``(digest, n, owner, w0, w1, ...)``: each set's size, a row that has it and its parity bitmap, once."""
     words = (F.first(F.col("parity")[i]).alias(f"w{i}") for i in range(PARITY))
-    return saved(table.where("parity IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), *words), "parities")
+    own = (F.first("n").alias("n"), F.min(F.coalesce("id", F.lit(0))).alias("owner"))
+    return saved(table.where("parity IS NOT NULL").groupBy("digest").agg(*own, *words), "parities")
 
 
 def _differ() -> str:
@@ -306,7 +306,7 @@ def _meetings(rows: DataFrame, parities: DataFrame, turn: int, percent: int) ->
 
 def _apart(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs of open buckets that no link has joined yet and whose parity bitmaps allow a link."""
-    rows = rows.join(parities.drop("n"), rows.node == parities.digest).drop("digest")
+    rows = rows.join(parities.drop("n", "owner"), rows.node == parities.digest).drop("digest")
     pairs = (
         rows.where(_early(percent))
         .alias("a")
@@ -402,23 +402,23 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         .select(F.col("x").alias("a"), F.col("y").alias("b")),
         "star",
     )
-    owners = _owners(_ends(star), table)
-    links = saved(_verified(star, _fragments(owners, texts, width), owners, percent), "links")
+    links = saved(_verified(star, parities, texts, width, percent), "links")
     roots = components(links)
     rows = _open(buckets.withColumn("root", F.col("node")), roots, percent)
     if not rows.isEmpty():
-        owners = _owners(rows.select(F.col("node").alias("digest")), table)
-        parts = _fragments(owners, texts, width)
+        nodes = rows.select("node").distinct().count()
         for turn in range(ROUNDS):
             chosen = _meetings(rows, parities, turn, percent)
-            found = saved(_verified(chosen, parts, owners, percent), "found")
+            if chosen.isEmpty():
+                break
+            found = saved(_verified(chosen, parities, texts, width, percent), "found")
             links = found.count()
             if not links:
                 break
             roots = _joined(roots, found)
             rows = _open(rows, roots, percent)
             # Where few sets still find a link, the pairs that are left are few as well.
-            if links * 50 < owners.count():
+            if links * 50 < nodes:
                 break
         # What is still apart: first each set with its nearest, then the rest.
         tested, pairs = star, _apart(rows, parities, percent)
@@ -435,7 +435,7 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
             if chosen.isEmpty():
                 break
             tested = tested.unionByName(chosen)
-            roots = _joined(roots, saved(_verified(chosen, parts, owners, percent), "found"))
+            roots = _joined(roots, saved(_verified(chosen, parities, texts, width, percent), "found"))
     firsts = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"))
     rooted = firsts.join(roots, F.col("digest") == F.col("node"), "left").select(
         "digest", "first", F.coalesce("root", "digest").alias("root")
