@@ -165,6 +165,31 @@ def test_packing_is_exact_and_tight(spark, docs, folder):
     assert used <= least + 1
 
 
+def test_words_are_looked_up_once_a_batch():
+    """Copies in a batch cost no further search among the known words; before, every word of every text did."""
+    path = queries.tokenizer_file("word_bpe_49k.json")
+
+    class Known(dict):
+        asked = 0
+
+        def get(self, *args):
+            Known.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, word):
+            Known.asked += 1
+            return super().__getitem__(word)
+
+    tokenizer = packing.WordTokenizer(path)
+    texts = [b"Thread orbit, LATTICE copper-ware don't na\xc3\xafve x9 thread", None, b""] * 50
+    want = [tokenizer.library.encode((x or b"").decode(), add_special_tokens=False).ids for x in texts]
+    tokenizer.ids(texts[:3])
+    tokenizer.known = Known(tokenizer.known)
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokenizer.ids(texts)]
+    assert got == want and Known.asked <= 8
+    assert tokenizer.alone
+
+
 def test_two_documents_replace_the_shortest():
     # Greedy takes 6 and 3; a gap of 1 stays. 2 + 2 fill it exactly in place of 3.
     plan = packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)

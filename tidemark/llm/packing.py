@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import string
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from tidemark.llm.common import arrow_map, text_bytes
 from tidemark.session import work_folder
 
 SALTS = 64
+#: Texts that are tokenized at once; what they share is looked up once.
+TEXTS = 1024
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -48,6 +51,10 @@ class WordTokenizer:
         suffix = getattr(self.library.model, "end_of_word_suffix", None) or "</w>"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        # The model alone does for words of a-z, unless normalizer or pre-tokenizer change even these.
+        probes = [w.encode() for t in vocabulary if (w := t.removesuffix(suffix)).isascii() and w.isalpha() and w.islower()]
+        probes = sorted(probes)[:: max(1, len(probes) // 200)]
+        self.alone = self._encode_plain(probes) == self._encode(probes)
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -72,6 +79,12 @@ class WordTokenizer:
         found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _encode_plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of lower-case ASCII words by the model, without normalizer and pre-tokenizer."""
+        model = self.library.model
+        found = [[t.id for t in model.tokenize(w.decode())] for w in words]
+        return [packed(f"<{len(ids)}I", *ids) for ids in found]
+
     def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters: encoded as one text and cut after each id that ends a word."""
         out = []
@@ -102,6 +115,10 @@ class WordTokenizer:
                         known[part] = ids
                     else:
                         new.add(part)
+        if self.alone:
+            plain = [w for w in new if w.isalpha() and w.islower()]
+            known.update(zip(plain, self._encode_plain(plain)))
+            new.difference_update(plain)
         letters = [w for w in new if w.isalpha() or w.decode().isalpha()]
         known.update(zip(letters, self._encode_letters(letters)))
         others = list(new.difference(letters))
@@ -113,20 +130,12 @@ class WordTokenizer:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.LIMIT:
             self.old, self.known = self.known, {}
-        known, get = self.known, self.known.get
-        out, missing = [], []
-        for i, text in enumerate(texts):
-            words = text.split() if text else []
-            found = list(map(get, words))
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # a word without ids yet
-                out.append(b"")
-                missing.append((i, words, found))
-        self._learn({w for _, words, found in missing for w, ids in zip(words, found) if ids is None})
-        for i, words, found in missing:
-            out[i] = b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
-        return out
+        split = [text.split() if text else [] for text in texts]
+        # Each distinct word is looked up once among all that are known; the texts then find theirs in a small table.
+        words = set().union(*split)
+        self._learn(words.difference(self.known))
+        here = dict(zip(words, map(self.known.__getitem__, words)))
+        return [b"".join(map(here.__getitem__, found)) for found in split]
 
 
 @lru_cache(1)
@@ -159,7 +168,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    made = arrow_map(texts, cut, "id long, piece int, start long, length long, ids binary")
+    made = arrow_map(texts, cut, "id long, piece int, start long, length long, ids binary", TEXTS)
     path_out = work_folder(docs.sparkSession, "pieces")
     made.write.option("compression", "zstd").parquet(path_out)
     return docs.sparkSession.read.schema(made.schema).parquet(path_out).withColumnRenamed("id", id_col)
