@@ -165,6 +165,26 @@ def test_packing_is_exact_and_tight(spark, docs, folder):
     assert used <= least + 1
 
 
+def test_a_batch_is_tokenized_in_little_memory(monkeypatch):
+    """Neither all words of a batch nor all its new words are held or encoded at once; before, both were."""
+    import tracemalloc
+
+    tokenizer = packing.WordTokenizer(queries.tokenizer_file("word_bpe_49k.json"))
+    texts = [b"thread orbit " * 20_000, None] * 20
+    tracemalloc.start()
+    got = tokenizer.ids(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - sum(map(len, got)) < 10_000_000
+    learned = []
+    monkeypatch.setattr(packing.WordTokenizer, "PORTION", 3)
+    monkeypatch.setattr(tokenizer, "_learn", lambda words, learn=tokenizer._learn: (learned.append(len(words)), learn(words)))
+    odd = [b"Seven new-words, x1 na\xc3\xafve seven SEVEN x2", b"", b"x2 x3"]
+    want = [tokenizer.library.encode(x.decode(), add_special_tokens=False).ids for x in odd]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.ids(odd)] == want
+    assert sum(learned) == 8 and max(learned) == 3
+
+
 def test_words_are_looked_up_once_a_batch():
     """Copies in a batch cost no further search among the known words; before, every word of every text did."""
     path = queries.tokenizer_file("word_bpe_49k.json")

@@ -36,7 +36,9 @@ class WordTokenizer:
     and words that are met again come back from there. Forgetting costs time only.
     """
 
-    LIMIT = 400_000
+    LIMIT = 200_000
+    #: New words that are encoded at once.
+    PORTION = 8_192
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,7 +101,7 @@ class WordTokenizer:
             out += cut if len(cut) == len(some) and ends[-1] == len(data) else self._encode(some)
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         known, old = self.known, self.old
         new, made = set(), []
         for word in words:
@@ -130,12 +132,17 @@ class WordTokenizer:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.LIMIT:
             self.old, self.known = self.known, {}
-        split = [text.split() if text else [] for text in texts]
         # Each distinct word is looked up once among all that are known; the texts then find theirs in a small table.
-        words = set().union(*split)
-        self._learn(words.difference(self.known))
+        # Texts are split twice, as all their words at once take ten times their own memory.
+        words: set[bytes] = set()
+        for text in texts:
+            if text:
+                words.update(text.split())
+        new = list(words.difference(self.known))
+        for at in range(0, len(new), self.PORTION):
+            self._learn(new[at : at + self.PORTION])
         here = dict(zip(words, map(self.known.__getitem__, words)))
-        return [b"".join(map(here.__getitem__, found)) for found in split]
+        return [b"".join(map(here.__getitem__, text.split())) if text else b"" for text in texts]
 
 
 @lru_cache(1)
