@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -201,3 +202,24 @@ def test_registered_embedding_query(spark):
     links = (unit @ unit.T >= 0.9).sum(1) - 1
     got = {r.vec_id: r.n_links for r in queries.op1_embedding_dedup(spark, SMALL).collect()}
     assert got == {r.vec_id: n for r, n in zip(rows, links.tolist())}
+
+
+def test_saved_tables_leave_no_shuffled_data(spark):
+    """Before, what was shuffled for a saved table lay on disk until the driver's garbage was collected."""
+    from tidemark.llm.common import CLEANUP, saved
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    spark.conf.set(CLEANUP, "false")
+    try:
+        before = names()
+        table = saved(spark.range(0, 1000, 1, 4).selectExpr("id % 7 AS k").groupBy("k").count(), "sums")
+        for _ in range(50):
+            if not (left := names() - before):
+                break
+            time.sleep(0.1)
+        assert not left
+        assert spark.conf.get(CLEANUP) == "false"
+        assert table.agg({"count": "sum"}).first()[0] == 1000
+    finally:
+        spark.conf.unset(CLEANUP)

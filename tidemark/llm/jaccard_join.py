@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, in_bits, key_bits, list_parts, long_lists, saved, small, text_bytes
+from tidemark.llm.common import arrow_map, in_bits, key_bits, list_parts, long_lists, saved, small, text_bytes, unshuffled
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mixed, set_digest, shingle_sets
 
@@ -64,15 +64,16 @@ def _frequent(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    rows = (
+    most = (
         arrow_map(sets, count, "item long, n long")
         .groupBy("item")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= LEAST_SETS)
         .orderBy(F.desc("n"), "item")
         .limit(FREQUENT)
-        .toArrow()
     )
+    with unshuffled(sets.sparkSession):
+        rows = most.toArrow()
     items = np.asarray(rows.column("item").combine_chunks()).view(np.uint64)
     level = np.log2(np.asarray(rows.column("n").combine_chunks()).astype(float)).astype(np.int8)
     order = np.argsort(items)
